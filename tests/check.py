@@ -1,0 +1,85 @@
+"""Compare registered queries with their SQL checks: row count, columns, sorted values."""
+
+from __future__ import annotations
+
+import datetime
+import math
+import os
+import sys
+import time
+
+import duckdb
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
+          "pages benchmark labels conversations").split()
+
+
+def connect(sf_dir: str):
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
+    return con
+
+
+def _plain(value):
+    if isinstance(value, float):
+        return "nan" if math.isnan(value) else value
+    if isinstance(value, datetime.datetime):
+        return value.isoformat()
+    if value is not None and not isinstance(value, (bool, int, str)):
+        return float(value) if value.__class__.__name__ == "Decimal" else str(value)
+    return value
+
+
+def table(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    cells = [tuple(_plain(r[i]) for i in order) for r in rows]
+    return [columns[i] for i in order], sorted(cells, key=lambda r: [(x is None, str(x)) for x in r])
+
+
+def compare(df, con, sql: str) -> str:
+    """Empty when equal, otherwise what differs."""
+    cursor = con.execute(sql)
+    want_cols, want = table([d[0] for d in cursor.description], cursor.fetchall())
+    got_cols, got = table(df.columns, [tuple(r) for r in df.collect()])
+    if want_cols != got_cols:
+        return f"columns {got_cols} != {want_cols}"
+    if len(want) != len(got):
+        return f"{len(got)} rows, expected {len(want)}"
+    bad = [(g, w) for g, w in zip(got, want) if g != w]
+    types = [(c, type(a).__name__, type(b).__name__) for c, a, b in zip(
+        got_cols, got[0], want[0]) if type(a) is not type(b)] if got else []
+    if bad:
+        return f"{len(bad)} rows differ, first {str(bad[0])[:600]}"
+    return f"types {types}" if types else ""
+
+
+def main() -> None:
+    from pyspark.sql import SparkSession
+
+    import __spark_entry__ as entry
+
+    sf_dir = sys.argv[1]
+    wanted = sys.argv[2:]
+    spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+             .config("spark.sql.shuffle.partitions", "8")
+             .config("spark.driver.memory", "8g")
+             .config("spark.sql.session.timeZone", "UTC").getOrCreate())
+    spark.sparkContext.setLogLevel("ERROR")
+    con, sql = connect(sf_dir), entry.oracle_sql()
+    for name, fn in entry.queries().items():
+        if wanted and name not in wanted:
+            continue
+        start = time.time()
+        try:
+            df = fn(spark, sf_dir)
+            result = compare(df, con, sql[name]) if name in sql else f"rows {df.count()}"
+        except Exception as error:  # noqa: BLE001
+            result = f"ERROR {str(error)[:900]}"
+        print(f"{name:32s} {time.time() - start:6.2f}s  {result or 'ok'}", flush=True)
+
+
+if __name__ == "__main__":
+    main()
