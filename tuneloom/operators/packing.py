@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tuneloom.constants import IGNORE_LABEL
 from tuneloom.functions.tokens import position_ids
 from tuneloom.operators.ranks import SHARD_ROWS, with_shard
+from tuneloom.session import stage_table
 
 _GROUP_BITS = 8
 
@@ -141,7 +142,8 @@ def _place_rows(seq: np.ndarray, lengths: np.ndarray, max_len: int, state: dict)
     emitted = is_full | caused
     emit = int(state["first_emit"]) + np.cumsum(emitted) - emitted
 
-    full = pd.DataFrame({"seq": seq[is_full], "block": -1, "offset": 0,
+    # keys without a partner are spread: negative and different for every row
+    full = pd.DataFrame({"seq": seq[is_full], "block": -1 - seq[is_full], "offset": 0,
                          "emit": emit[is_full], "is_full": True, "is_marker": False})
     placed = pd.DataFrame({"seq": seq[~is_full], "block": block, "offset": offset,
                            "emit": -1, "is_full": False, "is_marker": False})
@@ -216,34 +218,45 @@ def pack_sequences(df: DataFrame, max_len: int = 1024,
         place, _PLACE_SCHEMA)
 
 
+def _staged_placement(df: DataFrame, max_len: int, shard_rows: int) -> DataFrame:
+    """The placement is read several times, so the narrow table is written once."""
+    return stage_table(pack_sequences(df, max_len, shard_rows), "placement")
+
+
 def block_segments(df: DataFrame, max_len: int = 1024,
                    shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per example: ``block_id, record_id, seq, offset, len``, without token arrays."""
-    placed = pack_sequences(df, max_len, shard_rows)
-    own = df.select("seq", "record_id", F.col("length").alias("len"))
-    rows = placed.where(~F.col("is_marker")).join(own, "seq")
-    numbers = placed.where(F.col("is_marker")).select("block", F.col("emit").alias("_emit"))
-    full = rows.where("is_full").withColumn("block_id", F.col("emit"))
-    shared = rows.where(~F.col("is_full")).join(numbers, "block") \
-        .withColumn("block_id", F.col("_emit"))
-    keep = ["block_id", "record_id", "seq", "offset", "len"]
-    return full.select(*keep).unionByName(shared.select(*keep))
+    placed = _staged_placement(df, max_len, shard_rows)
+    rows = placed.where(~F.col("is_marker")).join(
+        df.select("seq", "record_id", F.col("length").alias("len")), "seq")
+    numbers = placed.where(F.col("is_marker")).select("block", F.col("emit").alias("_number"))
+    # full rows know their number and match no marker
+    return (rows.join(numbers, "block", "left")
+            .select(F.when(F.col("is_full"), F.col("emit")).otherwise(F.col("_number"))
+                    .alias("block_id"), "record_id", "seq", "offset", "len"))
 
 
 def packed_blocks(df: DataFrame, max_len: int = 1024, mask_boundaries: bool = False,
                   shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Dense blocks: ``block_id, input_ids, labels, position_ids, segments``.
 
-    ``df`` has ``record_id, seq, input_ids, labels, length``. With
-    ``mask_boundaries`` the first label of every example but the first is
-    ignored, so no example is predicted from its neighbour.
+    ``df`` has ``record_id, seq, input_ids, labels, length`` and is read three
+    times, so it should be a stored table. With ``mask_boundaries`` the first
+    label of every example but the first is ignored, so no example is predicted
+    from its neighbour.
     """
-    placed = pack_sequences(df, max_len, shard_rows)
-    tokens = df.select("seq", "record_id", "input_ids", "labels", F.col("length").alias("len"))
-    rows = placed.where(~F.col("is_marker")).join(tokens, "seq")
-    part = F.struct("offset", "record_id", "len", "input_ids", "labels")
-    shared = rows.where(~F.col("is_full")).select("block", F.lit(None).cast("bigint")
-                                                  .alias("emit"), part.alias("part"))
+    placed = _staged_placement(df, max_len, shard_rows)
+    part = F.struct("offset", "record_id", F.col("length").alias("len"), "input_ids", "labels")
+
+    def rows(full: bool) -> DataFrame:
+        # either side moves its own token arrays only
+        fits = F.col("length") >= max_len if full else F.col("length") < max_len
+        mine = placed.where((F.col("is_full") == full) & ~F.col("is_marker"))
+        return mine.join(df.where(fits).select("seq", "record_id", "length", "input_ids",
+                                               "labels"), "seq")
+
+    shared = rows(full=False).select("block", F.lit(None).cast("bigint").alias("emit"),
+                                     part.alias("part"))
     marks = placed.where(F.col("is_marker")).select(
         "block", "emit", F.lit(None).cast(shared.schema["part"].dataType).alias("part"))
     # a block holds at most max_len examples, since each has a token
@@ -251,8 +264,8 @@ def packed_blocks(df: DataFrame, max_len: int = 1024, mask_boundaries: bool = Fa
                .agg(F.max("emit").alias("block_id"),
                     F.array_sort(F.collect_list("part")).alias("parts"))
                .where(F.size("parts") > 0).select("block_id", "parts"))
-    full = rows.where("is_full").select(F.col("emit").alias("block_id"),
-                                        F.array(part).alias("parts"))
+    whole = rows(full=True).select(F.col("emit").alias("block_id"),
+                                   F.array(part).alias("parts"))
 
     def example_labels(p: Column) -> Column:
         if not mask_boundaries:
@@ -261,7 +274,7 @@ def packed_blocks(df: DataFrame, max_len: int = 1024, mask_boundaries: bool = Fa
         return F.when(p["offset"] > 0, F.concat(first, F.slice(p["labels"], 2, max_len))) \
             .otherwise(p["labels"])
 
-    return grouped.unionByName(full).select(
+    return grouped.unionByName(whole).select(
         "block_id",
         F.flatten(F.transform("parts", lambda p: p["input_ids"])).alias("input_ids"),
         F.flatten(F.transform("parts", example_labels)).alias("labels"),

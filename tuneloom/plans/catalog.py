@@ -114,10 +114,11 @@ def _kept_lengths(spark, sf):
 
 
 def _document_lengths(spark, sf):
+    """Layouts read the lengths several times; the texts are only counted once."""
     docs = inputs.table(spark, sf, "documents")
-    return docs.select(
+    return stage_table(docs.select(
         F.col("doc_id").alias("record_id"), F.col("doc_id").alias("seq"),
-        F.least(WORDS.count(F.col("text")), F.lit(MAX_LEN)).alias("length"))
+        F.least(WORDS.count(F.col("text")), F.lit(MAX_LEN)).alias("length")), "lengths")
 
 
 def _tokens(spark, sf):
@@ -513,13 +514,13 @@ def run_manifests(spark, sf):
     created = F.to_timestamp(F.lit("2024-01-02 03:04:05")).alias("created")
     adapters = verdict.where(F.col("verdict") == "healthy").select(
         name.alias("adapter_path"), F.lit("base").alias("base_model"),
-        F.lit("mlx-lora").alias("format"), created, F.col("rows").alias("n_train"),
+        F.lit("adapter").alias("format"), created, F.col("rows").alias("n_train"),
         (F.col("last") + 1).cast("int").alias("epochs"), F.col("best_val").alias("final_val_loss"),
         F.col("verdict").alias("overfit_verdict"), "loss_history")
     full = verdict.where(F.col("verdict") == "watch").select(
         name.alias("adapter_path"), F.lit("base").alias("base_model"), name.alias("alias"),
         F.lit("4bit").alias("quant"), F.lit("single").alias("strategy"),
-        F.lit("hf-causal-lm").alias("format"), created)
+        F.lit("checkpoint").alias("format"), created)
     path = stage_path(spark, "manifests")
     for variant in (adapters, full):
         manifests.append_run_manifest(variant, path)

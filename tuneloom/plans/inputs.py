@@ -96,16 +96,16 @@ def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a training log: a run per user, errors are validation rows."""
+    """Events as a stored training log: a run per user, errors are validation rows."""
     events = table(spark, sf_dir, "events")
     counted = prefix_aggregates(events, ["user_id"], "event_id",
                                 {"iter": ("sum", F.lit(1).cast("bigint"))})
     val = F.col("event_type") == "error"
-    return counted.select(
+    return stage_table(counted.select(
         F.col("user_id").alias("run_id"), F.floor((F.col("iter") - 1) / 5).alias("epoch"),
         "iter", F.when(val, "val").otherwise("train").alias("kind"),
         (F.col("value") * F.when(val, 0.5).otherwise(0.02)).alias("loss"),
-        F.get_json_object("props", "$.k").cast("bigint").alias("tokens"), "ts")
+        F.get_json_object("props", "$.k").cast("bigint").alias("tokens"), "ts"), "metrics")
 
 
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -608,7 +608,7 @@ points AS (
 SELECT 'run-' || s.run_id AS model,
   CASE WHEN v.verdict IN ('healthy', 'watch') THEN 'base' ELSE 'run-' || s.run_id END AS base_model,
   CASE v.verdict WHEN 'healthy' THEN NULL WHEN 'watch' THEN '4bit' ELSE 'none' END AS quant,
-  CASE v.verdict WHEN 'healthy' THEN 'mlx-lora' WHEN 'watch' THEN 'hf-causal-lm' END AS format,
+  CASE v.verdict WHEN 'healthy' THEN 'adapter' WHEN 'watch' THEN 'checkpoint' END AS format,
   CASE WHEN v.verdict IN ('healthy', 'watch') THEN '2024-01-02T03:04:05' END AS created,
   CASE WHEN v.verdict = 'healthy' THEN s.rows END AS n_train,
   CASE WHEN v.verdict = 'healthy' THEN 'healthy' END AS overfit_verdict,
