@@ -1,13 +1,17 @@
 import json
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from tuneloom.operators import chat
 from tuneloom.operators import generate as G
 from tuneloom.operators import requests as Q
 from tuneloom.streaming.requests import answer_requests
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def asked(spark, *rows):
     return spark.createDataFrame([(f"r{i}", route, body) for i, (route, body) in enumerate(rows)],
@@ -114,6 +118,6 @@ def test_documents(spark):
         "role": "assistant", "content": "### Instruction: a b"}}]
     assert c["usage"] == {"completion_tokens": 4} and (c["created"], c["model"]) == (5, "m")
     assert p["choices"] == [{"index": 0, "text": 'x "y"', "finish_reason": "stop"}]
-    assert p["object"] == "text_completion" and "usage" not in p and len(p["id"]) == 12
+    assert p["object"] == "text_completion" and "usage" not in p and len(p["id"]) == 13
     again = answer_requests(df, G.EchoEngine, "m", created=5).collect()
     assert {json.loads(r["response"])["id"] for r in again} == {c["id"], p["id"]}

@@ -66,7 +66,7 @@ def amplify(df: DataFrame, min_rows: int) -> DataFrame:
     n = df.count()
     if n == 0:
         raise ValueError("cannot amplify an empty table")
-    doublings = max(0, (-(-min_rows // n) - 1).bit_length())
+    doublings = max(0, -(-min_rows // n) - 1).bit_length()
     copies = 1 << doublings
     step = min(copies, _MAX_COPIES_PER_STEP)
     out = df
