@@ -156,3 +156,15 @@ def test_staging_uses_the_folder_of_the_session(spark):
     assert stage_root(spark) == root
     staged = stage_table(spark.range(5), "x")
     assert staged.count() == 5 and all(root in f for f in staged.inputFiles())
+
+
+def test_parquet_rows_are_numbered_by_position(spark, tmp_path):
+    path = str(tmp_path / "p")
+    spark.range(1000).repartitionByRange(5, "id").sortWithinPartitions("id").write.parquet(path)
+    rows = R.with_parquet_seq(spark.read.parquet(path)).collect()
+    assert len(rows) == 1000 and all(r["seq"] == r["id"] for r in rows)
+
+
+def test_many_spans_are_joined_not_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "_MAX_BROADCAST_SPANS", 0)
+    test_parquet_rows_are_numbered_by_position(spark, tmp_path)

@@ -173,8 +173,9 @@ def pack_sequences(df: DataFrame, max_len: int = 1024,
     def shard_functions(pdf: pd.DataFrame) -> pd.DataFrame:
         ordered = pdf.sort_values("seq", kind="stable")
         fn = _shard_function(ordered["length"].to_numpy(), max_len)
-        return pd.DataFrame([{"_group": int(pdf["_group"].iloc[0]),
-                              "_shard": int(pdf["_shard"].iloc[0]), **_function_row(fn)}])
+        shard = int(pdf["_shard"].iloc[0])
+        return pd.DataFrame([{"_group": shard >> _GROUP_BITS, "_shard": shard,
+                              **_function_row(fn)}])
 
     def group_functions(pdf: pd.DataFrame) -> pd.DataFrame:
         ordered = _functions(pdf.sort_values("_shard"))
@@ -204,9 +205,9 @@ def pack_sequences(df: DataFrame, max_len: int = 1024,
 
     rows = (with_shard(df.select("seq", "length").where(F.col("length") > 0), "seq", shard_rows)
             .select("seq", "length", "_shard"))
-    fns = (rows.withColumn("_group", F.shiftright("_shard", _GROUP_BITS))
-           .groupBy("_shard").applyInPandas(
-               shard_functions, f"_group bigint, _shard bigint, {_FN_SCHEMA}"))
+    # both passes group the same rows the same way, so they share one shuffle
+    fns = rows.groupBy("_shard").applyInPandas(
+        shard_functions, f"_group bigint, _shard bigint, {_FN_SCHEMA}")
     # at most 2^_GROUP_BITS shards per group, and one function per group at the top:
     # rows / (shard_rows * 2^_GROUP_BITS) small rows in all
     groups = (fns.groupBy("_group").applyInPandas(

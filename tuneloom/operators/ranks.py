@@ -4,11 +4,15 @@ Rows are cut into small order-preserving groups (a shard of the order key, or
 the leading digits of a hash). Only the group counts are summed globally; the
 rows are ordered inside their group. No group can hold more than ``shard_rows``
 rows of a unique key, however skewed the rest of the data is.
+
+The inputs are read more than once, mostly their key columns only. Inputs that
+are costly to compute should be stored first (``session.stage_table``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,18 +22,23 @@ _FAN = 4096
 _HASH_DIGITS = 4
 
 
+# Group columns are never null, so neither joins nor filters have to test them.
+_NO_SHARD = -(1 << 62)
+
+
 def with_shard(df: DataFrame, seq: str = "seq", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Add ``_block`` and ``_shard``: coarse and fine groups of a unique integer key."""
-    shard = F.floor(F.col(seq) / F.lit(shard_rows)) if shard_rows & (shard_rows - 1) \
-        else F.shiftright(F.col(seq).cast("bigint"), shard_rows.bit_length() - 1)
-    return (df.withColumn("_shard", shard.cast("bigint"))
+    key = F.col(seq).cast("bigint")
+    shard = F.floor(key / F.lit(shard_rows)) if shard_rows & (shard_rows - 1) \
+        else F.shiftright(key, shard_rows.bit_length() - 1)
+    return (df.withColumn("_shard", F.coalesce(shard, F.lit(_NO_SHARD)).cast("bigint"))
             .withColumn("_block", F.shiftright(F.col("_shard"), _FAN.bit_length() - 1)))
 
 
 def with_hash(df: DataFrame, key: str, seed: int | str) -> DataFrame:
     """Add ``_hash`` (md5 of ``seed:key``) and ``_bin``, its first four digits."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    return (df.withColumn("_hash", digest)
+    return (df.withColumn("_hash", F.coalesce(digest, F.lit("")))
             .withColumn("_bin", F.substring("_hash", 1, _HASH_DIGITS)))
 
 
@@ -52,6 +61,13 @@ def running_offsets(counts: DataFrame, levels: list[str], value: str = "_n",
     return within.join(above, outer).withColumn(out, F.col(out) + F.col(base)).drop(base)
 
 
+def _group_counts(df: DataFrame, levels: list[str]) -> DataFrame:
+    """Rows per group. The explicit null checks are the ones the joins would infer; stating
+    them keeps every use of the table the same plan, so its shuffle is made once."""
+    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in levels])
+    return df.where(present).groupBy(*levels).agg(F.count("*").alias("_n"))
+
+
 def dist_rank(df: DataFrame, levels: list[str], order: list[str],
               out: str = "rank") -> DataFrame:
     """Add the 0-based global rank by ``(levels, order)``.
@@ -59,7 +75,7 @@ def dist_rank(df: DataFrame, levels: list[str], order: list[str],
     ``levels`` must sort the same way as the wanted order and be non-null. The
     join with the offsets and the row number share one partitioning.
     """
-    counts = df.groupBy(*levels).agg(F.count("*").alias("_n"))
+    counts = _group_counts(df, levels)
     offsets = running_offsets(counts, levels).select(*levels, "_offset")
     within = F.row_number().over(Window.partitionBy(*levels).orderBy(*order))
     return (df.join(offsets, levels)
@@ -80,9 +96,9 @@ def rank_by_hash(df: DataFrame, key: str, seed: int | str, out: str = "rank") ->
 
 def _cut_row(df: DataFrame, levels: list[str], order: list[str],
              want: Callable[[Column], Column]) -> DataFrame:
-    """One row holding the n-th ``(levels, order)`` struct, or none for n = 0."""
-    counts = df.groupBy(*levels).agg(F.count("*").alias("_n"))
-    total = df.agg(F.count("*").alias("_t")).scalar()
+    """One row with the n-th ``order`` struct and the row count, or none for n = 0."""
+    counts = _group_counts(df, levels)
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_t")).scalar()
     n = F.least(want(total), total)
     edge = (running_offsets(counts, levels)
             .where((F.col("_offset") < n) & (n <= F.col("_offset") + F.col("_n")))
@@ -91,29 +107,32 @@ def _cut_row(df: DataFrame, levels: list[str], order: list[str],
     # the edge is a single group, so a single row is broadcast
     return (df.select(*levels, *order).join(F.broadcast(edge), levels)
             .withColumn("_at", at).where(F.col("_at") == F.col("_need"))
-            .select(F.struct(*levels, *order).alias("_cut")))
+            .select(F.struct(F.struct(*order).alias("at"), total.alias("total")).alias("_cut")))
 
 
 def _first_n(df: DataFrame, levels: list[str], order: list[str],
-             want: Callable[[Column], Column], out: str) -> DataFrame:
-    """Flag the first n rows by ``(levels, order)``.
+             want: Callable[[Column], Column], out: str, total: str | None) -> DataFrame:
+    """Flag the first n rows by ``order``, which ``levels`` only coarsen.
 
     Two passes over the key columns find the n-th row; the full rows are only
-    compared with it, so they are never shuffled.
+    compared with it, so they are never shuffled. ``total`` names a column for
+    the row count.
     """
     cut = _cut_row(df.select(*levels, *order), levels, order, want).scalar()
-    return df.withColumn(out, F.coalesce(F.struct(*levels, *order) <= cut, F.lit(False)))
+    flagged = df.withColumn(out, F.coalesce(F.struct(*order) <= cut["at"], F.lit(False)))
+    return flagged.withColumn(total, cut["total"]) if total else flagged
 
 
 def first_n_by_seq(df: DataFrame, want: Callable[[Column], Column], seq: str = "seq",
                    out: str = "in_first", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    flagged = _first_n(with_shard(df, seq, shard_rows), ["_block", "_shard"], [seq], want, out)
+    flagged = _first_n(with_shard(df, seq, shard_rows), ["_block", "_shard"], [seq], want, out, None)
     return flagged.drop("_block", "_shard")
 
 
 def first_n_by_hash(df: DataFrame, key: str, seed: int | str,
-                    want: Callable[[Column], Column], out: str = "in_first") -> DataFrame:
-    flagged = _first_n(with_hash(df, key, seed), ["_bin"], ["_hash", key], want, out)
+                    want: Callable[[Column], Column], out: str = "in_first",
+                    total: str | None = None) -> DataFrame:
+    flagged = _first_n(with_hash(df, key, seed), ["_bin"], ["_hash", key], want, out, total)
     return flagged.drop("_bin", "_hash")
 
 

@@ -11,20 +11,20 @@ from pyspark.sql import functions as F
 
 from tuneloom.operators.ranks import (SHARD_ROWS, first_n_by_hash, first_n_by_seq, rank_by_hash)
 
-# Up to this many rows a top-n merge is cheaper than two key passes.
-_TOP_N_LIMIT = 100_000
 _MAX_COPIES_PER_STEP = 1 << 10
 
 
 def head_cap(df: DataFrame, max_examples: int | None, seq: str = "seq",
-             shard_rows: int = SHARD_ROWS, top_n_limit: int = _TOP_N_LIMIT) -> DataFrame:
-    """The first ``max_examples`` rows in record order; 0 or None keeps all."""
+             shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The first ``max_examples`` rows in record order; 0 or None keeps all.
+
+    Not a sort with a limit: that would send n wide rows of every partition to
+    one task.
+    """
     if not max_examples:
         return df
     if max_examples < 0:
         raise ValueError("max_examples must not be negative")
-    if max_examples <= top_n_limit:
-        return df.orderBy(seq).limit(max_examples)
     flagged = first_n_by_seq(df, lambda total: F.lit(max_examples).cast("bigint"), seq,
                              "_take", shard_rows)
     return flagged.where("_take").drop("_take")
@@ -51,9 +51,9 @@ def train_val_split(df: DataFrame, fraction: float = 0.1, seed: int = 0,
         return F.when(total < 2, total).otherwise(
             F.least(F.greatest(F.lit(1), wanted), total - 1)).cast("bigint")
 
-    flagged = first_n_by_hash(df, key, seed, n_val, "in_val")
-    tiny = df.agg((F.count("*") < 2).alias("_tiny")).scalar()
-    return flagged.withColumn("in_train", ~F.col("in_val") | tiny)
+    flagged = first_n_by_hash(df, key, seed, n_val, "in_val", total="_total")
+    return (flagged.withColumn("in_train", ~F.col("in_val") | (F.col("_total") < 2))
+            .drop("_total"))
 
 
 def shuffle(df: DataFrame, seed: int = 0, key: str = "seq") -> DataFrame:

@@ -13,22 +13,51 @@ from tuneloom.schemas import EVAL_ROW, SFT_RAW
 from tuneloom.session import stage_table
 
 
+# A table of at most this many files or splits is small enough to broadcast.
+_MAX_BROADCAST_SPANS = 500_000
+
+
+def _start_of(rows: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``_offset``, the rows before the row's file or split, and the other span columns.
+
+    Spans are counted before they are broadcast; more of them are joined by key.
+    """
+    spans = stage_table(spans, "spans")
+    starts = running_offsets(spans, keys).drop("_n")
+    if spans.count() <= _MAX_BROADCAST_SPANS:
+        starts = F.broadcast(starts)
+    return rows.join(starts, keys)
+
+
+def with_parquet_seq(df: DataFrame, out: str = "seq") -> DataFrame:
+    """Number the rows of a Parquet scan densely, by file name and row position.
+
+    The format knows the position of a row in its file, so only the files have
+    to be counted, which reads no column.
+    """
+    place = F.col("_metadata.file_path").alias("_file")
+    rows = df.select("*", place, F.col("_metadata.row_index").alias("_row"))
+    spans = df.select(place).groupBy("_file").agg(F.count("*").alias("_n"))
+    return (_start_of(rows, spans, ["_file"])
+            .withColumn(out, F.col("_offset") + F.col("_row"))
+            .drop("_file", "_row", "_offset"))
+
+
 def with_file_seq(df: DataFrame, out: str = "seq") -> DataFrame:
-    """Number the rows of a file scan densely, in file name and line order.
+    """Number the rows of a text file scan densely, in file name and line order.
 
     Row ids of a scan follow its task order, not the file order, and task
-    layouts may differ between two scans. So the rows are staged once with
-    their file, split and id; a split is the group in which rows are ordered.
+    layouts may differ between two scans. So the parsed rows are staged once
+    with their file, split and id; a split is the group in which rows are ordered.
     """
     located = stage_table(
         df.select("*", F.col("_metadata.file_path").alias("_file"),
                   F.col("_metadata.file_block_start").alias("_split"),
                   F.monotonically_increasing_id().alias("_id")), "records")
     keys = ["_file", "_split"]
-    spans = located.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     # the rows of one split are consecutive in one task
-    starts = running_offsets(spans, keys).select(*keys, "_first", "_offset")
-    return (located.join(starts, keys)
+    spans = located.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    return (_start_of(located, spans, keys)
             .withColumn(out, F.col("_offset") + F.col("_id") - F.col("_first"))
             .drop(*keys, "_id", "_first", "_offset"))
 
@@ -65,7 +94,7 @@ def load_records(spark: SparkSession, source: str, split: str = "train",
         if source.endswith(".parquet") or "/" in source:
             raw = spark.read.parquet(source)
             if seq is None:
-                raw = with_file_seq(raw)
+                raw = with_parquet_seq(raw)
         else:
             raw = spark.table(source)
             if seq is None:
