@@ -19,17 +19,17 @@ def tokenize_records(df: DataFrame, tok, max_len: int,
     """Each record once: ``input_ids``, masked ``labels``, ``prompt_len`` and ``length``.
 
     Plain text gets no end marker and no mask. Arrays are stored unpadded.
-    ``keep`` names further columns to carry along.
+    ``keep`` names further columns to carry along. Prompt counts of the length
+    filter are used if they are there.
     """
     is_text = F.col("kind") == "text"
-    whole = tok.ids(rendered_text())
-    return (df.withColumn("_whole", whole)
-            .withColumn("prompt_len", F.when(is_text, 0).otherwise(tok.count(prompt_text())))
-            .withColumn("input_ids", truncate(
-                F.when(is_text, F.col("_whole")).otherwise(append_eos(F.col("_whole"),
-                                                                      tok.eos_id)), max_len))
-            .withColumn("labels", mask_prompt(F.col("input_ids"), F.col("prompt_len")))
-            .withColumn("length", F.size("input_ids"))
+    prompt_len = (F.col("prompt_tokens") if "prompt_tokens" in df.columns
+                  else F.when(is_text, 0).otherwise(tok.count(prompt_text())))
+    ids = F.when(is_text, F.col("_whole")).otherwise(append_eos(F.col("_whole"), tok.eos_id))
+    return (df.withColumns({"_whole": tok.ids(rendered_text()), "prompt_len": prompt_len})
+            .withColumn("input_ids", truncate(ids, max_len))
+            .withColumns({"labels": mask_prompt(F.col("input_ids"), F.col("prompt_len")),
+                          "length": F.size("input_ids")})
             .select("record_id", "seq", "input_ids", "labels", "prompt_len", "length", *keep))
 
 

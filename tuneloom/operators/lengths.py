@@ -20,10 +20,15 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def with_lengths(df: DataFrame, tok, max_len: int) -> DataFrame:
-    """Add ``n_tokens`` (whole, no end marker) and ``length`` (end marker added, cut)."""
-    marked = F.when(F.col("kind") == "text", 0).otherwise(1)
-    return (df.withColumn("n_tokens", tok.count(rendered_text()))
-            .withColumn("length", F.least(F.col("n_tokens") + marked, F.lit(max_len))))
+    """Add ``n_tokens`` (whole, no end marker) and ``length`` (end marker added, cut).
+
+    The filter has already counted plain texts; its count is used if it is there.
+    """
+    n_tokens = tok.count(rendered_text())
+    if "completion_tokens" in df.columns:
+        n_tokens = F.when(F.col("kind") == "text", F.col("completion_tokens")).otherwise(n_tokens)
+    return df.withColumn("n_tokens", n_tokens).selectExpr(
+        "*", f"least(n_tokens + CASE WHEN kind = 'text' THEN 0 ELSE 1 END, {max_len}) AS length")
 
 
 def filter_for_training(df: DataFrame, tok, max_len: int, min_completion_tokens: int = 4,
@@ -33,18 +38,18 @@ def filter_for_training(df: DataFrame, tok, max_len: int, min_completion_tokens:
     The end marker is not counted, so a pair of exactly ``max_len`` tokens is
     kept and loses its marker to truncation (``eos_truncated``).
     """
+    reason = f"""
+        CASE WHEN kind = 'text' THEN CASE WHEN completion_tokens < 2 THEN 'too_short' END
+             WHEN prompt_tokens >= {max_len - min_completion_tokens} THEN 'prompt_too_long'
+             WHEN prompt_tokens + completion_tokens > {max_len} THEN 'over_length' END"""
     is_text = F.col("kind") == "text"
-    p, c = F.col("prompt_tokens"), F.col("completion_tokens")
-    reason = (F.when(is_text, F.when(c < 2, "too_short"))
-              .when(p >= max_len - min_completion_tokens, "prompt_too_long")
-              .when(p + c > max_len, "over_length"))
-    body = F.when(is_text, F.col("text")).otherwise(F.col("completion"))
     counted = _once(df, prompt_tokens=F.when(is_text, 0).otherwise(tok.count(prompt_text())),
-                    completion_tokens=tok.count(body))
-    return (counted
-            .withColumn("drop_reason", reason if enabled else F.lit(None).cast("string"))
-            .withColumn("eos_truncated", F.col("drop_reason").isNull() & ~is_text
-                        & (p + c >= max_len)))
+                    completion_tokens=tok.count(F.expr(
+                        "CASE WHEN kind = 'text' THEN text ELSE completion END")))
+    return counted.selectExpr(
+        "*", f"{reason if enabled else 'CAST(NULL AS STRING)'} AS drop_reason").selectExpr("*", f"""
+        drop_reason IS NULL AND kind <> 'text'
+        AND prompt_tokens + completion_tokens >= {max_len} AS eos_truncated""")
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -12,22 +12,28 @@ from pyspark.sql import types as T
 
 from tuneloom.constants import (COMPLETION_KEYS, CONTEXT_HEAD, CONTEXT_KEYS, INSTRUCTION_HEAD,
                                 PROMPT_KEYS, RESPONSE_HEAD, TEXT_KEYS)
-from tuneloom.functions.text import first_present
 from tuneloom.operators.chat import instruct_prompt
 
 SFT_COLUMNS = ["record_id", "seq", "kind", "prompt", "completion", "text"]
 
 
-def _field(df: DataFrame, name: str) -> Column:
+def _sql_text(value: str) -> str:
+    escaped = value.replace("\\", "\\\\").replace("\n", "\\n").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def _field(df: DataFrame, name: str) -> str:
     if name not in df.columns:
-        return F.lit(None).cast("string")
+        return "CAST(NULL AS STRING)"
     if isinstance(df.schema[name].dataType, (T.StructType, T.ArrayType, T.MapType)):
-        return F.to_json(F.col(name))
-    return F.col(name).cast("string")
+        return f"to_json(`{name}`)"
+    return f"CAST(`{name}` AS STRING)"
 
 
-def _first_field(df: DataFrame, names: tuple[str, ...]) -> Column:
-    return first_present(*[_field(df, name) for name in names])
+def _first_field(df: DataFrame, names: tuple[str, ...]) -> str:
+    """First of the fields that is neither null nor the empty string."""
+    found = [f"nullif({_field(df, name)}, '')" for name in names if name in df.columns]
+    return f"coalesce({', '.join([*found, 'CAST(NULL AS STRING)'])})"
 
 
 def messages_to_pair(messages: Column) -> tuple[Column, Column]:
@@ -57,44 +63,47 @@ def normalize_records(df: DataFrame, chat: bool = False) -> DataFrame:
     A pair needs a prompt and a completion, otherwise the row falls through to
     its plain text. Chat rows are only used with ``chat=True``.
     """
-    nothing = F.lit(None).cast("string")
-    chat_prompt, chat_completion = (messages_to_pair(F.col("messages"))
-                                    if chat and "messages" in df.columns else (nothing, nothing))
     # found first, combined second: each lookup is one column, not a repeated expression
-    found = df.select(
-        "record_id", "seq", _first_field(df, PROMPT_KEYS).alias("_prompt"),
-        _first_field(df, COMPLETION_KEYS).alias("_completion"),
-        _first_field(df, CONTEXT_KEYS).alias("_context"), _first_field(df, TEXT_KEYS)
-        .alias("_text"), chat_prompt.alias("_chat"), chat_completion.alias("_answer"))
-    prompt, context = F.col("_prompt"), F.col("_context")
-    kind = (F.when(prompt.isNotNull() & F.col("_completion").isNotNull(), "pair")
-            .when(F.col("_text").isNotNull(), "text")
-            .when(F.col("_chat").isNotNull() & F.col("_answer").isNotNull(), "chat"))
-    is_pair, is_chat = F.col("kind") == "pair", F.col("kind") == "chat"
-    full_prompt = F.when(context != prompt,
-                         F.concat(prompt, F.lit(CONTEXT_HEAD), context)).otherwise(prompt)
-    return found.withColumn("kind", kind).select(
-        "record_id", "seq", "kind",
-        F.when(is_pair, full_prompt).when(is_chat, F.col("_chat")).alias("prompt"),
-        F.when(is_pair, F.col("_completion")).when(is_chat, F.col("_answer"))
-        .alias("completion"),
-        F.when(F.col("kind") == "text", F.col("_text")).alias("text"))
+    found = df.selectExpr(
+        *[c for c in df.columns if c in ("record_id", "seq") or (chat and c == "messages")],
+        f"{_first_field(df, PROMPT_KEYS)} AS _prompt",
+        f"{_first_field(df, COMPLETION_KEYS)} AS _completion",
+        f"{_first_field(df, CONTEXT_KEYS)} AS _context", f"{_first_field(df, TEXT_KEYS)} AS _text")
+    if chat and "messages" in df.columns:
+        chat_prompt, chat_completion = messages_to_pair(F.col("messages"))
+        found = found.withColumns({"_chat": chat_prompt, "_answer": chat_completion})
+    else:
+        found = found.selectExpr("*", "CAST(NULL AS STRING) AS _chat",
+                                 "CAST(NULL AS STRING) AS _answer")
+    return found.selectExpr("*", """
+        CASE WHEN _prompt IS NOT NULL AND _completion IS NOT NULL THEN 'pair'
+             WHEN _text IS NOT NULL THEN 'text'
+             WHEN _chat IS NOT NULL AND _answer IS NOT NULL THEN 'chat' END AS kind
+        """).selectExpr("record_id", "seq", "kind", f"""
+        CASE kind WHEN 'chat' THEN _chat
+             WHEN 'pair' THEN CASE WHEN _context <> _prompt
+                 THEN concat(_prompt, {_sql_text(CONTEXT_HEAD)}, _context) ELSE _prompt END
+             END AS prompt
+        """, "CASE kind WHEN 'pair' THEN _completion WHEN 'chat' THEN _answer END AS completion",
+        "CASE kind WHEN 'text' THEN _text END AS text")
 
 
 def drop_unusable(df: DataFrame) -> DataFrame:
     return df.where(F.col("kind").isNotNull())
 
 
+_PROMPT_TEXT = f"""
+    CASE kind WHEN 'pair' THEN concat({_sql_text(INSTRUCTION_HEAD)}, prompt, {_sql_text(RESPONSE_HEAD)})
+              WHEN 'chat' THEN prompt END"""
+
+
 def prompt_text() -> Column:
     """The prompt as the model sees it; null for plain text."""
-    templated = F.concat(F.lit(INSTRUCTION_HEAD), F.col("prompt"), F.lit(RESPONSE_HEAD))
-    return F.when(F.col("kind") == "pair", templated).when(
-        F.col("kind") == "chat", F.col("prompt"))
+    return F.expr(_PROMPT_TEXT)
 
 
 def rendered_text() -> Column:
-    return F.when(F.col("kind") == "text", F.col("text")).otherwise(
-        F.concat(prompt_text(), F.col("completion")))
+    return F.expr(f"CASE WHEN kind = 'text' THEN text ELSE concat({_PROMPT_TEXT}, completion) END")
 
 
 def render(df: DataFrame, out: str = "rendered") -> DataFrame:

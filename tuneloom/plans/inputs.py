@@ -54,31 +54,25 @@ def sft_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     All join keys are unique per turn, so a long conversation is no hot group.
     """
     conv = table(spark, sf_dir, "conversations")
-    user = conv.where(F.col("role") == "user").select(
-        "conv_id", "turn", F.col("text").alias("q"), (F.col("turn") + 1).alias("next"))
-    answer = conv.where(F.col("role") == "assistant").select(
-        "conv_id", F.col("turn").alias("next"), F.col("text").alias("a"))
-    system = conv.where((F.col("role") == "system") & (F.col("turn") == 0)).select(
-        "conv_id", F.col("text").alias("ctx"))
+    user = conv.where("role = 'user'").selectExpr("conv_id", "turn", "text AS q",
+                                                  "turn + 1 AS next")
+    answer = conv.where("role = 'assistant'").selectExpr("conv_id", "turn AS next", "text AS a")
+    system = conv.where("role = 'system' AND turn = 0").selectExpr("conv_id", "text AS ctx")
     return (user.join(answer, ["conv_id", "next"]).join(system, "conv_id", "left")
-            .select((F.col("conv_id") * 100 + F.col("turn")).alias("record_id"),
-                    "q", "a", "ctx"))
+            .selectExpr("conv_id * 100 + turn AS record_id", "q", "a", "ctx"))
 
 
 def sft_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs in five loose shapes; the last one has no answer and is unusable."""
-    shape = F.col("record_id") % 5
-
-    def only(value: Column | str, *shapes: int) -> Column:
-        return F.when(shape.isin(*shapes), F.col(value) if isinstance(value, str) else value)
-
-    return sft_pairs(spark, sf_dir).select(
-        "record_id", F.col("record_id").alias("seq"),
-        only("q", 0, 4).alias("prompt"), only("q", 1).alias("instruction"),
-        only("q", 2).alias("question"), only("ctx", 1).alias("input"),
-        only("a", 0).alias("completion"), only("a", 1).alias("output"),
-        only("a", 2).alias("answer"), only("ctx", 0).alias("context"),
-        only(F.concat("q", F.lit("\n"), "a"), 3).alias("text"))
+    shaped = sft_pairs(spark, sf_dir).selectExpr("*", "record_id % 5 AS shape")
+    return shaped.selectExpr(
+        "record_id", "record_id AS seq",
+        "CASE WHEN shape IN (0, 4) THEN q END AS prompt",
+        "CASE WHEN shape = 1 THEN q END AS instruction",
+        "CASE WHEN shape = 2 THEN q END AS question", "CASE WHEN shape = 1 THEN ctx END AS input",
+        "CASE WHEN shape = 0 THEN a END AS completion", "CASE WHEN shape = 1 THEN a END AS output",
+        "CASE WHEN shape = 2 THEN a END AS answer", "CASE WHEN shape = 0 THEN ctx END AS context",
+        "CASE WHEN shape = 3 THEN concat(q, '\\n', a) END AS text")
 
 
 def training_records(spark: SparkSession, sf_dir: str) -> DataFrame:
