@@ -67,3 +67,12 @@ def test_prefix_aggregates(spark, inclusive, shard_rows):
         if not inclusive:
             before.append(v)
     assert got == want
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_dense_seq_of_any_key(spark, partitions):
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choice("abcxyz") for _ in range(6)) for _ in range(400)})
+    df = spark.createDataFrame([(w,) for w in words], "k string").repartition(partitions)
+    got = {r["k"]: r["seq"] for r in R.dense_seq(df, ["k"]).collect()}
+    assert got == {w: i for i, w in enumerate(words)}

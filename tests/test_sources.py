@@ -55,6 +55,8 @@ def test_named_tables_and_splits(spark, tmp_path):
     assert sorted(r["text"] for r in got) == ["t0", "t2", "t4"]
     with pytest.raises(ValueError):
         R.load_records(spark, "named")
+    by_text = R.load_records(spark, "named", split="test", seq="text").orderBy("seq").collect()
+    assert [(r["seq"], r["text"]) for r in by_text] == [(0, "t0"), (1, "t2"), (2, "t4")]
     df.coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
     assert R.load_records(spark, str(tmp_path / "t.parquet")).count() == 3
 

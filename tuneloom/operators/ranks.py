@@ -3,7 +3,9 @@
 Rows are cut into small order-preserving groups (a shard of the order key, or
 the leading digits of a hash). Only the group counts are summed globally; the
 rows are ordered inside their group. No group can hold more than ``shard_rows``
-rows of a unique key, however skewed the rest of the data is.
+rows of a unique key, however skewed the rest of the data is. Keys with huge
+gaps make many small groups; ``dense_seq`` closes the gaps, and numbers rows by
+any other sortable key.
 
 The inputs are read more than once, mostly their key columns only. Inputs that
 are costly to compute should be stored first (``session.stage_table``).
@@ -17,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tuneloom.session import stage_table
+
 SHARD_ROWS = 1 << 18
 _FAN = 4096
 _HASH_DIGITS = 4
@@ -83,6 +87,23 @@ def dist_rank(df: DataFrame, levels: list[str], order: list[str],
             .drop("_offset"))
 
 
+def dense_seq(df: DataFrame, order: list[str], out: str = "seq") -> DataFrame:
+    """Number rows 0, 1, 2 … by any unique sort key, whatever its type and gaps.
+
+    The rows are range-partitioned, sorted and staged once, with their place;
+    the offsets of the ranges (one per partition) are added afterwards.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stage_table(ranged.select("*", F.spark_partition_id().alias("_part"),
+                                       F.monotonically_increasing_id().alias("_id")), "ranges")
+    spans = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    # one row per shuffle partition
+    starts = F.broadcast(running_offsets(spans, ["_part"]).drop("_n"))
+    return (placed.join(starts, "_part")
+            .withColumn(out, F.col("_offset") + F.col("_id") - F.col("_first"))
+            .drop("_part", "_id", "_first", "_offset"))
+
+
 def rank_by_seq(df: DataFrame, seq: str = "seq", out: str = "rank",
                 shard_rows: int = SHARD_ROWS) -> DataFrame:
     ranked = dist_rank(with_shard(df, seq, shard_rows), ["_block", "_shard"], [seq], out)

@@ -63,9 +63,9 @@ def _match_by_substring(outputs: DataFrame, vocabulary: DataFrame, text: str, ke
             .otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.substring(F.col("_norm"), i, size))
 
-    sized = answer.withColumn("_sizes", sizes)
-    pieces = sized.select(key, F.explode(F.array_distinct(F.flatten(
-        F.transform("_sizes", cuts)))).alias("norm"))
+    # one label length at a time, so a long answer never holds all its substrings at once
+    sized = answer.withColumn("_size", F.explode(sizes))
+    pieces = sized.select(key, F.explode(F.array_distinct(cuts(F.col("_size")))).alias("norm"))
     # a row's hits are distinct substrings of its own answer; labels that share a
     # normal form are grouped: they cancel each other, and still cover what they contain
     named = vocabulary.groupBy("norm").agg(F.min("label").alias("label"),

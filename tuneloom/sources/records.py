@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tuneloom.operators.normalize import drop_unusable, normalize_records
-from tuneloom.operators.ranks import running_offsets
+from tuneloom.operators.ranks import dense_seq, running_offsets
 from tuneloom.operators.scoring import require_rows
 from tuneloom.operators.splits import head_cap
 from tuneloom.schemas import EVAL_ROW, SFT_RAW
@@ -86,7 +87,8 @@ def load_records(spark: SparkSession, source: str, split: str = "train",
     """Normalised, usable, capped records from JSON lines, Parquet or a table.
 
     A table with a ``split`` column is reduced to ``split``. ``seq`` names its
-    unique order column; files are numbered by name and line.
+    unique order column; one that is no integer is numbered. Files are numbered
+    by name and line.
     """
     if source.endswith((".jsonl", ".json")):
         raw = read_sft_jsonl(spark, source)
@@ -102,7 +104,9 @@ def load_records(spark: SparkSession, source: str, split: str = "train",
         if "split" in raw.columns:
             raw = raw.where(F.col("split") == split)
         if seq is not None:
-            raw = raw.withColumn("seq", F.col(seq).cast("bigint"))
+            raw = (raw.withColumn("seq", F.col(seq).cast("bigint"))
+                   if isinstance(raw.schema[seq].dataType, IntegralType)
+                   else dense_seq(raw, [seq]))
         if "record_id" not in raw.columns:
             raw = raw.withColumn("record_id", F.col("seq"))
     return head_cap(drop_unusable(normalize_records(raw, chat)), max_examples)
