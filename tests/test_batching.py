@@ -1,7 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tuneloom.functions.tokens import WordTokenizer
 from tuneloom.operators import batching as B
 
 
@@ -88,13 +87,3 @@ def test_adaptive(spark, strategy, size, max_len, lens, chosen):
     per_batch = padded.groupBy("batch_id").agg(F.countDistinct(F.size("input_ids")).alias("w"))
     assert per_batch.where("w > 1").count() == 0
     assert B.padded_tokens(batches).first()["useful_tokens"] == sum(lens)
-
-
-def test_staged_tokens_feed_all_layouts(spark):
-    df = spark.createDataFrame([(1, 1, "text", None, None, "a b"), (2, 2, "pair", "x", "y", None)],
-                               "record_id bigint, seq bigint, kind string, prompt string, "
-                               "completion string, text string")
-    tokens = B.tokenize_records(df.withColumn("extra", F.lit(1)), WordTokenizer(), 8,
-                                keep=("extra",))
-    assert tokens.columns == ["record_id", "seq", "input_ids", "labels", "prompt_len", "length",
-                              "extra"]

@@ -14,13 +14,11 @@ from tuneloom.operators.ranks import (SHARD_ROWS, dist_rank, rank_by_hash, rank_
                                       running_offsets, with_hash, with_shard)
 
 
-def tokenize_records(df: DataFrame, tok, max_len: int,
-                     keep: tuple[str, ...] = ()) -> DataFrame:
+def tokenize_records(df: DataFrame, tok, max_len: int) -> DataFrame:
     """Each record once: ``input_ids``, masked ``labels``, ``prompt_len`` and ``length``.
 
     Plain text gets no end marker and no mask. Arrays are stored unpadded.
-    ``keep`` names further columns to carry along. Prompt counts of the length
-    filter are used if they are there.
+    Prompt counts of the length filter are used if they are there.
     """
     is_text = F.col("kind") == "text"
     prompt_len = (F.col("prompt_tokens") if "prompt_tokens" in df.columns
@@ -30,7 +28,7 @@ def tokenize_records(df: DataFrame, tok, max_len: int,
             .withColumn("input_ids", truncate(ids, max_len))
             .withColumns({"labels": mask_prompt(F.col("input_ids"), F.col("prompt_len")),
                           "length": F.size("input_ids")})
-            .select("record_id", "seq", "input_ids", "labels", "prompt_len", "length", *keep))
+            .select("record_id", "seq", "input_ids", "labels", "prompt_len", "length"))
 
 
 def _chunk(df: DataFrame, rank: str, batch_size: int) -> DataFrame:

@@ -120,15 +120,17 @@ def _cut_row(df: DataFrame, levels: list[str], order: list[str],
     """One row with the n-th ``order`` struct and the row count, or none for n = 0."""
     counts = _group_counts(df, levels)
     total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_t")).scalar()
-    n = F.least(want(total), total)
-    edge = (running_offsets(counts, levels)
-            .where((F.col("_offset") < n) & (n <= F.col("_offset") + F.col("_n")))
-            .select(*levels, (n - F.col("_offset")).alias("_need")))
+    # subqueries become columns at once: each further mention would be planned anew
+    edge = (running_offsets(counts, levels).withColumn("_total", total)
+            .withColumn("_want", F.least(want(F.col("_total")), F.col("_total")))
+            .where("_offset < _want AND _want <= _offset + _n")
+            .select(*levels, (F.col("_want") - F.col("_offset")).alias("_need"), "_total"))
     at = F.row_number().over(Window.partitionBy(*levels).orderBy(*order))
     # the edge is a single group, so a single row is broadcast
     return (df.select(*levels, *order).join(F.broadcast(edge), levels)
             .withColumn("_at", at).where(F.col("_at") == F.col("_need"))
-            .select(F.struct(F.struct(*order).alias("at"), total.alias("total")).alias("_cut")))
+            .select(F.struct(F.struct(*order).alias("at"), F.col("_total").alias("total"))
+                    .alias("_cut")))
 
 
 def _first_n(df: DataFrame, levels: list[str], order: list[str],
@@ -140,8 +142,9 @@ def _first_n(df: DataFrame, levels: list[str], order: list[str],
     the row count.
     """
     cut = _cut_row(df.select(*levels, *order), levels, order, want).scalar()
-    flagged = df.withColumn(out, F.coalesce(F.struct(*order) <= cut["at"], F.lit(False)))
-    return flagged.withColumn(total, cut["total"]) if total else flagged
+    flagged = df.withColumn("_cut", cut).withColumn(
+        out, F.coalesce(F.struct(*order) <= F.col("_cut.at"), F.lit(False)))
+    return (flagged.withColumn(total, F.col("_cut.total")) if total else flagged).drop("_cut")
 
 
 def first_n_by_seq(df: DataFrame, want: Callable[[Column], Column], seq: str = "seq",

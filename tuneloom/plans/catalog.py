@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from tuneloom.functions.tokens import ByteTokenizer, PluginTokenizer, WordTokeni
 from tuneloom.operators import (batching, chat, evalset, generate, lengths, models, normalize,
                                 packing, runs, scoring, splits)
 from tuneloom.operators import requests as req
-from tuneloom.plans import inputs
+from tuneloom.plans import inputs, jobs
 from tuneloom.session import stage_path, stage_table
 from tuneloom.sources import manifests, records, writers
 from tuneloom.streaming import metrics as live
@@ -24,6 +25,7 @@ MAX_LEN = 512
 BATCH = 4
 CREATED = 1_700_000_000
 MODEL = "demo"
+ARTICLES = {"en": "the", "de": "der", "fr": "le", "es": "el"}
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -281,6 +283,23 @@ def adaptive_batches(spark, sf):
                           *_big("pos_in_batch", "length", "width"))
 
 
+@query
+def prepare_training(spark, sf):
+    """The whole preparation job; what was written is counted per side."""
+    out = stage_path(spark, "prepared")
+    jobs.prepare_training(inputs.training_records(spark, sf), WORDS, out, MAX_LEN, BATCH)
+    return reduce(DataFrame.unionByName, [_written_side(spark, out, side)
+                                          for side in ("train", "val")])
+
+
+def _written_side(spark, out: str, side: str) -> DataFrame:
+    batches = spark.read.parquet(f"{out}/{side}")
+    # a packed row holds several examples
+    members = F.size("segments") if "segments" in batches.columns else F.lit(1)
+    return batches.agg(F.lit(side).alias("side"), F.sum(members).cast("bigint").alias("examples"),
+                       F.sum(_count_of("attention_mask", 1)).alias("real_tokens"))
+
+
 # --- caps, samples, splits -----------------------------------------------------
 
 def _documents(spark, sf):
@@ -431,6 +450,21 @@ def compare_runs(spark, sf):
                        "base_below_majority", "tuned_below_majority")
 
 
+@query
+def evaluate_task(spark, sf):
+    """The whole evaluation job: which article do the first words of a document name?"""
+    path = stage_path(spark, "articles") + ".jsonl"
+    article = F.element_at(F.create_map(*[F.lit(x) for pair in ARTICLES.items() for x in pair]),
+                           F.col("lang"))
+    (inputs.table(spark, sf, "documents")
+     .select(F.col("text").alias("prompt"), article.alias("gold")).write.json(path))
+    summary = jobs.evaluate_task(spark, path, generate.EchoEngine, MODEL,
+                                 stage_path(spark, "report"))
+    return summary.select("tag", "model", *_big("n", "correct", "unparseable"),
+                          F.round("accuracy", 6).alias("accuracy"),
+                          F.round("majority_baseline", 6).alias("majority_baseline"))
+
+
 # --- training runs -------------------------------------------------------------
 
 @query

@@ -21,15 +21,14 @@ from tuneloom.sources.writers import write_batches, write_eval_report
 def prepare_training(records: DataFrame, tok, out: str, max_len: int = 1024,
                      batch_size: int = 4, strategy: str = "auto", val_fraction: float = 0.1,
                      seed: int = 0, shuffle: bool = True) -> dict[str, dict]:
-    """Filter, split, tokenise once, lay out and write both sides; returns the layout infos.
+    """Filter, tokenise once, split, lay out and write both sides; returns the layout infos.
 
-    The token table is staged, so the length analysis reads one narrow column
-    of it and the text is tokenised a single time.
+    The token table is staged, so the texts are read and tokenised a single
+    time; the split and the length analysis read one narrow column of it.
     """
     usable = kept(filter_for_training(records, tok, max_len))
-    sides = train_val_split(usable, val_fraction, seed)
-    tokens = stage_table(tokenize_records(sides, tok, max_len, keep=("in_train", "in_val")),
-                         "tokens")
+    tokens = train_val_split(stage_table(tokenize_records(usable, tok, max_len), "tokens"),
+                             val_fraction, seed)
     infos = {}
     for name, flag in (("train", "in_train"), ("val", "in_val")):
         batches, info = adaptive_batches(tokens.where(F.col(flag)).drop("in_train", "in_val"),

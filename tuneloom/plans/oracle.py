@@ -423,6 +423,15 @@ UNION ALL
 SELECT strategy, block_id // 4, block_id % 4, length,
   max(length) OVER (PARTITION BY block_id // 4) FROM blocks, choice WHERE strategy = 'pack'"""
 
+_ORACLES["prepare_training"] = _with(FILTERED, f"""
+drawn AS (
+  SELECT *, row_number() OVER (ORDER BY {_hash(0, 'seq')}) AS r, count(*) OVER () AS n FROM kept),
+sides AS (
+  SELECT *, CASE WHEN r <= least(n - 1, greatest(1,
+    CASE WHEN n > 10 THEN trunc(n * 0.1::DOUBLE)::BIGINT ELSE n // 5 END))
+    THEN 'val' ELSE 'train' END AS side FROM drawn)""") + """
+SELECT side, count(*) AS examples, sum(length)::BIGINT AS real_tokens FROM sides GROUP BY side"""
+
 # --- caps, samples, splits -----------------------------------------------------
 
 _ORACLES["head_cap"] = "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 250"
@@ -531,6 +540,28 @@ SELECT model, 'nation' AS task, round(base, 6) AS base, round(tuned, 6) AS tuned
   tuned < tuned_m AS tuned_below_majority
 FROM sides"""
 
+_ORACLES["evaluate_task"] = _with("""
+told AS (
+  SELECT doc_id, CASE lang WHEN 'en' THEN 'the' WHEN 'de' THEN 'der' WHEN 'fr' THEN 'le'
+    WHEN 'es' THEN 'el' END AS gold,
+    lower(replace(replace(array_to_string(list_slice(regexp_extract_all(text, '\\S+'), 1, 8),
+      ' '), '_', ' '), '-', ' ')) AS answer
+  FROM documents),
+vocabulary AS (SELECT DISTINCT gold AS label FROM told),
+named AS (SELECT doc_id, label FROM told JOIN vocabulary ON contains(answer, label)),
+guess AS (
+  SELECT doc_id, min(label) AS pred FROM named n WHERE NOT EXISTS (
+    SELECT 1 FROM named o WHERE o.doc_id = n.doc_id AND o.label <> n.label
+      AND contains(o.label, n.label))
+  GROUP BY doc_id HAVING count(*) = 1),
+judged AS (SELECT t.gold, g.pred FROM told t LEFT JOIN guess g USING (doc_id)),
+tally AS (SELECT gold, count(*) AS g FROM judged GROUP BY gold)""") + """
+SELECT 'base' AS tag, 'demo' AS model, count(*) AS n, count(*) FILTER (WHERE pred = gold) AS correct,
+  count(*) FILTER (WHERE pred IS NULL) AS unparseable,
+  round(count(*) FILTER (WHERE pred = gold) / count(*), 6) AS accuracy,
+  round((SELECT max(g) FROM tally) / count(*), 6) AS majority_baseline
+FROM judged"""
+
 # --- training runs -------------------------------------------------------------
 
 _ORACLES["training_plan"] = _with(SPLIT, """
