@@ -8,8 +8,8 @@ def table(df, *cols):
     return sorted(tuple(r[c] for c in cols) for r in df.collect())
 
 
-@pytest.mark.parametrize("partitions", [1, 3, 8])
-@pytest.mark.parametrize("size, shard_rows", [(4, 16), (1, 64), (7, 1 << 18), (1000, 16)])
+@pytest.mark.parametrize("partitions, size, shard_rows", [
+    (1, 4, 16), (8, 4, 64), (3, 1, 1 << 18), (3, 7, 16), (2, 1000, 16)])
 def test_bucket_batches(spark, lengths_table, partitions, size, shard_rows):
     rows, df = lengths_table
     got = B.bucket_batches(df.repartition(partitions), size, shard_rows=shard_rows)

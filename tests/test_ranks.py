@@ -21,8 +21,7 @@ def keys():
     return out
 
 
-@pytest.mark.parametrize("partitions", [1, 3, 8])
-@pytest.mark.parametrize("shard_rows", [8, 100, 1 << 18])
+@pytest.mark.parametrize("partitions, shard_rows", [(1, 8), (3, 100), (8, 1 << 18)])
 def test_rank_by_seq(spark, keys, partitions, shard_rows):
     df = spark.createDataFrame([(k,) for k in keys], "seq bigint").repartition(partitions)
     got = {r["seq"]: r["rank"] for r in R.rank_by_seq(df, shard_rows=shard_rows).collect()}
@@ -36,7 +35,7 @@ def test_rank_by_hash(spark, keys, partitions):
     assert got == {k: i for i, k in enumerate(sorted(keys, key=lambda k: md5(9, k)))}
 
 
-@pytest.mark.parametrize("n", [0, 1, 37, 499, 500, 802, 5000])
+@pytest.mark.parametrize("n", [0, 1, 500, 5000])
 def test_first_n(spark, keys, n):
     df = spark.createDataFrame([(k,) for k in keys], "seq bigint").repartition(4)
     by_seq = R.first_n_by_seq(df, lambda total: F.lit(n), shard_rows=64).where("in_first")

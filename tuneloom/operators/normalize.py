@@ -14,8 +14,6 @@ from tuneloom.constants import (COMPLETION_KEYS, CONTEXT_HEAD, CONTEXT_KEYS, INS
                                 PROMPT_KEYS, RESPONSE_HEAD, TEXT_KEYS)
 from tuneloom.operators.chat import instruct_prompt
 
-SFT_COLUMNS = ["record_id", "seq", "kind", "prompt", "completion", "text"]
-
 
 def _sql_text(value: str) -> str:
     escaped = value.replace("\\", "\\\\").replace("\n", "\\n").replace("'", "\\'")
@@ -23,8 +21,6 @@ def _sql_text(value: str) -> str:
 
 
 def _field(df: DataFrame, name: str) -> str:
-    if name not in df.columns:
-        return "CAST(NULL AS STRING)"
     if isinstance(df.schema[name].dataType, (T.StructType, T.ArrayType, T.MapType)):
         return f"to_json(`{name}`)"
     return f"CAST(`{name}` AS STRING)"
@@ -93,8 +89,9 @@ def drop_unusable(df: DataFrame) -> DataFrame:
 
 
 _PROMPT_TEXT = f"""
-    CASE kind WHEN 'pair' THEN concat({_sql_text(INSTRUCTION_HEAD)}, prompt, {_sql_text(RESPONSE_HEAD)})
-              WHEN 'chat' THEN prompt END"""
+    CASE kind WHEN 'chat' THEN prompt
+              WHEN 'pair' THEN concat({_sql_text(INSTRUCTION_HEAD)}, prompt,
+                                      {_sql_text(RESPONSE_HEAD)}) END"""
 
 
 def prompt_text() -> Column:

@@ -33,7 +33,8 @@ def write_per_batch(stream: DataFrame, out: str, checkpoint: str, mode: str = "a
 
 def read_batches(spark: SparkSession, out: str, schema: StructType) -> DataFrame:
     """All micro-batches of a sink, with their number in ``batch``."""
-    return spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(out)
+    numbered = StructType([*schema.fields, StructField("batch", LongType())])
+    return spark.read.schema(numbered).parquet(out)
 
 
 class ProgressLog(StreamingQueryListener):
