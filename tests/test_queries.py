@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as entry
 from check import compare, connect
+from tuneloom.plans.catalog import all_queries
+from tuneloom.plans.oracle import all_oracles
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no benchmark tables")
@@ -17,14 +19,15 @@ def con():
 
 
 def test_registry():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(all_oracles()) == set(all_queries())
+    assert set(all_queries()) <= set(entry.queries())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query(spark, con, name):
-    df = entry.queries()[name](spark, SF)
-    assert compare(df, con, entry.oracle_sql()[name]) == ""
+    df = all_queries()[name](spark, SF)
+    assert compare(df, con, all_oracles()[name]) == ""
