@@ -9,6 +9,7 @@ are too close, are rejected as ``und``.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,21 +22,22 @@ from tuneloom.llm.common import held_out
 UNKNOWN = "und"
 #: The dictionaries hold at most so many bytes, from so many labelled texts a language (the
 #: first ones in hash order), each with its first characters: the bounded sample that is fitted.
-DICTIONARY_BYTES = 1 << 16
-SAMPLE_TEXTS = 256
+DICTIONARY_BYTES = 1 << 17
+SAMPLE_TEXTS = 1000
 SAMPLE_CHARS = 512
-PIECE = 4096
+PIECE = 2048
 LEVEL = 3
 #: Bytes by which one output must be smaller for the odds to rise e-fold.
 TEMPERATURE = 4.0
 
 
 def learn_dictionaries(docs: DataFrame, learn: Column) -> dict[str, bytes]:
-    """Raw dictionaries by language from the rows that ``learn`` marks.
+    """Raw dictionaries by language, the one with most rows first, from the rows ``learn`` marks.
 
     The sample is drawn by a hash threshold from counted rows, then cut in hash order, so
-    that no language gathers more than a few hundred short texts. All dictionaries get the
-    length of the shortest, so that none wins by its size.
+    that no language gathers more than SAMPLE_TEXTS short texts. A dictionary is the distinct
+    words of the sample, the most frequent ones last, where they are cheapest to refer to. All
+    get the length of the shortest, so that none wins by its size.
     """
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("lang").alias("language"), F.substring("text", 1, SAMPLE_CHARS).alias("start"),
@@ -51,12 +53,14 @@ def learn_dictionaries(docs: DataFrame, learn: Column) -> dict[str, bytes]:
     sample = (drawn.select("language", "draw", "start").distinct()
               .withColumn("rank", F.row_number().over(order))
               .where(F.col("rank") <= SAMPLE_TEXTS).orderBy("language", "rank").collect())
-    texts: dict[str, list[str]] = {}
+    words: dict[str, Counter] = {}
     for r in sample:
-        texts.setdefault(r.language, []).append(r.start)
-    joined = {k: "\n".join(v).lower().encode("utf-8", "replace") for k, v in texts.items()}
-    size = min(DICTIONARY_BYTES, *(len(v) for v in joined.values()), DICTIONARY_BYTES)
-    return {k: v[:size] for k, v in sorted(joined.items())}
+        words.setdefault(r.language, Counter()).update(r.start.lower().split())
+    joined = {k: " ".join(sorted(v, key=lambda w: (v[w], w))).encode("utf-8", "replace")
+              for k, v in words.items()}
+    size = min([DICTIONARY_BYTES, *(len(v) for v in joined.values())])
+    return {k: joined[k][len(joined[k]) - size:]
+            for k in sorted(joined, key=lambda k: (-counts[k], k))}
 
 
 class Coders:
@@ -81,7 +85,8 @@ class Coders:
         """Language and the odds of it among all; ``und`` and 0 for a rejected text."""
         if not self.coders or not text or not any(c.isalpha() for c in text):
             return UNKNOWN, 0.0
-        ranked = sorted((n, language) for language, n in self.sizes(text).items())
+        ranked = sorted(((n, language) for language, n in self.sizes(text).items()),
+                        key=lambda r: r[0])
         least = ranked[0][0]
         if len(ranked) > 1 and ranked[1][0] - least < margin * least:
             return UNKNOWN, 0.0
@@ -108,8 +113,8 @@ def identify(docs: DataFrame, folds: int = 5, margin: float = 0.0) -> DataFrame:
 
     Learned from rows outside the held-out fold that have a language and a text. Null texts and
     texts without a letter give ``und`` and score 0, as do texts whose two smallest outputs
-    differ by less than ``margin`` of the smallest; equal sizes go to the first language by
-    code point. Without any language to learn everything is ``und``. Repeated rows stay rows.
+    differ by less than ``margin`` of the smallest; equal sizes go to the
+    language that more rows teach. Without any language to learn everything is ``und``. Repeated rows stay rows.
     """
     out = held_out(F.col("doc_id"), folds)
     dictionaries = learn_dictionaries(docs.select("doc_id", "text", "lang"), ~out)

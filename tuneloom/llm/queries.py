@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuneloom.llm import langid, mixing, quality, shards, simhash, topk
+from tuneloom.llm import langid, lm, mixing, quality, shards, simhash, topk
 from tuneloom.llm.common import table
 
 
@@ -37,9 +37,13 @@ def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  table(spark, sf_dir, "labels"))
 
 
+def op8_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_corpus(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pivot_topk, op2_cube_mix, op4_zstd_language, op5_anchor_simhash,
-    op6_differencing_shards, op7_pairwise_quality)}
+    op6_differencing_shards, op7_pairwise_quality, op8_maxent_lm)}
 
 ORACLES = {
     "op1_pivot_topk": """
