@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tuneloom.llm import langid, mixing, shards, simhash
+from tuneloom.llm import decontam, langid, mixing, shards, simhash
 from tuneloom.llm.common import table
 from tuneloom.session import stage_table
 
@@ -19,6 +19,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_representatives(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents as often as their source's weight takes them."""
     return mixing.mixed_documents(docs)
@@ -30,7 +35,8 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates),
-          ("mixing", mixing_weights), ("sharding", sharding)]
+          ("decontamination", decontamination), ("mixing", mixing_weights),
+          ("sharding", sharding)]
 
 #: Compression and sampling are not expressible in SQL.
 ORACLE_SQL = None

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuneloom.llm import langid, lm, mixing, quality, shards, simhash, topk
+from tuneloom.llm import (
+    decontam, langid, lm, mixing, quality, quotes, shards, simhash, topk, warc,
+)
 from tuneloom.llm.common import table
 
 
@@ -18,6 +20,10 @@ def op2_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "copies", "part")
 
 
+def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -41,9 +47,19 @@ def op8_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_corpus(table(spark, sf_dir, "documents"))
 
 
+def op9_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"),
+                               table(spark, sf_dir, "benchmark")).drop("key")
+
+
+def op10_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_pivot_topk, op2_cube_mix, op4_zstd_language, op5_anchor_simhash,
-    op6_differencing_shards, op7_pairwise_quality, op8_maxent_lm)}
+    op1_pivot_topk, op2_cube_mix, op3_warc_transactions, op4_zstd_language, op5_anchor_simhash,
+    op6_differencing_shards, op7_pairwise_quality, op8_maxent_lm, op9_template_leaks,
+    op10_quote_links)}
 
 ORACLES = {
     "op1_pivot_topk": """
@@ -60,4 +76,74 @@ ORACLES = {
             SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
             FROM scored)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
+    "op3_warc_transactions": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+        first AS (SELECT hex, min(page_id) AS page_id FROM p GROUP BY hex)
+        SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes,
+               array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((CAST('0x' || substr(p.hex, 5 * (i // 4) + 1, 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31), 1)
+                   FOR i IN range(32)], '') AS payload_digest,
+               CASE WHEN p.page_id = first.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN p.page_id <> first.page_id THEN first.page_id END AS refers_to
+        FROM p JOIN first USING (hex)""",
+    "op10_quote_links": r"""
+        WITH m AS (
+            SELECT row_number() OVER () AS id, conv_id, turn, role,
+                   string_split(translate(coalesce(text, ''), chr(13), ''), chr(10)) AS lines
+            FROM conversations),
+        l AS (
+            SELECT id, conv_id, turn, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM m),
+        d AS (
+            SELECT *, len(regexp_replace(regexp_extract(line, '^([ \t]*>)+'), '[^>]', '', 'g')) AS depth,
+                   regexp_replace(line, '^([ \t]*>)+[ \t]?', '') AS body FROM l),
+        e AS (
+            SELECT * FROM (SELECT *, lead(depth) OVER (PARTITION BY id ORDER BY i) AS next FROM d)
+            WHERE NOT (depth = 0 AND regexp_matches(body, 'wrote:\s*$') AND coalesce(next, 0) > 0)),
+        f AS (
+            SELECT *, sum(new) OVER (PARTITION BY id ORDER BY i) AS run FROM (
+                SELECT *, CASE WHEN depth IS DISTINCT FROM lag(depth) OVER (PARTITION BY id ORDER BY i)
+                               THEN 1 ELSE 0 END AS new FROM e)),
+        parts AS (
+            SELECT id, conv_id, turn, depth, run, string_agg(body, chr(10) ORDER BY i) AS text
+            FROM f GROUP BY ALL),
+        own AS (
+            SELECT id, conv_id, turn, trim(string_agg(text, chr(10) ORDER BY run), chr(32) || chr(9) || chr(10)) AS text
+            FROM parts WHERE depth = 0 GROUP BY ALL),
+        texts AS (
+            SELECT id, conv_id, turn, depth, run, unnest(list_append(string_split(text, chr(10)), text)) AS piece,
+                   trim(regexp_replace(lower(text), '[ \t\r\n\x0B\f]+', ' ', 'g')) AS passage FROM parts
+            UNION ALL
+            SELECT id, conv_id, turn, 0, -1, unnest(list_append(string_split(text, chr(10)), text)), '' FROM own),
+        pieces AS (
+            SELECT DISTINCT id, conv_id, turn, depth, passage,
+                   trim(regexp_replace(lower(piece), '[ \t\r\n\x0B\f]+', ' ', 'g')) AS piece FROM texts),
+        q AS (SELECT DISTINCT conv_id, turn, depth, passage, piece FROM pieces WHERE depth > 0 AND piece <> ''),
+        o AS (SELECT DISTINCT conv_id, turn, piece FROM pieces WHERE depth = 0 AND piece <> ''),
+        votes AS (
+            SELECT conv_id, turn, depth, passage, source, count(*) AS votes FROM (
+                SELECT q.conv_id, q.turn, q.depth, q.passage, q.piece, max(o.turn) AS source
+                FROM q JOIN o ON q.conv_id = o.conv_id AND q.piece = o.piece AND o.turn < q.turn GROUP BY ALL)
+            GROUP BY ALL),
+        linked AS (
+            SELECT * FROM (SELECT *, row_number() OVER (
+                PARTITION BY conv_id, turn, depth, passage ORDER BY votes DESC, source DESC) AS k FROM votes)
+            WHERE k = 1),
+        replies AS (
+            SELECT conv_id, turn, count(*) AS linked,
+                   first(source ORDER BY depth, votes DESC, source DESC) AS quoted FROM linked GROUP BY ALL),
+        turns AS (
+            SELECT conv_id, turn, CAST(coalesce(sum(n) OVER w, 0) AS BIGINT) AS position, max(turn) OVER w AS previous
+            FROM (SELECT conv_id, turn, count(*) AS n FROM conversations
+                  WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL)
+            WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        quoted AS (
+            SELECT id, count(DISTINCT (depth, passage)) AS n FROM pieces
+            WHERE depth > 0 AND passage <> '' GROUP BY id)
+        SELECT m.conv_id, m.turn, m.role, coalesce(own.text, '') AS own_text, turns.position,
+               coalesce(replies.quoted, turns.previous) AS reply_to,
+               CAST(coalesce(quoted.n, 0) AS BIGINT) AS quotes, CAST(coalesce(replies.linked, 0) AS BIGINT) AS linked
+        FROM m LEFT JOIN own ON m.id = own.id LEFT JOIN quoted ON m.id = quoted.id
+        LEFT JOIN turns ON m.conv_id = turns.conv_id AND m.turn = turns.turn
+        LEFT JOIN replies ON m.conv_id = replies.conv_id AND m.turn = replies.turn""",
 }
