@@ -1,0 +1,28 @@
+"""Every registered corpus query with a SQL text against it on the smallest tables."""
+
+import os
+
+import pytest
+
+import __spark_entry__ as entry
+from check import compare, connect
+from tuneloom.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no benchmark tables")
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect(SF)
+
+
+def test_registry():
+    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
+    assert set(ORACLES) <= set(entry.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_against_sql(spark, con, name):
+    assert compare(QUERIES[name](spark, SF), con, ORACLES[name]) == ""

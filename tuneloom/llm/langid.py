@@ -22,11 +22,13 @@ from tuneloom.llm.common import held_out
 UNKNOWN = "und"
 #: The dictionaries hold at most so many bytes, from so many labelled texts a language (the
 #: first ones in hash order), each with its first characters: the bounded sample that is fitted.
-DICTIONARY_BYTES = 1 << 17
-SAMPLE_TEXTS = 1000
-SAMPLE_CHARS = 512
+DICTIONARY_BYTES = 1 << 16
+SAMPLE_TEXTS = 500
+SAMPLE_CHARS = 4000
 PIECE = 2048
-LEVEL = 3
+#: Match search that does not change with the size of what is compressed, as levels do.
+SEARCH = {"strategy": zstandard.STRATEGY_GREEDY, "window_log": 18, "hash_log": 17,
+          "chain_log": 17, "search_log": 3, "min_match": 4}
 #: Bytes by which one output must be smaller for the odds to rise e-fold.
 TEMPERATURE = 4.0
 
@@ -35,7 +37,7 @@ def learn_dictionaries(docs: DataFrame, learn: Column) -> dict[str, bytes]:
     """Raw dictionaries by language, the one with most rows first, from the rows ``learn`` marks.
 
     The sample is drawn by a hash threshold from counted rows, then cut in hash order, so
-    that no language gathers more than SAMPLE_TEXTS short texts. A dictionary is the distinct
+    that no language gathers more than SAMPLE_TEXTS text starts. A dictionary is the distinct
     words of the sample, the most frequent ones last, where they are cheapest to refer to. All
     get the length of the shortest, so that none wins by its size.
     """
@@ -68,12 +70,14 @@ class Coders:
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.coders = {}
+        search = zstandard.ZstdCompressionParameters(
+            write_content_size=False, write_dict_id=False, **SEARCH)
         for language, content in dictionaries.items():
             shared = zstandard.ZstdCompressionDict(
                 content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            shared.precompute_compress(level=LEVEL)
+            shared.precompute_compress(compression_params=search)
             self.coders[language] = zstandard.ZstdCompressor(
-                dict_data=shared, write_content_size=False, write_dict_id=False)
+                dict_data=shared, compression_params=search)
 
     def sizes(self, text: str) -> dict[str, int]:
         raw = text.lower().encode("utf-8", "replace")

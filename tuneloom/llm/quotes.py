@@ -45,13 +45,17 @@ def passages(text: Column) -> Column:
     clean = F.translate(F.coalesce(text, F.lit("")), f"{_PASSAGE}{_DEPTH}{_LINE}\r", "")
     lines = F.transform(F.split(clean, "\n"), lambda x: F.struct(
         _depth(x).alias("depth"), _body(x).alias("body")))
-    lines = F.filter(lines, lambda x, i: ~(
-        (x["depth"] == 0) & x["body"].rlike(r"wrote:\s*$")
-        & (F.coalesce(F.get(lines, i + 1)["depth"], F.lit(0)) > 0)))
-    marked = F.transform(lines, lambda x, i: F.concat(
-        F.when((i > 0) & (F.get(lines, i - 1)["depth"] == x["depth"]), F.lit(_LINE))
-        .otherwise(F.concat(F.lit(_PASSAGE), x["depth"].cast("string"), F.lit(_DEPTH))),
-        x["body"]))
+    # neighbours come from a shifted copy: looking them up by place would cut all lines again
+    after = F.slice(F.transform(lines, lambda x: x["depth"]), 2, 1 << 30)
+    lines = F.filter(F.zip_with(lines, after, lambda x, n: F.struct(
+        x["depth"].alias("depth"), x["body"].alias("body"),
+        ((x["depth"] == 0) & (F.coalesce(n, F.lit(0)) > 0) & x["body"].rlike(r"wrote:\s*$"))
+        .alias("leads"))), lambda x: ~x["leads"])
+    before = F.concat(F.array(F.lit(-1)), F.transform(lines, lambda x: x["depth"]))
+    marked = F.zip_with(lines, before, lambda x, b: F.concat(
+        F.when(x["depth"] == b, F.lit(_LINE)).otherwise(
+            F.concat(F.lit(_PASSAGE), x["depth"].cast("string"), F.lit(_DEPTH))), x["body"]))
+    marked = F.filter(marked, lambda x: x.isNotNull())
     parts = F.slice(F.split(F.array_join(marked, ""), _PASSAGE), 2, 1 << 30)
     return F.transform(parts, lambda p: F.struct(
         F.substring_index(p, _DEPTH, 1).cast("int").alias("depth"),
