@@ -8,19 +8,20 @@ from hypothesis import strategies as st
 from tuneloom.operators import packing as P
 
 
-def one_pass(lens, max_len):
-    """Blocks as lists of rows, in the order a simple loop closes them."""
-    blocks, current, fill = [], [], 0
-    for row, n in enumerate(lens):
-        if n >= max_len:
-            blocks.append([row])
-            continue
-        if fill + n > max_len:
-            blocks.append(current)
-            current, fill = [], 0
-        current.append(row)
-        fill += n
-    return blocks + [current] if current else blocks
+def check_layout(blocks, lens, max_len):
+    """What next-fit in row order means, told by the blocks alone."""
+    assert sorted(r for b in blocks for r in b) == list(range(len(lens)))
+    fills = [sum(lens[r] for r in b) for b in blocks]
+    assert all(b == sorted(b) for b in blocks)
+    assert all(fill <= max_len or len(b) == 1 for b, fill in zip(blocks, fills))
+    # rows of full length stand alone; the others fill block after block, in order
+    mixed = [(b, fill) for b, fill in zip(blocks, fills) if lens[b[0]] < max_len]
+    assert [r for b, _ in mixed for r in b] == [r for r, n in enumerate(lens) if n < max_len]
+    assert all(fill + lens[after[0]] > max_len for (_, fill), (after, _) in zip(mixed, mixed[1:]))
+    # a block is numbered when it closes: a full row at once, others by the row that did not fit
+    closes = [b[0] if lens[b[0]] >= max_len else next(
+        (c[0] for c, _ in mixed if c[0] > b[0]), len(lens)) for b in blocks]
+    assert closes == sorted(closes)
 
 
 lengths_and_size = st.integers(2, 40).flatmap(lambda m: st.tuples(
@@ -29,26 +30,20 @@ lengths_and_size = st.integers(2, 40).flatmap(lambda m: st.tuples(
 
 @settings(max_examples=400, deadline=None)
 @given(lengths_and_size)
-def test_shard_functions_compose_to_the_loop(case):
+def test_shard_functions_compose(case):
     max_len, lens, shard = case
     parts = [np.array(lens[i:i + shard]) for i in range(0, len(lens), shard)]
     fns = [P._shard_function(p, max_len) for p in parts]
-    # each function equals its own loop, for every entry fill
-    for fn, part in zip(fns, parts):
-        for entry in range(max_len + 1):
-            fill, breaks = entry, 0
-            for n in part:
-                if n < max_len:
-                    if fill + n > max_len:
-                        fill, breaks = 0, breaks + 1
-                    fill += n
-            assert P._apply(fn, entry) == (fill, breaks)
     whole = fns[0]
     for g in fns[1:]:
         whole = P._compose(whole, g, max_len)
     direct = P._shard_function(np.array(lens), max_len)
     for entry in range(max_len + 1):
-        assert P._apply(whole, entry) == P._apply(direct, entry)
+        fill, breaks = P._apply(whole, entry)
+        assert (fill, breaks) == P._apply(direct, entry)
+        assert 0 <= fill <= max_len and breaks <= sum(n < max_len for n in lens)
+        if breaks == 0:  # nothing was closed, so all short rows are in the open block
+            assert fill == entry + sum(n for n in lens if n < max_len)
     assert whole["n_full"] == direct["n_full"] == sum(n >= max_len for n in lens)
     assert len(whole["lo"]) <= max_len + 1
 
@@ -77,24 +72,23 @@ def test_emission_order_and_positions(spark):
 
 
 @pytest.mark.parametrize("shard_rows, partitions", [(2, 1), (8, 3), (16, 8), (1 << 18, 4)])
-def test_equal_to_the_loop_for_any_partitioning(spark, shard_rows, partitions):
+def test_next_fit_for_any_partitioning(spark, shard_rows, partitions):
     rng = random.Random(5)
     lens = [rng.choice([1, 2, 7, 7, 7, 19, 31, 32]) for _ in range(700)]
     df = rows(spark, lens, first=-40, step=3).repartition(partitions)
-    assert layout(packed(df, 32, shard_rows=shard_rows)) == one_pass(lens, 32)
+    check_layout(layout(packed(df, 32, shard_rows=shard_rows)), lens, 32)
 
 
 def test_many_shard_groups(spark):
     lens = [random.Random(i).randint(1, 9) for i in range(1500)]
-    got = layout(packed(rows(spark, lens), 16, shard_rows=1))
-    assert got == one_pass(lens, 16)
+    check_layout(layout(packed(rows(spark, lens), 16, shard_rows=1)), lens, 16)
 
 
-@pytest.mark.parametrize("lens", [[10], [10, 10, 10], [1], [0, 0], [0, 4, 0, 10, 7], []])
-def test_small_inputs(spark, lens):
-    got = layout(packed(rows(spark, lens), 10))
-    want = [[r for r in b if lens[r]] for b in one_pass(lens, 10)]
-    assert got == [b for b in want if b]
+@pytest.mark.parametrize("lens, blocks", [
+    ([10], [[0]]), ([10, 10, 10], [[0], [1], [2]]), ([1], [[0]]), ([0, 0], []), ([], []),
+    ([0, 4, 0, 10, 7], [[3], [1], [4]]), ([5, 5, 1], [[0, 1], [2]]), ([6, 5, 4], [[0], [1, 2]])])
+def test_small_inputs(spark, lens, blocks):
+    assert layout(packed(rows(spark, lens), 10)) == blocks
 
 
 def test_boundary_masking_is_optional(spark):

@@ -39,9 +39,20 @@ def test_values(spark):
     assert parsed(spark, PLAIN, '{"max_tokens":12.9}')["max_tokens"] == 12
 
 
-def test_broken_json_raises(spark):
-    with pytest.raises(Exception, match="MALFORMED_RECORD|Malformed"):
-        Q.parse_requests(asked(spark, (PLAIN, "{"))).collect()
+@pytest.mark.parametrize("body", ["{", "[1]x", '{"max_tokens":"x"}', '{"temperature":"hot"}',
+                                  '{"messages":"no list"}'])
+def test_a_bad_body_fails_alone(spark, body):
+    df = Q.parse_requests(asked(spark, (PLAIN, body), (PLAIN, "{}"), ("/v1/models", body)))
+    assert [r["request_id"] for r in Q.accepted(df).collect()] == ["r1"]
+    assert {(r["request_id"], r["reason"], r["status"]) for r in Q.rejected(df).collect()} == {
+        ("r0", "bad request", 400), ("r2", "unknown route", 404)}
+
+
+@pytest.mark.parametrize("value, stream", [("1", True), ("0", False), ('"x"', True), ("null", False),
+                                           ('""', False), ("true", True), ("false", False)])
+def test_truthy_stream(spark, value, stream):
+    r = parsed(spark, PLAIN, f'{{"stream":{value}}}')
+    assert (r["reason"], r["stream"]) == (None, stream)
 
 
 def test_unknown_routes_are_split_off(spark):

@@ -94,7 +94,8 @@ def test_manifests_one_document_per_file(spark, tmp_path):
                       ("r2", {"base_model": "c", "quant": "4bit", "created": "2024-01-02T03:04:05"})):
         (tmp_path / name).mkdir()
         (tmp_path / name / "run.json").write_text(json.dumps(doc, indent=2))
-    found = M.read_run_manifests(spark, str(tmp_path))
+        (tmp_path / name / "adapter_config.json").write_text('{"rank": 8}')
+    found = M.read_run_manifests(spark, str(tmp_path), name="run.json")
     found = found.withColumn("model", F.regexp_extract("run_dir", "([^/]*)$", 1))
     points = M.loss_points(found, "model").orderBy("kind", "iter").collect()
     assert [tuple(r) for r in points] == [("r1", "train", 1, 2.0), ("r1", "train", 2, 1.5),

@@ -130,6 +130,7 @@ def test_other_text(spark):
     assert one(spark, X.first_present("a", "b"), a="", b="x") == "x"
     assert one(spark, X.preview("t"), t="é" * 100) == "é" * 80
     assert one(spark, X.word_count("t"), t=" a  b\nc ") == 3
+    assert one(spark, X.word_count("t"), t="a\u00a0b\u2003c\u3000") == 3
     assert one(spark, X.base_name("t"), t="hub/x-7b//") == "x-7b"
     assert one(spark, X.last_segment("t"), t="hub/x-7b") == "x-7b"
     assert one(spark, X.iso_seconds(F.expr("timestamp'2024-01-02 03:04:05.9'"))) == \

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tuneloom.constants import (CHAT_ROUTE, COMPLETION_ROUTE, DEFAULT_MAX_TOKENS,
                                 DEFAULT_TEMPERATURE)
@@ -15,24 +16,33 @@ from tuneloom.schemas import MESSAGES, REQUEST_BODY
 def parse_requests(df: DataFrame, chat_style: str = "instruct") -> DataFrame:
     """``(request_id, route, body)`` to typed requests with defaults.
 
-    ``reason`` is set on rows that cannot be answered: an unknown route. Broken
-    JSON raises. Split the result with ``accepted`` and ``rejected``.
+    ``reason`` is set on rows that cannot be answered: an unknown route, or a bad
+    request, whose body is no JSON object of these fields or whose numbers are none.
+    Any other request goes on. ``stream`` is true for every value but null, false, 0
+    and empty ones. Split the result with ``accepted`` and ``rejected``.
     """
-    body = F.from_json(first_present(F.col("body")), REQUEST_BODY, {"mode": "FAILFAST"})
+    shape = StructType([*REQUEST_BODY.fields, StructField("_broken", StringType())])
+    body = F.from_json(first_present(F.col("body")), shape,
+                       {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    tokens = F.col("_b.max_tokens").try_cast("double").try_cast("int")
+    temperature = F.col("_b.temperature").try_cast("double")
+    bad = (F.col("_b._broken").isNotNull()
+           | (F.col("_b.max_tokens").isNotNull() & tokens.isNull())
+           | (F.col("_b.temperature").isNotNull() & temperature.isNull()))
+    falsy = F.lower(F.col("_b.stream")).isin("", "false", "0", "0.0", "[]", "{}")
     messages = F.coalesce(F.col("_b.messages"), F.array().cast(MESSAGES))
     render = {"plain": chat_lines, "instruct": instruct_prompt}[chat_style]
     is_chat = F.col("route") == CHAT_ROUTE
     known = is_chat | (F.col("route") == COMPLETION_ROUTE)
     return (df.withColumn("_b", body)
             .withColumn("kind", F.when(is_chat, "chat").otherwise("completion"))
-            .withColumn("reason", F.when(~F.coalesce(known, F.lit(False)), "unknown route"))
+            .withColumn("reason", F.when(~F.coalesce(known, F.lit(False)), "unknown route")
+                        .when(F.coalesce(bad, F.lit(False)), "bad request"))
             .withColumn("prompt", F.when(is_chat, render(messages))
                         .otherwise(F.coalesce("_b.prompt", F.lit(""))))
-            .withColumn("max_tokens", F.coalesce(
-                F.col("_b.max_tokens").cast("double").cast("int"), F.lit(DEFAULT_MAX_TOKENS)))
-            .withColumn("temperature", F.coalesce(
-                F.col("_b.temperature").cast("double"), F.lit(DEFAULT_TEMPERATURE)))
-            .withColumn("stream", F.coalesce("_b.stream", F.lit(False)))
+            .withColumn("max_tokens", F.coalesce(tokens, F.lit(DEFAULT_MAX_TOKENS)))
+            .withColumn("temperature", F.coalesce(temperature, F.lit(DEFAULT_TEMPERATURE)))
+            .withColumn("stream", F.coalesce(~falsy, F.lit(False)))
             .drop("_b", "body"))
 
 
@@ -43,7 +53,8 @@ def accepted(requests: DataFrame) -> DataFrame:
 def rejected(requests: DataFrame) -> DataFrame:
     """Requests without an answer, with the HTTP status they would get."""
     return requests.where(F.col("reason").isNotNull()).select(
-        "request_id", "route", "reason", F.lit(404).alias("status"))
+        "request_id", "route", "reason",
+        F.when(F.col("reason") == "bad request", 400).otherwise(404).alias("status"))
 
 
 def response_envelope(df: DataFrame, model: str, created: int | None = None) -> DataFrame:

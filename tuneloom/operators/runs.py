@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuneloom.constants import HEALTHY_GAP, WATCH_GAP
-from tuneloom.operators.ranks import SHARD_ROWS, prefix_aggregates
+from tuneloom.operators.ranks import SHARD_ROWS, prefix_aggregates, with_shard
 
 
 def training_plan(df: DataFrame, batch_size: int, epochs: int, accum: int = 1,
@@ -78,8 +78,8 @@ def running_training_metrics(metrics: DataFrame, accum: int = 4, every: int = 5,
                .rowsBetween(Window.unboundedPreceding, -1))
     epochs = epochs.withColumn("_before", F.coalesce(F.sum("_steps").over(earlier), F.lit(0)))
     seconds = seconds_between(F.col("ts"), F.col("_t0"))
-    return (running.where(F.col("i") % accum == 0)
-            .join(epochs, ["run_id", "epoch"])
+    steps = with_shard(running.where(F.col("i") % accum == 0), "iter", shard_rows)
+    return (_to_shards(steps.drop("_block"), ["run_id", "epoch"], epochs)
             .withColumn("step", (F.col("_before") + F.floor(F.col("i") / accum)).cast("bigint"))
             .where(F.col("step") % every == 0)
             .select("run_id", "epoch", "step", "iter",
@@ -87,26 +87,25 @@ def running_training_metrics(metrics: DataFrame, accum: int = 4, every: int = 5,
                     _rate(F.col("seen_tokens"), seconds).alias("tokens_per_s")))
 
 
-def _usable_val(metrics: DataFrame) -> DataFrame:
-    """Validation rows that can win; NaN never does."""
-    return metrics.where((F.col("kind") == "val") & F.col("loss").isNotNull()
-                         & ~F.isnan("loss"))
+def usable_loss() -> Column:
+    """Whether a validation loss can win: a number below infinity."""
+    loss = F.col("loss")
+    return F.coalesce(~F.isnan(loss) & (loss < F.lit(float("inf"))), F.lit(False))
 
 
 def new_best_flag(metrics: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Flag validation rows that beat every earlier one of their run."""
     val = metrics.where(F.col("kind") == "val")
-    usable = F.when(~F.isnan("loss"), F.col("loss"))
+    usable = F.when(usable_loss(), F.col("loss"))
     flagged = prefix_aggregates(val, ["run_id"], "iter", {"best_before": ("min", usable)},
                                 inclusive=False, shard_rows=shard_rows)
-    beats = ~F.isnan("loss") & (F.col("best_before").isNull()
-                                | (F.col("loss") < F.col("best_before")))
-    return flagged.withColumn("is_best", F.coalesce(beats, F.lit(False)))
+    beats = F.col("best_before").isNull() | (F.col("loss") < F.col("best_before"))
+    return flagged.withColumn("is_best", usable_loss() & beats)
 
 
 def best_checkpoint(metrics: DataFrame) -> DataFrame:
     """Lowest validation loss per run, the earliest on ties; no usable one gives iter -1."""
-    candidate = F.when((F.col("kind") == "val") & ~F.isnan("loss"), F.struct("loss", "iter"))
+    candidate = F.when((F.col("kind") == "val") & usable_loss(), F.struct("loss", "iter"))
     return (metrics.groupBy("run_id").agg(
         F.min(candidate).alias("_best"), F.count_if(F.col("kind") == "val").alias("n_val_rows"))
         .select("run_id", "n_val_rows",
@@ -114,17 +113,27 @@ def best_checkpoint(metrics: DataFrame) -> DataFrame:
                 F.coalesce(F.col("_best.iter"), F.lit(-1)).cast("bigint").alias("best_iter")))
 
 
-def overfit_verdict(metrics: DataFrame) -> DataFrame:
+def _to_shards(rows: DataFrame, keys: list[str], found: DataFrame) -> DataFrame:
+    """Join ``found``, a row per key, to rows that are spread by key and shard.
+
+    It goes to the distinct shards first, so a long run is met by its shards, not as one key.
+    """
+    spread = [*keys, "_shard"]
+    return rows.join(rows.select(*spread).distinct().join(found, keys), spread)
+
+
+def overfit_verdict(metrics: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Gap between the best validation loss and the train loss nearest to it.
 
-    Runs without validation rows get no verdict. The nearest row is an
-    aggregation, so a long run is reduced map-side.
+    Runs without validation rows get no verdict. The nearest row is found per shard of a run,
+    then among its shards.
     """
     best = best_checkpoint(metrics).where(F.col("n_val_rows") > 0)
-    logged = _train(metrics).select("run_id", "iter", "loss")
-    nearest = F.struct(F.abs(F.col("iter") - F.col("best_iter")), F.col("iter"))
-    at_best = (logged.join(best.select("run_id", "best_iter"), "run_id").groupBy("run_id")
-               .agg(F.min_by("loss", nearest).alias("train_loss")))
+    logged = with_shard(_train(metrics).select("run_id", "iter", "loss"), "iter", shard_rows)
+    logged = _to_shards(logged.drop("_block"), ["run_id"], best.select("run_id", "best_iter"))
+    near = F.struct(F.abs(F.col("iter") - F.col("best_iter")).alias("far"), "iter", "loss")
+    at_best = (logged.groupBy("run_id", "_shard").agg(F.min(near).alias("_near"))
+               .groupBy("run_id").agg(F.min("_near")["loss"].alias("train_loss")))
     gap = F.col("gap")
     return (best.join(at_best, "run_id", "left")
             .withColumn("train_loss", F.coalesce("train_loss", F.lit(float("nan"))))

@@ -8,73 +8,56 @@ from pyspark.sql import functions as F
 from tuneloom.functions.text import norm_label, preview
 from tuneloom.operators.ranks import SHARD_ROWS, prefix_aggregates
 
-# Up to this many labels travel inside the expression; more are joined.
-ARRAY_LABEL_LIMIT = 1000
+# Characters of the pieces that answers and labels are joined on.
+_GRAM = 3
 
 
-def _maximal(hits: Column) -> Column:
-    """The one hit that no other hit contains, or null.
+def _vocabulary(df: DataFrame) -> DataFrame:
+    return df.select("label", norm_label("label").alias("norm"))
 
-    Nesting is judged on the label names. Different labels with the same
-    normal form remove each other.
-    """
-    top = F.filter(hits, lambda a: ~F.exists(
-        hits, lambda b: (a["label"] != b["label"]) & F.contains(b["norm"], a["norm"])))
-    return F.when(F.size(top) == 1, F.get(top, F.lit(0))["label"])
 
+def _pieces(text: Column, size: int) -> Column:
+    """All runs of ``size`` characters."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)) \
+        .otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.substring(text, i, size))
 
-def _vocabulary(df: DataFrame) -> DataFrame:
-    return df.select("label", norm_label("label").alias("norm"))
+
+def _rarest_pieces(names: DataFrame) -> DataFrame:
+    """Each normal form with the piece of it that fewest others have; short ones as a whole."""
+    whole = F.length("norm") <= _GRAM
+    every = names.withColumn("piece", F.explode(F.array_distinct(F.when(
+        whole, F.array("norm")).otherwise(_pieces(F.col("norm"), _GRAM)))))
+    common = every.groupBy("piece").agg(F.count("*").alias("_uses"))
+    return (every.join(common, "piece").groupBy("norm", "label", "_same")
+            .agg(F.min(F.struct("_uses", "piece"))["piece"].alias("piece")))
 
 
 def match_labels(outputs: DataFrame, labels: DataFrame, text: str = "raw", key: str = "seq",
-                 out: str = "pred", array_limit: int = ARRAY_LABEL_LIMIT) -> DataFrame:
+                 out: str = "pred") -> DataFrame:
     """Add the single label that ``text`` names, or null.
 
-    A vocabulary of checked size becomes one array inside the expression, with
-    no join. A larger one is found by an equi-join of the answer's substrings,
-    of the lengths that labels have, with the label names. Both are exact.
-    ``key`` identifies a row of ``outputs``; ``labels`` has distinct ``label``.
+    A label is named when the answer holds its normal form and no other label that holds it in
+    turn; labels that share a normal form cancel each other, and still cover what they contain.
+    Every label is looked up by its rarest piece of three characters, so an answer meets few
+    labels it does not hold, however many there are, and gives about as many pieces as it has
+    characters. ``key`` identifies a row of ``outputs``; ``labels`` has distinct ``label``.
     """
-    vocabulary = _vocabulary(labels.where(F.col("label").isNotNull()))
-    few = vocabulary.limit(array_limit + 1).collect()
-    if len(few) <= array_limit:
-        known = F.array(*[F.struct(F.lit(r["label"]).alias("label"), F.lit(r["norm"])
-                                   .alias("norm")) for r in few])
-        if not few:
-            return outputs.withColumn(out, F.lit(None).cast("string"))
-        answer = outputs.withColumn("_norm", norm_label(text))
-        hits = F.filter(known, lambda x: F.contains(F.col("_norm"), x["norm"]))
-        return (answer.withColumn("_hits", hits).withColumn(out, _maximal(F.col("_hits")))
-                .drop("_norm", "_hits"))
-    return _match_by_substring(outputs, vocabulary, text, key, out)
-
-
-def _match_by_substring(outputs: DataFrame, vocabulary: DataFrame, text: str, key: str,
-                        out: str) -> DataFrame:
-    sizes = (vocabulary.select(F.length("norm").alias("size")).distinct()
-             .agg(F.array_sort(F.collect_list("size"))).scalar())
-    answer = outputs.select(key, norm_label(text).alias("_norm"))
-
-    def cuts(size: Column) -> Column:
-        starts = F.when(size == 0, F.array(F.lit(1))) \
-            .when(F.length("_norm") >= size,
-                  F.sequence(F.lit(1), F.length("_norm") - size + 1)) \
-            .otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.substring(F.col("_norm"), i, size))
-
-    # one label length at a time, so a long answer never holds all its substrings at once
-    sized = answer.withColumn("_size", F.explode(sizes))
-    pieces = sized.select(key, F.explode(F.array_distinct(cuts(F.col("_size")))).alias("norm"))
-    # a row's hits are distinct substrings of its own answer; labels that share a
-    # normal form are grouped: they cancel each other, and still cover what they contain
-    named = vocabulary.groupBy("norm").agg(F.min("label").alias("label"),
-                                           F.count("*").alias("_same"))
-    hits = (pieces.join(named, "norm").groupBy(key)
-            .agg(F.collect_list(F.struct("label", "norm", "_same")).alias("_hits")))
+    names = (_vocabulary(labels.where(F.col("label").isNotNull())).groupBy("norm")
+             .agg(F.min("label").alias("label"), F.count("*").alias("_same")))
+    # the generator keeps the normal form from being pushed into its uses and made again
+    answers = outputs.select(key, F.explode(F.array(norm_label(text))).alias("_norm")).where(
+        F.col("_norm").isNotNull())
+    pieces = F.array_distinct(F.concat(F.array(F.lit("")), *[
+        _pieces(F.col("_norm"), size) for size in range(1, _GRAM + 1)]))
+    met = (answers.select(key, F.explode(pieces).alias("piece"))
+           .join(_rarest_pieces(names), "piece").drop("piece"))
+    held = met.join(answers, key).where(F.contains("_norm", "norm"))
+    hits = held.groupBy(key).agg(F.collect_list(F.struct("label", "norm", "_same")).alias("_hits"))
     top = F.filter(F.col("_hits"), lambda a: (a["_same"] == 1) & ~F.exists(
         F.col("_hits"), lambda b: (a["norm"] != b["norm"]) & F.contains(b["norm"], a["norm"])))
-    found = hits.select(key, F.when(F.size(top) == 1, F.get(top, F.lit(0))["label"]).alias(out))
+    found = (hits.withColumn("_top", F.explode(F.array(top)))
+             .where(F.size("_top") == 1).select(key, F.get("_top", F.lit(0))["label"].alias(out)))
     return outputs.join(found, key, "left")
 
 

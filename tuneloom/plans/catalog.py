@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuneloom.constants import IGNORE_LABEL
+from tuneloom.functions.text import last_segment, word_count
 from tuneloom.functions.tokens import ByteTokenizer, PluginTokenizer, WordTokenizer
 from tuneloom.operators import (batching, chat, evalset, generate, lengths, models, normalize,
                                 packing, runs, scoring, splits)
@@ -151,6 +152,13 @@ def count_bytes(spark, sf):
     return lengths.count_tokens(inputs.training_records(spark, sf), ByteTokenizer())
 
 
+@query
+def word_counts(spark, sf):
+    return inputs.table(spark, sf, "documents").select(
+        "doc_id", word_count(F.regexp_replace("text", "e", "\u00a0")).cast("bigint")
+        .alias("n_words"))
+
+
 @query
 def plugin_token_counts(spark, sf):
     plugin = PluginTokenizer(lambda: str.split, eos_id=2)
@@ -380,10 +388,9 @@ def label_vocabulary(spark, sf):
 
 # --- scoring -------------------------------------------------------------------
 
-def _scored(spark, sf, **options):
+def _scored(spark, sf):
     answers = inputs.outputs(spark, sf)
-    return scoring.match_labels(answers, evalset.label_vocabulary(answers), key="row_id",
-                                **options)
+    return scoring.match_labels(answers, evalset.label_vocabulary(answers), key="row_id")
 
 
 @query
@@ -393,8 +400,13 @@ def match_labels(spark, sf):
 
 @query
 def match_labels_large_vocabulary(spark, sf):
-    """The join form, as used when the vocabulary is too large for an expression."""
-    return _scored(spark, sf, array_limit=0).select("run_id", "seq", "gold", "pred")
+    """The customers' nations among as many labels again that no answer names."""
+    answers = inputs.outputs(spark, sf)
+    more = inputs.table(spark, sf, "part").select(F.concat(F.lit("part "), "p_name", F.lit(" #"),
+                                                           "p_partkey").alias("label"))
+    labels = evalset.label_vocabulary(answers).unionByName(more.distinct())
+    return scoring.match_labels(answers, labels, key="row_id").select(
+        "run_id", "seq", "gold", "pred")
 
 
 @query
@@ -491,7 +503,7 @@ def running_training_metrics(spark, sf):
 @query
 def new_best_flag(spark, sf):
     return runs.new_best_flag(inputs.metrics(spark, sf)).select(
-        "run_id", "iter", F.round("loss", 6).alias("loss"), "is_best")
+        "run_id", "iter", F.when(runs.usable_loss(), F.round("loss", 6)).alias("loss"), "is_best")
 
 
 @query
@@ -556,9 +568,8 @@ def run_manifests(spark, sf):
         F.lit("4bit").alias("quant"), F.lit("single").alias("strategy"),
         F.lit("checkpoint").alias("format"), created)
     path = stage_path(spark, "manifests")
-    for variant in (adapters, full):
-        manifests.append_run_manifest(variant, path)
-    found = manifests.read_run_manifests(spark, path, multi_line=False)
+    manifests.append_run_manifest(manifests.union_manifests(adapters, full), path)
+    found = manifests.read_run_manifests(spark, path, multi_line=False, name="*.json")
     joined = manifests.manifests_for(
         size.select(name.alias("model")),
         found.withColumnRenamed("adapter_path", "model"))
@@ -577,6 +588,11 @@ def enrich_models(spark, sf):
     return models.enrich_models(inputs.model_names(spark, sf))
 
 
+@query
+def last_segments(spark, sf):
+    return inputs.model_names(spark, sf).select("p_partkey", last_segment("name").alias("tail"))
+
+
 @query
 def clamp_context(spark, sf):
     return models.clamp_context(inputs.context_wishes(spark, sf), inputs.model_configs(spark, sf))
@@ -631,6 +647,16 @@ def _landed(spark, df: DataFrame, name: str, files_per_trigger: int = 4) -> Data
             .parquet(path))
 
 
+def _landed_by_iter(spark, df: DataFrame, name: str, files_per_trigger: int = 2) -> DataFrame:
+    """A log as it lands: earlier iterations in earlier files, a run's rows of a write together."""
+    path = stage_path(spark, name)
+    cuts = [F.col("iter") <= 20, (F.col("iter") > 20) & (F.col("iter") <= 40), F.col("iter") > 40]
+    for cut in cuts:
+        df.where(cut).repartition("run_id").write.mode("append").parquet(path)
+    return (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_trigger)
+            .parquet(path))
+
+
 def _finish(stream_query) -> None:
     stream_query.awaitTermination()
 
@@ -647,8 +673,7 @@ def stream_best_checkpoint(spark, sf):
 @query
 def stream_new_best_events(spark, sf):
     out = stage_path(spark, "events")
-    # the files of one write carry no order, so they arrive in one micro-batch
-    stream = _landed(spark, inputs.metrics(spark, sf), "metrics", 1 << 20)
+    stream = _landed_by_iter(spark, inputs.metrics(spark, sf), "metrics")
     _finish(live.stream_new_best_events(stream, out, f"{out}-checkpoint", f"{out}-state"))
     return spark.read.schema("run_id bigint, iter bigint, val_loss double, late boolean") \
         .parquet(out).select("run_id", "iter", F.round("val_loss", 6).alias("val_loss"))

@@ -11,20 +11,10 @@ from pyspark.sql import functions as F
 from tuneloom.constants import CHAT_ROUTE, COMPLETION_ROUTE, TASKS, Task
 from tuneloom.operators.chat import chat_lines
 from tuneloom.operators.normalize import drop_unusable, normalize_records
-from tuneloom.operators.ranks import prefix_aggregates
+from tuneloom.operators.ranks import dense_seq, prefix_aggregates
 from tuneloom.operators.splits import train_val_split
 from tuneloom.session import stage_table
 
-# record ids of documents start here, above those of conversations
-DOCUMENT_IDS = 1_000_000_000
-# turns per chat record; a longer conversation goes on in the next record
-CHAT_TURNS = 16
-
-# tables with long texts, and the key that spreads them evenly
-_TEXT_TABLES = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
-# schema and task count of each table, looked up once per session
-_SCANS: dict[tuple[str, str], tuple] = {}
-
 QUALITY = Task(name="quality", source="documents", train_split="train", test_split="val",
                text_key="text", label_key="quality", labels=("low", "high"),
                template=TASKS["emotion"].template)
@@ -33,33 +23,21 @@ LANGUAGE = Task(name="language", source="documents", train_split="train", test_s
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A benchmark table. A scan with fewer tasks than the session has cores is spread by
-    its id, which only ever happens to small files; larger tables are read as they lie."""
-    path = f"{sf_dir}/{name}.parquet"
-    scan = (spark.sparkContext.applicationId, path)
-    if scan not in _SCANS:
-        df = spark.read.parquet(path)
-        _SCANS[scan] = (df.schema, df.rdd.getNumPartitions())
-    schema, tasks = _SCANS[scan]
-    df = spark.read.schema(schema).parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if name in _TEXT_TABLES and tasks < cores:
-        return df.repartition(cores, *_TEXT_TABLES[name])
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sft_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turn, the assistant turn right after it, and the system text, if any.
 
-    All join keys are unique per turn, so a long conversation is no hot group.
+    Pairs are numbered from 0 by conversation and turn, whatever these keys are.
     """
     conv = table(spark, sf_dir, "conversations")
     user = conv.where("role = 'user'").selectExpr("conv_id", "turn", "text AS q",
                                                   "turn + 1 AS next")
     answer = conv.where("role = 'assistant'").selectExpr("conv_id", "turn AS next", "text AS a")
     system = conv.where("role = 'system' AND turn = 0").selectExpr("conv_id", "text AS ctx")
-    return (user.join(answer, ["conv_id", "next"]).join(system, "conv_id", "left")
-            .selectExpr("conv_id * 100 + turn AS record_id", "q", "a", "ctx"))
+    pairs = user.join(answer, ["conv_id", "next"]).join(system, "conv_id", "left")
+    return dense_seq(pairs, ["conv_id", "turn"], "record_id").select("record_id", "q", "a", "ctx")
 
 
 def sft_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,29 +54,28 @@ def sft_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def training_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised conversations and all documents as plain text."""
+    """Normalised conversations and all documents as plain text; documents count below 0."""
+    number = -1 - F.col("doc_id")
     docs = table(spark, sf_dir, "documents").select(
-        (F.col("doc_id") + DOCUMENT_IDS).alias("record_id"),
-        (F.col("doc_id") + DOCUMENT_IDS).alias("seq"), "text")
+        number.alias("record_id"), number.alias("seq"), "text")
     pairs = normalize_records(sft_raw(spark, sf_dir))
     return drop_unusable(pairs.unionByName(normalize_records(docs)))
 
 
 def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as message arrays of at most ``CHAT_TURNS`` turns."""
-    turns = table(spark, sf_dir, "conversations").withColumn(
-        "part", F.floor(F.col("turn") / CHAT_TURNS))
+    """Whole conversations as message arrays."""
     message = F.struct("turn", "role", F.col("text").alias("content"))
-    return (turns.groupBy("conv_id", "part")
+    return (table(spark, sf_dir, "conversations").groupBy("conv_id")
             .agg(F.array_sort(F.collect_list(message)).alias("m"))
-            .select((F.col("conv_id") * 1000 + F.col("part")).alias("record_id"), "conv_id",
+            .select(F.col("conv_id").alias("record_id"), "conv_id",
                     F.transform("m", lambda x: F.struct(
                         x["role"].alias("role"), x["content"].alias("content")))
                     .alias("messages")))
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stored training log: a run per user, errors are validation rows."""
+    """Events as a stored training log: a run per user, errors are validation rows, some of
+    them with a loss that is missing, no number or infinite."""
     events = table(spark, sf_dir, "events")
     counted = prefix_aggregates(events, ["user_id"], "event_id",
                                 {"iter": ("sum", F.lit(1).cast("bigint"))})
@@ -106,7 +83,10 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage_table(counted.select(
         F.col("user_id").alias("run_id"), F.floor((F.col("iter") - 1) / 5).alias("epoch"),
         "iter", F.when(val, "val").otherwise("train").alias("kind"),
-        (F.col("value") * F.when(val, 0.5).otherwise(0.02)).alias("loss"),
+        F.when(val & (F.col("event_id") % 41 == 1), F.lit(None).cast("double"))
+        .when(val & (F.col("event_id") % 41 == 2), F.lit(float("nan")))
+        .when(val & (F.col("event_id") % 41 == 3), F.lit(float("inf")))
+        .otherwise(F.col("value") * F.when(val, 0.5).otherwise(0.02)).alias("loss"),
         F.get_json_object("props", "$.k").cast("bigint").alias("tokens"), "ts"), "metrics")
 
 
@@ -146,7 +126,8 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as request rows with defaults left out, empty bodies, unknown routes."""
+    """Conversations as request rows with defaults left out, empty and bad bodies, a truthy
+    flag that is no boolean, and unknown routes."""
     conv = F.col("conv_id")
     plain = conv % 5 == 0
     body = F.to_json(F.struct(
@@ -159,7 +140,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("r"), F.col("record_id").cast("string")).alias("request_id"),
         F.when(conv % 17 == 0, "/v1/embeddings").when(plain, COMPLETION_ROUTE)
         .otherwise(CHAT_ROUTE).alias("route"),
-        F.when(conv % 19 == 0, "").otherwise(body).alias("body"))
+        F.when(conv % 19 == 0, "").when(conv % 23 == 1, "{")
+        .when(conv % 23 == 2, '{"max_tokens": "x"}')
+        .when(conv % 23 == 3, '{"prompt": "p", "stream": 1}').otherwise(body).alias("body"))
 
 
 def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:

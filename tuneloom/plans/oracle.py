@@ -17,7 +17,7 @@ def _with(*ctes: str) -> str:
 
 PAIRS = """
 pairs AS (
-  SELECT u.conv_id * 100 + u.turn AS record_id, u.text AS q, a.text AS a, s.text AS ctx
+  SELECT row_number() OVER (ORDER BY u.conv_id, u.turn) - 1 AS record_id, u.text AS q, a.text AS a, s.text AS ctx
   FROM conversations u
   JOIN conversations a
     ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
@@ -55,7 +55,7 @@ TRAINING = NORM + """,
 training AS (
   SELECT * FROM norm
   UNION ALL
-  SELECT doc_id + 1000000000, 'text', NULL, NULL, text FROM documents WHERE text <> ''),
+  SELECT -1 - doc_id, 'text', NULL, NULL, text FROM documents WHERE text <> ''),
 shown AS (
   SELECT *, CASE WHEN kind = 'pair'
     THEN E'### Instruction:\\n' || prompt || E'\\n\\n### Response:\\n' END AS head,
@@ -104,9 +104,9 @@ def _hash(seed: int | str, key: str) -> str:
 
 CHAT = """
 chat AS (
-  SELECT conv_id * 1000 + turn // 16 AS record_id, conv_id,
+  SELECT conv_id AS record_id, conv_id,
     list(role ORDER BY turn) AS roles, list(text ORDER BY turn) AS texts
-  FROM conversations GROUP BY conv_id, turn // 16),
+  FROM conversations GROUP BY conv_id),
 lined AS (
   SELECT *, array_to_string(list_transform(range(1, len(roles) + 1),
     lambda i: roles[i] || ': ' || texts[i]), E'\\n') AS lines FROM chat),
@@ -120,19 +120,20 @@ asked AS (
   SELECT 'r' || record_id AS request_id, conv_id,
     CASE WHEN conv_id % 17 = 0 THEN '/v1/embeddings'
       WHEN conv_id % 5 = 0 THEN '/v1/completions' ELSE '/v1/chat/completions' END AS route,
-    conv_id % 19 = 0 AS blank, lines, instruct FROM styled),
+    conv_id % 19 = 0 OR conv_id % 23 = 3 AS blank, conv_id % 19 <> 0 AND conv_id % 23 = 3 AS flagged,
+    conv_id % 19 <> 0 AND conv_id % 23 IN (1, 2) AS bad, lines, instruct FROM styled),
 parsed AS (
-  SELECT request_id, route,
+  SELECT request_id, route, bad,
     CASE WHEN route = '/v1/chat/completions' THEN 'chat' ELSE 'completion' END AS kind,
     CASE WHEN route = '/v1/chat/completions'
       THEN CASE WHEN blank THEN E'\\nassistant:' ELSE instruct END
-      ELSE CASE WHEN blank THEN '' ELSE lines END END AS prompt,
+      ELSE CASE WHEN flagged THEN 'p' WHEN blank THEN '' ELSE lines END END AS prompt,
     CASE WHEN blank OR conv_id % 3 = 0 THEN 128 ELSE conv_id % 40 + 1 END AS max_tokens,
     CASE WHEN blank OR conv_id % 3 = 0 THEN 0.7::DOUBLE ELSE (conv_id % 3 - 1)::DOUBLE END
       AS temperature,
-    NOT blank AND conv_id % 4 = 0 AS stream
+    flagged OR (NOT blank AND conv_id % 4 = 0) AS stream
   FROM asked),
-accepted AS (SELECT * FROM parsed WHERE route <> '/v1/embeddings'),
+accepted AS (SELECT * FROM parsed WHERE route <> '/v1/embeddings' AND NOT bad),
 answered AS (
   SELECT *, array_to_string(
     list_slice(regexp_extract_all(prompt, '\\S+'), 1, LEAST(max_tokens, 2048)), ' ') AS answer
@@ -142,16 +143,17 @@ METRICS = """
 log AS (
   SELECT user_id AS run_id, iter, (iter - 1) // 5 AS epoch,
     CASE WHEN event_type = 'error' THEN 'val' ELSE 'train' END AS kind,
-    value * CASE WHEN event_type = 'error' THEN 0.5::DOUBLE ELSE 0.02::DOUBLE END AS loss,
+    CASE WHEN event_type = 'error' THEN CASE event_id % 41 WHEN 1 THEN NULL WHEN 2 THEN 'nan'::DOUBLE
+      WHEN 3 THEN 'inf'::DOUBLE ELSE value * 0.5::DOUBLE END ELSE value * 0.02::DOUBLE END AS loss,
     json_extract_string(props, '$.k')::BIGINT AS tokens, epoch_us(ts) AS us
   FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS iter
         FROM events))"""
 
 BEST = METRICS + """,
 best AS (
-  SELECT run_id, loss AS best_val, iter AS best_iter FROM (
-    SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY loss, iter) AS r
-    FROM log WHERE kind = 'val') WHERE r = 1)"""
+  SELECT run_id, COALESCE(min(loss) FILTER (WHERE isfinite(loss)), 'inf'::DOUBLE) AS best_val,
+    COALESCE(first(iter ORDER BY loss, iter) FILTER (WHERE isfinite(loss)), -1) AS best_iter
+  FROM log WHERE kind = 'val' GROUP BY run_id)"""
 
 VERDICT = BEST + """,
 near AS (
@@ -602,9 +604,11 @@ FROM moving JOIN bases USING (run_id, epoch) WHERE i % 2 = 0"""
 
 NEW_BEST = METRICS + """,
 flagged AS (
-  SELECT run_id, iter, loss, loss < COALESCE(min(loss) OVER (PARTITION BY run_id ORDER BY iter
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'inf'::DOUBLE) AS is_best
-  FROM log WHERE kind = 'val')"""
+  SELECT run_id, iter, loss, COALESCE(loss < COALESCE(min(loss) OVER (
+    PARTITION BY run_id ORDER BY iter ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    'inf'::DOUBLE), false) AS is_best
+  FROM (SELECT run_id, iter, CASE WHEN isfinite(loss) THEN loss END AS loss
+        FROM log WHERE kind = 'val'))"""
 
 _ORACLES["new_best_flag"] = _with(NEW_BEST) + """
 SELECT run_id, iter, round(loss, 6) AS loss, is_best FROM flagged"""
@@ -680,8 +684,10 @@ FROM part"""
 _ORACLES["parse_requests"] = _with(REQUESTS) + """
 SELECT request_id, kind, prompt, max_tokens, temperature, stream FROM accepted"""
 _ORACLES["rejected_requests"] = _with(REQUESTS) + """
-SELECT request_id, route, 'unknown route' AS reason, 404::BIGINT AS status FROM parsed
-WHERE route = '/v1/embeddings'"""
+SELECT request_id, route,
+  CASE WHEN route = '/v1/embeddings' THEN 'unknown route' ELSE 'bad request' END AS reason,
+  CASE WHEN route = '/v1/embeddings' THEN 404 ELSE 400 END::BIGINT AS status
+FROM parsed WHERE route = '/v1/embeddings' OR bad"""
 _ORACLES["batch_generate"] = _with(REQUESTS) + "SELECT request_id, answer AS text FROM answered"
 
 _ORACLES["response_envelope"] = _with(REQUESTS) + f"""
@@ -695,7 +701,7 @@ FROM answered"""
 # --- streams: the final state equals the batch result --------------------------
 
 _ORACLES["stream_best_checkpoint"] = _with(BEST) + """
-SELECT run_id, round(best_val, 6) AS best_val, best_iter FROM best"""
+SELECT run_id, round(best_val, 6) AS best_val, best_iter FROM best WHERE best_iter >= 0"""
 _ORACLES["stream_new_best_events"] = _with(NEW_BEST) + """
 SELECT run_id, iter, round(loss, 6) AS val_loss FROM flagged WHERE is_best"""
 _ORACLES["stream_progress"] = _with(EPOCHS) + """
@@ -708,5 +714,19 @@ SELECT run_id, count(*) AS n, count(*) FILTER (WHERE ok) AS correct,
 FROM scored GROUP BY run_id"""
 _ORACLES["stream_prepare"] = _with(FILTERED) + """
 SELECT record_id, p AS prompt_len, length, least(p, length) AS n_masked FROM kept
-WHERE record_id < 1000000000"""
+WHERE record_id >= 0"""
 _ORACLES["stream_score_requests"] = _ORACLES["response_envelope"]
+
+# --- text ----------------------------------------------------------------------
+
+_ORACLES["word_counts"] = r"""
+SELECT doc_id, len(regexp_extract_all(replace(text, 'e', chr(160)),
+  '[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'
+  ))::BIGINT AS n_words
+FROM documents"""
+_ORACLES["last_segments"] = """
+SELECT p_partkey, CASE WHEN p_partkey % 10 < 3
+  THEN ['phi-3', 'llama-3-1b', 'llama-3-3b', 'qwen-1.5b', 'gpt2'][p_partkey % 5 + 1]
+  WHEN p_partkey % 3 = 0 THEN ''
+  ELSE p_brand || '-' || p_size || CASE WHEN p_partkey % 2 = 0 THEN 'B' ELSE 'k' END END AS tail
+FROM part"""

@@ -56,15 +56,5 @@ REQUEST_BODY = T.StructType([
     T.StructField("messages", MESSAGES),
     T.StructField("max_tokens", T.StringType()),
     T.StructField("temperature", T.StringType()),
-    T.StructField("stream", T.BooleanType()),
-])
-
-METRICS = T.StructType([
-    T.StructField("run_id", T.LongType()),
-    T.StructField("epoch", T.LongType()),
-    T.StructField("iter", T.LongType()),
-    T.StructField("kind", T.StringType()),
-    T.StructField("loss", T.DoubleType()),
-    T.StructField("tokens", T.LongType()),
-    T.StructField("ts", T.TimestampType()),
+    T.StructField("stream", T.StringType()),
 ])

@@ -8,6 +8,7 @@ re-read instead of a recomputation.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,7 +42,7 @@ def stage_root(spark: SparkSession) -> str:
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors share")
     root = tempfile.mkdtemp(prefix="tuneloom-")
     spark.conf.set(CHECKPOINT_KEY, root)

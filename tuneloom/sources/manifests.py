@@ -9,7 +9,6 @@ from tuneloom.functions.text import iso_seconds
 from tuneloom.schemas import MANIFEST
 
 
-
 def union_manifests(*variants: DataFrame) -> DataFrame:
     """Manifests of different shapes as one table."""
     whole = variants[0]
@@ -25,14 +24,16 @@ def append_run_manifest(df: DataFrame, path: str, created: str = "created") -> N
     df.write.mode("append").json(path)
 
 
-def read_run_manifests(spark: SparkSession, root: str, multi_line: bool = True) -> DataFrame:
+def read_run_manifests(spark: SparkSession, root: str, multi_line: bool = True,
+                       name: str = "*.json") -> DataFrame:
     """All manifests below ``root``: one document per file, or JSON lines.
 
-    ``run_dir`` is the folder a manifest lies in.
+    ``name`` is the file name of a manifest or a pattern; name it where run folders hold other
+    JSON files, which are then left alone. ``run_dir`` is the folder a manifest lies in.
     """
     rows = (spark.read.schema(MANIFEST).option("mode", "FAILFAST")
             .option("multiLine", multi_line).option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.json").json(root))
+            .option("pathGlobFilter", name).json(root))
     return rows.withColumn("run_dir", F.regexp_extract(
         F.col("_metadata.file_path"), r"^(.*)/[^/]*$", 1))
 

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tuneloom.operators.ranks import SHARD_ROWS, prefix_aggregates
-from tuneloom.operators.runs import seconds_between
+from tuneloom.operators.runs import seconds_between, usable_loss
 from tuneloom.operators.scoring import is_correct
 from tuneloom.streaming.sinks import batch_folder, read_batches, write_per_batch
 
@@ -22,7 +22,7 @@ def _latest(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def best_checkpoint_view(metrics: DataFrame) -> DataFrame:
     """Best validation loss per run so far; works on a stream and on a table."""
-    val = metrics.where((F.col("kind") == "val") & ~F.isnan("loss"))
+    val = metrics.where((F.col("kind") == "val") & usable_loss())
     return (val.groupBy("run_id").agg(F.min(F.struct("loss", "iter")).alias("_best"))
             .select("run_id", F.col("_best.loss").alias("best_val"),
                     F.col("_best.iter").alias("best_iter")))
@@ -81,13 +81,13 @@ def stream_new_best_events(metrics: DataFrame, out: str, checkpoint: str, state:
 
     def events(rows: DataFrame, batch_id: int) -> DataFrame:
         val = rows.where(F.col("kind") == "val").select("run_id", "iter", "loss")
-        usable = F.when(~F.isnan("loss"), F.col("loss"))
+        usable = F.when(usable_loss(), F.col("loss"))
         seen = previous(batch_id)
         here = prefix_aggregates(val, ["run_id"], "iter", {"_before": ("min", usable)},
                                  inclusive=False, shard_rows=shard_rows)
         bar = F.least(F.col("_before"), F.col("best_val"))
         found = (here.join(seen, "run_id", "left")
-                 .where(~F.isnan("loss") & (bar.isNull() | (F.col("loss") < bar)))
+                 .where(usable_loss() & (bar.isNull() | (F.col("loss") < bar)))
                  .select("run_id", "iter", F.col("loss").alias("val_loss"),
                          F.coalesce(F.col("iter") < F.col("max_iter"), F.lit(False))
                          .alias("late")))
