@@ -84,6 +84,19 @@ def encode_text(tokenizer: Any, text: str, specials: bool) -> list[int]:
     return list(out)
 
 
+def encode_texts(tokenizer: Any, texts: list[str | None], specials: bool) -> list[list[int] | None]:
+    """Token ids of many texts, in one call where the tokenizer has ``encode_batch``."""
+    if not hasattr(tokenizer, "encode_batch"):
+        return [None if t is None else encode_text(tokenizer, t, specials) for t in texts]
+    known = [t for t in texts if t is not None]
+    try:
+        found = tokenizer.encode_batch(known, add_special_tokens=specials)
+    except TypeError:
+        found = tokenizer.encode_batch(known)
+    ids = iter([list(getattr(f, "ids", f)) for f in found])
+    return [None if t is None else next(ids) for t in texts]
+
+
 class PluginTokenizer(_Tokenizer):
     """Any learned vocabulary. ``factory`` runs once per task, on the executor.
 
@@ -102,8 +115,7 @@ class PluginTokenizer(_Tokenizer):
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             tokenizer = factory()
             for batch in batches:
-                yield batch.map(lambda t: None if t is None
-                                else encode_text(tokenizer, t, specials))
+                yield pd.Series(encode_texts(tokenizer, batch.tolist(), specials), dtype=object)
 
         return encode(text)
 
@@ -114,8 +126,8 @@ class PluginTokenizer(_Tokenizer):
         def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             tokenizer = factory()
             for batch in batches:
-                yield batch.map(lambda t: None if t is None
-                                else len(encode_text(tokenizer, t, specials))).astype("Int32")
+                found = encode_texts(tokenizer, batch.tolist(), specials)
+                yield pd.Series([None if f is None else len(f) for f in found], dtype="Int32")
 
         return count(text)
 

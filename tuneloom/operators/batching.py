@@ -10,8 +10,8 @@ from tuneloom.functions.tokens import (append_eos, fill_left, fill_right, mask_p
 from tuneloom.operators.lengths import analyze_lengths, length_histogram
 from tuneloom.operators.normalize import prompt_text, rendered_text
 from tuneloom.operators.packing import packed_blocks
-from tuneloom.operators.ranks import (SHARD_ROWS, dist_rank, rank_by_hash, rank_by_seq,
-                                      running_offsets, with_hash, with_shard)
+from tuneloom.operators.ranks import SHARD_ROWS, dist_rank, rank_by_hash, rank_by_seq, with_shard
+from tuneloom.session import stage_table
 
 
 def tokenize_records(df: DataFrame, tok, max_len: int) -> DataFrame:
@@ -37,6 +37,11 @@ def _chunk(df: DataFrame, rank: str, batch_size: int) -> DataFrame:
             .drop(rank))
 
 
+def _on_rows(df: DataFrame, layout: DataFrame, key: str = "seq") -> DataFrame:
+    """Bring a layout of ``(key, length)`` to the rows: token arrays are moved by this join only."""
+    return df.join(layout.drop("length"), key)
+
+
 def _with_width(df: DataFrame) -> DataFrame:
     """Longest member per batch; a window group is one batch."""
     return df.withColumn("width", F.max("length").over(Window.partitionBy("batch_id")))
@@ -45,9 +50,10 @@ def _with_width(df: DataFrame) -> DataFrame:
 def plain_batches(df: DataFrame, batch_size: int = 4, shuffle: bool = False, seed: int = 0,
                   key: str = "seq", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Chunks in record order, or in a seeded random order, padded to the batch maximum."""
-    ranked = (rank_by_hash(df, key, seed, "_rank") if shuffle
-              else rank_by_seq(df, key, "_rank", shard_rows))
-    return _with_width(_chunk(ranked, "_rank", batch_size))
+    narrow = df.select(key, "length")
+    ranked = (rank_by_hash(narrow, key, seed, "_rank") if shuffle
+              else rank_by_seq(narrow, key, "_rank", shard_rows))
+    return _on_rows(df, _with_width(_chunk(ranked, "_rank", batch_size)), key)
 
 
 def _batch_widths(df: DataFrame, batch_size: int) -> DataFrame:
@@ -77,30 +83,28 @@ def bucket_batches(df: DataFrame, batch_size: int = 4, shuffle: bool = False, se
     wider. Both come from the histogram (at most ``max_len + 1`` rows), so the
     rows are shuffled once, for their rank.
     """
-    ranked = dist_rank(with_shard(df, "seq", shard_rows),
+    narrow = df.select("seq", "length")
+    ranked = dist_rank(with_shard(narrow, "seq", shard_rows),
                        ["length", "_block", "_shard"], ["seq"], "_rank").drop("_block", "_shard")
     end = (F.floor(F.col("_rank") / batch_size) + 1) * batch_size
-    sized = (ranked.join(F.broadcast(_batch_widths(df, batch_size)), "length")
+    sized = (ranked.join(_batch_widths(narrow, batch_size), "length")
              .withColumn("width", F.when(end <= F.col("_hi"), F.col("length"))
                          .otherwise(F.col("_tail")))
              .drop("_hi", "_tail"))
     batches = _chunk(sized, "_rank", batch_size)
-    return shuffle_batches(batches, seed) if shuffle else batches
+    if shuffle:
+        batches = shuffle_batches(stage_table(batches, "layout"), seed)
+    return _on_rows(df, batches)
 
 
 def shuffle_batches(df: DataFrame, seed: int = 0) -> DataFrame:
     """Add ``batch_order``, a seeded permutation of the batches; members stay together.
 
     Batches are numbered before the shuffle, so a short last batch cannot shift
-    the others.
+    the others. Only the batch numbers are permuted; their first members stand for them.
     """
-    hashed = with_hash(df, "batch_id", seed)
-    counts = hashed.groupBy("_bin").agg(F.count_if(F.col("pos_in_batch") == 0).alias("_n"))
-    offsets = running_offsets(counts, ["_bin"]).select("_bin", "_offset")
-    within = F.dense_rank().over(Window.partitionBy("_bin").orderBy("_hash", "batch_id"))
-    return (hashed.join(offsets, "_bin")
-            .withColumn("batch_order", (F.col("_offset") + within - 1).cast("bigint"))
-            .drop("_bin", "_hash", "_offset"))
+    ids = df.where(F.col("pos_in_batch") == 0).select("batch_id")
+    return df.join(rank_by_hash(ids, "batch_id", seed, "batch_order"), "batch_id")
 
 
 def pad_right(df: DataFrame, pad_id: int) -> DataFrame:
@@ -151,11 +155,14 @@ def adaptive_batches(df: DataFrame, batch_size: int = 4, max_len: int = 1024,
 
 def block_batches(blocks: DataFrame, batch_size: int = 4, shuffle: bool = False,
                   seed: int = 0) -> DataFrame:
-    """Batches of packed blocks; block numbers are already dense."""
+    """Batches of packed blocks; block numbers are already dense.
+
+    Shuffled blocks are written once, so that they are not packed again for their order.
+    """
     sized = blocks.withColumn("length", F.size("input_ids"))
-    ranked = (rank_by_hash(sized, "block_id", seed, "_rank") if shuffle
-              else sized.withColumn("_rank", F.col("block_id")))
-    return _with_width(_chunk(ranked, "_rank", batch_size))
+    if shuffle:
+        return plain_batches(stage_table(sized, "blocks"), batch_size, True, seed, "block_id")
+    return _with_width(_chunk(sized.withColumn("_rank", F.col("block_id")), "_rank", batch_size))
 
 
 def padded_tokens(df: DataFrame, width: Column | None = None) -> DataFrame:

@@ -183,7 +183,10 @@ def prefix_aggregates(df: DataFrame, part: list[str], order: str,
                                     for name, (kind, _) in aggs.items()])
     here = (Window.partitionBy(*keys).orderBy(order)
             .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    out = cut.join(before, keys)
+    # a null part is a part of its own
+    same = [F.col(p).eqNullSafe(F.col(f"_p_{i}")) for i, p in enumerate(part)]
+    before = before.withColumnsRenamed({p: f"_p_{i}" for i, p in enumerate(part)} | {"_shard": "_at"})
+    out = cut.join(before, reduce(lambda a, b: a & b, same, F.col("_shard") == F.col("_at")))
     for name, (kind, _) in aggs.items():
         local = fold[kind](f"_v_{name}").over(here)
         prior = F.col(f"_b_{name}")
@@ -194,4 +197,5 @@ def prefix_aggregates(df: DataFrame, part: list[str], order: str,
         else:
             both = F.greatest(local, prior)
         out = out.withColumn(name, both)
-    return out.drop("_shard", *[f"_{p}_{name}" for name in aggs for p in ("v", "b")])
+    return out.drop("_shard", "_at", *[f"_p_{i}" for i in range(len(part))],
+                    *[f"_{p}_{name}" for name in aggs for p in ("v", "b")])

@@ -245,7 +245,7 @@ def batch_files(spark, sf):
     """Bucketed, shuffled, padded batches written in order and read back."""
     path = stage_path(spark, "batches")
     batches = batching.bucket_batches(_tokens(spark, sf), BATCH, shuffle=True, seed=5)
-    writers.write_batches(batching.pad_right(batches, WORDS.pad_id), path)
+    writers.write_batches(batches, path, WORDS.pad_id)
     return spark.read.parquet(path).select("batch_order", *_padded_columns())
 
 
@@ -369,7 +369,8 @@ def task_split_files(spark, sf):
 
 @query
 def label_distribution(spark, sf):
-    rows = inputs.labelled(spark, sf)
+    docs = inputs.table(spark, sf, "documents").select("doc_id")
+    rows = docs.join(inputs.table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
     gold = rows.select(evalset.task_label(rows, inputs.QUALITY).alias("gold"))
     return evalset.label_distribution(gold)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuneloom.operators.batching import adaptive_batches, pad_right, tokenize_records
+from tuneloom.operators.batching import adaptive_batches, tokenize_records
 from tuneloom.operators.evalset import label_vocabulary
 from tuneloom.operators.generate import Engine, generate_answers
 from tuneloom.operators.lengths import filter_for_training, kept
@@ -24,16 +24,17 @@ def prepare_training(records: DataFrame, tok, out: str, max_len: int = 1024,
     """Filter, tokenise once, split, lay out and write both sides; returns the layout infos.
 
     The token table is staged, so the texts are read and tokenised a single
-    time; the split and the length analysis read one narrow column of it.
+    time; the split reads one narrow column of it and is drawn once.
     """
     usable = kept(filter_for_training(records, tok, max_len))
-    tokens = train_val_split(stage_table(tokenize_records(usable, tok, max_len), "tokens"),
-                             val_fraction, seed)
+    tokens = stage_table(tokenize_records(usable, tok, max_len), "tokens")
+    sides = stage_table(train_val_split(tokens.select("seq"), val_fraction, seed), "sides")
+    tokens = tokens.join(sides, "seq")
     infos = {}
     for name, flag in (("train", "in_train"), ("val", "in_val")):
         batches, info = adaptive_batches(tokens.where(F.col(flag)).drop("in_train", "in_val"),
                                          batch_size, max_len, strategy, shuffle, seed)
-        write_batches(pad_right(batches, tok.pad_id), f"{out}/{name}")
+        write_batches(batches, f"{out}/{name}", tok.pad_id)
         infos[name] = info
     return infos
 

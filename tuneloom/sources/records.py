@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -16,6 +18,8 @@ from tuneloom.session import stage_table
 
 # A table of at most this many files or splits is small enough to broadcast.
 _MAX_BROADCAST_SPANS = 500_000
+# Keys of a larger range than so many times the rows are numbered anew.
+_MOST_GAPS = 16
 
 
 def _start_of(rows: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,19 +85,31 @@ def read_eval_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return with_file_seq(require_rows(rows, path))
 
 
+def _is_dense(df: DataFrame, seq: str) -> bool:
+    """Whether an integer key fills its range well enough for groups of key ranges."""
+    low, high, n = df.agg(F.min(seq), F.max(seq), F.count("*")).first()
+    return n == 0 or int(high) - int(low) <= _MOST_GAPS * n
+
+
 def load_records(spark: SparkSession, source: str, split: str = "train",
                  max_examples: int | None = None, chat: bool = False,
-                 seq: str | None = None) -> DataFrame:
+                 seq: str | None = None, kind: str | None = None) -> DataFrame:
     """Normalised, usable, capped records from JSON lines, Parquet or a table.
 
-    A table with a ``split`` column is reduced to ``split``. ``seq`` names its
-    unique order column; one that is no integer is numbered. Files are numbered
-    by name and line.
+    ``kind`` is ``jsonl``, ``parquet`` or ``table``; without it the name tells: JSON by its
+    ending, packed or not, other paths are Parquet and plain names tables. A table with a
+    ``split`` column is reduced to ``split``. ``seq`` names its unique order column; one that
+    is no integer, or has wide gaps, is numbered. Files are numbered by name and line.
     """
-    if source.endswith((".jsonl", ".json")):
+    if kind is None:
+        kind = "jsonl" if re.search(r"\.jsonl?(\.(gz|bz2|zst|xz))?$", source) else \
+            "parquet" if source.endswith(".parquet") or "/" in source else "table"
+    if kind not in ("jsonl", "parquet", "table"):
+        raise ValueError(f"unknown kind {kind}")
+    if kind == "jsonl":
         raw = read_sft_jsonl(spark, source)
     else:
-        if source.endswith(".parquet") or "/" in source:
+        if kind == "parquet":
             raw = spark.read.parquet(source)
             if seq is None:
                 raw = with_parquet_seq(raw)
@@ -105,7 +121,7 @@ def load_records(spark: SparkSession, source: str, split: str = "train",
             raw = raw.where(F.col("split") == split)
         if seq is not None:
             raw = (raw.withColumn("seq", F.col(seq).cast("bigint"))
-                   if isinstance(raw.schema[seq].dataType, IntegralType)
+                   if isinstance(raw.schema[seq].dataType, IntegralType) and _is_dense(raw, seq)
                    else dense_seq(raw, [seq]))
         if "record_id" not in raw.columns:
             raw = raw.withColumn("record_id", F.col("seq"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tuneloom.operators.batching import pad_right
 
 
 def write_split_jsonl(task_rows: DataFrame, out: str, task: str) -> dict[str, str]:
@@ -26,10 +27,16 @@ def write_eval_report(summary: DataFrame, preds: DataFrame, path: str) -> None:
     preds.write.mode("overwrite").partitionBy("run_id").parquet(f"{path}/predictions")
 
 
-def write_batches(df: DataFrame, path: str) -> None:
-    """Batches in batch order, members in place; one file holds a range of batches."""
+def write_batches(df: DataFrame, path: str, pad_id: int | None = None) -> None:
+    """Batches in batch order, members in place; one file holds a range of batches.
+
+    With ``pad_id`` the rows are padded to the width of their batch where they are written,
+    after they have been moved.
+    """
     order = "batch_order" if "batch_order" in df.columns else "batch_id"
-    (df.repartitionByRange(F.col(order)).sortWithinPartitions(order, "pos_in_batch")
-     .write.mode("overwrite").parquet(path))
+    placed = df.repartitionByRange(F.col(order)).sortWithinPartitions(order, "pos_in_batch")
+    if pad_id is not None:
+        placed = pad_right(placed, pad_id)
+    placed.write.mode("overwrite").parquet(path)
 
 
