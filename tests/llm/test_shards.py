@@ -30,17 +30,28 @@ def test_every_load_is_placed_once(parts):
         assert max(loads) - min(loads) <= max(max(x) - min(x) for x in parts)
 
 
-@pytest.mark.parametrize("block, fan", [(4096, 256), (32, 3)])
-def test_balance(spark, monkeypatch, block, fan):
-    monkeypatch.setattr(shards, "BLOCK", block)
-    monkeypatch.setattr(shards, "FAN", fan)
+@pytest.mark.parametrize("bundles", [128, 12])
+def test_balance(spark, monkeypatch, bundles):
+    monkeypatch.setattr(shards, "BUNDLES", bundles)
     rng = random.Random(3)
     rows = [(f"g{i}", int(rng.paretovariate(1.2) * 100)) for i in range(700)]
     df = spark.createDataFrame(rows, "grp string, bytes bigint").repartition(5)
     got = shards.balance(df, 5).collect()
     assert sorted((r.grp, r.bytes) for r in got) == sorted(rows)
     loads = [sum(r.bytes for r in got if r.shard == s) for s in range(5)]
-    assert max(loads) - min(loads) <= max(max(b for _, b in rows) - sum(loads) // 5, 60)
+    assert max(loads) - min(loads) <= 2000 // bundles
+    again = shards.balance(df.repartition(2), 5).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+
+
+def test_a_group_larger_than_a_shard_stands_alone(spark):
+    rows = [("hot", 60_000)] + [(f"g{i}", 100 + i % 7) for i in range(1000)]
+    df = spark.createDataFrame(rows, "grp string, bytes bigint").repartition(4)
+    got = shards.balance(df, 5).collect()
+    loads = {s: sum(r.bytes for r in got if r.shard == s) for s in range(5)}
+    alone = next(r.shard for r in got if r.grp == "hot")
+    assert loads.pop(alone) == 60_000
+    assert max(loads.values()) - min(loads.values()) <= 20
 
 
 def test_rows(spark, monkeypatch):

@@ -2,10 +2,13 @@
 
 A partial partition is a tuple of as many loads as there are shards. The two partial partitions
 of largest spread are combined in opposite orders, the largest load of one with the smallest of
-the other, until one is left. Blocks of a bounded number of groups, drawn by hash, are
-differenced side by side; each leaves one partial partition, and those are differenced in turn,
-level by level. Only loads go up, and only the place of a load comes down: no task holds more
-than a block, and no row is moved for the upper levels.
+the other, until one is left.
+
+Groups that are large against a shard are differenced one by one, and there are few of them:
+less than ``BUNDLES`` a shard. All others are drawn by hash into as many bundles, which are
+differenced as one group each. So whatever the number of groups, at most twice ``BUNDLES`` loads
+a shard are combined, a group that fills a shard alone leaves the rest evenly to the others,
+and rows only take a hash and a look-up in a table of that fixed size.
 """
 
 from __future__ import annotations
@@ -21,9 +24,8 @@ from tuneloom.llm.common import block_of, blocks_for, row_key, text_key
 from tuneloom.session import stage_table
 
 SHARDS = 24
-BLOCK = 4096
-#: Partial partitions that one task of an upper level combines.
-FAN = 256
+#: Bundles of small groups per shard; a larger group than one of them stands alone.
+BUNDLES = 128
 #: Rows of a shard that one task numbers.
 SLOT_ROWS = 4096
 
@@ -61,53 +63,32 @@ def _leaves(tree: tuple) -> list[tuple[int, int]]:
     return found
 
 
-def _first_level(shards: int):
+def _differenced(shards: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["bytes", "grp"], ascending=[False, True]).reset_index(drop=True)
+        rows = rows.sort_values(["bytes", "item"], ascending=[False, True]).reset_index(drop=True)
         loads = [[int(x)] + [0] * (shards - 1) for x in rows["bytes"]]
         place = [0] * len(rows)
         for shard, held in enumerate(difference(loads)):
             for i, p in held:
                 if p == 0:
                     place[i] = shard
-        return rows.assign(place=place)[["grp", "bytes", "block", "place"]]
-    return run
-
-
-def _upper_level(shards: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        wide = rows.pivot_table(index="block", columns="place", values="bytes", aggfunc="sum",
-                                fill_value=0).reindex(columns=range(shards), fill_value=0)
-        wide = wide.sort_index()
-        loads = wide.to_numpy().tolist()
-        above = int(rows["above"].iloc[0])
-        out = [(int(wide.index[i]), p, loads[i][p], above, shard)
-               for shard, held in enumerate(difference(loads)) for i, p in held]
-        return pd.DataFrame(out, columns=["block", "place", "bytes", "above", "next_place"])
+        return rows.assign(shard=place)[["item", "shard"]]
     return run
 
 
 def balance(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``grp, bytes, shard`` for groups (``grp`` unique, ``bytes``) of any number."""
-    n = blocks_for(groups.count(), BLOCK)
-    first = (groups.select("grp", "bytes").withColumn("block", block_of(n, "grp"))
-             .groupBy("block").applyInPandas(
-                 _first_level(shards), "grp string, bytes bigint, block bigint, place int"))
-    placed = stage_table(first, "differenced")
-    loads = placed.groupBy("block", "place").agg(F.sum("bytes").alias("bytes"))
-    while n > 1:
-        n = blocks_for(n, FAN)
-        up = (loads.withColumn("above", F.floor(F.col("block") / F.lit(FAN)))
-              .groupBy("above").applyInPandas(
-                  _upper_level(shards),
-                  "block bigint, place int, bytes bigint, above bigint, next_place int"))
-        up = stage_table(up, "differenced")
-        loads = (up.groupBy("above", "next_place").agg(F.sum("bytes").alias("bytes"))
-                 .withColumnsRenamed({"above": "block", "next_place": "place"}))
-        placed = (placed.join(up.drop("bytes"), ["block", "place"])
-                  .select("grp", "bytes", F.col("above").alias("block"),
-                          F.col("next_place").alias("place")))
-    return placed.select("grp", "bytes", F.col("place").alias("shard"))
+    bundles = shards * BUNDLES
+    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    large = F.col("bytes").cast("decimal(38,0)") * bundles > F.lit(total).cast("decimal(38,0)")
+    items = groups.select("grp", "bytes", F.when(large, F.concat(F.lit("g"), "grp")).otherwise(
+        F.concat(F.lit("b"), block_of(bundles, "grp").cast("string"))).alias("item"))
+    loads = items.groupBy("item").agg(F.sum("bytes").alias("bytes"))
+    placed = stage_table(
+        loads.groupBy(F.lit(0).alias("all")).applyInPandas(
+            _differenced(shards), "item string, shard int"), "differenced")
+    # at most twice the bundles
+    return items.join(F.broadcast(placed), "item").select("grp", "bytes", "shard")
 
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
