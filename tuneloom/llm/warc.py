@@ -105,7 +105,7 @@ def write_captures(pages: DataFrame, path: str, least: int = 0) -> None:
         ("WARC-Record-ID", F.col("id")), *common, digest, ("WARC-Profile", _REVISIT),
         ("WARC-Refers-To", F.col("of")), ("WARC-Refers-To-Target-URI", F.col("of_uri")),
         message], http)
-    host = F.coalesce(F.parse_url(F.col("uri"), F.lit("HOST")), F.lit(""))
+    host = F.coalesce(F.try_parse_url(F.col("uri"), F.lit("HOST")), F.lit(""))
     request = _record("request", [
         ("WARC-Record-ID", _uuid("request", F.col("id"))), *common,
         ("WARC-Concurrent-To", F.col("id")),
