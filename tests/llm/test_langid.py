@@ -24,7 +24,7 @@ def corpus(n=60):
 def test_predictions(spark):
     odd = [(100, None, "en"), (101, "", "en"), (102, "12 + 34 = 46 !!", "de"), (103, "Katze", None),
            (None, DE, None), (104, "die straße " * 30000, "de")]
-    rows = corpus() + odd + [(7, EN, "en")] * 2
+    rows = corpus() + odd + [(300, EN, "en")] * 2
     got = langid.identify(make(spark, rows)).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
