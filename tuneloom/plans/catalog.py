@@ -336,7 +336,7 @@ def shuffle(spark, sf):
 
 @query
 def amplify(spark, sf):
-    return splits.amplify(_documents(spark, sf).select("doc_id"), 3000)
+    return splits.amplify(_documents(spark, sf).select("doc_id"), 50_000)
 
 
 # --- classification tasks ------------------------------------------------------
@@ -703,7 +703,7 @@ def stream_running_accuracy(spark, sf):
 @query
 def stream_prepare(spark, sf):
     landing, out = stage_path(spark, "landing"), stage_path(spark, "prepared")
-    inputs.sft_raw(spark, sf).drop("seq").write.json(landing)
+    inputs.sft_raw(spark, sf, usable=True).drop("seq").write.json(landing)
     raw = live_prepare.read_landing(spark, landing, files_per_trigger=4)
     _finish(live_prepare.stream_prepare(raw, WORDS, MAX_LEN, out, f"{out}-checkpoint"))
     schema = live_prepare.prepare_view(raw, WORDS, MAX_LEN).schema

@@ -40,17 +40,22 @@ def sft_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_seq(pairs, ["conv_id", "turn"], "record_id").select("record_id", "q", "a", "ctx")
 
 
-def sft_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs in five loose shapes; the last one has no answer and is unusable."""
-    shaped = sft_pairs(spark, sf_dir).selectExpr("*", "record_id % 5 AS shape")
+def sft_raw(spark: SparkSession, sf_dir: str, usable: bool = False) -> DataFrame:
+    """The pairs in five loose shapes with all their texts; the last one has no answer and is
+    unusable, unless ``usable`` asks for it."""
+    shaped = sft_pairs(spark, sf_dir).selectExpr("*", "record_id % 5 AS shape",
+                                                 f"shape < 4 OR {usable} AS whole")
     return shaped.selectExpr(
         "record_id", "record_id AS seq",
         "CASE WHEN shape IN (0, 4) THEN q END AS prompt",
         "CASE WHEN shape = 1 THEN q END AS instruction",
         "CASE WHEN shape = 2 THEN q END AS question", "CASE WHEN shape = 1 THEN ctx END AS input",
-        "CASE WHEN shape = 0 THEN a END AS completion", "CASE WHEN shape = 1 THEN a END AS output",
-        "CASE WHEN shape = 2 THEN a END AS answer", "CASE WHEN shape = 0 THEN ctx END AS context",
-        "CASE WHEN shape = 3 THEN concat(q, '\\n', a) END AS text")
+        "CASE WHEN shape = 0 THEN a END AS completion",
+        "CASE WHEN shape = 4 AND whole THEN a END AS response",
+        "CASE WHEN shape = 1 THEN a END AS output",
+        "CASE WHEN shape = 2 THEN a END AS answer",
+        "CASE WHEN shape IN (0, 2, 4) AND whole THEN ctx END AS context",
+        "CASE WHEN shape = 3 THEN concat_ws('\\n', ctx, q, a) END AS text")
 
 
 def training_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +63,7 @@ def training_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = -1 - F.col("doc_id")
     docs = table(spark, sf_dir, "documents").select(
         number.alias("record_id"), number.alias("seq"), "text")
-    pairs = normalize_records(sft_raw(spark, sf_dir))
+    pairs = normalize_records(sft_raw(spark, sf_dir, usable=True))
     return drop_unusable(pairs.unionByName(normalize_records(docs)))
 
 

@@ -24,22 +24,28 @@ pairs AS (
   LEFT JOIN conversations s ON s.conv_id = u.conv_id AND s.turn = 0 AND s.role = 'system'
   WHERE u.role = 'user')"""
 
-RAW = PAIRS + """,
+def _raw(usable: bool) -> str:
+    whole = "0, 2, 4" if usable else "0, 2"
+    return PAIRS + f""",
 raw AS (
   SELECT record_id,
     CASE WHEN m IN (0, 4) THEN q END AS prompt, CASE WHEN m = 1 THEN q END AS instruction,
     CASE WHEN m = 2 THEN q END AS question, CASE WHEN m = 1 THEN ctx END AS input,
-    CASE WHEN m = 0 THEN a END AS completion, CASE WHEN m = 1 THEN a END AS output,
-    CASE WHEN m = 2 THEN a END AS answer, CASE WHEN m = 0 THEN ctx END AS context,
-    CASE WHEN m = 3 THEN q || E'\\n' || a END AS text
+    CASE WHEN m = 0 THEN a END AS completion, CASE WHEN m = 4 AND {usable} THEN a END AS response,
+    CASE WHEN m = 1 THEN a END AS output, CASE WHEN m = 2 THEN a END AS answer,
+    CASE WHEN m IN ({whole}) THEN ctx END AS context,
+    CASE WHEN m = 3 THEN concat_ws(E'\\n', ctx, q, a) END AS text
   FROM (SELECT *, record_id % 5 AS m FROM pairs))"""
 
-NORM = RAW + """,
+
+def _norm(usable: bool) -> str:
+    return _raw(usable) + """,
 picked AS (
   SELECT record_id,
     COALESCE(NULLIF(prompt, ''), NULLIF(instruction, ''), NULLIF(question, ''),
              NULLIF(input, '')) AS p,
-    COALESCE(NULLIF(completion, ''), NULLIF(output, ''), NULLIF(answer, '')) AS c,
+    COALESCE(NULLIF(completion, ''), NULLIF(response, ''), NULLIF(output, ''),
+             NULLIF(answer, '')) AS c,
     COALESCE(NULLIF(context, ''), NULLIF(input, '')) AS x, NULLIF(text, '') AS t
   FROM raw),
 norm AS (
@@ -51,7 +57,8 @@ norm AS (
   SELECT record_id, 'text', NULL, NULL, t
   FROM picked WHERE (p IS NULL OR c IS NULL) AND t IS NOT NULL)"""
 
-TRAINING = NORM + """,
+
+TRAINING = _norm(True) + """,
 training AS (
   SELECT * FROM norm
   UNION ALL
@@ -288,9 +295,9 @@ choice AS (
 
 # --- records -------------------------------------------------------------------
 
-_ORACLES["normalize_sft"] = _with(NORM) + "SELECT * FROM norm"
+_ORACLES["normalize_sft"] = _with(_norm(False)) + "SELECT * FROM norm"
 
-_ORACLES["load_sft_jsonl"] = _with(NORM, """
+_ORACLES["load_sft_jsonl"] = _with(_norm(False), """
 lines AS (SELECT record_id, row_number() OVER (ORDER BY record_id) - 1 AS seq FROM raw)""") + """
 SELECT l.seq, n.kind, n.prompt, n.completion, n.text FROM norm n JOIN lines l USING (record_id)"""
 
@@ -305,7 +312,7 @@ _ORACLES["render_chat_plain"] = _with(CHAT) + "SELECT record_id, lines AS render
 _ORACLES["render_chat_instruct"] = _with(CHAT) + """
 SELECT record_id, instruct AS rendered FROM styled"""
 
-_ORACLES["coerce_shape"] = _with(RAW) + """
+_ORACLES["coerce_shape"] = _with(_raw(False)) + """
 SELECT record_id, CASE WHEN prompt IS NOT NULL AND completion IS NOT NULL THEN 'pair'
   WHEN text IS NOT NULL THEN 'text' ELSE 'json' END AS shape,
   CASE WHEN prompt IS NULL OR completion IS NULL THEN text END AS text
@@ -458,7 +465,7 @@ _ORACLES["amplify"] = _with("""
 size AS (SELECT count(*) AS n FROM documents),
 doubled AS (
   SELECT 1::BIGINT AS copies UNION ALL
-  SELECT copies * 2 FROM doubled, size WHERE copies * n < 3000)""") + """
+  SELECT copies * 2 FROM doubled, size WHERE copies * n < 50000)""") + """
 SELECT doc_id, unnest(range((SELECT max(copies) FROM doubled)))::BIGINT AS copy FROM documents"""
 
 # --- classification tasks ------------------------------------------------------
