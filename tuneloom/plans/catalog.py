@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tuneloom.constants import IGNORE_LABEL
 from tuneloom.functions.text import last_segment, word_count
 from tuneloom.functions.tokens import ByteTokenizer, PluginTokenizer, WordTokenizer
+from tuneloom.functions.tokens import cut_completion as cut_tokens
 from tuneloom.operators import (batching, chat, evalset, generate, lengths, models, normalize,
                                 packing, runs, scoring, splits)
 from tuneloom.operators import requests as req
@@ -105,6 +106,14 @@ def messages_to_pairs(spark, sf):
         "record_id", "prompt", "completion")
 
 
+@query
+def chat_training_records(spark, sf):
+    """Conversations as training records: the loss is on the last answer."""
+    rows = inputs.chat_records(spark, sf).withColumn("seq", F.col("record_id"))
+    return normalize.drop_unusable(normalize.normalize_records(rows, chat=True)).select(
+        "record_id", "kind", "prompt", "completion")
+
+
 # --- lengths -------------------------------------------------------------------
 
 def _filtered(spark, sf):
@@ -142,6 +151,24 @@ def filter_stats(spark, sf):
     return lengths.filter_stats(_filtered(spark, sf))
 
 
+@query
+def observed_filter(spark, sf):
+    """The filter's counts, observed while the kept records are written."""
+    observed, observation = lengths.observe_filter(_filtered(spark, sf))
+    lengths.kept(observed).write.parquet(stage_path(spark, "kept"))
+    counts = observation.get
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{c} bigint" for c in counts))
+
+
+@query
+def cut_completion(spark, sf):
+    """Token rows of the documents cut to what each may have."""
+    wish = F.col("doc_id") % 40 - 1
+    ids = cut_tokens(WORDS.ids(F.col("text")), wish.cast("int"))
+    return inputs.table(spark, sf, "documents").select(
+        "doc_id", F.size(ids).cast("bigint").alias("n_tokens"))
+
+
 @query
 def count_tokens(spark, sf):
     return lengths.count_tokens(inputs.training_records(spark, sf), WORDS)
@@ -279,6 +306,25 @@ def packed_blocks(spark, sf):
             s["len"].cast("string"))), ",").alias("layout"))
 
 
+@query
+def packed_blocks_masked(spark, sf):
+    """Blocks in which no example is predicted from its neighbour."""
+    blocks = packing.packed_blocks(_tokens(spark, sf), MAX_LEN, mask_boundaries=True)
+    return blocks.select(*_big("block_id"), _count_of("labels", IGNORE_LABEL).alias("n_masked"))
+
+
+@query
+def forced_packing(spark, sf):
+    batches, _ = batching.adaptive_batches(_tokens(spark, sf), BATCH, MAX_LEN, "pack")
+    return batches.select("batch_id", *_big("pos_in_batch", "length", "width"))
+
+
+@query
+def forced_padding(spark, sf):
+    batches, _ = batching.adaptive_batches(_tokens(spark, sf), BATCH, MAX_LEN, "pad")
+    return batches.select("record_id", "batch_id", *_big("pos_in_batch", "length", "width"))
+
+
 @query
 def packing_info(spark, sf):
     return packing.packing_info(packing.packed_blocks(_tokens(spark, sf), MAX_LEN), MAX_LEN)
@@ -410,6 +456,15 @@ def match_labels_large_vocabulary(spark, sf):
         "run_id", "seq", "gold", "pred")
 
 
+@query
+def ambiguous_labels(spark, sf):
+    """Brands in two spellings, of which some share a normal form."""
+    parts = inputs.table(spark, sf, "part")
+    labels = parts.select(F.col("p_brand").alias("label")).unionByName(parts.where(
+        "p_partkey % 2 = 0").select(F.lower("p_brand").alias("label"))).distinct()
+    return scoring.ambiguous_labels(labels)
+
+
 @query
 def evaluate_run(spark, sf):
     report = scoring.evaluate(_scored(spark, sf), seconds="seconds")

@@ -737,3 +737,27 @@ SELECT p_partkey, CASE WHEN p_partkey % 10 < 3
   WHEN p_partkey % 3 = 0 THEN ''
   ELSE p_brand || '-' || p_size || CASE WHEN p_partkey % 2 = 0 THEN 'B' ELSE 'k' END END AS tail
 FROM part"""
+
+_ORACLES["observed_filter"] = _ORACLES["filter_stats"]
+_ORACLES["cut_completion"] = f"""
+SELECT doc_id, least({_words('text')}, greatest(doc_id % 40 - 1, 0))::BIGINT AS n_tokens
+FROM documents"""
+_ORACLES["chat_training_records"] = f"""
+SELECT record_id, 'chat' AS kind, prompt, completion FROM ({_ORACLES["messages_to_pairs"]})
+WHERE prompt IS NOT NULL AND completion IS NOT NULL"""
+_ORACLES["packed_blocks_masked"] = _with(KEPT_LENS, PACKED) + """
+SELECT s.block_id,
+  sum(greatest(least(k.p, len), CASE WHEN "offset" > 0 THEN 1 ELSE 0 END))::BIGINT AS n_masked
+FROM segments s JOIN kept k USING (record_id) GROUP BY s.block_id"""
+_ORACLES["forced_packing"] = _with(KEPT_LENS, PACKED, """
+blocks AS (SELECT block_id, sum(len)::BIGINT AS length FROM segments GROUP BY block_id)""") + """
+SELECT block_id // 4 AS batch_id, block_id % 4 AS pos_in_batch, length,
+  max(length) OVER (PARTITION BY block_id // 4) AS width FROM blocks"""
+_ORACLES["forced_padding"] = _with(KEPT_LENS, _batched("lens", "seq")) + """
+SELECT record_id, batch_id, pos_in_batch, length, width FROM batched"""
+_ORACLES["ambiguous_labels"] = """
+SELECT trim(regexp_replace(lower(translate(label, '_-', '  ')), '\\s+', ' ', 'g')) AS norm,
+  count(*) AS labels
+FROM (SELECT p_brand AS label FROM part
+      UNION SELECT lower(p_brand) FROM part WHERE p_partkey % 2 = 0)
+GROUP BY 1 HAVING count(*) > 1"""
