@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +140,7 @@ def test_prepare_and_write_batches(spark, tmp_path):
         else:
             assert (train.count(), val.count()) == (36, 4)
         assert set(infos) == {"train", "val"}
+    assert not list(Path(stage_root(spark), "tuneloom").glob("job-*"))
 
 
 def test_evaluate_a_task_end_to_end(spark, tmp_path):

@@ -13,7 +13,7 @@ from tuneloom.operators.generate import Engine, generate_answers
 from tuneloom.operators.lengths import filter_for_training, kept
 from tuneloom.operators.scoring import evaluate, match_labels, predictions
 from tuneloom.operators.splits import train_val_split
-from tuneloom.session import stage_table
+from tuneloom.session import job_stages, stage_table
 from tuneloom.sources.records import read_eval_jsonl
 from tuneloom.sources.writers import write_batches, write_eval_report
 
@@ -24,18 +24,20 @@ def prepare_training(records: DataFrame, tok, out: str, max_len: int = 1024,
     """Filter, tokenise once, split, lay out and write both sides; returns the layout infos.
 
     The token table is staged, so the texts are read and tokenised a single
-    time; the split reads one narrow column of it and is drawn once.
+    time; the split reads one narrow column of it and is drawn once. Staged tables are
+    dropped at the end.
     """
-    usable = kept(filter_for_training(records, tok, max_len))
-    tokens = stage_table(tokenize_records(usable, tok, max_len), "tokens")
-    sides = stage_table(train_val_split(tokens.select("seq"), val_fraction, seed), "sides")
-    tokens = tokens.join(sides, "seq")
-    infos = {}
-    for name, flag in (("train", "in_train"), ("val", "in_val")):
-        batches, info = adaptive_batches(tokens.where(F.col(flag)).drop("in_train", "in_val"),
-                                         batch_size, max_len, strategy, shuffle, seed)
-        write_batches(batches, f"{out}/{name}", tok.pad_id)
-        infos[name] = info
+    with job_stages(records.sparkSession):
+        usable = kept(filter_for_training(records, tok, max_len))
+        tokens = stage_table(tokenize_records(usable, tok, max_len), "tokens")
+        sides = stage_table(train_val_split(tokens.select("seq"), val_fraction, seed), "sides")
+        tokens = tokens.join(sides, "seq")
+        infos = {}
+        for name, flag in (("train", "in_train"), ("val", "in_val")):
+            batches, info = adaptive_batches(tokens.where(F.col(flag)).drop("in_train", "in_val"),
+                                             batch_size, max_len, strategy, shuffle, seed)
+            write_batches(batches, f"{out}/{name}", tok.pad_id)
+            infos[name] = info
     return infos
 
 

@@ -11,10 +11,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_job: ContextVar[str] = ContextVar("job", default="")
 
 
 def build_session(app: str = "tuneloom", master: str | None = None,
@@ -50,8 +54,22 @@ def stage_root(spark: SparkSession) -> str:
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    """A fresh, never used path below the staging folder."""
-    return f"{stage_root(spark)}/tuneloom/{name}-{uuid.uuid4().hex}"
+    """A fresh, never used path below the staging folder, or below that of the current job."""
+    return f"{stage_root(spark)}/tuneloom/{_job.get()}{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def job_stages(spark: SparkSession) -> Iterator[str]:
+    """Tables staged inside are dropped at the end; what leaves the job must be written by then."""
+    name = f"job-{uuid.uuid4().hex}/"
+    folder = f"{stage_root(spark)}/tuneloom/{name}"
+    token = _job.set(name)
+    try:
+        yield folder
+    finally:
+        _job.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
