@@ -3,6 +3,7 @@ import sys
 
 import numpy as np
 import pytest
+from engines import EchoEngine
 from pyspark import cloudpickle
 
 from tuneloom.operators import chat
@@ -75,7 +76,7 @@ def test_chat_styles(spark):
         chat.render_chat(df, "other")
 
 
-class RecordingEngine(G.EchoEngine):
+class RecordingEngine(EchoEngine):
     """Answers with its slice's size, wish and temperature, and checks the padding."""
 
     def generate(self, ids, mask, max_new, temperature):
@@ -105,7 +106,7 @@ def test_each_request_gets_its_own_share(spark, partitions, arrow_rows):
     rows = [(f"r{i}", f"a{i} b c d", i % 5, 0.0) for i in range(40)]
     df = spark.createDataFrame(rows, "request_id string, prompt string, max_tokens int, "
                                      "temperature double")
-    got = G.batch_generate(df, G.EchoEngine, partitions=partitions, max_len=3)
+    got = G.batch_generate(df, EchoEngine, partitions=partitions, max_len=3)
     want = {r[0]: " ".join(r[1].split()[:3][:r[2]]) for r in rows}
     assert {r["request_id"]: r["text"] for r in got.collect()} == want
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -114,7 +115,7 @@ def test_each_request_gets_its_own_share(spark, partitions, arrow_rows):
 def test_evaluation_is_greedy_and_short(spark):
     df = spark.createDataFrame([(1, " ".join("abcdefghij"), "a")],
                                "seq bigint, prompt string, gold string")
-    r = G.generate_answers(df, G.EchoEngine).first()
+    r = G.generate_answers(df, EchoEngine).first()
     assert r["raw"] == "a b c d e f g h" and r["gold"] == "a"
 
 
@@ -122,7 +123,7 @@ def test_documents(spark):
     df = asked(spark, (CHAT, '{"messages":[{"role":"user","content":"a b"}],"max_tokens":4}'),
                (PLAIN, '{"prompt":"x \\"y\\"","max_tokens":9}'))
     got = {r["request_id"]: json.loads(r["response"]) for r in
-           answer_requests(df, G.EchoEngine, "m", created=5).collect()}
+           answer_requests(df, EchoEngine, "m", created=5).collect()}
     c, p = got["r0"], got["r1"]
     assert c["object"] == "chat.completion" and c["id"].startswith("chatcmpl-")
     assert c["choices"] == [{"index": 0, "finish_reason": "stop", "message": {
@@ -130,5 +131,19 @@ def test_documents(spark):
     assert c["usage"] == {"completion_tokens": 4} and (c["created"], c["model"]) == (5, "m")
     assert p["choices"] == [{"index": 0, "text": 'x "y"', "finish_reason": "stop"}]
     assert p["object"] == "text_completion" and "usage" not in p and len(p["id"]) == 13
-    again = answer_requests(df, G.EchoEngine, "m", created=5).collect()
+    again = answer_requests(df, EchoEngine, "m", created=5).collect()
     assert {json.loads(r["response"])["id"] for r in again} == {c["id"], p["id"]}
+
+
+def test_successor_chain(spark):
+    texts = spark.createDataFrame([("a b a c a b",), ("b d  \n d e",), (None,), ("",), ("lone",)],
+                                  "text string")
+    found = G.learn_successors(texts)
+    # a goes to b twice and to c once; b to a and d, d to d and e once: the smaller word
+    assert found == {"a": "b", "b": "a", "c": "a", "d": "d"}
+    assert set(G.learn_successors(texts, 2)) == {"a", "b"}
+    rows = [("r1", "so c", 3, 0.0), ("r2", "new words", 4, 0.0), ("r3", "a x", 0, 0.7), ("r4", "e", 2, 0.0)]
+    df = spark.createDataFrame(rows, "request_id string, prompt string, max_tokens int, "
+                                     "temperature double")
+    got = G.batch_generate(df, lambda: G.SuccessorModel(found)).collect()
+    assert {r["request_id"]: r["text"] for r in got} == {"r1": "a b a", "r2": "", "r3": "", "r4": ""}

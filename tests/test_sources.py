@@ -2,12 +2,12 @@ import json
 from pathlib import Path
 
 import pytest
+from engines import EchoEngine
 from pyspark.sql import functions as F
 
 from tuneloom.constants import Task
 from tuneloom.functions.tokens import WordTokenizer
 from tuneloom.operators.evalset import build_task
-from tuneloom.operators.generate import EchoEngine
 from tuneloom.plans import jobs
 from tuneloom.session import CHECKPOINT_KEY, stage_root, stage_table
 from tuneloom.sources import manifests as M

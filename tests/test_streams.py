@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from tuneloom.functions.tokens import WordTokenizer
-from tuneloom.operators.generate import EchoEngine
+from engines import EchoEngine
 from tuneloom.operators.runs import new_best_flag
 from tuneloom.streaming import metrics as S
 from tuneloom.streaming import prepare as P

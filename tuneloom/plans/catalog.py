@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -520,13 +520,13 @@ def compare_runs(spark, sf):
 
 @query
 def evaluate_task(spark, sf):
-    """The whole evaluation job: which article do the first words of a document name?"""
+    """The whole evaluation job: which article does a model use that goes on with a document?"""
     path = stage_path(spark, "articles") + ".jsonl"
     article = F.element_at(F.create_map(*[F.lit(x) for pair in ARTICLES.items() for x in pair]),
                            F.col("lang"))
     (inputs.table(spark, sf, "documents")
      .select(F.col("text").alias("prompt"), article.alias("gold")).write.json(path))
-    summary = jobs.evaluate_task(spark, path, generate.EchoEngine, MODEL,
+    summary = jobs.evaluate_task(spark, path, _model(spark, sf, "documents"), MODEL,
                                  stage_path(spark, "report"))
     return summary.select("tag", "model", *_big("n", "correct", "unparseable"),
                           F.round("accuracy", 6).alias("accuracy"),
@@ -668,10 +668,16 @@ def rejected_requests(spark, sf):
         "request_id", "route", "reason", *_big("status"))
 
 
+def _model(spark, sf, name: str):
+    """An engine learnt from all texts of a table."""
+    return partial(generate.SuccessorModel, generate.learn_successors(inputs.table(spark, sf, name)))
+
+
 @query
 def batch_generate(spark, sf):
     asked = req.accepted(req.parse_requests(inputs.requests(spark, sf)))
-    return generate.batch_generate(asked, generate.EchoEngine).select("request_id", "text")
+    return generate.batch_generate(asked, _model(spark, sf, "conversations")).select(
+        "request_id", "text")
 
 
 def _envelope_fields(answers):
@@ -688,8 +694,8 @@ def _envelope_fields(answers):
 
 @query
 def response_envelope(spark, sf):
-    answers = live_requests.answer_requests(inputs.requests(spark, sf), generate.EchoEngine,
-                                            MODEL, created=CREATED)
+    answers = live_requests.answer_requests(
+        inputs.requests(spark, sf), _model(spark, sf, "conversations"), MODEL, created=CREATED)
     return _envelope_fields(answers)
 
 
@@ -772,7 +778,7 @@ def stream_score_requests(spark, sf):
     out = stage_path(spark, "answers")
     stream = _landed(spark, inputs.requests(spark, sf), "requests")
     _finish(live_requests.stream_score_requests(
-        stream, generate.EchoEngine, MODEL, out, f"{out}-rejects", f"{out}-checkpoint",
+        stream, _model(spark, sf, "conversations"), MODEL, out, f"{out}-rejects", f"{out}-checkpoint",
         created=CREATED))
     answers = spark.read.schema("request_id string, response string").parquet(out)
     return _envelope_fields(answers)

@@ -122,6 +122,34 @@ styled AS (
     THEN E'### Instruction:\\n' || texts[1] || E'\\n\\n### Response:\\n'
     ELSE lines || E'\\nassistant:' END AS instruct FROM lined)"""
 
+
+
+def _chain(table: str) -> str:
+    """Answers of a greedy successor chain learnt from a table to ``asks(id, prompt, max_tokens)``."""
+    return f"""
+word_lists AS (SELECT regexp_extract_all(text, '\\S+') AS ws FROM {table}),
+steps AS (
+  SELECT unnest(ws[1:len(ws) - 1]) AS w, unnest(ws[2:]) AS nxt FROM word_lists WHERE len(ws) > 1),
+step_counts AS (SELECT w, nxt, count(*) AS n FROM steps GROUP BY w, nxt),
+succ AS (
+  SELECT w, nxt FROM (
+    SELECT w, nxt, sum(n) OVER (PARTITION BY w) AS total,
+      row_number() OVER (PARTITION BY w ORDER BY n DESC, nxt) AS r FROM step_counts)
+  WHERE r = 1 ORDER BY total DESC, w LIMIT 4096),
+prompt_words AS (
+  SELECT id, max_tokens, unnest(ws) AS w, unnest(range(len(ws))) AS i
+  FROM (SELECT id, max_tokens, regexp_extract_all(prompt, '\\S+')[1:2048] AS ws FROM asks)),
+starts AS (
+  SELECT id, max_tokens, arg_max(p.w, i) AS w
+  FROM prompt_words p JOIN succ USING (w) GROUP BY id, max_tokens),
+walk AS (
+  SELECT id, max_tokens, w, 0 AS k FROM starts
+  UNION ALL
+  SELECT walk.id, walk.max_tokens, succ.nxt, walk.k + 1
+  FROM walk JOIN succ ON succ.w = walk.w WHERE walk.k < walk.max_tokens),
+told AS (SELECT id, string_agg(w, ' ' ORDER BY k) AS answer FROM walk WHERE k > 0 GROUP BY id)"""
+
+
 REQUESTS = CHAT + """,
 asked AS (
   SELECT 'r' || record_id AS request_id, conv_id,
@@ -141,10 +169,10 @@ parsed AS (
     flagged OR (NOT blank AND conv_id % 4 = 0) AS stream
   FROM asked),
 accepted AS (SELECT * FROM parsed WHERE route <> '/v1/embeddings' AND NOT bad),
+asks AS (SELECT request_id AS id, prompt, max_tokens FROM accepted),""" + _chain("conversations") + """,
 answered AS (
-  SELECT *, array_to_string(
-    list_slice(regexp_extract_all(prompt, '\\S+'), 1, LEAST(max_tokens, 2048)), ' ') AS answer
-  FROM accepted)"""
+  SELECT a.*, COALESCE(t.answer, '') AS answer
+  FROM accepted a LEFT JOIN told t ON t.id = a.request_id)"""
 
 METRICS = """
 log AS (
@@ -550,20 +578,20 @@ SELECT model, 'nation' AS task, round(base, 6) AS base, round(tuned, 6) AS tuned
 FROM sides"""
 
 _ORACLES["evaluate_task"] = _with("""
-told AS (
+asks AS (SELECT doc_id AS id, text AS prompt, 8 AS max_tokens FROM documents),""" + _chain("documents") + """,
+replies AS (
   SELECT doc_id, CASE lang WHEN 'en' THEN 'the' WHEN 'de' THEN 'der' WHEN 'fr' THEN 'le'
     WHEN 'es' THEN 'el' END AS gold,
-    lower(replace(replace(array_to_string(list_slice(regexp_extract_all(text, '\\S+'), 1, 8),
-      ' '), '_', ' '), '-', ' ')) AS answer
-  FROM documents),
-vocabulary AS (SELECT DISTINCT gold AS label FROM told),
-named AS (SELECT doc_id, label FROM told JOIN vocabulary ON contains(answer, label)),
+    lower(replace(replace(COALESCE(answer, ''), '_', ' '), '-', ' ')) AS answer
+  FROM documents LEFT JOIN told ON id = doc_id),
+vocabulary AS (SELECT DISTINCT gold AS label FROM replies),
+named AS (SELECT doc_id, label FROM replies JOIN vocabulary ON contains(answer, label)),
 guess AS (
   SELECT doc_id, min(label) AS pred FROM named n WHERE NOT EXISTS (
     SELECT 1 FROM named o WHERE o.doc_id = n.doc_id AND o.label <> n.label
       AND contains(o.label, n.label))
   GROUP BY doc_id HAVING count(*) = 1),
-judged AS (SELECT t.gold, g.pred FROM told t LEFT JOIN guess g USING (doc_id)),
+judged AS (SELECT t.gold, g.pred FROM replies t LEFT JOIN guess g USING (doc_id)),
 tally AS (SELECT gold, count(*) AS g FROM judged GROUP BY gold)""") + """
 SELECT 'base' AS tag, 'demo' AS model, count(*) AS n, count(*) FILTER (WHERE pred = gold) AS correct,
   count(*) FILTER (WHERE pred IS NULL) AS unparseable,
