@@ -75,3 +75,37 @@ def test_dense_seq_of_any_key(spark, partitions):
     df = spark.createDataFrame([(w,) for w in words], "k string").repartition(partitions)
     got = {r["k"]: r["seq"] for r in R.dense_seq(df, ["k"]).collect()}
     assert got == {w: i for i, w in enumerate(words)}
+
+
+def test_wide_gaps_are_numbered(spark):
+    """Random 64-bit keys must not make a group per row."""
+    import random
+
+    from tuneloom.operators import batching, packing, ranks, splits
+
+    rng = random.Random(8)
+    keys = sorted({rng.randint(-2 ** 62, 2 ** 62) for _ in range(300)})
+    lengths = [rng.choice([1, 3, 3, 7, 10]) for _ in keys]
+    df = spark.createDataFrame(list(zip(keys, keys, lengths)),
+                               "record_id bigint, seq bigint, length int").repartition(4)
+    plain = spark.createDataFrame([(k, i, n) for i, (k, n) in enumerate(zip(keys, lengths))],
+                                  "record_id bigint, seq bigint, length int")
+    assert not ranks.is_dense(df, "seq") and ranks.is_dense(plain, "seq")
+    for layout in (lambda d: batching.bucket_batches(d, 4), lambda d: batching.plain_batches(d, 4),
+                   lambda d: packing.block_segments(d, 10), lambda d: splits.head_cap(d, 50)):
+        got, want = layout(df).drop("seq"), layout(plain).drop("seq")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    top = ranks.with_shard(ranks.numbered(df, "seq", "at"), "at").select("_block").distinct()
+    assert top.count() == 1
+
+
+def test_null_parts_are_kept(spark):
+    from pyspark.sql import functions as F
+
+    from tuneloom.operators.ranks import prefix_aggregates
+
+    df = spark.createDataFrame([(None, i, 1) for i in range(5)] + [("a", i, 2) for i in range(3)],
+                               "part string, seq bigint, v int")
+    got = prefix_aggregates(df, ["part"], "seq", {"total": ("sum", F.col("v"))}, shard_rows=2)
+    assert sorted((str(r.part), r.seq, r.total) for r in got.collect()) == [
+        ("None", i, i + 1) for i in range(5)] + [("a", i, 2 * i + 2) for i in range(3)]

@@ -10,7 +10,8 @@ from tuneloom.functions.tokens import (append_eos, fill_left, fill_right, mask_p
 from tuneloom.operators.lengths import analyze_lengths, length_histogram
 from tuneloom.operators.normalize import prompt_text, rendered_text
 from tuneloom.operators.packing import packed_blocks
-from tuneloom.operators.ranks import SHARD_ROWS, dist_rank, rank_by_hash, rank_by_seq, with_shard
+from tuneloom.operators.ranks import (SHARD_ROWS, dist_rank, numbered, rank_by_hash,
+                                      rank_by_seq, with_shard)
 from tuneloom.session import stage_table
 
 
@@ -83,9 +84,9 @@ def bucket_batches(df: DataFrame, batch_size: int = 4, shuffle: bool = False, se
     wider. Both come from the histogram (at most ``max_len + 1`` rows), so the
     rows are shuffled once, for their rank.
     """
-    narrow = df.select("seq", "length")
-    ranked = dist_rank(with_shard(narrow, "seq", shard_rows),
-                       ["length", "_block", "_shard"], ["seq"], "_rank").drop("_block", "_shard")
+    narrow = numbered(df.select("seq", "length"), "seq", "_place", shard_rows)
+    ranked = dist_rank(with_shard(narrow, "_place", shard_rows), ["length", "_block", "_shard"],
+                       ["_place"], "_rank").drop("_block", "_shard", "_place")
     end = (F.floor(F.col("_rank") / batch_size) + 1) * batch_size
     sized = (ranked.join(_batch_widths(narrow, batch_size), "length")
              .withColumn("width", F.when(end <= F.col("_hi"), F.col("length"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tuneloom.constants import IGNORE_LABEL
 from tuneloom.functions.tokens import position_ids
-from tuneloom.operators.ranks import SHARD_ROWS, with_shard
+from tuneloom.operators.ranks import SHARD_ROWS, dense_seq, is_dense, with_shard
 from tuneloom.session import stage_table
 
 _GROUP_BITS = 8
@@ -203,8 +203,15 @@ def pack_sequences(df: DataFrame, max_len: int = 1024,
         return _place_rows(rows["seq"].to_numpy(), rows["length"].to_numpy(), max_len,
                            entry.iloc[0].to_dict())
 
-    rows = (with_shard(df.select("seq", "length").where(F.col("length") > 0), "seq", shard_rows)
-            .select("seq", "length", "_shard"))
+    narrow = df.select("seq", "length").where(F.col("length") > 0)
+    if not is_dense(narrow, "seq", shard_rows):  # pack by place, then name the rows again
+        places = stage_table(dense_seq(narrow, ["seq"], "_place"), "places")
+        packed = pack_sequences(places.select(F.col("_place").alias("seq"), "length"), max_len,
+                                shard_rows)
+        names = places.select("_place", F.col("seq").alias("_name"))
+        return (packed.join(names, F.col("seq") == F.col("_place"), "left")
+                .withColumn("seq", F.coalesce("_name", "seq")).drop("_place", "_name"))
+    rows = with_shard(narrow, "seq", shard_rows).select("seq", "length", "_shard")
     # both passes group the same rows the same way, so they share one shuffle
     fns = rows.groupBy("_shard").applyInPandas(
         shard_functions, f"_group bigint, _shard bigint, {_FN_SCHEMA}")

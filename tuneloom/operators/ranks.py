@@ -4,8 +4,9 @@ Rows are cut into small order-preserving groups (a shard of the order key, or
 the leading digits of a hash). Only the group counts are summed globally; the
 rows are ordered inside their group. No group can hold more than ``shard_rows``
 rows of a unique key, however skewed the rest of the data is. Keys with huge
-gaps make many small groups; ``dense_seq`` closes the gaps, and numbers rows by
-any other sortable key.
+gaps would make many small groups; ``dense_seq`` closes the gaps, and numbers
+rows by any other sortable key. Groups of a hash stay below that up to
+``shard_rows * 16 ** 4`` rows.
 
 The inputs are read more than once, mostly their key columns only. Inputs that
 are costly to compute should be stored first (``session.stage_table``).
@@ -24,6 +25,8 @@ from tuneloom.session import stage_table
 SHARD_ROWS = 1 << 18
 _FAN = 4096
 _HASH_DIGITS = 4
+# Keys of a larger range than so many times the rows are numbered anew.
+_MOST_GAPS = 16
 
 
 # Group columns are never null, so neither joins nor filters have to test them.
@@ -104,8 +107,25 @@ def dense_seq(df: DataFrame, order: list[str], out: str = "seq") -> DataFrame:
             .drop("_part", "_id", "_first", "_offset"))
 
 
+def is_dense(df: DataFrame, seq: str, shard_rows: int = SHARD_ROWS) -> bool:
+    """Whether the shards of an integer key are few, or filled well enough to be worth it."""
+    low, high, n = df.agg(F.min(seq), F.max(seq), F.count(seq)).first()
+    span = int(high) - int(low) if n else 0
+    return span <= _FAN * shard_rows or span <= _MOST_GAPS * n
+
+
+def numbered(df: DataFrame, seq: str, out: str, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Add ``out``, a key in the order of ``seq`` that makes few shards: ``seq`` itself, or the
+    place of a row where ``seq`` has wide gaps."""
+    if is_dense(df, seq, shard_rows):
+        return df.withColumn(out, F.col(seq))
+    return dense_seq(df, [seq], out)
+
+
 def rank_by_seq(df: DataFrame, seq: str = "seq", out: str = "rank",
                 shard_rows: int = SHARD_ROWS) -> DataFrame:
+    if not is_dense(df, seq, shard_rows):
+        return dense_seq(df, [seq], out)
     ranked = dist_rank(with_shard(df, seq, shard_rows), ["_block", "_shard"], [seq], out)
     return ranked.drop("_block", "_shard")
 
@@ -149,6 +169,10 @@ def _first_n(df: DataFrame, levels: list[str], order: list[str],
 
 def first_n_by_seq(df: DataFrame, want: Callable[[Column], Column], seq: str = "seq",
                    out: str = "in_first", shard_rows: int = SHARD_ROWS) -> DataFrame:
+    if not is_dense(df, seq, shard_rows):
+        ranked = dense_seq(df, [seq], "_place")
+        wanted = want(F.lit(ranked.count()))
+        return ranked.withColumn(out, F.col("_place") < wanted).drop("_place")
     flagged = _first_n(with_shard(df, seq, shard_rows), ["_block", "_shard"], [seq], want, out, None)
     return flagged.drop("_block", "_shard")
 

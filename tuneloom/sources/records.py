@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from tuneloom.operators.normalize import drop_unusable, normalize_records
-from tuneloom.operators.ranks import dense_seq, running_offsets
+from tuneloom.operators.ranks import dense_seq, is_dense, running_offsets
 from tuneloom.operators.scoring import require_rows
 from tuneloom.operators.splits import head_cap
 from tuneloom.schemas import EVAL_ROW, SFT_RAW
@@ -18,8 +18,6 @@ from tuneloom.session import stage_table
 
 # A table of at most this many files or splits is small enough to broadcast.
 _MAX_BROADCAST_SPANS = 500_000
-# Keys of a larger range than so many times the rows are numbered anew.
-_MOST_GAPS = 16
 
 
 def _start_of(rows: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,12 +83,6 @@ def read_eval_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return with_file_seq(require_rows(rows, path))
 
 
-def _is_dense(df: DataFrame, seq: str) -> bool:
-    """Whether an integer key fills its range well enough for groups of key ranges."""
-    low, high, n = df.agg(F.min(seq), F.max(seq), F.count("*")).first()
-    return n == 0 or int(high) - int(low) <= _MOST_GAPS * n
-
-
 def load_records(spark: SparkSession, source: str, split: str = "train",
                  max_examples: int | None = None, chat: bool = False,
                  seq: str | None = None, kind: str | None = None) -> DataFrame:
@@ -121,7 +113,7 @@ def load_records(spark: SparkSession, source: str, split: str = "train",
             raw = raw.where(F.col("split") == split)
         if seq is not None:
             raw = (raw.withColumn("seq", F.col(seq).cast("bigint"))
-                   if isinstance(raw.schema[seq].dataType, IntegralType) and _is_dense(raw, seq)
+                   if isinstance(raw.schema[seq].dataType, IntegralType) and is_dense(raw, seq)
                    else dense_seq(raw, [seq]))
         if "record_id" not in raw.columns:
             raw = raw.withColumn("record_id", F.col("seq"))
