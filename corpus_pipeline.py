@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tuneloom.llm import decontam, langid, mixing, shards, simhash
+from tuneloom.llm import copies, decontam, langid, mixing, shards, simhash
 from tuneloom.llm.common import table
 from tuneloom.session import stage_table
 
@@ -15,8 +15,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.keep_representatives(docs)
+    """Documents without a near copy of a smaller id.
+
+    op5's fingerprints fold copies at 3 bits. Of what stays, all pairs that share 0.8 or more of
+    their five-word shingles are found.
+    """
+    folded = stage_table(simhash.keep_representatives(docs), "folded")
+    return copies.without_copies(folded)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
