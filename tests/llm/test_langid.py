@@ -69,3 +69,30 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = langid.identify(docs).where("held_out").join(docs, "doc_id").collect()
     assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.96
+
+
+A, B = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5
+        and zlib.crc32(str(-i).encode()) % 5][:2]  # rows that are learnt from
+ODD = [[(A, "qua tro po cha", "xx")], [(A, "", "xx")], [(A, " \n", "xx"), (B, "", "yy")]]
+
+
+@pytest.mark.parametrize("odd", ODD)
+def test_a_rare_label_leaves_the_others_their_dictionaries(spark, odd):
+    from pyspark.sql import functions as F
+
+    learnt = langid.learn_model(make(spark, corpus() + odd), F.lit(True))
+    plain = langid.learn_model(make(spark, corpus()), F.lit(True))
+    assert {k: learnt.dictionaries[k] for k in ("en", "de")} == plain.dictionaries
+    assert all(learnt.dictionaries.values()) and len(learnt.dictionaries["en"]) > 100
+    got = {r.doc_id: r.lang_pred for r in langid.identify(make(spark, corpus() + odd)).collect()}
+    assert all(got[i] == lang for i, _, lang in corpus())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no benchmark tables")
+@pytest.mark.parametrize("odd", ODD)
+def test_held_out_accuracy_beside_a_rare_label(spark, odd):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(-i, t, k) for i, t, k in odd]
+    got = (langid.identify(docs.unionByName(spark.createDataFrame(odd, docs.schema)))
+           .where("held_out AND doc_id > 0").join(docs, "doc_id").collect())
+    assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.96

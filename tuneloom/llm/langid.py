@@ -2,7 +2,8 @@
 
 Each language gets a raw-content zstandard dictionary of its own texts. A text is compressed
 with every dictionary, piece by piece so that a long text stays comparable throughout, and the
-language of the smallest output wins. Texts without a letter, and texts whose two best outputs
+language of the smallest output wins. Outputs of dictionaries of unequal size count in units of
+what a dictionary of that size leaves of texts in other languages. Texts without a letter, and texts whose two best outputs
 are too close, are rejected as ``und``.
 """
 
@@ -11,7 +12,9 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +29,9 @@ DICTIONARY_BYTES = 1 << 16
 SAMPLE_TEXTS = 500
 SAMPLE_CHARS = 4000
 PIECE = 2048
+#: Texts a language, and languages with the largest dictionaries, on which the size of the dictionaries is corrected for.
+BASE_TEXTS = 20
+BASE_LANGUAGES = 6
 #: Match search that does not change with the size of what is compressed, as levels do.
 SEARCH = {"strategy": zstandard.STRATEGY_GREEDY, "window_log": 18, "hash_log": 17,
           "chain_log": 17, "search_log": 3, "min_match": 4}
@@ -33,15 +39,13 @@ SEARCH = {"strategy": zstandard.STRATEGY_GREEDY, "window_log": 18, "hash_log": 1
 TEMPERATURE = 4.0
 
 
-def learn_dictionaries(docs: DataFrame, learn: Column) -> dict[str, bytes]:
-    """Raw dictionaries by language, the one with most rows first, from the rows ``learn`` marks.
+def _sample(docs: DataFrame, learn: Column) -> dict[str, list[str]]:
+    """Text starts by language, the one with most rows first, from the rows ``learn`` marks.
 
     The sample is drawn by a hash threshold from counted rows, then cut in hash order, so
-    that no language gathers more than SAMPLE_TEXTS text starts. A dictionary is the distinct
-    words of the sample, the most frequent ones last, where they are cheapest to refer to. All
-    get the length of the shortest, so that none wins by its size.
+    that no language gathers more than SAMPLE_TEXTS text starts. Texts without a word teach nothing.
     """
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\S")).select(
         F.col("lang").alias("language"), F.substring("text", 1, SAMPLE_CHARS).alias("start"),
         F.abs(F.xxhash64("doc_id") % F.lit(1 << 30)).alias("draw"))
     counts = {r.language: r.n for r in rows.groupBy("language").agg(F.count("*").alias("n"))
@@ -55,21 +59,68 @@ def learn_dictionaries(docs: DataFrame, learn: Column) -> dict[str, bytes]:
     sample = (drawn.select("language", "draw", "start").distinct()
               .withColumn("rank", F.row_number().over(order))
               .where(F.col("rank") <= SAMPLE_TEXTS).orderBy("language", "rank").collect())
-    words: dict[str, Counter] = {}
+    starts: dict[str, list[str]] = {}
     for r in sample:
-        words.setdefault(r.language, Counter()).update(r.start.lower().split())
-    joined = {k: " ".join(sorted(v, key=lambda w: (v[w], w))).encode("utf-8", "replace")
-              for k, v in words.items()}
-    size = min([DICTIONARY_BYTES, *(len(v) for v in joined.values())])
-    return {k: joined[k][len(joined[k]) - size:]
-            for k in sorted(joined, key=lambda k: (-counts[k], k))}
+        if r.start.strip():
+            starts.setdefault(r.language, []).append(r.start)
+    return {k: starts[k] for k in sorted(starts, key=lambda k: (-counts[k], k))}
+
+
+def _dictionaries(starts: dict[str, list[str]]) -> dict[str, bytes]:
+    """The distinct words of each sample, the most frequent ones last, where they are cheapest
+    to refer to: as much of them as a dictionary holds, whatever the others have."""
+    out = {}
+    for language, texts in starts.items():
+        words = Counter(w for t in texts for w in t.lower().split())
+        joined = " ".join(sorted(words, key=lambda w: (words[w], w))).encode("utf-8", "replace")
+        out[language] = joined[-DICTIONARY_BYTES:]
+    return out
+
+
+def _baselines(dictionaries: dict[str, bytes], starts: dict[str, list[str]]) -> dict[str, float]:
+    """What dictionaries of each one's size leave of other languages' texts; 1 for the largest.
+
+    Measured with the dictionaries of BASE_LANGUAGES languages cut to powers of two, and
+    interpolated, so that dictionaries of equal size count alike.
+    """
+    sizes = {k: len(v) for k, v in dictionaries.items()}
+    largest = max(sizes.values(), default=0)
+    if min(sizes.values(), default=0) == largest:
+        return dict.fromkeys(sizes, 1.0)
+    levels = [1 << i for i in range(4, 17, 2) if 1 << i < largest] + [largest]
+    by_size = sorted(sizes, key=lambda k: -sizes[k])[:BASE_LANGUAGES]
+    texts = [(k, t) for k in by_size for t in starts[k][:BASE_TEXTS]]
+    left = []
+    for level in levels:
+        coders = Coders({k: dictionaries[k][-level:] for k in by_size if sizes[k] >= level})
+        found = [(n, whole) for language, text in texts
+                 for whole in (len(text.encode("utf-8", "replace")),)
+                 for other, n in coders.sizes(text).items() if other != language]
+        left.append(sum(n for n, _ in found) / max(1, sum(w for _, w in found)))
+    share = np.interp(np.log2(list(sizes.values())), np.log2(levels), np.array(left) / left[-1])
+    return dict(zip(sizes, share.tolist(), strict=True))
+
+
+class Model(NamedTuple):
+    """What is learnt from the labelled sample."""
+
+    dictionaries: dict[str, bytes]
+    baselines: dict[str, float]
+
+
+def learn_model(docs: DataFrame, learn: Column) -> Model:
+    """Raw dictionaries by language, the one with most rows first, and their baselines."""
+    starts = _sample(docs, learn)
+    dictionaries = _dictionaries(starts)
+    return Model(dictionaries, _baselines(dictionaries, starts))
 
 
 class Coders:
     """One compressor a language, made once per task."""
 
-    def __init__(self, dictionaries: dict[str, bytes]):
+    def __init__(self, dictionaries: dict[str, bytes], baselines: dict[str, float] | None = None):
         self.coders = {}
+        self.baselines = baselines or dict.fromkeys(dictionaries, 1.0)
         search = zstandard.ZstdCompressionParameters(
             write_content_size=False, write_dict_id=False, **SEARCH)
         for language, content in dictionaries.items():
@@ -89,8 +140,8 @@ class Coders:
         """Language and the odds of it among all; ``und`` and 0 for a rejected text."""
         if not self.coders or not text or not any(c.isalpha() for c in text):
             return UNKNOWN, 0.0
-        ranked = sorted(((n, language) for language, n in self.sizes(text).items()),
-                        key=lambda r: r[0])
+        ranked = sorted(((n / self.baselines[language], language)
+                         for language, n in self.sizes(text).items()), key=lambda r: r[0])
         least = ranked[0][0]
         if len(ranked) > 1 and ranked[1][0] - least < margin * least:
             return UNKNOWN, 0.0
@@ -98,9 +149,9 @@ class Coders:
         return ranked[0][1], 1.0 / odds
 
 
-def _classifier(dictionaries: dict[str, bytes], margin: float):
+def _classifier(model: Model, margin: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coders = Coders(dictionaries)
+        coders = Coders(model.dictionaries, model.baselines)
         for batch in batches:
             found = [coders.predict(t, margin) for t in batch.column("text").to_pylist()]
             names = batch.schema.names
@@ -121,22 +172,21 @@ def identify(docs: DataFrame, folds: int = 5, margin: float = 0.0) -> DataFrame:
     language that more rows teach. Without any language to learn everything is ``und``. Repeated rows stay rows.
     """
     out = held_out(F.col("doc_id"), folds)
-    dictionaries = learn_dictionaries(docs.select("doc_id", "text", "lang"), ~out)
+    model = learn_model(docs.select("doc_id", "text", "lang"), ~out)
     return (docs.select("doc_id", out.alias("held_out"), "text")
-            .mapInArrow(_classifier(dictionaries, margin),
+            .mapInArrow(_classifier(model, margin),
                         "doc_id bigint, held_out boolean, lang_pred string, score double"))
 
 
 def keep_identified(docs: DataFrame, folds: int = 5, margin: float = 0.0) -> DataFrame:
     """The documents that are not rejected, with all their columns; rows stay where they lie."""
-    dictionaries = learn_dictionaries(docs.select("doc_id", "text", "lang"),
-                                      ~held_out(F.col("doc_id"), folds))
+    model = learn_model(docs.select("doc_id", "text", "lang"), ~held_out(F.col("doc_id"), folds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coders = Coders(dictionaries)
+        coders = Coders(model.dictionaries, model.baselines)
         for batch in batches:
             texts = batch.column(batch.schema.names.index("text")).to_pylist()
             yield batch.filter(pa.array(
                 [coders.predict(t, margin)[0] != UNKNOWN for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema) if dictionaries else docs.limit(0)
+    return docs.mapInArrow(run, docs.schema) if model.dictionaries else docs.limit(0)
