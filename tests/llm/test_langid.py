@@ -96,3 +96,19 @@ def test_held_out_accuracy_beside_a_rare_label(spark, odd):
     got = (langid.identify(docs.unionByName(spark.createDataFrame(odd, docs.schema)))
            .where("held_out AND doc_id > 0").join(docs, "doc_id").collect())
     assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.96
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no benchmark tables")
+def test_the_stage_rejects_an_untaught_language(spark):
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) >= 100")
+    spanish = F.col("lang") == "es"
+    kept = corpus_pipeline.language(spark, docs.withColumn(
+        "lang", F.when(~spanish, F.col("lang"))).withColumn("was", F.col("lang")), "")
+    before, after = (dict(d.groupBy(spanish.alias("s") if c == "lang" else F.col("was").isNull())
+                          .count().collect()) for d, c in ((docs, "lang"), (kept, "was")))
+    assert after[False] > 0.97 * before[False]
+    assert after.get(True, 0) < 0.2 * before[True]

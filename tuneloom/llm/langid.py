@@ -32,6 +32,9 @@ PIECE = 2048
 #: Texts a language, and languages with the largest dictionaries, on which the size of the dictionaries is corrected for.
 BASE_TEXTS = 20
 BASE_LANGUAGES = 6
+#: Texts a language from which the margin is chosen, and its place among their margins.
+MARGIN_TEXTS = 200
+UNTAUGHT, CLEAN = 0.95, 0.01
 #: Match search that does not change with the size of what is compressed, as levels do.
 SEARCH = {"strategy": zstandard.STRATEGY_GREEDY, "window_log": 18, "hash_log": 17,
           "chain_log": 17, "search_log": 3, "min_match": 4}
@@ -101,18 +104,48 @@ def _baselines(dictionaries: dict[str, bytes], starts: dict[str, list[str]]) ->
     return dict(zip(sizes, share.tolist(), strict=True))
 
 
+def _margin(starts: dict[str, list[str]]) -> float:
+    """The margin under which a text is taken for one of an untaught language.
+
+    One half of the sample is compared with dictionaries of the other. Without the dictionary of
+    its own language a text stands for an untaught one: the margin lies above UNTAUGHT of these,
+    but under all save CLEAN of the right answers that do not tie. Two languages leave no such
+    comparison, so half of what the right answers allow is taken.
+    """
+    taught = {k: t[::2] for k, t in starts.items()}
+    dictionaries = _dictionaries(taught)
+    coders = Coders(dictionaries, _baselines(dictionaries, taught))
+    each = max(1, min(MARGIN_TEXTS, 1000 // max(1, len(starts))))
+    right, untaught = [], []
+    for language, texts in starts.items():
+        for text in texts[1::2][:each]:
+            if not any(c.isalpha() for c in text):
+                continue
+            ranked = coders.ranked(text)
+            if len(ranked) > 1 and ranked[0][1] == language and ranked[1][0] > ranked[0][0]:
+                right.append(ranked[1][0] / ranked[0][0] - 1)
+            others = [n for n, k in ranked if k != language]
+            if len(others) > 1:
+                untaught.append(others[1] / others[0] - 1)
+    if not right:
+        return 0.0
+    clean = float(np.quantile(right, CLEAN, method="lower"))
+    return min(clean, float(np.quantile(untaught, UNTAUGHT))) if untaught else clean / 2
+
+
 class Model(NamedTuple):
     """What is learnt from the labelled sample."""
 
     dictionaries: dict[str, bytes]
     baselines: dict[str, float]
+    margin: float
 
 
 def learn_model(docs: DataFrame, learn: Column) -> Model:
-    """Raw dictionaries by language, the one with most rows first, and their baselines."""
+    """Raw dictionaries by language, the one with most rows first, their baselines, a margin."""
     starts = _sample(docs, learn)
     dictionaries = _dictionaries(starts)
-    return Model(dictionaries, _baselines(dictionaries, starts))
+    return Model(dictionaries, _baselines(dictionaries, starts), _margin(starts))
 
 
 class Coders:
@@ -136,12 +169,16 @@ class Coders:
         return {language: sum(len(coder.compress(p)) for p in pieces)
                 for language, coder in self.coders.items()}
 
+    def ranked(self, text: str) -> list[tuple[float, str]]:
+        """Corrected outputs and their languages, the smallest first."""
+        return sorted(((n / self.baselines[language], language)
+                       for language, n in self.sizes(text).items()), key=lambda r: r[0])
+
     def predict(self, text: str | None, margin: float = 0.0) -> tuple[str, float]:
         """Language and the odds of it among all; ``und`` and 0 for a rejected text."""
         if not self.coders or not text or not any(c.isalpha() for c in text):
             return UNKNOWN, 0.0
-        ranked = sorted(((n / self.baselines[language], language)
-                         for language, n in self.sizes(text).items()), key=lambda r: r[0])
+        ranked = self.ranked(text)
         least = ranked[0][0]
         if len(ranked) > 1 and ranked[1][0] - least < margin * least:
             return UNKNOWN, 0.0
@@ -178,15 +215,20 @@ def identify(docs: DataFrame, folds: int = 5, margin: float = 0.0) -> DataFrame:
                         "doc_id bigint, held_out boolean, lang_pred string, score double"))
 
 
-def keep_identified(docs: DataFrame, folds: int = 5, margin: float = 0.0) -> DataFrame:
-    """The documents that are not rejected, with all their columns; rows stay where they lie."""
+def keep_identified(docs: DataFrame, folds: int = 5, margin: float | None = None) -> DataFrame:
+    """The documents that are not rejected, with all their columns; rows stay where they lie.
+
+    Without a ``margin`` the one learnt from the training fold holds; then texts whose two
+    smallest outputs tie are rejected too.
+    """
     model = learn_model(docs.select("doc_id", "text", "lang"), ~held_out(F.col("doc_id"), folds))
+    least = max(model.margin, 1e-9) if margin is None else margin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = Coders(model.dictionaries, model.baselines)
         for batch in batches:
             texts = batch.column(batch.schema.names.index("text")).to_pylist()
             yield batch.filter(pa.array(
-                [coders.predict(t, margin)[0] != UNKNOWN for t in texts], pa.bool_()))
+                [coders.predict(t, least)[0] != UNKNOWN for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema) if model.dictionaries else docs.limit(0)
