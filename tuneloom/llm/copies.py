@@ -93,16 +93,18 @@ def _prefixes(width: int, least: Fraction, common: np.ndarray | None,
                 found = [prefix(f, common, least) for f in found]
                 row = np.repeat(np.arange(len(found)), [len(f) for f in found])
                 token = np.concatenate(found)
+                place = np.concatenate([np.arange(len(f)) for f in found])
                 if shared is None:
                     yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64))],
                                                      names=["token"])
                     continue
                 kept = _set(shared, token)
-                token, row = token[kept], row[kept]
+                token, row, place = token[kept], row[kept], place[kept]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(token.view(np.int64)), batch.column("id").take(pa.array(row)),
-                     batch.column("h").take(pa.array(row)), pa.array(sizes[row])],
-                    names=["token", "id", "h", "n"])
+                     batch.column("h").take(pa.array(row)), pa.array(sizes[row]),
+                     pa.array(sizes[row] - place)],
+                    names=["token", "id", "h", "n", "rest"])
     return run
 
 
@@ -132,22 +134,25 @@ def _table(tokens: DataFrame) -> np.ndarray:
 def _candidates(buckets: DataFrame, pairs_up_to: int | None, least: Fraction) -> DataFrame:
     """``ia, ha, ib, hb``: documents whose prefixes share a token, the first one in order as a.
 
-    All pairs, or those with the first document of the token where it has more.
+    All pairs, or those with the first document of the token where it has more. What follows the
+    first shared token in both must be enough, by the sizes, for the similarity.
     """
     counted = buckets.groupBy("token").agg(F.count("*").alias("c"),
-                                           F.min(F.struct("id", "h", "n")).alias("a"))
+                                           F.min(F.struct("id", "h", "n", "rest")).alias("a"))
     met = buckets.join(stage_table(counted.where("c > 1"), "token-counts"), "token")
     small, large = met, None
     if pairs_up_to is not None:
         small, large = met.where(F.col("c") <= pairs_up_to), met.where(F.col("c") > pairs_up_to)
-    pair = ["a.id AS ia", "a.h AS ha", "a.n AS na", "id AS ib", "h AS hb", "n AS nb"]
-    every = small.select("token", F.struct("id", "h", "n").alias("a")).join(
-        small.select("token", "id", "h", "n"), "token").selectExpr(*pair)
+    pair = ["a.id AS ia", "a.h AS ha", "a.n AS na", "a.rest AS ra", "id AS ib", "h AS hb", "n AS nb",
+            "rest AS rb"]
+    every = small.select("token", F.struct("id", "h", "n", "rest").alias("a")).join(
+        small.select("token", "id", "h", "n", "rest"), "token").selectExpr(*pair)
     if large is not None:
         every = every.unionByName(large.selectExpr(*pair))
     up, down = least.numerator, least.denominator
     return (every.where("ia < ib OR (ia = ib AND ha < hb)")
-            .where(f"na * {down} >= nb * {up} AND nb * {down} >= na * {up}")
+            .where(f"na * {down} >= nb * {up} AND nb * {down} >= na * {up} "
+                   f"AND (na + nb) * {up} <= least(ra, rb) * {up + down}")
             .select("ia", "ha", "ib", "hb").distinct())
 
 
@@ -190,17 +195,18 @@ def without_copies(docs: DataFrame, width: int = SHINGLE, least: Fraction = LEAS
         found = counts(common)
     shared = _table(found)
     buckets = stage_table(rows.mapInArrow(
-        _prefixes(width, least, common, shared), "token bigint, id bigint, h bigint, n bigint")
+        _prefixes(width, least, common, shared), "token bigint, id bigint, h bigint, n bigint, rest bigint")
         .distinct(), "buckets")
     gone = []
     while True:
         left = buckets
         for table in gone:
             left = left.join(table, ["id", "h"], "left_anti")
-        over = not left.groupBy("token").count().where(F.col("count") > LARGE).isEmpty()
+        limit = LARGE if gone else 2  # groups go first, so that few pairs are left
+        over = not left.groupBy("token").count().where(F.col("count") > limit).isEmpty()
         # the last round compares all pairs: after one that removed nothing, of any size
-        every = not over or bool(gone) and gone[-1].isEmpty()
-        pairs = stage_table(_candidates(stage_table(left, "left"), None if every else LARGE,
+        every = not over or len(gone) > 1 and gone[-1].isEmpty()
+        pairs = stage_table(_candidates(stage_table(left, "left"), None if every else limit,
                                         least), "candidates")
         gone.append(stage_table(_verified(rows, pairs, width, least), "copies"))
         if every:
