@@ -4,6 +4,7 @@ import random
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from tuneloom.llm import mixing
 
@@ -99,11 +100,27 @@ def test_repeated_and_null_ids(spark):
 
 def test_mixed_documents(spark):
     df = docs(spark, 120)
-    drawn = mixing.mix(df).collect()
+    drawn = {r.doc_id: r.copies + (r.part > 0 and r.part * 2 >= r["size"]) for r in mixing.mix(df).collect()}
     out = mixing.mixed_documents(df)
     assert out.columns == df.columns
-    words = sum(len((r.text or "").split()) for r in out.collect())
-    assert words == sum(r.taken for r in drawn)
-    cut = [r for r in out.collect() if r.n_chars]
-    assert len(cut) == sum(1 for r in drawn if r.part) and all(len(r.text) == r.n_chars for r in cut)
+    whole = {r.doc_id: r for r in df.collect()}
+    rows = out.collect()
+    assert all(r == whole[r.doc_id] for r in rows)
+    assert {i: sum(r.doc_id == i for r in rows) for i in whole} == drawn
     assert mixing.mixed_documents(df.limit(0)).count() == 0
+
+
+def test_rows_equal_in_id_and_text_keep_their_columns(spark):
+    rows = [(1, "a b c", "en", "x"), (1, "a b c", "de", "y"), (1, "a b c", "fr", "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    out = mixing.mixed_documents(df.withColumn("a.b", F.lit(1)), share=2.0)  # all of them twice
+    assert out.columns[-1] == "a.b"
+    assert sorted(tuple(r)[:4] for r in out.collect()) == sorted(rows * 2)
+
+
+def test_rows_that_repeat_often_are_split(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 100)
+    df = spark.range(5000).select(F.lit(1).alias("doc_id"), F.lit("a b c").alias("text"),
+                                  F.lit("s").alias("source"))
+    rows = mixing.mix(df).collect()
+    assert len(rows) == 5000 and abs(sum(r.taken for r in rows) - 22500) <= 1

@@ -7,6 +7,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from tuneloom.llm import shards
 
 DOCS = "doc_id bigint, text string, shard int, slot string, size int"
@@ -80,3 +82,22 @@ def test_rows(spark, monkeypatch):
 def test_nothing(spark):
     df = spark.createDataFrame([], DOCS)
     assert shards.shard_rows(df).count() == 0 and shards.sharded_documents(df).count() == 0
+
+
+def test_rows_equal_in_id_and_text_keep_their_columns(spark):
+    rows = [(1, "a b c", "en"), (1, "a b c", "de"), (1, "a b c", "de"), (2, "z", "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, `la.ng` string")
+    out = shards.sharded_documents(df)
+    assert out.columns == ["doc_id", "text", "la.ng", "shard", "slot"]
+    found = out.collect()
+    assert sorted(tuple(r)[:3] for r in found) == sorted(rows)
+    assert len({(r.shard, r.slot) for r in found}) == 4
+
+
+def test_rows_that_repeat_often_are_split(spark, monkeypatch):
+    monkeypatch.setattr(shards, "SLOT_ROWS", 50)
+    df = spark.range(3000).select(F.lit(None).cast("bigint").alias("doc_id"),
+                                  F.lit(None).cast("string").alias("text"))
+    rows = shards.shard_rows(df).collect()
+    assert len({r.shard for r in rows}) == 1  # one group
+    assert sorted(r.slot for r in rows) == list(range(3000))

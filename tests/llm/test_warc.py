@@ -31,7 +31,7 @@ def test_round_trip(spark, monkeypatch):
     monkeypatch.setattr(warc, "FILE_RECORDS", 7)
     got = warc.round_trip(make(spark, ROWS + [ROWS[0]]).repartition(3)).collect()
     want = []
-    for i, _, html in ROWS:
+    for i, _, html in ROWS + [ROWS[0]]:
         same = [j for j, _, h in ROWS if (h or "") == (html or "") and j is not None]
         first = min(same)
         want.append((str(i), len((html or "").encode()), b32(html),

@@ -44,3 +44,17 @@ def row_key() -> Column:
     """Stands for a document: its id and its whole text."""
     return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
                        text_key(F.col("text")))
+
+
+def named(column: str) -> Column:
+    """A column by its plain name, whatever characters that holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def whole_row(docs: DataFrame) -> Column:
+    return F.struct(*map(named, docs.columns))
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """Tells rows apart that are equal in id and text but not in other columns."""
+    return F.xxhash64(F.to_json(whole_row(docs)))

@@ -1,216 +1,36 @@
-"""Near copies by the share of five-word shingles, found without a miss.
-
-Two sets of shingles with a Jaccard similarity of ``LEAST`` or more share a shingle among the
-first n - ceil(LEAST * n) + 1 of each, in any order that is the same for all texts (prefix
-filter). The order is that of the shingles' hashes, with shingles that many prefixes hold put
-last, so that common passages stay out of the prefixes. Which ones are common, and which ones
-two prefixes share at all, stands in bit tables of fixed size: a wrong bit costs time only.
-
-A pass counts the prefixes' shingles, and only those that can be shared are written with their
-document. Candidates are verified on their whole sets. A shingle that still stands in many
-prefixes is that of a large group of copies: its documents are compared with the first of them,
-the copies go, and the rest is dealt with anew.
-"""
+"""Near copies by the share of five-word shingles: one document of each group stays."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from fractions import Fraction
 
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuneloom.llm.common import row_key
+from tuneloom.llm.common import whole_row
+from tuneloom.llm.overlap import near_classes
 from tuneloom.session import stage_table
 
 SHINGLE = 5
-#: Exact, as the length of a prefix must not depend on rounding.
 LEAST = Fraction(4, 5)
-#: Prefixes that may hold a shingle before all pairs of their documents are too many.
-LARGE = 64
-_BITS = 26
-_STEP = 256
-_CACHE = 1 << 20
-
-
-class Shingles:
-    """Shingle hashes of texts; keeps the hashes of words a task has seen."""
-
-    def __init__(self, width: int):
-        self.width = width
-        self.known: dict[bytes, int] = {}
-        self.powers = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(width)],
-                               np.uint64)
-
-    def _word(self, word: bytes) -> int:
-        found = self.known.get(word)
-        if found is None:
-            found = self.known[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-    def of(self, text: str | None) -> np.ndarray:
-        """Sorted distinct hashes, A-Z in lower case; fewer words make a single shingle."""
-        if len(self.known) > _CACHE:
-            self.known = {}
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        hashes = np.fromiter(map(self._word, words), np.uint64, len(words))
-        n = max(1, len(words) - self.width + 1) if words else 0
-        out = np.zeros(n, np.uint64)
-        for i, power in enumerate(self.powers[:len(words)]):
-            out += hashes[i:i + n] * power
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return np.unique(out ^ (out >> np.uint64(32)))
-
-
-def _set(bits: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
-    if bits is None:
-        return np.zeros(len(hashes), bool)
-    at = (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
-    return bits[at >> 3] >> (at & 7) & 1 == 1
-
-
-def prefix(hashes: np.ndarray, common: np.ndarray | None, least: Fraction) -> np.ndarray:
-    """The shingles of which two similar sets share one."""
-    n = len(hashes)
-    need = -(-least.numerator * n // least.denominator)
-    last = _set(common, hashes)
-    return np.concatenate([hashes[~last], hashes[last]])[:n - need + 1 if n else 0]
-
-
-def _prefixes(width: int, least: Fraction, common: np.ndarray | None,
-              shared: np.ndarray | None = None):
-    """Rows of prefix shingles: all of them, or those that can be shared with their document."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(width)
-        for whole in batches:
-            for start in range(0, whole.num_rows, _STEP):
-                batch = whole.slice(start, _STEP)
-                found = [shingles.of(t) for t in batch.column("text").to_pylist()]
-                sizes = np.array([len(f) for f in found], np.int64)
-                found = [prefix(f, common, least) for f in found]
-                row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                token = np.concatenate(found)
-                place = np.concatenate([np.arange(len(f)) for f in found])
-                if shared is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64))],
-                                                     names=["token"])
-                    continue
-                kept = _set(shared, token)
-                token, row, place = token[kept], row[kept], place[kept]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(token.view(np.int64)), batch.column("id").take(pa.array(row)),
-                     batch.column("h").take(pa.array(row)), pa.array(sizes[row]),
-                     pa.array(sizes[row] - place)],
-                    names=["token", "id", "h", "n", "rest"])
-    return run
-
-
-def _sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(width)
-        for batch in batches:
-            found = [shingles.of(t).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("h"), pa.array(found, pa.list_(pa.int64()))],
-                names=["id", "h", "tokens"])
-    return run
-
-
-def _table(tokens: DataFrame) -> np.ndarray:
-    """Bit table of the tokens, gathered as words of 64 bits: at most 2 ** (_BITS - 6) rows."""
-    bit = F.shiftrightunsigned("token", 64 - _BITS)
-    words = (tokens.groupBy(F.shiftright(bit, 6).alias("word"))
-             .agg(F.expr(f"bit_or(shiftleft(1L, CAST(shiftrightunsigned(token, {64 - _BITS}) "
-                         "& 63 AS INT)))").alias("bits")))
-    found = words.toArrow()
-    bits = np.zeros(1 << (_BITS - 6), np.int64)
-    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return bits.astype("<i8").view(np.uint8)
-
-
-def _candidates(buckets: DataFrame, pairs_up_to: int | None, least: Fraction) -> DataFrame:
-    """``ia, ha, ib, hb``: documents whose prefixes share a token, the first one in order as a.
-
-    All pairs, or those with the first document of the token where it has more. What follows the
-    first shared token in both must be enough, by the sizes, for the similarity.
-    """
-    counted = buckets.groupBy("token").agg(F.count("*").alias("c"),
-                                           F.min(F.struct("id", "h", "n", "rest")).alias("a"))
-    met = buckets.join(stage_table(counted.where("c > 1"), "token-counts"), "token")
-    small, large = met, None
-    if pairs_up_to is not None:
-        small, large = met.where(F.col("c") <= pairs_up_to), met.where(F.col("c") > pairs_up_to)
-    pair = ["a.id AS ia", "a.h AS ha", "a.n AS na", "a.rest AS ra", "id AS ib", "h AS hb", "n AS nb",
-            "rest AS rb"]
-    every = small.select("token", F.struct("id", "h", "n", "rest").alias("a")).join(
-        small.select("token", "id", "h", "n", "rest"), "token").selectExpr(*pair)
-    if large is not None:
-        every = every.unionByName(large.selectExpr(*pair))
-    up, down = least.numerator, least.denominator
-    return (every.where("ia < ib OR (ia = ib AND ha < hb)")
-            .where(f"na * {down} >= nb * {up} AND nb * {down} >= na * {up} "
-                   f"AND (na + nb) * {up} <= least(ra, rb) * {up + down}")
-            .select("ia", "ha", "ib", "hb").distinct())
-
-
-def _verified(rows: DataFrame, pairs: DataFrame, width: int, least: Fraction) -> DataFrame:
-    """``id, h`` of the later document of every pair that is similar by the whole sets."""
-    ends = pairs.selectExpr("ia AS id", "ha AS h").unionByName(
-        pairs.selectExpr("ib AS id", "hb AS h")).distinct()
-    sets = stage_table(rows.join(ends, ["id", "h"], "left_semi").mapInArrow(
-        _sets(width), "id bigint, h bigint, tokens array<bigint>"), "sets")
-    both = (pairs.join(sets.toDF("ia", "ha", "ta"), ["ia", "ha"])
-            .join(sets.toDF("ib", "hb", "tb"), ["ib", "hb"]))
-    same = F.size(F.array_intersect("ta", "tb"))
-    either = F.size("ta") + F.size("tb") - same
-    return (both.where(same * least.denominator >= either * least.numerator)
-            .selectExpr("ib AS id", "hb AS h").distinct())
 
 
 def without_copies(docs: DataFrame, width: int = SHINGLE, least: Fraction = LEAST) -> DataFrame:
-    """The documents that stay, with all their columns: no two of them are near copies.
+    """The documents that stay, with all their columns: one of each group of near copies.
 
-    Each that goes is a near copy of one with a smaller id, so the first of a group stays. Rows of a document that repeats as a whole stay or go together. Texts without words are
-    near copies of nothing. Documents of equal or null id are ordered by a hash; null is last.
+    A group is what hangs together by similarities of ``least`` or more, found by the
+    T-occurrence join (``llm/overlap.py``) over whole texts. The row with the smallest id stays,
+    null ids being last; where that id repeats, the text of least hash. Rows that are equal in
+    id and text stay or go together. Texts without words are near copies of nothing. An empty
+    table gives an empty result.
     """
-    last = (1 << 63) - 1
-    full = docs.select(F.struct(*docs.columns).alias("row"),
-                       F.coalesce(F.col("doc_id").cast("bigint"), F.lit(last)).alias("id"),
-                       F.xxhash64(row_key()).alias("h"))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(last)).alias("id"),
-                       F.xxhash64(row_key()).alias("h"), "text")
-
-    def counts(common: np.ndarray | None) -> DataFrame:
-        tokens = rows.select("text").mapInArrow(_prefixes(width, least, common), "token bigint")
-        return stage_table(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"),
-                           "shared-tokens")
-
-    found, common = counts(None), None
-    large = found.where(F.col("c") > LARGE)
-    if not large.isEmpty():
-        common = _table(large)
-        found = counts(common)
-    shared = _table(found)
-    buckets = stage_table(rows.mapInArrow(
-        _prefixes(width, least, common, shared), "token bigint, id bigint, h bigint, n bigint, rest bigint")
-        .distinct(), "buckets")
-    gone = []
-    while True:
-        left = buckets
-        for table in gone:
-            left = left.join(table, ["id", "h"], "left_anti")
-        limit = LARGE if gone else 2  # groups go first, so that few pairs are left
-        over = not left.groupBy("token").count().where(F.col("count") > limit).isEmpty()
-        # the last round compares all pairs: after one that removed nothing, of any size
-        every = not over or len(gone) > 1 and gone[-1].isEmpty()
-        pairs = stage_table(_candidates(stage_table(left, "left"), None if every else limit,
-                                        least), "candidates")
-        gone.append(stage_table(_verified(rows, pairs, width, least), "copies"))
-        if every:
-            break
-    for table in gone:
-        full = full.join(table, ["id", "h"], "left_anti")
-    return full.select("row.*")
+    found = near_classes(docs, width, least).where(F.col("root").isNotNull())
+    found = stage_table(found.select("doc_id", "h", "root"), "near-classes")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
+    first = found.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("rows"))
+    first = stage_table(first.where("rows > 1").select("root", F.col("first.h").alias("kept")),
+                        "kept")
+    gone = stage_table(found.join(first, "root").where("h <> kept").select("h").distinct(), "gone")
+    full = docs.select(whole_row(docs).alias("row"),
+                       F.xxhash64(F.col("doc_id").cast("bigint"), "text").alias("h"))
+    return full.join(gone, "h", "left_anti").select("row.*")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuneloom.llm.common import WORD, row_key, word_count
+from tuneloom.llm.common import row_hash, row_key, whole_row, word_count
 from tuneloom.operators.ranks import dense_seq
 from tuneloom.session import stage_table
 
@@ -30,8 +30,8 @@ BLOCK = 2048
 #: Blocks whose open documents meet in the next round.
 FAN = 512
 _EPS = 1e-9
-_OPEN = ("source_no bigint, block bigint, blocks bigint, key string, size bigint, "
-         "source_size bigint, target double, whole bigint, chance double")
+_OPEN = ("source_no bigint, block bigint, blocks bigint, key string, hash bigint, number bigint, "
+         "size bigint, source_size bigint, target double, whole bigint, chance double")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE,
@@ -113,7 +113,7 @@ def landing(sizes: list[int], chances: list[float], rng: random.Random) -> list[
 
 def _flown(seed: int, land: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["order", "key", "size"]).reset_index(drop=True)
+        rows = rows.sort_values(["order", "key", "hash", "number"]).reset_index(drop=True)
         first = rows.iloc[0]
         rng = random.Random(f"{seed}:{first.source_no}:{first.blocks}:{first.block}")
         sizes = [int(x) for x in rows["size"]]
@@ -133,23 +133,37 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     """What the mix takes of every document: ``doc_id, key, size, source_size, target, copies,
     part, taken``; ``copies`` whole copies and the first ``part`` words of another one.
 
-    Documents are told apart by id and whole text (``key``), so the result does not depend on
-    how the table is partitioned, and reruns agree. Null texts and texts without words have
-    size 0 and are never taken; a null source is a source. Repeated rows are drawn one by one.
-    An empty table gives an empty result.
+    Documents are told apart by id and whole text (``key``) and the other columns, so the result
+    does not depend on how the table is partitioned, and reruns agree. Null texts and texts
+    without words have size 0 and are never taken; a null source is a source. Repeated rows are
+    drawn one by one, in blocks like all others. An empty table gives an empty result.
     """
-    rows = stage_table(docs.select(
-        row_key().alias("key"), word_count(F.col("text")).alias("size"), "source"),
-        "sizes")
+    rows = docs.select(row_key().alias("key"), row_hash(docs).alias("hash"),
+                       F.monotonically_increasing_id().alias("number"),
+                       word_count(F.col("text")).alias("size"), "source")
+    return _mixed(stage_table(rows, "sizes"), weights, share, most, seed).select(
+        F.expr("try_cast(substring_index(key, ':', 1) AS bigint)").alias("doc_id"),
+        "key", "size", "source_size", "target", "copies", "part", "taken")
+
+
+def _mixed(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE,
+           most: float = MOST, seed: int = 7) -> DataFrame:
+    """The mix of a staged table ``key, hash, number, size, source``; ``number`` is unique."""
     sizes = rows.groupBy("source").agg(F.count("*").alias("docs"),
                                        F.sum("size").alias("source_size"))
     targets = source_targets(stage_table(sizes, "source-sizes"), weights, share, most)
     targets = stage_table(targets.withColumnRenamed("source", "_source"), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     blocks = F.ceil(F.col("docs") / F.lit(BLOCK))
-    rows = (rows.join(targets, F.col("source").eqNullSafe(F.col("_source")))
-            .withColumn("blocks", blocks)
-            .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    rows = rows.join(targets, F.col("source").eqNullSafe(F.col("_source")))
+    often = stage_table(rows.groupBy("key", "source_no").agg(F.count("*").alias("times"))
+                        .where(F.col("times") > BLOCK), "repeated")
+    rows = (rows.withColumn("blocks", blocks)
+            .join(often, ["key", "source_no"], "left")
+            # what repeats more often than a block may hold is spread over blocks
+            .withColumn("block", F.pmod(F.when(F.col("times").isNull(), F.xxhash64("key")).otherwise(
+                F.xxhash64("key", F.pmod("number", F.ceil(F.col("times") / BLOCK)))),
+                F.col("blocks")))
             .withColumn("whole", F.floor(rate))
             .withColumn("chance", F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(0.0)))
     most_blocks = targets.agg(F.max(F.ceil(F.col("docs") / F.lit(BLOCK)))).first()[0] or 1
@@ -175,31 +189,25 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
                   ).otherwise(0).cast("bigint")
     return (every.withColumn("copies", copies).withColumn("part", part)
             .withColumn("taken", F.col("copies") * F.col("size") + F.col("part"))
-            .withColumn("doc_id", F.expr("try_cast(substring_index(key, ':', 1) AS bigint)"))
-            .select("doc_id", "key", "size", "source_size", "target", "copies", "part", "taken"))
+            .select("number", "key", "size", "source_size", "target", "copies", "part", "taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, as often as it takes them, with all their columns.
 
-    The one document a source is cut in holds the first words that are taken, joined by
-    blanks, and their number of characters in ``n_chars`` if the table has that column.
+    Texts stay whole: the one document a source that the mix takes in part comes once more if
+    half of its words or more are taken, so a source's words are within one of its documents
+    of the target. Rows are drawn and repeated one by one, whatever they have in common.
     """
-    drawn = mix(docs, **options).groupBy("key").agg(
-        F.sum("copies").alias("copies"),
-        F.array_agg(F.when(F.col("part") > 0, F.col("part"))).alias("parts"))
-    drawn = stage_table(drawn.where("copies > 0 OR size(parts) > 0"), "drawn").select(
-        F.col("key").alias("_key"), "copies", "parts")
-    full = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("_key"))
-    uses = F.concat(F.array_repeat(F.lit(None).cast("bigint"), F.col("copies").cast("int")),
-                    F.col("parts"))
-    out = (full.dropDuplicates(["_key"]).join(drawn, "_key")
-           .withColumn("words", F.explode(uses)))
-    text = F.when(F.col("words").isNull(), F.col("row.text")).otherwise(F.array_join(
-        F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), 1,
-                F.col("words").cast("int")), " "))
-    out = out.withColumn("text", text)
-    columns = {"text": F.col("text"), "n_chars": F.when(
-        F.col("words").isNull(), F.col("row.n_chars")).otherwise(F.char_length("text"))} \
-        if "n_chars" in docs.columns else {"text": F.col("text")}
-    return out.select([columns.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    rows = stage_table(docs.select(
+        whole_row(docs).alias("row"), row_key().alias("key"), row_hash(docs).alias("hash"),
+        F.monotonically_increasing_id().alias("number"), word_count(F.col("text")).alias("size"),
+        F.col("source")), "rows")
+    drawn = _mixed(rows.drop("row"), **options).select(
+        "number", (F.col("copies") + F.when((F.col("part") > 0) & (
+            2 * F.col("part") >= F.col("size")), 1).otherwise(0))
+        .alias("uses")).where("uses > 0")
+    drawn = stage_table(drawn, "drawn")
+    return (rows.select("number", "row").join(drawn, "number")
+            .withColumn("use", F.explode(F.sequence(F.lit(1).cast("bigint"), "uses")))
+            .select("row.*"))

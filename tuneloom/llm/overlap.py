@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuneloom.llm.components import connected_components
-from tuneloom.llm.copies import Shingles
+from tuneloom.llm.shingles import Shingles, bit_set, bit_table
 from tuneloom.session import stage_table
 
 SHINGLE = 4
@@ -78,20 +78,21 @@ def _marked(width: int, least: Fraction):
     return run
 
 
-def _sets(width: int):
-    """The sets of texts that stand for a class, told by its digest."""
+def _sets(width: int, wanted: np.ndarray):
+    """Digests and sets of the texts whose hash is in a bit table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
         for whole in batches:
+            h = whole.column("h").to_numpy().view(np.uint64)
+            whole = whole.filter(pa.array(bit_set(wanted, h)))
             for start in range(0, whole.num_rows, _STEP):
                 batch = whole.slice(start, _STEP)
                 found = [shingles.of(t) for t in batch.column("text").to_pylist()]
-                same = [xxhash.xxh3_128_digest(f.tobytes()) == d for f, d in zip(
-                    found, batch.column("digest").to_pylist(), strict=True)]
+                digest = [xxhash.xxh3_128_digest(f.tobytes()) for f in found]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").filter(pa.array(same)),
-                     pa.array([f.view(np.int64) for f, ok in zip(found, same, strict=True) if ok],
-                              pa.list_(pa.int64()))], names=["id", "tokens"])
+                    [pa.array(digest, pa.binary()),
+                     pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))],
+                    names=["digest", "tokens"])
     return run
 
 
@@ -252,14 +253,16 @@ def _cells_of(classes: DataFrame, least: Fraction) -> DataFrame:
     return cells.select("cell", F.expr("node div 256").alias("id"))
 
 
-def _linked(members: DataFrame, least: Fraction, cell: int) -> DataFrame:
-    """Edges ``a, b`` that connect all linked sets: ``members`` has cell, id, tokens."""
-    sizes = stage_table(members.groupBy("cell").agg(F.sum(F.size("tokens")).alias("total"))
-                        .withColumn("chunks", F.ceil(F.col("total") / F.lit(cell)))
-                        .select(F.col("cell").alias("root"), "chunks"), "cells")
-    large = sizes.where("chunks > 1")
+def _linked(cells: DataFrame, classes: DataFrame, sets: DataFrame, least: Fraction,
+            cell: int) -> DataFrame:
+    """Edges ``a, b`` that connect all linked sets: ``cells`` has cell and id, ``classes`` id, n
+    and digest, ``sets`` digest and tokens."""
+    cells = stage_table(cells.join(classes.select("id", "n", "digest"), "id"), "members")
+    sizes = stage_table(cells.groupBy(F.col("cell").alias("root")).agg(
+        F.ceil(F.sum("n") / F.lit(cell)).alias("chunks")), "cells")
     every = [F.lit(True).alias("asks"), F.lit(True).alias("offered")]
-    if large.isEmpty():
+    members = sets.join(cells.drop("n"), "digest").drop("digest")
+    if sizes.where("chunks > 1").isEmpty():
         return _joined_cells(members.select("cell", "id", "tokens", *every), least)
     dealt = stage_table(
         members.join(sizes.withColumnRenamed("root", "cell"), "cell")
@@ -306,9 +309,9 @@ def _linked(members: DataFrame, least: Fraction, cell: int) -> DataFrame:
 
 def near_classes(docs: DataFrame, width: int = SHINGLE, least: Fraction = LEAST,
                  cell: int = CELL) -> DataFrame:
-    """``doc_id, h, n_shingles, component_id`` of every row, staged.
+    """``doc_id, h, n_shingles, component_id, root`` of every row.
 
-    ``h`` is a hash of id and whole text. Rows are linked when their sets of ``width``-word
+    ``h`` is a hash of id and whole text, ``root`` tells components apart (null: no words). Rows are linked when their sets of ``width``-word
     shingles, A-Z in lower case, have a similarity of ``least`` or more; fewer words are a
     single shingle. ``component_id`` is the smallest id that can be reached; null ids are never
     the smallest, and a component of null ids only has a null one. Null texts and texts without
@@ -316,7 +319,7 @@ def near_classes(docs: DataFrame, width: int = SHINGLE, least: Fraction = LEAST,
     with each other as equal texts are. An empty table gives an empty result.
     """
     doc = F.col("doc_id").cast("bigint")
-    rows = docs.select(doc.alias("doc_id"), F.xxhash64("doc_id", "text").alias("h"), "text")
+    rows = docs.select(doc.alias("doc_id"), F.xxhash64(doc, "text").alias("h"), "text")
     marked = stage_table(rows.mapInArrow(
         _marked(width, least),
         "doc_id bigint, h bigint, n bigint, digest binary, prefix array<bigint>"), "marked")
@@ -325,13 +328,12 @@ def near_classes(docs: DataFrame, width: int = SHINGLE, least: Fraction = LEAST,
         F.first("prefix").alias("prefix"))  # equal digests have equal sets
     classes = stage_table(named.withColumn("id", F.monotonically_increasing_id()), "classes")
     cells = stage_table(_cells_of(classes.select("id", "n", "prefix"), least), "cells")
-    # the text of one row stands for its class
-    wanted = stage_table(cells.select("id").distinct().join(
-        classes.select("id", "h", "digest"), "id"), "wanted")
-    texts = (rows.select("h", "text").join(wanted, "h").select("id", "digest", "text")
-             .dropDuplicates(["id", "text"]))  # repeated rows
-    sets = stage_table(texts.mapInArrow(_sets(width), "id bigint, tokens array<bigint>"), "sets")
-    links = _linked(cells.join(sets, "id"), least, cell)
+    # the text of one row stands for its class; a bit too many in the table costs time only
+    standing = classes.join(cells.select("id").distinct(), "id", "left_semi")
+    bits = bit_table(standing.select(F.col("h").alias("token")))
+    sets = stage_table(rows.select("h", "text").mapInArrow(
+        _sets(width, bits), "digest binary, tokens array<bigint>").dropDuplicates(["digest"]), "sets")
+    links = stage_table(_linked(cells, classes, sets, least, cell), "links")
     roots = connected_components(links)
     placed = stage_table(
         classes.select("id", "digest", "least_id").join(

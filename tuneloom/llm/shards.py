@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuneloom.llm.common import block_of, blocks_for, row_key, text_key
+from tuneloom.llm.common import block_of, blocks_for, named, row_hash, row_key, text_key
 from tuneloom.session import stage_table
 
 SHARDS = 24
@@ -91,22 +91,34 @@ def balance(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
     return items.join(F.broadcast(placed), "item").select("grp", "bytes", "shard")
 
 
-def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``doc_id, key, grp, size, text_crc32, shard, slot`` of every row, groups being equal texts.
+def shard_rows(docs: DataFrame, shards: int = SHARDS, kept: list[str] | None = None) -> DataFrame:
+    """``doc_id, key, grp, size, text_crc32, shard, slot`` of every row, groups being equal texts;
+    with the columns ``kept`` of the row as ``row``.
 
     ``size`` is the bytes of the text plus 8; a null text has none and no crc, and all null
     texts are one group. Slots number the rows of a shard from 0 without gaps, by hash block,
-    id and text; repeated rows take a slot each. An empty table gives an empty result.
+    id, text and the hash of the whole row; every row has its own slot, repeated rows too. An
+    empty table gives an empty result.
     """
     text = F.col("text")
-    rows = stage_table(docs.select(
+    rows = docs.select(
         "doc_id", row_key().alias("key"), text_key(text).alias("grp"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("bigint").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32")), "sizes")
+        F.crc32(text.cast("binary")).alias("text_crc32"), row_hash(docs).alias("hash"),
+        F.monotonically_increasing_id().alias("number"),
+        *([F.struct(*map(named, kept)).alias("row")] if kept is not None else []))
+    rows = stage_table(rows, "sizes")
     groups = stage_table(rows.groupBy("grp").agg(F.sum("size").alias("bytes")), "groups")
     placed = stage_table(balance(groups, shards).select("grp", "shard"), "shards")
     subs = blocks_for(rows.count(), shards * SLOT_ROWS)
-    found = rows.join(placed, "grp").withColumn("sub", block_of(subs, "key"))
+    # what repeats more often than a block may hold is spread over blocks
+    often = stage_table(rows.groupBy("key").agg(F.count("*").alias("times"))
+                        .where(F.col("times") > SLOT_ROWS), "repeated")
+    spread = F.pmod("number", F.ceil(F.col("times") / SLOT_ROWS))
+    found = (rows.join(placed, "grp").join(often, "key", "left")
+             .withColumn("sub", F.when(F.col("times").isNull(), block_of(subs, "key")).otherwise(
+                 F.pmod(F.xxhash64("key", spread), F.lit(subs))))
+             .drop("times"))
     found = stage_table(found, "sharded")
     before = (Window.partitionBy("shard").orderBy("sub")
               .rowsBetween(Window.unboundedPreceding, -1))
@@ -114,21 +126,16 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         found.groupBy("shard", "sub").agg(F.count("*").alias("n"))
         .select("shard", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")),
         "slots")
-    within = F.row_number().over(Window.partitionBy("shard", "sub").orderBy("doc_id", "key"))
+    within = F.row_number().over(Window.partitionBy("shard", "sub").orderBy(
+        "doc_id", "key", "hash", "number"))
     return (found.withColumn("at", within).join(starts, ["shard", "sub"])
             .withColumn("slot", (F.col("start") + F.col("at") - 1).cast("bigint"))
-            .select("doc_id", "key", "grp", "size", "text_crc32", "shard", "slot"))
+            .select("doc_id", "key", "grp", "size", "text_crc32", "shard", "slot",
+                    *(["row"] if kept is not None else [])))
 
 
 def sharded_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The documents with their ``shard`` and ``slot``; a table's own columns of these names go.
-
-    Rows that repeat id and text take that key's slots in turn.
-    """
-    placed = (shard_rows(docs, shards).groupBy(F.col("key").alias("_key"))
-              .agg(F.min("shard").alias("shard"), F.array_agg("slot").alias("slots")))
-    placed = stage_table(placed, "placed")
+    """Every row of the documents with its ``shard`` and ``slot``; a table's own columns of these
+    names go."""
     kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    full = docs.select(F.struct(*kept).alias("row"), row_key().alias("_key"))
-    return (full.dropDuplicates(["_key"]).join(placed, "_key")
-            .select("row.*", "shard", F.explode("slots").alias("slot")))
+    return shard_rows(docs, shards, kept).select("row.*", "shard", "slot")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tuneloom.session import stage_path, stage_table
 
 FILE_RECORDS = 3000
+_COPIES = 1 << 16
 VERSION = "WARC/1.1"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _LINE = "\r\n"
@@ -77,7 +78,7 @@ def write_captures(pages: DataFrame, path: str, least: int = 0) -> None:
     Among equal payloads of at least ``least`` bytes the one with the smallest page_id (null
     last, then the smallest url) is the response and the others revisit it; smaller ones are
     all responses. A null html is an empty payload, a null url leaves the target out. Rows that
-    repeat page_id, url and html are one capture. The first of a payload is found with a
+    repeat page_id, url and html are one capture, whose records are written for each of them. The first of a payload is found with a
     combined aggregate that is written before it is joined, so a payload that very many pages
     share is split by Spark.
     """
@@ -212,10 +213,13 @@ def assemble(records: DataFrame) -> DataFrame:
     A request or metadata record belongs to the response or revisit that it is concurrent to,
     or that names it as concurrent. Where several of a kind belong to one capture, the row
     holds the one with the smallest id, and ``requests``/``metadata_records`` their number.
-    Captures without one have a null there. Records that repeat an id count once; records
-    without an id, and those that belong to no capture, do not come out.
+    Captures without one have a null there. Records that repeat an id are
+    one, and ``copies`` tells how often the capture's record was read; records without an id,
+    and those that belong to no capture, do not come out.
     """
-    rows = records.where("record_id IS NOT NULL").dropDuplicates(["record_id"])
+    rows = records.where("record_id IS NOT NULL").groupBy("record_id").agg(
+        *[F.first(c).alias(c) for c in records.columns if c != "record_id"],
+        F.count("*").alias("copies"))
     rows = stage_table(rows, "records")
     main = rows.where("record_type IN ('response', 'revisit')")
     side = rows.where("record_type IN ('request', 'metadata')")
@@ -241,26 +245,31 @@ def assemble(records: DataFrame) -> DataFrame:
         return F.when(found.isNotNull(), found.withField(
             "fields", F.map_from_entries(found["fields"])))
 
-    return (main.select("record_id", body.alias("response"))
+    return (main.select("record_id", body.alias("response"), "copies")
             .join(parts, F.col("record_id") == F.col("main_id"), "left")
             .select("record_id", "response", part("request").alias("request"),
                     part("metadata").alias("metadata"),
                     F.coalesce("n_request", F.lit(0)).alias("requests"),
-                    F.coalesce("n_metadata", F.lit(0)).alias("metadata_records")))
+                    F.coalesce("n_metadata", F.lit(0)).alias("metadata_records"), "copies"))
 
 
 def page_captures(captures: DataFrame) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of assembled captures
-    whose metadata name a page; ``refers_to`` is the page of the response revisited."""
+    whose metadata name a page, a row for each of their records; ``refers_to`` is the page of the
+    response revisited."""
     rows = stage_table(captures.select(
         "record_id", F.expr("try_cast(metadata.fields['page-id'] AS bigint)").alias("page_id"),
         "response.payload_bytes", "response.payload_digest", "response.record_type",
-        F.col("response.refers_to").alias("_refers")), "captures")
+        F.col("response.refers_to").alias("_refers"), "copies"), "captures")
     first = stage_table(
         rows.where("_refers IS NOT NULL").select(F.col("_refers").alias("record_id")).distinct()
         .join(rows.select("record_id", F.col("page_id").alias("refers_to")), "record_id")
         .withColumnRenamed("record_id", "_first"), "revisited")
+    # in two steps, so that no array is long
+    more = F.expr(f"copies - {_COPIES} * part").cast("int")
     return (rows.join(first, F.col("_refers") == F.col("_first"), "left")
+            .withColumn("part", F.explode(F.expr(f"sequence(0L, (copies - 1) div {_COPIES})")))
+            .withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.least(more, F.lit(_COPIES)))))
             .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
