@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tuneloom.session import job_stages, stage_path
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -58,3 +61,12 @@ def whole_row(docs: DataFrame) -> Column:
 def row_hash(docs: DataFrame) -> Column:
     """Tells rows apart that are equal in id and text but not in other columns."""
     return F.xxhash64(F.to_json(whole_row(docs)))
+
+
+def staged(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table written to the shared folder; what is staged on the way to it is dropped then."""
+    path = stage_path(spark, name)
+    with job_stages(spark):
+        made = build()
+        made.write.parquet(path)
+    return spark.read.schema(made.schema).parquet(path)

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tuneloom.llm import common
 from tuneloom.llm.common import row_hash, row_key, whole_row, word_count
 from tuneloom.operators.ranks import dense_seq
 from tuneloom.session import stage_table
@@ -29,6 +30,8 @@ MOST = 2.0
 BLOCK = 2048
 #: Blocks whose open documents meet in the next round.
 FAN = 512
+#: Rows of a repeated row that are made at once.
+_USES = 1 << 16
 _EPS = 1e-9
 _OPEN = ("source_no bigint, block bigint, blocks bigint, key string, hash bigint, number bigint, "
          "size bigint, source_size bigint, target double, whole bigint, chance double")
@@ -189,7 +192,7 @@ def _mixed(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
                   ).otherwise(0).cast("bigint")
     return (every.withColumn("copies", copies).withColumn("part", part)
             .withColumn("taken", F.col("copies") * F.col("size") + F.col("part"))
-            .select("number", "key", "size", "source_size", "target", "copies", "part", "taken"))
+            .select("key", "hash", "size", "source_size", "target", "copies", "part", "taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -199,15 +202,21 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     half of its words or more are taken, so a source's words are within one of its documents
     of the target. Rows are drawn and repeated one by one, whatever they have in common.
     """
-    rows = stage_table(docs.select(
-        whole_row(docs).alias("row"), row_key().alias("key"), row_hash(docs).alias("hash"),
-        F.monotonically_increasing_id().alias("number"), word_count(F.col("text")).alias("size"),
-        F.col("source")), "rows")
-    drawn = _mixed(rows.drop("row"), **options).select(
-        "number", (F.col("copies") + F.when((F.col("part") > 0) & (
-            2 * F.col("part") >= F.col("size")), 1).otherwise(0))
-        .alias("uses")).where("uses > 0")
-    drawn = stage_table(drawn, "drawn")
-    return (rows.select("number", "row").join(drawn, "number")
-            .withColumn("use", F.explode(F.sequence(F.lit(1).cast("bigint"), "uses")))
-            .select("row.*"))
+    rows = docs.select(row_key().alias("key"), row_hash(docs).alias("hash"),
+                       F.monotonically_increasing_id().alias("number"),
+                       word_count(F.col("text")).alias("size"), "source")
+    drawn = common.staged(docs.sparkSession, "drawn", lambda: _uses(rows, options))
+    # rows of one key and hash are the same in all columns, and share what is drawn of them
+    full = docs.select(whole_row(docs).alias("row"), row_key().alias("key"),
+                       row_hash(docs).alias("hash")).dropDuplicates(["key", "hash"])
+    more = F.least(F.col("uses") - _USES * F.col("part"), F.lit(_USES)).cast("int")
+    return (full.join(drawn, ["key", "hash"])
+            .withColumn("part", F.explode(F.expr(f"sequence(0L, (uses - 1) div {_USES})")))
+            .withColumn("use", F.explode(F.array_repeat(F.lit(0), more))).select("row.*"))
+
+
+def _uses(rows: DataFrame, options: dict) -> DataFrame:
+    """How often the mix takes the rows of a key and hash, the one taken in part rounded."""
+    part = F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
+    return (_mixed(stage_table(rows, "sizes"), **options).groupBy("key", "hash")
+            .agg(F.sum(F.col("copies") + part).cast("bigint").alias("uses")).where("uses > 0"))

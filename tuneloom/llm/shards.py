@@ -91,9 +91,9 @@ def balance(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
     return items.join(F.broadcast(placed), "item").select("grp", "bytes", "shard")
 
 
-def shard_rows(docs: DataFrame, shards: int = SHARDS, kept: list[str] | None = None) -> DataFrame:
-    """``doc_id, key, grp, size, text_crc32, shard, slot`` of every row, groups being equal texts;
-    with the columns ``kept`` of the row as ``row``.
+def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """``doc_id, key, hash, grp, size, text_crc32, shard, slot`` of every row, groups being equal
+    texts and ``hash`` that of the whole row.
 
     ``size`` is the bytes of the text plus 8; a null text has none and no crc, and all null
     texts are one group. Slots number the rows of a shard from 0 without gaps, by hash block,
@@ -105,8 +105,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, kept: list[str] | None = N
         "doc_id", row_key().alias("key"), text_key(text).alias("grp"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), row_hash(docs).alias("hash"),
-        F.monotonically_increasing_id().alias("number"),
-        *([F.struct(*map(named, kept)).alias("row")] if kept is not None else []))
+        F.monotonically_increasing_id().alias("number"))
     rows = stage_table(rows, "sizes")
     groups = stage_table(rows.groupBy("grp").agg(F.sum("size").alias("bytes")), "groups")
     placed = stage_table(balance(groups, shards).select("grp", "shard"), "shards")
@@ -130,12 +129,15 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, kept: list[str] | None = N
         "doc_id", "key", "hash", "number"))
     return (found.withColumn("at", within).join(starts, ["shard", "sub"])
             .withColumn("slot", (F.col("start") + F.col("at") - 1).cast("bigint"))
-            .select("doc_id", "key", "grp", "size", "text_crc32", "shard", "slot",
-                    *(["row"] if kept is not None else [])))
+            .select("doc_id", "key", "hash", "grp", "size", "text_crc32", "shard", "slot"))
 
 
 def sharded_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Every row of the documents with its ``shard`` and ``slot``; a table's own columns of these
     names go."""
     kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    return shard_rows(docs, shards, kept).select("row.*", "shard", "slot")
+    slots = shard_rows(docs, shards).select("key", "hash", "shard", "slot")
+    rows = docs.select(F.struct(*map(named, kept)).alias("row"), row_key().alias("key"),
+                       row_hash(docs).alias("hash")).dropDuplicates(["key", "hash"])
+    # rows of one key and hash are the same in all columns, and take its slots in any order
+    return rows.join(slots, ["key", "hash"]).select("row.*", "shard", "slot")

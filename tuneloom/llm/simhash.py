@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuneloom.llm.common import row_hash, row_key, whole_row
+from tuneloom.llm.common import row_hash, row_key, staged, whole_row
 from tuneloom.llm.components import connected_components
 from tuneloom.session import stage_table
 
@@ -221,9 +221,9 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     text, the one whose whole row has the least hash. All columns are kept.
     """
     rows = docs.select("doc_id", row_key().alias("key"), "text")
-    best = (_with_roots(rows).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy("root").agg(F.min("key").alias("_key")))
-    best = stage_table(best, "representatives").select("_key")
+    best = staged(docs.sparkSession, "representatives", lambda: (
+        _with_roots(rows).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("root").agg(F.min("key").alias("_key")).select("_key")))
     full = docs.select(whole_row(docs).alias("row"), row_hash(docs).alias("hash"),
                        row_key().alias("_key"))
     return (full.join(best, "_key", "left_semi").groupBy("_key")
