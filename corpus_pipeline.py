@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tuneloom.llm import copies, decontam, langid, mixing, shards, simhash
-from tuneloom.llm.common import table
+from tuneloom.llm.common import staged, table
 from tuneloom.session import stage_table
 
 
@@ -15,13 +15,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a near copy of a smaller id.
+    """One document of each group of near copies, that with the smallest id.
 
-    op5's fingerprints fold copies at 3 bits. Of what stays, all pairs that share 0.8 or more of
-    their five-word shingles are found.
+    op5's fingerprints fold what is linked at 3 bits. Of what stays, all that hang together by
+    sharing 0.8 or more of their five-word shingles are a group.
     """
-    folded = stage_table(simhash.keep_representatives(docs), "folded")
-    return copies.without_copies(folded)
+    folded = simhash.keep_representatives(docs)
+    gone = staged(spark, "gone", lambda: copies.copies_of(stage_table(folded, "folded")))
+    return copies.without(folded, gone)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
