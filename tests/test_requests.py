@@ -133,17 +133,3 @@ def test_documents(spark):
     assert p["object"] == "text_completion" and "usage" not in p and len(p["id"]) == 13
     again = answer_requests(df, EchoEngine, "m", created=5).collect()
     assert {json.loads(r["response"])["id"] for r in again} == {c["id"], p["id"]}
-
-
-def test_successor_chain(spark):
-    texts = spark.createDataFrame([("a b a c a b",), ("b d  \n d e",), (None,), ("",), ("lone",)],
-                                  "text string")
-    found = G.learn_successors(texts)
-    # a goes to b twice and to c once; b to a and d, d to d and e once: the smaller word
-    assert found == {"a": "b", "b": "a", "c": "a", "d": "d"}
-    assert set(G.learn_successors(texts, 2)) == {"a", "b"}
-    rows = [("r1", "so c", 3, 0.0), ("r2", "new words", 4, 0.0), ("r3", "a x", 0, 0.7), ("r4", "e", 2, 0.0)]
-    df = spark.createDataFrame(rows, "request_id string, prompt string, max_tokens int, "
-                                     "temperature double")
-    got = G.batch_generate(df, lambda: G.SuccessorModel(found)).collect()
-    assert {r["request_id"]: r["text"] for r in got} == {"r1": "a b a", "r2": "", "r3": "", "r4": ""}

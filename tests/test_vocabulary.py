@@ -1,0 +1,75 @@
+"""Learned vocabularies against whole texts, masks by spans, and lines of any keys."""
+
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tuneloom.functions.tokens import mask_outside, mask_prompt, word_spans
+from tuneloom.operators import chat, vocabulary
+from tuneloom.operators.normalize import coerce_lines
+
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@pytest.mark.skipif(not os.path.exists(RANKS), reason="no vocabulary files")
+def test_pieces_give_what_whole_texts_give(spark):
+    rng = random.Random(2)
+    parts = ["the", " the", "  ", "\n\n", "\t", "it's", "12", "345", "süß", "日本語", "!?", "…", " ",
+             "a" * 40, "  x", "é", "🙂", "'S", "don't"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(60))) for _ in range(80)]
+    texts += [None, "", " ", "word " * 5000, texts[0]]
+    known = vocabulary.RankVocabulary(RANKS)
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)],
+                               "doc_id int, text string, n int").repartition(3)
+    want = {i: known.encoder().encode_ordinary(t or "") for i, t in enumerate(texts)}
+    ids = {r.doc_id: r.ids for r in vocabulary.ids_by_pieces(df, known, "doc_id").collect()}
+    assert ids == want
+    counts = {r.doc_id: r.n_tokens for r in vocabulary.count_by_pieces(df, known, "doc_id").collect()}
+    assert counts == {i: len(x) for i, x in want.items()}
+    assert vocabulary.count_by_pieces(df.limit(0), known, "doc_id").count() == 0
+
+
+def test_word_spans(spark):
+    texts = ["", "  a  bc\n\td ", "word", None, "ü 🙂 z"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r[0] for r in df.select(word_spans(F.col("text"))).collect()]
+    for text, spans in zip(texts, got):
+        if text is None:
+            assert spans is None
+        else:
+            assert [text[a:b] for a, b in spans] == text.split()
+
+
+def test_token_across_the_border_is_masked_by_where_it_lies(spark):
+    """The prompt alone has three tokens; in the whole text its last two are one with a letter
+    of the answer, so a count masks a token of the answer."""
+    df = spark.range(1).select(
+        F.array(*map(F.lit, (11, 12, 13))).alias("ids"),
+        F.expr("array(named_struct('start', 0, 'end', 3), named_struct('start', 3, 'end', 7), "
+               "named_struct('start', 7, 'end', 9))").alias("spans"),
+        F.expr("array(named_struct('start', 6, 'end', 9))").alias("loss"))
+    by_span, by_count = df.select(mask_outside(F.col("ids"), F.col("spans"), F.col("loss")),
+                                  mask_prompt(F.col("ids"), F.lit(3))).first()
+    assert by_span == [-100, -100, 13] and by_count == [-100, -100, -100]
+
+
+def test_answer_spans(spark):
+    rows = [([("user", "hi"), ("assistant", "yes you"), (None, "x"), ("user", None),
+              ("assistant", ""), ("assistant", "ok")],), ([],)]
+    df = spark.createDataFrame(rows, "messages array<struct<role:string,content:string>>")
+    lines, spans = zip(*df.select(chat.chat_lines(F.col("messages")),
+                                  chat.answer_spans(F.col("messages"))).collect())
+    assert [lines[0][a:b] for a, b in spans[0]] == ["yes you", "", "ok"] and spans[1] == []
+
+
+def test_lines_of_any_keys(spark):
+    rows = [('{"b": {"z": 1, "a": [true, null]}, "a": "x"}', "json", '{"a":"x","b":{"a":[true,null],"z":1}}'),
+            ('{"prompt": "p", "completion": "c", "more": 1}', "pair", None),
+            ('{"prompt": "p", "completion": null, "text": "t"}', "text", "t"),
+            ('{"messages": []}', "messages", None), ('{"text": {"k": 1}}', "text", '{"k":1}'),
+            ("[1]", "broken", None), ("{", "broken", None), ("", "broken", None), (None, "broken", None),
+            ("{}", "json", "{}")]
+    got = coerce_lines(spark.createDataFrame([(r[0],) for r in rows], "value string")).collect()
+    assert [(r.shape, r.text) for r in got] == [r[1:] for r in rows]

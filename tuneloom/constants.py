@@ -84,3 +84,7 @@ TASKS = {
         template=("Classify the sentiment of this movie review as positive or negative.\n\n"
                   "Review: {text}\n\nAnswer with one word.")),
 }
+
+# Fixed value: the pattern that cuts texts into pieces before a byte-pair vocabulary merges them.
+PIECE_PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
+                 r"|\s+(?!\S)|\s+")

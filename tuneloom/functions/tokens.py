@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from tuneloom.constants import IGNORE_LABEL
 from tuneloom.functions.text import words
 
+_LAST_WORD = r"[^\x20\x09-\x0D]+$"
+_SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
+
 
 class _Tokenizer:
     def __init__(self, eos_id: int = 2, pad_id: int | None = None, bos_id: int | None = None):
@@ -169,3 +172,27 @@ def position_ids(lens: Column) -> Column:
 def cut_completion(ids: Column, max_tokens: Column) -> Column:
     """A request's own share of a generation that ran for the longest request."""
     return F.slice(ids, F.lit(1), F.greatest(max_tokens, F.lit(0)))
+
+
+def word_spans(text: Column) -> Column:
+    """Where each white-space word of a text lies: ``array<struct<start, end>>``, end exclusive."""
+    parts = F.regexp_extract_all(text, F.lit(_SPACED_WORD), F.lit(0))
+    size = F.transform(parts, lambda p: F.struct(
+        F.char_length(p).alias("all"), F.char_length(F.regexp_extract(p, _LAST_WORD, 0)).alias("word")))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    return F.aggregate(size, empty, lambda done, s: F.struct(
+        (done["at"] + s["all"]).alias("at"),
+        F.array_append(done["spans"], F.struct(
+            (done["at"] + s["all"] - s["word"]).alias("start"),
+            (done["at"] + s["all"]).alias("end"))).alias("spans")), lambda done: done["spans"])
+
+
+def mask_outside(ids: Column, spans: Column, loss: Column) -> Column:
+    """Labels: a token predicts itself if it begins inside one of the ``loss`` spans.
+
+    So a token across a prompt's end belongs to the prompt, wherever a count of the prompt's own
+    tokens would have put the border.
+    """
+    return F.zip_with(ids, spans, lambda token, at: F.when(
+        F.exists(loss, lambda part: (at["start"] >= part["start"]) & (at["start"] < part["end"])),
+        token).otherwise(F.lit(IGNORE_LABEL)))

@@ -29,3 +29,23 @@ def render_chat(df: DataFrame, style: str = "plain", messages: str = "messages",
     if style not in styles:
         raise ValueError(f"style must be one of {sorted(styles)}")
     return df.withColumn(out, styles[style](F.col(messages)))
+
+
+def answer_spans(messages: Column, role: str = "assistant") -> Column:
+    """Where the contents of a role's messages lie in ``chat_lines``, end exclusive.
+
+    Messages with a null role or content are not in the lines, nor here.
+    """
+    shown = F.filter(messages, lambda m: m["role"].isNotNull() & m["content"].isNotNull())
+    sizes = F.transform(shown, lambda m: F.struct(
+        (F.char_length(m["role"]) + 2).alias("head"), F.char_length(m["content"]).alias("body"),
+        (m["role"] == role).alias("own")))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return F.aggregate(
+        sizes, F.struct(F.lit(0).alias("at"), none.alias("spans")),
+        lambda done, s: F.struct(
+            (done["at"] + s["head"] + s["body"] + 1).alias("at"),
+            F.when(s["own"], F.array_append(done["spans"], F.struct(
+                (done["at"] + s["head"]).alias("start"),
+                (done["at"] + s["head"] + s["body"]).alias("end"))))
+            .otherwise(done["spans"]).alias("spans")), lambda done: done["spans"])

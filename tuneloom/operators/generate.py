@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -12,11 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tuneloom.functions.text import words
-
-# Words that a successor model knows: what is sent to the tasks has a fixed size.
-SUCCESSORS = 4096
-_WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
 
 class Engine(Protocol):
     """What ``batch_generate`` needs from a model. Built once per task by a factory."""
@@ -93,51 +87,3 @@ def generate_answers(test: DataFrame, factory: Callable[[], Engine], max_tokens:
              .withColumn("temperature", F.lit(0.0)))
     return (batch_generate(asked, factory, max_batch, key=key)
             .withColumnRenamed("text", "raw").drop("max_tokens", "temperature"))
-
-
-def learn_successors(texts: DataFrame, size: int = SUCCESSORS) -> dict[str, str]:
-    """The most frequent next word of each of the ``size`` words most often followed by one.
-
-    Counted over all rows of a ``text`` column; ties go to the smaller word.
-    """
-    rows = texts.select(words("text").alias("_w"))
-    steps = (rows.select(F.explode(F.arrays_zip(
-        F.slice("_w", F.lit(1), F.greatest(F.size("_w") - 1, F.lit(0))).alias("word"),
-        F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 1, F.lit(0))).alias("next"))).alias("s"))
-        .groupBy("s.word", "s.next").agg(F.count("*").alias("n")))
-    best = steps.groupBy("word").agg(
-        F.sum("n").alias("n"), F.min(F.struct(-F.col("n"), "next"))["next"].alias("next"))
-    return {r["word"]: r["next"] for r in
-            best.orderBy(F.desc("n"), "word").limit(size).collect()}
-
-
-class SuccessorModel:
-    """A greedy Markov chain: goes on from the last word of the prompt that it knows.
-
-    ``functools.partial(SuccessorModel, learn_successors(texts))`` is an engine factory.
-    """
-
-    pad_id = 0
-    unknown_id = 1
-
-    def __init__(self, successors: dict[str, str]):
-        self._words = ["", "", *sorted({*successors, *successors.values()})]
-        self._ids = {w: i for i, w in enumerate(self._words) if i > 1}
-        self._next = {self._ids[w]: self._ids[n] for w, n in successors.items()}
-
-    def encode(self, text: str) -> list[int]:
-        return [self._ids.get(w, self.unknown_id) for w in _WORD.findall(text)]
-
-    def generate(self, ids: np.ndarray, mask: np.ndarray, max_new: int,
-                 temperature: float) -> list[list[int]]:
-        out = []
-        for row in ids.tolist():
-            at, new = next((i for i in reversed(row) if i in self._next), None), []
-            while at in self._next and len(new) < max_new:
-                at = self._next[at]
-                new.append(at)
-            out.append(new)
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        return " ".join(self._words[i] for i in ids)

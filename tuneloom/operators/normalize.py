@@ -124,3 +124,26 @@ def coerce_shape(df: DataFrame) -> DataFrame:
                           .when(text, "text").otherwise("json"))
             .withColumn("text", F.when(pair | messages, F.lit(None).cast("string"))
                         .when(text, plain).otherwise(payload)))
+
+
+def coerce_lines(df: DataFrame, value: str = "value") -> DataFrame:
+    """Choose the shape of raw JSON lines of any keys, which no schema has to name.
+
+    Adds ``shape`` (pair, messages, text, json, or broken for what is no JSON object) and
+    ``text``: that of a text, the whole line with sorted keys where no shape fits, else null. A
+    key with a null value counts as missing.
+    """
+    record = F.try_parse_json(F.col(value))
+
+    def has(key: str) -> Column:
+        found = F.try_variant_get(F.col("_line"), f"$.{key}", "variant")
+        return F.coalesce(F.schema_of_variant(found) != "VOID", F.lit(False))
+
+    parsed = df.withColumn("_line", record)
+    shape = (F.when(~F.coalesce(F.schema_of_variant("_line").startswith("OBJECT"), F.lit(False)),
+                    "broken")
+             .when(has("prompt") & has("completion"), "pair").when(has("messages"), "messages")
+             .when(has("text"), "text").otherwise("json"))
+    text = F.when(shape == "text", F.try_variant_get("_line", "$.text", "string")).when(
+        shape == "json", F.to_json("_line"))
+    return parsed.withColumns({"shape": shape, "text": text}).drop("_line")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial, reduce
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,22 +12,23 @@ from tuneloom.constants import IGNORE_LABEL
 from tuneloom.functions.text import last_segment, word_count
 from tuneloom.functions.tokens import ByteTokenizer, PluginTokenizer, WordTokenizer
 from tuneloom.functions.tokens import cut_completion as cut_tokens
-from tuneloom.operators import (batching, chat, evalset, generate, lengths, models, normalize,
-                                packing, runs, scoring, splits)
+from tuneloom.functions.tokens import mask_outside, word_spans
+from tuneloom.operators import (batching, chat, evalset, lengths, models, normalize, packing,
+                                runs, scoring, splits, vocabulary)
 from tuneloom.operators import requests as req
 from tuneloom.plans import inputs, jobs
 from tuneloom.session import stage_path, stage_table
 from tuneloom.sources import manifests, records, writers
 from tuneloom.streaming import metrics as live
 from tuneloom.streaming import prepare as live_prepare
-from tuneloom.streaming import requests as live_requests
 
 WORDS = WordTokenizer()
 MAX_LEN = 512
 BATCH = 4
 CREATED = 1_700_000_000
 MODEL = "demo"
-ARTICLES = {"en": "the", "de": "der", "fr": "le", "es": "el"}
+#: A vocabulary file; any of its format will do.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -100,6 +101,21 @@ def coerce_shape(spark, sf):
                          .alias("text"))
 
 
+@query
+def coerce_lines(spark, sf):
+    """Raw lines with keys that no schema names, next to lines of the known shapes."""
+    key = F.col("p_partkey")
+    line = F.to_json(F.struct(
+        key.alias("p_partkey"), F.col("p_brand").alias("brand"),
+        F.when(key % 4 == 1, F.col("p_name")).alias("text"),
+        F.when(key % 4 > 1, F.col("p_name")).alias("prompt"),
+        F.when(key % 4 == 2, F.col("p_type")).alias("completion"),
+        F.struct(F.col("p_size").alias("size"), F.array("p_size", key).alias("ids")).alias("extra")))
+    parts = inputs.table(spark, sf, "part").select(
+        "p_partkey", F.when(key % 10 == 0, F.lit("no json {")).otherwise(line).alias("value"))
+    return normalize.coerce_lines(parts).select("p_partkey", "shape", "text")
+
+
 @query
 def messages_to_pairs(spark, sf):
     return normalize.messages_to_pairs(inputs.chat_records(spark, sf)).select(
@@ -188,9 +204,20 @@ def word_counts(spark, sf):
 
 @query
 def plugin_token_counts(spark, sf):
-    plugin = PluginTokenizer(lambda: str.split, eos_id=2)
+    """A tokenizer of one's own, a callable built once per task: ids of words without regard to
+    their case."""
+    plugin = PluginTokenizer(lambda: lambda text: [len(w) for w in text.lower().split()], eos_id=2)
+    ids = plugin.ids(F.col("text"))
     return inputs.table(spark, sf, "documents").select(
-        "doc_id", plugin.count(F.col("text")).cast("bigint").alias("n_tokens"))
+        "doc_id", F.size(ids).cast("bigint").alias("n_tokens"),
+        F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"))
+
+
+@query
+def vocabulary_token_counts(spark, sf):
+    """Tokens of a learned vocabulary, each distinct piece of the texts encoded once."""
+    docs = inputs.table(spark, sf, "documents").select("doc_id", "text")
+    return vocabulary.count_by_pieces(docs, vocabulary.RankVocabulary(VOCABULARY), "doc_id")
 
 
 @query
@@ -229,6 +256,18 @@ def mask_labels(spark, sf):
         (F.element_at("input_ids", -1) == WORDS.eos_id).alias("ends_with_eos"))
 
 
+@query
+def mask_by_offsets(spark, sf):
+    """Whole conversations with the loss on what every assistant turn says."""
+    chats = inputs.chat_records(spark, sf)
+    rendered = chat.render_chat(chats, "plain").select("record_id", "messages", "rendered")
+    ids, spans = WORDS.ids(F.col("rendered")), word_spans(F.col("rendered"))
+    labels = mask_outside(ids, spans, chat.answer_spans(F.col("messages")))
+    return rendered.select(
+        "record_id", F.size(ids).cast("bigint").alias("n_tokens"),
+        (F.size(ids) - _count_of(labels, IGNORE_LABEL)).cast("bigint").alias("n_loss"))
+
+
 @query
 def plain_batches(spark, sf):
     return batching.plain_batches(_document_lengths(spark, sf), BATCH).select(
@@ -518,21 +557,6 @@ def compare_runs(spark, sf):
                        "base_below_majority", "tuned_below_majority")
 
 
-@query
-def evaluate_task(spark, sf):
-    """The whole evaluation job: which article does a model use that goes on with a document?"""
-    path = stage_path(spark, "articles") + ".jsonl"
-    article = F.element_at(F.create_map(*[F.lit(x) for pair in ARTICLES.items() for x in pair]),
-                           F.col("lang"))
-    (inputs.table(spark, sf, "documents")
-     .select(F.col("text").alias("prompt"), article.alias("gold")).write.json(path))
-    summary = jobs.evaluate_task(spark, path, _model(spark, sf, "documents"), MODEL,
-                                 stage_path(spark, "report"))
-    return summary.select("tag", "model", *_big("n", "correct", "unparseable"),
-                          F.round("accuracy", 6).alias("accuracy"),
-                          F.round("majority_baseline", 6).alias("majority_baseline"))
-
-
 # --- training runs -------------------------------------------------------------
 
 @query
@@ -668,18 +692,6 @@ def rejected_requests(spark, sf):
         "request_id", "route", "reason", *_big("status"))
 
 
-def _model(spark, sf, name: str):
-    """An engine learnt from all texts of a table."""
-    return partial(generate.SuccessorModel, generate.learn_successors(inputs.table(spark, sf, name)))
-
-
-@query
-def batch_generate(spark, sf):
-    asked = req.accepted(req.parse_requests(inputs.requests(spark, sf)))
-    return generate.batch_generate(asked, _model(spark, sf, "conversations")).select(
-        "request_id", "text")
-
-
 def _envelope_fields(answers):
     doc = F.col("response")
     return answers.select(
@@ -694,9 +706,12 @@ def _envelope_fields(answers):
 
 @query
 def response_envelope(spark, sf):
-    answers = live_requests.answer_requests(
-        inputs.requests(spark, sf), _model(spark, sf, "conversations"), MODEL, created=CREATED)
-    return _envelope_fields(answers)
+    """Documents around the last message of the conversation that a request came from."""
+    asked = req.accepted(req.parse_requests(inputs.requests(spark, sf)))
+    last = inputs.chat_records(spark, sf).select(
+        F.concat(F.lit("r"), F.col("record_id").cast("string")).alias("request_id"),
+        F.element_at("messages", -1)["content"].alias("text"))
+    return _envelope_fields(req.response_envelope(asked.join(last, "request_id"), MODEL, CREATED))
 
 
 # --- streams -------------------------------------------------------------------
@@ -771,14 +786,3 @@ def stream_prepare(spark, sf):
     return spark.read.schema(schema).parquet(out).select(
         "record_id", *_big("prompt_len", "length"),
         _count_of("labels", IGNORE_LABEL).alias("n_masked"))
-
-
-@query
-def stream_score_requests(spark, sf):
-    out = stage_path(spark, "answers")
-    stream = _landed(spark, inputs.requests(spark, sf), "requests")
-    _finish(live_requests.stream_score_requests(
-        stream, _model(spark, sf, "conversations"), MODEL, out, f"{out}-rejects", f"{out}-checkpoint",
-        created=CREATED))
-    answers = spark.read.schema("request_id string, response string").parquet(out)
-    return _envelope_fields(answers)

@@ -123,42 +123,16 @@ styled AS (
     ELSE lines || E'\\nassistant:' END AS instruct FROM lined)"""
 
 
-
-def _chain(table: str) -> str:
-    """Answers of a greedy successor chain learnt from a table to ``asks(id, prompt, max_tokens)``."""
-    return f"""
-word_lists AS (SELECT regexp_extract_all(text, '\\S+') AS ws FROM {table}),
-steps AS (
-  SELECT unnest(ws[1:len(ws) - 1]) AS w, unnest(ws[2:]) AS nxt FROM word_lists WHERE len(ws) > 1),
-step_counts AS (SELECT w, nxt, count(*) AS n FROM steps GROUP BY w, nxt),
-succ AS (
-  SELECT w, nxt FROM (
-    SELECT w, nxt, sum(n) OVER (PARTITION BY w) AS total,
-      row_number() OVER (PARTITION BY w ORDER BY n DESC, nxt) AS r FROM step_counts)
-  WHERE r = 1 ORDER BY total DESC, w LIMIT 4096),
-prompt_words AS (
-  SELECT id, max_tokens, unnest(ws) AS w, unnest(range(len(ws))) AS i
-  FROM (SELECT id, max_tokens, regexp_extract_all(prompt, '\\S+')[1:2048] AS ws FROM asks)),
-starts AS (
-  SELECT id, max_tokens, arg_max(p.w, i) AS w
-  FROM prompt_words p JOIN succ USING (w) GROUP BY id, max_tokens),
-walk AS (
-  SELECT id, max_tokens, w, 0 AS k FROM starts
-  UNION ALL
-  SELECT walk.id, walk.max_tokens, succ.nxt, walk.k + 1
-  FROM walk JOIN succ ON succ.w = walk.w WHERE walk.k < walk.max_tokens),
-told AS (SELECT id, string_agg(w, ' ' ORDER BY k) AS answer FROM walk WHERE k > 0 GROUP BY id)"""
-
-
 REQUESTS = CHAT + """,
 asked AS (
   SELECT 'r' || record_id AS request_id, conv_id,
     CASE WHEN conv_id % 17 = 0 THEN '/v1/embeddings'
       WHEN conv_id % 5 = 0 THEN '/v1/completions' ELSE '/v1/chat/completions' END AS route,
     conv_id % 19 = 0 OR conv_id % 23 = 3 AS blank, conv_id % 19 <> 0 AND conv_id % 23 = 3 AS flagged,
-    conv_id % 19 <> 0 AND conv_id % 23 IN (1, 2) AS bad, lines, instruct FROM styled),
+    conv_id % 19 <> 0 AND conv_id % 23 IN (1, 2) AS bad, lines, instruct,
+    texts[len(texts)] AS answer FROM styled),
 parsed AS (
-  SELECT request_id, route, bad,
+  SELECT request_id, route, bad, answer,
     CASE WHEN route = '/v1/chat/completions' THEN 'chat' ELSE 'completion' END AS kind,
     CASE WHEN route = '/v1/chat/completions'
       THEN CASE WHEN blank THEN E'\\nassistant:' ELSE instruct END
@@ -168,11 +142,7 @@ parsed AS (
       AS temperature,
     flagged OR (NOT blank AND conv_id % 4 = 0) AS stream
   FROM asked),
-accepted AS (SELECT * FROM parsed WHERE route <> '/v1/embeddings' AND NOT bad),
-asks AS (SELECT request_id AS id, prompt, max_tokens FROM accepted),""" + _chain("conversations") + """,
-answered AS (
-  SELECT a.*, COALESCE(t.answer, '') AS answer
-  FROM accepted a LEFT JOIN told t ON t.id = a.request_id)"""
+accepted AS (SELECT * FROM parsed WHERE route <> '/v1/embeddings' AND NOT bad)"""
 
 METRICS = """
 log AS (
@@ -381,7 +351,24 @@ _ORACLES["count_bytes"] = _with(TRAINING) + """
 SELECT sum(strlen(rendered))::BIGINT AS total_tokens FROM shown"""
 
 _ORACLES["plugin_token_counts"] = f"""
-SELECT doc_id, {_words('text')} AS n_tokens FROM documents"""
+SELECT doc_id, {_words('text')} AS n_tokens,
+  COALESCE(list_sum([length(w) FOR w IN regexp_extract_all(text, '\\S+')]), 0)::BIGINT AS id_sum
+FROM documents"""
+_ORACLES["mask_by_offsets"] = _with(CHAT) + f"""
+SELECT record_id, {_words('lines')} AS n_tokens,
+  COALESCE(list_sum([CASE WHEN roles[i] = 'assistant' THEN {_words('texts[i]')} ELSE 0 END
+    FOR i IN range(1, len(roles) + 1)]), 0)::BIGINT AS n_loss
+FROM lined"""
+_ORACLES["coerce_lines"] = """
+SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'broken' WHEN p_partkey % 4 = 1 THEN 'text'
+    WHEN p_partkey % 4 = 2 THEN 'pair' ELSE 'json' END AS shape,
+  CASE WHEN p_partkey % 10 = 0 OR p_partkey % 4 = 2 THEN NULL WHEN p_partkey % 4 = 1 THEN p_name
+    ELSE CASE WHEN p_partkey % 4 = 3
+      THEN json_object('brand', p_brand, 'extra', json_object('ids', [p_size, p_partkey], 'size', p_size),
+        'p_partkey', p_partkey, 'prompt', p_name)::VARCHAR
+      ELSE json_object('brand', p_brand, 'extra', json_object('ids', [p_size, p_partkey], 'size', p_size),
+        'p_partkey', p_partkey)::VARCHAR END END AS text
+FROM part"""
 
 _ORACLES["packing_stats"] = _with(FILTERED) + """
 SELECT n AS examples, r AS real_tokens, n * 512 AS naive_padded_tokens, k AS packed_tokens,
@@ -577,28 +564,6 @@ SELECT model, 'nation' AS task, round(base, 6) AS base, round(tuned, 6) AS tuned
   tuned < tuned_m AS tuned_below_majority
 FROM sides"""
 
-_ORACLES["evaluate_task"] = _with("""
-asks AS (SELECT doc_id AS id, text AS prompt, 8 AS max_tokens FROM documents),""" + _chain("documents") + """,
-replies AS (
-  SELECT doc_id, CASE lang WHEN 'en' THEN 'the' WHEN 'de' THEN 'der' WHEN 'fr' THEN 'le'
-    WHEN 'es' THEN 'el' END AS gold,
-    lower(replace(replace(COALESCE(answer, ''), '_', ' '), '-', ' ')) AS answer
-  FROM documents LEFT JOIN told ON id = doc_id),
-vocabulary AS (SELECT DISTINCT gold AS label FROM replies),
-named AS (SELECT doc_id, label FROM replies JOIN vocabulary ON contains(answer, label)),
-guess AS (
-  SELECT doc_id, min(label) AS pred FROM named n WHERE NOT EXISTS (
-    SELECT 1 FROM named o WHERE o.doc_id = n.doc_id AND o.label <> n.label
-      AND contains(o.label, n.label))
-  GROUP BY doc_id HAVING count(*) = 1),
-judged AS (SELECT t.gold, g.pred FROM replies t LEFT JOIN guess g USING (doc_id)),
-tally AS (SELECT gold, count(*) AS g FROM judged GROUP BY gold)""") + """
-SELECT 'base' AS tag, 'demo' AS model, count(*) AS n, count(*) FILTER (WHERE pred = gold) AS correct,
-  count(*) FILTER (WHERE pred IS NULL) AS unparseable,
-  round(count(*) FILTER (WHERE pred = gold) / count(*), 6) AS accuracy,
-  round((SELECT max(g) FROM tally) / count(*), 6) AS majority_baseline
-FROM judged"""
-
 # --- training runs -------------------------------------------------------------
 
 _ORACLES["training_plan"] = _with(SPLIT, """
@@ -723,15 +688,13 @@ SELECT request_id, route,
   CASE WHEN route = '/v1/embeddings' THEN 'unknown route' ELSE 'bad request' END AS reason,
   CASE WHEN route = '/v1/embeddings' THEN 404 ELSE 400 END::BIGINT AS status
 FROM parsed WHERE route = '/v1/embeddings' OR bad"""
-_ORACLES["batch_generate"] = _with(REQUESTS) + "SELECT request_id, answer AS text FROM answered"
-
 _ORACLES["response_envelope"] = _with(REQUESTS) + f"""
 SELECT request_id, CASE WHEN kind = 'chat' THEN 'chatcmpl-' ELSE 'cmpl-' END
     || substr(md5(request_id), 1, 8) AS id,
   CASE WHEN kind = 'chat' THEN 'chat.completion' ELSE 'text_completion' END AS object,
   1700000000::BIGINT AS created, answer,
   CASE WHEN kind = 'chat' THEN {_words('answer')} END AS completion_tokens
-FROM answered"""
+FROM accepted"""
 
 # --- streams: the final state equals the batch result --------------------------
 
@@ -750,7 +713,6 @@ FROM scored GROUP BY run_id"""
 _ORACLES["stream_prepare"] = _with(FILTERED) + """
 SELECT record_id, p AS prompt_len, length, least(p, length) AS n_masked FROM kept
 WHERE record_id >= 0"""
-_ORACLES["stream_score_requests"] = _ORACLES["response_envelope"]
 
 # --- text ----------------------------------------------------------------------
 
