@@ -8,7 +8,8 @@ from tuneloom.operators.runs import new_best_flag
 from tuneloom.streaming import metrics as S
 from tuneloom.streaming import prepare as P
 from tuneloom.streaming import requests as Q
-from tuneloom.streaming.sinks import ProgressLog, read_batches
+from tuneloom.streaming import versions as V
+from tuneloom.streaming.sinks import ProgressLog
 
 COLUMNS = ("run_id bigint, epoch bigint, iter bigint, kind string, loss double, tokens bigint, "
            "ts timestamp")
@@ -74,8 +75,7 @@ def test_views_over_several_batches(spark, tmp_path):
     out = str(tmp_path / "best")
     S.stream_best_checkpoint(source(spark, folder), out, str(tmp_path / "c1")).awaitTermination()
     schema = S.best_checkpoint_view(source(spark, folder)).schema
-    versions = read_batches(spark, out, schema)
-    assert versions.select("batch").distinct().count() > 1
+    assert len(list((tmp_path / "best").glob("delta-*"))) > 1
     best = S.read_latest(spark, out, schema, ["run_id"]).first()
     assert (best["best_val"], best["best_iter"]) == (0.5, 1)
 
@@ -149,3 +149,66 @@ def test_requests_are_answered_or_rejected(spark, tmp_path):
         time.sleep(0.1)
     spark.streams.removeListener(listener)
     assert sum(n for _, n in seen) >= 3
+
+
+def test_fifty_batches_leave_few_folders(spark, tmp_path):
+    out, best = str(tmp_path / "table"), {}
+    schema = "key bigint, best double"
+    for batch in range(50):
+        rows = [(batch % 7, 50.0 - batch), (100 + batch, 1.0)]
+        best |= dict(rows)
+        V.write_version(spark.createDataFrame(rows, schema).coalesce(1), out, batch, ["key"], every=4)
+        assert len(list((tmp_path / "table").iterdir())) <= 2 + 2 * 4
+    shape = spark.createDataFrame([], schema).schema
+    now = V.read_versions(spark, out, shape, ["key"])
+    assert now.columns == ["key", "best"] and {r.key: r.best for r in now.collect()} == best
+    # a delta holds what its batch has touched, not the table
+    assert spark.read.parquet(f"{out}/delta-49").count() == 2
+
+
+def test_torn_and_retried_batches(spark, tmp_path):
+    out, schema = str(tmp_path / "table"), "key bigint, best double"
+    shape = spark.createDataFrame([], schema).schema
+
+    def write(batch, *rows):
+        V.write_version(spark.createDataFrame(list(rows), schema).coalesce(1), out, batch, ["key"],
+                        every=2)
+
+    def read(before=None):
+        return {r.key: r.best for r in V.read_versions(spark, out, shape, ["key"], before).collect()}
+
+    assert read() == {}
+    write(0, (1, 9.0), (2, 9.0))
+    write(1, (1, 8.0))
+    write(2, (1, 7.0))
+    (tmp_path / "table" / "delta-2" / "_SUCCESS").unlink()  # torn
+    assert read() == {1: 8.0, 2: 9.0}
+    write(2, (1, 7.0))
+    write(3, (3, 5.0))
+    write(3, (3, 5.0))  # retried after its snapshot
+    assert read() == {1: 7.0, 2: 9.0, 3: 5.0} and read(before=3) == {1: 7.0, 2: 9.0}
+    (tmp_path / "table" / "snapshot-3" / "_SUCCESS").unlink()
+    assert read() == {1: 7.0, 2: 9.0, 3: 5.0}
+    write(3, (3, 5.0))
+    assert read() == {1: 7.0, 2: 9.0, 3: 5.0}
+
+
+def test_broken_lines_go_beside_the_stream(spark, tmp_path):
+    folder, out, bad = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "bad")
+    folder.mkdir()
+
+    def run():
+        P.stream_prepare_lines(P.read_landing_lines(spark, str(folder), 1), WordTokenizer(), 16,
+                               out, bad, str(tmp_path / "ledger"), str(tmp_path / "cp")).awaitTermination()
+
+    (folder / "a.json").write_text('{"text": "one two"}\n\n{"text": \n{"text": "three four five"}\n[1]\n')
+    run()
+    (folder / "b.json").write_text('no json\n{"prompt": "q", "output": "a b c d e"}\n{"text": "x y"}\n')
+    run()
+    run()
+    got = spark.read.parquet(out).orderBy("seq").collect()
+    assert [(r.seq, r.record_id, len(r.input_ids) > 1) for r in got] == [
+        (0, 0, True), (1, 1, True), (2, 2, True), (3, 3, True)]
+    rejects = spark.read.parquet(bad).orderBy("file", "line").collect()
+    assert [(r.file.rsplit("/", 1)[1], r.line, r.value) for r in rejects] == [
+        ("a.json", 3, '{"text": '), ("a.json", 5, "[1]"), ("b.json", 1, "no json")]

@@ -786,3 +786,31 @@ def stream_prepare(spark, sf):
     return spark.read.schema(schema).parquet(out).select(
         "record_id", *_big("prompt_len", "length"),
         _count_of("labels", IGNORE_LABEL).alias("n_masked"))
+
+
+def _prepared_lines(spark, sf) -> tuple[str, str]:
+    """A landing folder in which some lines are cut off, prepared in micro-batches."""
+    landing, out = stage_path(spark, "landing"), stage_path(spark, "prepared")
+    raw = inputs.sft_raw(spark, sf, usable=True).drop("seq")
+    line = F.to_json(F.struct(*raw.columns))
+    cut = F.when(F.col("record_id") % 7 == 3, F.expr("left(line, length(line) - 1)")).otherwise(
+        F.col("line"))
+    raw.select("record_id", line.alias("line")).select(cut.alias("value")).repartition(6).write.text(landing)
+    _finish(live_prepare.stream_prepare_lines(
+        live_prepare.read_landing_lines(spark, landing, 2), WORDS, MAX_LEN, out, f"{out}-rejects",
+        f"{out}-ledger", f"{out}-checkpoint"))
+    return out, f"{out}-rejects"
+
+
+@query
+def stream_prepare_lines(spark, sf):
+    rows = spark.read.parquet(_prepared_lines(spark, sf)[0])
+    return rows.select("record_id", *_big("prompt_len", "length"),
+                       _count_of("labels", IGNORE_LABEL).alias("n_masked"))
+
+
+@query
+def stream_prepare_rejects(spark, sf):
+    rows = spark.read.parquet(_prepared_lines(spark, sf)[1])
+    return rows.select(F.regexp_extract("value", '"record_id":([0-9]+)', 1).cast("bigint")
+                       .alias("record_id"), (F.col("line") > 0).alias("has_line"))

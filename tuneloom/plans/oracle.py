@@ -714,6 +714,12 @@ _ORACLES["stream_prepare"] = _with(FILTERED) + """
 SELECT record_id, p AS prompt_len, length, least(p, length) AS n_masked FROM kept
 WHERE record_id >= 0"""
 
+_ORACLES["stream_prepare_lines"] = _with(FILTERED) + """
+SELECT record_id, p AS prompt_len, length, least(p, length) AS n_masked FROM kept
+WHERE record_id >= 0 AND record_id % 7 <> 3"""
+_ORACLES["stream_prepare_rejects"] = _with(_raw(True)) + """
+SELECT record_id, true AS has_line FROM raw WHERE record_id % 7 = 3"""
+
 # --- text ----------------------------------------------------------------------
 
 _ORACLES["word_counts"] = r"""

@@ -5,19 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tuneloom.operators.ranks import SHARD_ROWS, prefix_aggregates
 from tuneloom.operators.runs import seconds_between, usable_loss
 from tuneloom.operators.scoring import is_correct
-from tuneloom.streaming.sinks import batch_folder, read_batches, write_per_batch
-
-
-def _latest(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The newest version of each key of an update-mode sink."""
-    values = [c for c in rows.columns if c not in (*keys, "batch")]
-    return (rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
-            .select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values]))
+from tuneloom.streaming.sinks import write_per_batch
+from tuneloom.streaming.versions import keep_versions, read_versions, write_version
 
 
 def best_checkpoint_view(metrics: DataFrame) -> DataFrame:
@@ -29,7 +23,7 @@ def best_checkpoint_view(metrics: DataFrame) -> DataFrame:
 
 
 def stream_best_checkpoint(metrics: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    return write_per_batch(best_checkpoint_view(metrics), out, checkpoint, "update")
+    return keep_versions(best_checkpoint_view(metrics), out, checkpoint, ["run_id"])
 
 
 def progress_view(metrics: DataFrame) -> DataFrame:
@@ -45,7 +39,7 @@ def progress_view(metrics: DataFrame) -> DataFrame:
 
 
 def stream_progress(metrics: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    return write_per_batch(progress_view(metrics), out, checkpoint, "update")
+    return keep_versions(progress_view(metrics), out, checkpoint, ["run_id", "epoch"])
 
 
 def accuracy_view(preds: DataFrame) -> DataFrame:
@@ -55,11 +49,12 @@ def accuracy_view(preds: DataFrame) -> DataFrame:
 
 
 def stream_running_accuracy(preds: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    return write_per_batch(accuracy_view(preds), out, checkpoint, "update")
+    return keep_versions(accuracy_view(preds), out, checkpoint, ["run_id"])
 
 
 def read_latest(spark, out: str, schema: StructType, keys: list[str]) -> DataFrame:
-    return _latest(read_batches(spark, out, schema), keys)
+    """What a live view has reached."""
+    return read_versions(spark, out, schema, keys)
 
 
 def stream_new_best_events(metrics: DataFrame, out: str, checkpoint: str, state: str,
@@ -67,22 +62,20 @@ def stream_new_best_events(metrics: DataFrame, out: str, checkpoint: str, state:
     """Emit a validation row only when it beats everything its run has logged before.
 
     Rows are ordered by iteration inside a micro-batch. The best of earlier
-    batches is a small table (one row per run) that each batch rewrites under
-    its own number; a hot run is scanned shard by shard, not in one group. A row
-    that arrives after a later iteration is still judged by value, and flagged.
+    batches is a keyed table below ``state``, of which a batch writes the runs it
+    has touched; a hot run is scanned shard by shard, not in one group. A row that
+    arrives after a later iteration is still judged by value, and flagged.
     """
     spark = metrics.sparkSession
-    columns = "run_id bigint, best_val double, max_iter bigint"
-
-    def previous(batch_id: int) -> DataFrame:
-        if batch_id == 0:
-            return spark.createDataFrame([], columns)
-        return spark.read.schema(columns).parquet(batch_folder(state, batch_id - 1))
+    columns = StructType([StructField("run_id", LongType()), StructField("best_val", DoubleType()),
+                          StructField("max_iter", LongType())])
 
     def events(rows: DataFrame, batch_id: int) -> DataFrame:
         val = rows.where(F.col("kind") == "val").select("run_id", "iter", "loss")
         usable = F.when(usable_loss(), F.col("loss"))
-        seen = previous(batch_id)
+        # what was before this batch, also when the batch is retried
+        seen = read_versions(spark, state, columns, ["run_id"], before=batch_id).join(
+            val.select("run_id").distinct(), "run_id", "left_semi")
         here = prefix_aggregates(val, ["run_id"], "iter", {"_before": ("min", usable)},
                                  inclusive=False, shard_rows=shard_rows)
         bar = F.least(F.col("_before"), F.col("best_val"))
@@ -92,9 +85,9 @@ def stream_new_best_events(metrics: DataFrame, out: str, checkpoint: str, state:
                          F.coalesce(F.col("iter") < F.col("max_iter"), F.lit(False))
                          .alias("late")))
         now = val.select("run_id", usable.alias("best_val"), F.col("iter").alias("max_iter"))
-        (seen.unionByName(now).groupBy("run_id")
-         .agg(F.min("best_val").alias("best_val"), F.max("max_iter").alias("max_iter"))
-         .write.mode("overwrite").parquet(batch_folder(state, batch_id)))
+        touched = seen.unionByName(now).groupBy("run_id").agg(
+            F.min("best_val").alias("best_val"), F.max("max_iter").alias("max_iter"))
+        write_version(touched, state, batch_id, ["run_id"])
         return found
 
     return write_per_batch(metrics, out, checkpoint, transform=events)
