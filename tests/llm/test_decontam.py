@@ -1,5 +1,7 @@
 """Leaks of benchmark items: exact, re-parameterised, and what only looks like one."""
 
+import random
+
 import pytest
 
 from tuneloom.llm import decontam
@@ -39,6 +41,77 @@ def test_slots_must_be_consistent(spark):
     assert find(spark, [(1, TWO_SAME), (2, TWO_OTHER)], [(2, TWO)]) == [("1", 2)]
 
 
+def test_a_changed_slot_hides_no_copy(spark):
+    item = "A box holds 12 red balls and another box holds 12 blue balls so how many are there?"
+    one = item.replace("another box holds 12", "another box holds 11")
+    both = item.replace("12", "40")
+    assert find(spark, [(1, item), (2, one), (3, both)], [(7, item)]) == [
+        ("1", 7), ("2", 7), ("3", 7)]
+
+
+def test_items_without_a_telling_window(spark):
+    heavy = "1 2 3 4 plus 5 6 7 8 9 equals 10 11 12 13"
+    docs = [(1, "What is 7 times 8?"), (2, "So, what is 7 times 8? Who knows."),
+            (3, "What is 7 times 9?"), (4, "Ask: " + heavy + " or not"),
+            (5, heavy.replace("equals 10", "equals 0")), (6, "Hello, world!"),
+            (7, "they said hello world to all"), (8, " ... "), (9, "1 2 3 4 plus 5 6 7 8 9")]
+    items = [(1, "What is 7 times 8?"), (2, heavy), (3, "hello world"), (4, "..."), (5, heavy),
+             (1, "never to be seen")]
+    assert find(spark, docs, items) == [("1", 1), ("2", 1), ("4", 2), ("4", 5), ("6", 3)]
+
+
+def _brute(doc: list[str], item: list[str]) -> bool:
+    """Small words and numbers alone: each lag tried, each window compared."""
+    w = decontam.WINDOW
+    sign = [["#" if t.isdigit() else t for t in x] for x in (doc, item)]
+    telling = [i for i in range(len(item) - w + 1)
+               if sum(t != "#" for t in sign[1][i:i + w]) >= decontam.LEAST_PLAIN]
+    if not telling:
+        n = len(item)
+        if n < decontam.LEAST_WHOLE:
+            return n > 0 and doc == item
+        return any(doc[i:i + n] == item for i in range(len(doc) - n + 1))
+    matched = set()
+    for lag in range(-len(item), len(doc)):
+        met = [i for i in telling if 0 <= i + lag <= len(doc) - w
+               and sign[0][i + lag:i + lag + w] == sign[1][i:i + w]]
+        change = {i: {(a, b) for a, b in zip(item[i:i + w], doc[i + lag:i + lag + w]) if a != b}
+                  for i in met}
+        all_changes = set().union(*change.values())
+        sound = len({a for a, _ in all_changes}) == len(all_changes)
+        matched |= {i for i in met if sound or not change[i]}
+    return bool(matched) and (len(matched) >= decontam.ENOUGH
+                              or len(matched) >= decontam.SHARE * len(telling))
+
+
+def test_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "_PART", 3)  # templates of more hits go in parts
+    rng = random.Random(9)
+
+    def some(n):
+        return [rng.choice(["alpha", "beta", "gamma"]) if rng.random() < .6 else
+                str(rng.randint(1, 3)) for _ in range(n)]
+
+    items = [some(rng.choice([1, 3, 5, 9, 12, 20])) for _ in range(30)]
+    docs = []
+    for _ in range(60):
+        inner = [rng.choice([t, t, t, str(rng.randint(1, 3))]) if t.isdigit() else t
+                 for t in rng.choice(items)]
+        docs.append(some(rng.choice([0, 2, 15])) + inner[rng.choice([0, 0, 2]):] + some(rng.choice([0, 4])))
+    want = sorted((str(d), i) for d, doc in enumerate(docs) for i, item in enumerate(items)
+                  if _brute(doc, item))
+    got = find(spark, [(d, " ".join(x)) for d, x in enumerate(docs)],
+               [(i, " ".join(x)) for i, x in enumerate(items)])
+    assert got == want and len(want) > 30
+
+
+def test_names_with_dots(spark):
+    docs = spark.createDataFrame([(1, ITEM, 3), (2, "else", 4)], "doc_id bigint, text string, `a.b` int")
+    items = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
+    left = decontam.without_leaks(docs, items)
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(2, "else", 4)]
+
+
 def test_a_part_of_an_item(spark):
     words = [f"w{i}x" for i in range(60)]
     part = "before that " + " ".join(words[20:34]) + " after that"

@@ -2,13 +2,18 @@
 
 Numbers, names and units become typed placeholders, all other words their lower-case core, so
 that a question with other numbers or names has the same template. Windows of ``WINDOW``
-template tokens of the documents are hash-joined with those of the benchmark. An occurrence of
-an item in a document (windows in step with each other) counts if its slots are consistent:
-one value of the item always stands against the same value in the document.
+template tokens of the documents are hash-joined with those of the benchmark. In an occurrence
+of an item in a document (windows in step with each other) windows with the item's own slots
+count in any case; those with other slots count if the changes are consistent: one changed
+value of the item always stands against the same value in the document.
+
+Items without a telling window, as short or number-heavy ones, are looked up word for word by
+their whole sequence of tokens instead.
 
 Document windows are hashed and looked up in a bit table of fixed size, made from all benchmark
 windows, where they lie: only hits are written and joined, on the whole template, so false
-hits go. Texts never move.
+hits go. Texts never move. Benchmark items of one text are one until the end, and templates
+that many document windows hold are joined in parts.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuneloom.llm.common import row_key
+from tuneloom.llm.common import row_key, text_key, whole_row
 from tuneloom.session import stage_table
 
 WINDOW = 8
@@ -30,6 +35,10 @@ WINDOW = 8
 LEAST_PLAIN = 4
 #: An item is found if this share of its windows is, or a run of words of this many windows.
 SHARE, ENOUGH = 0.5, 6
+#: Items under so many tokens are found only where they are the whole text.
+LEAST_WHOLE = 4
+#: A template is joined in parts of so many hits, or of this share of all hits if that is more.
+_PART, _PARTS = 1 << 16, 1 << 12
 _BITS = 24
 _CACHE = 1 << 20
 _NUMBER, _NAME, _UNIT, _QUANTITY, _PLAIN, _NOTHING = range(6)
@@ -134,6 +143,24 @@ class Templates:
         at = np.flatnonzero((count >= LEAST_PLAIN) & (self.text_of[:n] == self.text_of[WINDOW - 1:]))
         return at, hashes[at]
 
+    def pieces(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where runs of ``width`` tokens start, and their hashes, slots as they are."""
+        n = len(self.ids) - width + 1
+        if n <= 0:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        token = np.array(self.words.hashes, np.uint64)[self.ids]
+        hashes = np.full(n, width, np.uint64)
+        for i, power in enumerate(_POWERS[:width]):
+            hashes += token[i:i + n] * power
+        inside = self.text_of[:n] == self.text_of[width - 1:]
+        if width < LEAST_WHOLE:
+            inside &= np.bincount(self.text_of)[self.text_of[:n]] == width
+        at = np.flatnonzero(inside)
+        return at, hashes[at]
+
+    def piece(self, at: int, width: int) -> tuple[str, list[str]]:
+        return " ".join(self.words.cores[i] for i in self.ids[at:at + width]), []
+
     def window(self, at: int) -> tuple[str, list[str]]:
         """Template and slot values of the window that starts there."""
         template, slots = [], []
@@ -152,72 +179,129 @@ def _bit(hashes: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
-def _windows(bits: np.ndarray | None, keys: list[str], step: int):
-    """Rows of windows: all of them, or those whose bit is set."""
+def _batch(found: Templates, batch: pa.RecordBatch, keys: list[str], at: np.ndarray,
+           bit: np.ndarray, width: int) -> pa.RecordBatch:
+    """Rows of the windows (width 0) or pieces that start at the places given."""
+    row = pa.array(found.text_of[at])
+    pairs = [found.piece(i, width) if width else found.window(i) for i in at.tolist()]
+    return pa.RecordBatch.from_arrays(
+        [*(batch.column(k).take(row) for k in keys), pa.array(np.full(len(at), width, np.int32)),
+         pa.array(found.place[at]), pa.array(bit), pa.array([p[0] for p in pairs], pa.string()),
+         pa.array([p[1] for p in pairs], pa.list_(pa.string()))],
+        names=[*keys, "width", "place", "bit", "template", "slots"])
+
+
+def _parsed(batches: Iterator[pa.RecordBatch], step: int):
+    words = Words()
+    for whole in batches:
+        for start in range(0, whole.num_rows, step):
+            if len(words.cores) > _CACHE:
+                words = Words()
+            batch = whole.slice(start, step)
+            yield batch, Templates(batch.column("text").to_pylist(), words)
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The telling windows of items; pieces that cover all of the items that have none."""
+    for batch, found in _parsed(batches, 256):
+        at, hashes = found.windows()
+        yield _batch(found, batch, ["item"], at, _bit(hashes), 0)
+        sizes = np.bincount(found.text_of, minlength=batch.num_rows)
+        sizes[found.text_of[at]] = 0
+        for width in range(1, WINDOW + 1):
+            at, hashes = found.pieces(width)
+            here = np.minimum(sizes, WINDOW)[found.text_of[at]] == width
+            yield _batch(found, batch, ["item"], at[here], _bit(hashes[here]), width)
+
+
+def _hits(bits: np.ndarray, widths: list[int]):
+    """The document windows and pieces whose bit is set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for whole in batches:
-            for start in range(0, whole.num_rows, step):
-                batch = whole.slice(start, step)
-                if len(words.cores) > _CACHE:
-                    words = Words()
-                found = Templates(batch.column("text").to_pylist(), words)
-                at, hashes = found.windows()
+        for batch, found in _parsed(batches, 256):
+            for width in widths:
+                at, hashes = found.pieces(width) if width else found.windows()
                 bit = _bit(hashes)
-                if bits is not None:
-                    hit = bits[bit >> 3] >> (bit & 7) & 1 == 1
-                    at, bit = at[hit], bit[hit]
-                row = found.text_of[at]
-                pairs = [found.window(i) for i in at.tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).take(pa.array(row)) for k in keys),
-                     pa.array(found.place[at]), pa.array(bit),
-                     pa.array([p[0] for p in pairs], pa.string()),
-                     pa.array([p[1] for p in pairs], pa.list_(pa.string()))],
-                    names=[*keys, "place", "bit", "template", "slots"])
+                hit = bits[bit >> 3] >> (bit & 7) & 1 == 1
+                yield _batch(found, batch, ["doc_id", "key"], at[hit], bit[hit], width)
     return run
 
 
-_WINDOW = "place bigint, bit bigint, template string, slots array<string>"
+def _bit_table(bench: DataFrame) -> np.ndarray:
+    """The bits of all benchmark windows, gathered as words of 64: at most 2^18 rows."""
+    found = (bench.groupBy(F.shiftright("bit", 6).alias("word"))
+             .agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("bits")).toArrow())
+    bits = np.zeros(1 << (_BITS - 6), np.int64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return bits.astype("<i8").view(np.uint8)
+
+
+def _met(hits: DataFrame, bench: DataFrame) -> DataFrame:
+    """Hits with the item windows of their template; templates of many hits go in parts."""
+    limit = max(_PART, hits.count() // _PARTS)  # so at most _PARTS templates are above it
+    hot = F.broadcast(hits.groupBy("width", "template").agg(F.count("*").alias("n"))
+                      .where(F.col("n") > limit)
+                      .select("width", "template", F.ceil(F.col("n") / limit).alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    ours = (hits.join(hot, ["width", "template"], "left")
+            .withColumn("part", F.pmod(F.xxhash64("key", "place"), parts)).drop("parts"))
+    theirs = (bench.join(hot, ["width", "template"], "left")
+              .select("width", "template", "item", F.col("place").alias("item_place"),
+                      F.col("slots").alias("item_slots"),
+                      F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part")))
+    return ours.join(theirs, ["width", "template", "part"])
+
+
+_WINDOW = "width int, place bigint, bit bigint, template string, slots array<string>"
 
 
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``key, doc_id, item_id, matched, windows, slots`` of every document and the items in it.
 
-    ``matched`` of an item's ``windows`` stand in the document, in occurrences with consistent
-    ``slots``. Documents are told apart by id and whole text. Null and empty texts match
-    nothing, nor do items without a telling window, as those under eight words. Items that
-    repeat an id count as one. Empty tables give an empty result.
+    ``matched`` of an item's ``windows`` stand in the document, in occurrences with ``slots``
+    pairs of slot values. An item without a telling window (under ``WINDOW`` tokens, or with
+    fewer than ``LEAST_PLAIN`` plain words in each) is found where its whole sequence of tokens
+    stands, numbers and names as they are; one under ``LEAST_WHOLE`` tokens only as a whole
+    document. Documents are told apart by id and whole text. Null and empty texts, and texts
+    without a word, match nothing. Items that repeat an id count as one, found if any of their
+    texts is, with the figures of the best matched. Empty tables give an empty result.
     """
-    bench = stage_table(items.where("item_id IS NOT NULL").select("item_id", "text").mapInArrow(
-        _windows(None, ["item_id"], 256), f"item_id bigint, {_WINDOW}"), "item-windows")
-    positions = np.array([r.bit for r in bench.select("bit").distinct().collect()], np.int64)
-    bits = np.zeros(1 << (_BITS - 3), np.uint8)  # of a fixed size, however many items there are
-    np.bitwise_or.at(bits, positions >> 3, (1 << (positions & 7)).astype(np.uint8))
+    owners = (items.where("item_id IS NOT NULL")
+              .select("item_id", text_key(F.col("text")).alias("item"), "text"))
+    bench = stage_table(
+        owners.groupBy("item").agg(F.first("text").alias("text")).mapInArrow(
+            _item_windows, f"item string, {_WINDOW}"), "item-windows")
+    widths = sorted(r.width for r in bench.select("width").distinct().collect())
     hits = stage_table(
         docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(
-            _windows(bits, ["doc_id", "key"], 256), f"doc_id bigint, key string, {_WINDOW}"),
-        "hits")
-    sizes = bench.groupBy("item_id").agg(F.count_distinct("place").alias("windows"))
-    theirs = bench.select(F.col("template").alias("_template"), "item_id",
-                          F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
-    met = hits.join(theirs, F.col("template") == F.col("_template"))
+            _hits(_bit_table(bench), widths), f"doc_id bigint, key string, {_WINDOW}"), "hits")
+    sizes = bench.groupBy("item").agg(F.count_distinct("place").alias("windows"))
     pairs = F.arrays_zip(F.col("item_slots"), F.col("slots"))
-    seen = (met.groupBy("key", "doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("lag"))
-            .agg(F.collect_set("item_place").alias("places"),
-                 F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")))
-    sound = F.size(F.array_distinct(F.col("pairs.item_slots"))) == F.size("pairs")
-    found = (seen.where(sound).groupBy("key", "doc_id", "item_id").agg(
+    met = _met(hits.drop("bit"), bench).withColumn("pairs", pairs).withColumn(
+        "changes", F.filter("pairs", lambda p: p["item_slots"] != p["slots"]))
+    seen = (met.groupBy("key", "doc_id", "item", "width",
+                        (F.col("place") - F.col("item_place")).alias("lag"))
+            .agg(F.collect_set("item_place").alias("every"),
+                 F.collect_set(F.when(F.size("changes") == 0, F.col("item_place"))).alias("same"),
+                 F.array_distinct(F.flatten(F.collect_set("changes"))).alias("changes"),
+                 F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")))
+    sound = F.size(F.array_distinct(F.col("changes.item_slots"))) == F.size("changes")
+    places = F.when(sound, F.col("every")).otherwise(F.col("same"))
+    found = (seen.withColumn("places", places).groupBy("key", "doc_id", "item").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("bigint")
-        .alias("matched"), F.max(F.size("pairs")).alias("slots")))
-    return (found.join(sizes, "item_id")
-            .where((F.col("matched") >= ENOUGH) | (F.col("matched") >= F.lit(SHARE) * F.col("windows")))
-            .select("key", "doc_id", "item_id", "matched", "windows", "slots"))
+        .alias("matched"), F.max(F.size("places")).alias("at_once"),
+        F.max(F.size("pairs")).alias("slots"), F.max("width").alias("width")))
+    enough = F.when(F.col("width") > 0, F.col("at_once") == F.col("windows")).otherwise(
+        (F.col("matched") >= ENOUGH) | (F.col("matched") >= F.lit(SHARE) * F.col("windows")))
+    best = F.max(F.struct("matched", "windows", "slots"))
+    return (found.join(sizes, "item").where((F.col("matched") > 0) & enough)
+            .join(owners.select("item", "item_id").distinct(), "item")
+            .groupBy("key", "doc_id", "item_id").agg(best.alias("best"))
+            .select("key", "doc_id", "item_id", "best.*"))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents in which no benchmark item is found, with all their columns."""
     leaked = stage_table(find_leaks(docs, items).select(F.col("key").alias("_key")).distinct(),
                          "leaked")
-    full = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("_key"))
+    full = docs.select(whole_row(docs).alias("row"), row_key().alias("_key"))
     return full.join(leaked, "_key", "left_anti").select("row.*")
