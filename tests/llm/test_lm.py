@@ -66,7 +66,7 @@ def test_chunks_do_not_change_scores(spark, monkeypatch):
 
 
 def test_probabilities_sum_to_one():
-    shape = lm.Shape([lm.END, "a", "b", "c"])
+    shape = lm.Shape([lm.END, "a", "b", "c"], lm.Sizes.of_tokens(100))
     rng = np.random.default_rng(3)
     weights = rng.normal(size=(shape.n_features, shape.n_classes)).astype(np.float32)
     on = shape.features(np.arange(shape.n_values ** 2))
@@ -74,6 +74,70 @@ def test_probabilities_sum_to_one():
     assert np.exp(lm.log_softmax(weights, on)).sum(axis=1) == pytest.approx(1, abs=1e-4)
 
 
+def test_what_is_gathered_grows_with_the_corpus():
+    sizes = [lm.Sizes.of_tokens(10 ** n) for n in range(3, 14)]
+    for less, more in zip(sizes, sizes[1:]):
+        assert more.own_contexts > less.own_contexts and more.own_classes > less.own_classes
+        assert more.trigrams > less.trigrams and more.hashed_classes >= less.hashed_classes
+    assert all(s.hashed_classes & (s.hashed_classes - 1) == 0 for s in sizes)
+
+
+def test_cells_round_trip_and_add_up():
+    rng = np.random.default_rng(4)
+    parts = [np.unique(rng.integers(0, 1 << 40, n), return_counts=True) for n in (1, 50, 400)]
+    parts.append(parts[1])
+    for keys, counts in parts:
+        again = lm._unpacked(lm._packed(keys, counts))
+        assert (again[0] == keys).all() and (again[1] == counts).all()
+    want = Counter()
+    for keys, counts in parts:
+        want.update(dict(zip(keys.tolist(), counts.tolist())))
+    keys, counts = lm._merge(parts)
+    assert dict(zip(keys.tolist(), counts.tolist())) == want and (np.diff(keys) > 0).all()
+
+
+def test_gradients_equal_brute_force(spark, monkeypatch):
+    """Statistics, observed and expected counts, and class scores, token by token."""
+    monkeypatch.setattr(lm, "_BLOCK", 64)
+    monkeypatch.setattr(lm, "_GATHER", 20)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 200)
+    rows = corpus(40)
+    shape = lm.Shape([lm.END, "red", "apple", "sky"], lm.Sizes(2, 4, 3, 16, 50))
+    chunks = make(spark, rows).select(
+        lm.F.monotonically_increasing_id().alias("number"), "doc_id",
+        lm.held_out(lm.F.col("doc_id"), 10).alias("held"), "text").mapInArrow(lm._chunks, lm._CHUNK)
+    stats = lm.stage_table(lm._statistics(chunks, shape), "test-statistics")
+    got = Counter()
+    for r in stats.collect():
+        for k, n in zip(*lm._unpacked(r.cells)):
+            assert int(k) not in got
+            got[int(k)] = int(n)
+    want = Counter()
+    for i, text in rows:
+        words = [t.decode() for t in tokens(text)]
+        classes, values = (x.tolist() for x in shape.of_words(words))
+        before = [shape.begin, shape.begin, *values]
+        for at, c in enumerate(classes):
+            if not held(i):
+                want[(before[at] * shape.n_values + before[at + 1]) * shape.n_classes + c] += 1
+    assert got == want
+    weights = np.random.default_rng(5).normal(size=(shape.n_features, shape.n_classes)).astype("f4")
+    observed, expected = np.zeros(weights.shape), np.zeros(weights.shape)
+    for key, n in want.items():
+        on = shape.features(np.array([key // shape.n_classes]))
+        guess = np.exp(lm.log_softmax(weights, on)[0])
+        for f in on[0]:
+            observed[f, key % shape.n_classes] += n
+            expected[f] += n * guess
+    for run, whole in ((lm._observed(shape), observed), (lm._expected(shape, weights), expected)):
+        assert lm._summed(stats.mapInArrow(run, lm._ROWS), shape) == pytest.approx(whole, rel=1e-3, abs=1e-3)
+    monkeypatch.setattr(lm, "_SLICE", 40)
+    contexts = np.random.default_rng(6).integers(0, shape.n_values ** 2, 300)
+    classes = contexts % shape.n_classes
+    logs = lm.log_softmax(weights, shape.features(contexts))[np.arange(300), classes] / np.log(10)
+    assert lm._class_logs(shape, weights, classes, contexts) == pytest.approx(logs, abs=1e-4)
+
+
 def test_nothing(spark):
     assert lm.score_corpus(make(spark, [])).count() == 0
     only = next(i for i in range(100) if held(i))

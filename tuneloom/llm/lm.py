@@ -3,24 +3,28 @@
 A token's probability is that of its class given the context, times its share of the class.
 The class softmax is log-linear in features of the two tokens before: the last one (bigram),
 the one before it (skip) and both together (trigram, hashed). The most frequent words are
-classes and context values of their own, all others share hashed ones, so the model has a
-fixed size however many words there are. Unknown words are one type, with the probability that
-Good and Turing give to unseen words.
+classes and context values of their own, all others share hashed ones. How many of each there
+are, and how many rows the trigrams hash to, grows with the fifth root of the training tokens
+(``Sizes``), so what is gathered from a corpus grows with it. Unknown words are one type, with
+the probability that Good and Turing give to unseen words.
 
 One pass over the texts makes chunks of a bounded number of tokens: a chunk holds its distinct
 words and its tokens as numbers into them. Everything after works on chunks:
 
 * word counts: the distinct words of all chunks, summed by word (and joined back, so that no
   task ever holds the vocabulary);
-* the statistics of the model, class counts by context, over all training tokens: a table of
-  fixed size, on which gradient steps run, each task giving the gradient of its contexts;
-* scoring: gathers and table look-ups on whole chunks of numbers.
+* the statistics of the model, class counts by context, over all training tokens: sparse cells
+  in blocks of contexts, on which gradient steps run; each task gives the gradient of its
+  blocks, and gradients are summed by feature before the driver gets them;
+* scoring: the softmax of the contexts that a chunk holds, a bounded number at a time, and
+  gathers on whole chunks of numbers.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
@@ -34,11 +38,11 @@ from tuneloom.llm.common import held_out
 from tuneloom.session import stage_table
 
 CHUNK_BYTES = 12 << 20
-#: Most frequent words with a class, and with a context value, of their own; hashed ones.
-OWN_CLASSES, HASHED_CLASSES = 160, 32
-OWN_CONTEXTS, HASHED_CONTEXTS = 56, 6
-TRIGRAMS = 2048
 STEPS, RATE, PRIOR = 12, 0.5, 20.0
+#: Cells of a softmax that are worked on at once, and of a block of statistics.
+_SLICE, _BLOCK = 1 << 20, 1 << 20
+#: Distinct cells of statistics that a task gathers before it gives them away.
+_GATHER = 1 << 22
 #: Stands for the end of a text among the words; no word holds a blank.
 END = " "
 _CHUNK = ("chunk bigint, doc_ids binary, held binary, lengths binary, tokens binary, "
@@ -103,23 +107,42 @@ class _Chunk:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
 
 
+@dataclass(frozen=True)
+class Sizes:
+    """Words with a context value or class of their own, hashed ones, rows of trigrams."""
+
+    own_contexts: int
+    hashed_contexts: int
+    own_classes: int
+    hashed_classes: int  # a power of two, so that signed and unsigned hashes agree
+    trigrams: int
+
+    @staticmethod
+    def of_tokens(tokens: int) -> Sizes:
+        own = max(8, round(3 * tokens ** 0.2))
+        return Sizes(own, max(4, own // 9), 3 * own, 1 << max(4, (own // 2).bit_length()),
+                     32 * own)
+
+
 class Shape:
     """How words become classes and context values."""
 
-    def __init__(self, frequent: list[str]):
+    def __init__(self, frequent: list[str], sizes: Sizes):
         own = [w for w in frequent if w != END]
-        self.classes = {w: 1 + i for i, w in enumerate(own[:OWN_CLASSES])} | {END: 0}
-        self.contexts = {w: i for i, w in enumerate(own[:OWN_CONTEXTS])}
+        self.sizes = sizes
+        self.classes = {w: 1 + i for i, w in enumerate(own[:sizes.own_classes])} | {END: 0}
+        self.contexts = {w: i for i, w in enumerate(own[:sizes.own_contexts])}
         self.hashed = len(self.classes)
-        self.n_classes = self.hashed + HASHED_CLASSES
-        self.begin = len(self.contexts) + HASHED_CONTEXTS
+        self.n_classes = self.hashed + sizes.hashed_classes
+        self.begin = len(self.contexts) + sizes.hashed_contexts
         self.n_values = self.begin + 1
 
     def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        some, few = self.sizes.hashed_classes, self.sizes.hashed_contexts
         mixed = [xxhash.xxh64_intdigest(w, 42) for w in words]
-        classes = [self.classes.get(w, self.hashed + h % HASHED_CLASSES)
+        classes = [self.classes.get(w, self.hashed + h % some)
                    for w, h in zip(words, mixed, strict=True)]
-        values = [self.contexts.get(w, len(self.contexts) + h // HASHED_CLASSES % HASHED_CONTEXTS)
+        values = [self.contexts.get(w, len(self.contexts) + h // some % few)
                   for w, h in zip(words, mixed, strict=True)]
         return np.array(classes, np.int32), np.array(values, np.int32)
 
@@ -127,8 +150,9 @@ class Shape:
         """Class and context of every token."""
         classes, values = self.of_words(chunk.words)
         value = values[chunk.tokens]
-        one = np.concatenate([[self.begin], value[:-1]])
-        two = np.concatenate([[self.begin, self.begin], value[:-2]])[:len(value)]
+        begin = np.array([self.begin], np.int32)
+        one = np.concatenate([begin, value[:-1]])
+        two = np.concatenate([begin, begin, value[:-2]])[:len(value)]
         one[chunk.starts] = self.begin
         two[chunk.starts] = self.begin
         second = chunk.starts[chunk.lengths > 1] + 1
@@ -139,87 +163,184 @@ class Shape:
         """Rows of the weights that a context switches on: bias, bigram, skip, trigram."""
         two, one = contexts // self.n_values, contexts % self.n_values
         hashed = (contexts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                  >> np.uint64(40)) % np.uint64(TRIGRAMS)
+                  >> np.uint64(40)) % np.uint64(self.sizes.trigrams)
         return np.stack([np.zeros_like(one), 1 + one, 1 + self.n_values + two,
                          1 + 2 * self.n_values + hashed.astype(np.int64)], axis=1)
 
     @property
     def n_features(self) -> int:
-        return 1 + 2 * self.n_values + TRIGRAMS
+        return 1 + 2 * self.n_values + self.sizes.trigrams
+
+    def slices(self, n: int) -> Iterator[slice]:
+        """Contexts of a bounded number of cells at a time."""
+        step = max(1, _SLICE // self.n_classes)
+        return (slice(i, min(i + step, n)) for i in range(0, n, step))
 
 
 def log_softmax(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    logits = weights[features].sum(axis=1)
+    logits = weights[features[:, 0]]
+    for j in range(1, features.shape[1]):
+        logits += weights[features[:, j]]
     logits -= logits.max(axis=1, keepdims=True)
     return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
 
+def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse cells added up: sorted keys and their counts."""
+    keys = np.concatenate([k for k, _ in parts])
+    counts = np.concatenate([n for _, n in parts])
+    if len(parts) == 1 or not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
+    return keys[first], np.add.reduceat(counts, first)
+
+
+def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Differences of sorted keys, and counts, by byte planes."""
+    both = np.stack([np.diff(keys, prepend=0), counts]).astype("<i8")
+    return zstandard.compress(both.view(np.uint8).reshape(2, -1, 8).transpose(0, 2, 1).tobytes())
+
+
+def _unpacked(cells: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(cells), np.uint8).reshape(2, 8, -1)
+    both = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8")[:, :, 0]
+    return np.cumsum(both[0]), both[1]
+
+
+_CELLS = "block bigint, cells binary"
+
+
+def _cells(blocks: list[int], cells: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(cells, pa.binary())],
+                                      names=["block", "cells"])
+
+
 def _statistics(chunks: DataFrame, shape: Shape) -> DataFrame:
-    """``context, class, n`` over all training tokens."""
-    cells = shape.n_values ** 2 * shape.n_classes
+    """``block, cells``: counts over all training tokens, keyed by context and class.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
+    All cells of a context are in one block, a row, which holds some 2^20 cells at most.
+    """
+    blocks = max(8, shape.n_values ** 2 * shape.n_classes // _BLOCK)
+
+    def give(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        block = keys // shape.n_classes % blocks
+        for b in np.unique(block).tolist():
+            yield _cells([b], [_packed(keys[block == b], counts[block == b])])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
         for batch in batches:
-            for row in batch.to_pylist():
-                chunk = _Chunk(row)
+            for i in range(batch.num_rows):
+                chunk = _Chunk(batch.slice(i, 1).to_pylist()[0])
                 classes, contexts = shape.of_chunk(chunk)
                 learnt = np.repeat(~chunk.held, chunk.lengths)
-                total += np.bincount(contexts[learnt] * shape.n_classes + classes[learnt],
-                                     minlength=cells)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at // shape.n_classes), pa.array(at % shape.n_classes),
-             pa.array(total[at])], names=["context", "class", "n"])
+                keys = contexts[learnt].astype(np.int64) * shape.n_classes + classes[learnt]
+                parts = [_merge([*parts, np.unique(keys, return_counts=True)])]
+                if len(parts[0][0]) > _GATHER:
+                    yield from give(*parts.pop())
+        if parts:
+            yield from give(*parts[0])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts = None, []
+        for batch in batches:
+            for block, cells in zip(*batch.to_pydict().values(), strict=True):
+                if block != at and parts:
+                    yield _cells([at], [_packed(*parts[0])])
+                    parts = []
+                at = block
+                parts = [_merge([*parts, _unpacked(cells)])]
+        if parts:
+            yield _cells([at], [_packed(*parts[0])])
 
     return (chunks.select("lengths", "doc_ids", "held", "tokens", "words")
-            .mapInArrow(run, "context bigint, class bigint, n bigint")
-            .groupBy("context", "class").agg(F.sum("n").alias("n")))
+            .mapInArrow(gather, _CELLS).repartition(blocks, "block")
+            .sortWithinPartitions("block").mapInArrow(add, _CELLS))
+
+
+_ROWS = "feature bigint, value array<float>"
+
+
+def _by_feature(values: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(values.any(axis=1))
+    flat = pa.array(values[at].ravel())
+    ends = pa.array(np.arange(len(at) + 1, dtype=np.int32) * values.shape[1])
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.ListArray.from_arrays(ends, flat)],
+                                      names=["feature", "value"])
+
+
+def _summed(rows: DataFrame, shape: Shape) -> np.ndarray:
+    """Rows by feature, added up in tasks; the driver gets one row a feature."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            values = batch.column("value").flatten().to_numpy().reshape(-1, shape.n_classes)
+            for feature, value in zip(batch.column("feature").to_pylist(), values, strict=True):
+                total[feature] = total[feature] + value if feature in total else value
+        if total:
+            flat = pa.array(np.concatenate(list(total.values())))
+            ends = pa.array(np.arange(len(total) + 1, dtype=np.int32) * shape.n_classes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(total)), pa.ListArray.from_arrays(ends, flat)],
+                names=["feature", "value"])
+
+    got = rows.repartition(8, "feature").mapInArrow(add, _ROWS).toArrow()
+    whole = np.zeros((shape.n_features, shape.n_classes), np.float32)
+    if got.num_rows:
+        value = got.column("value").combine_chunks().flatten().to_numpy()
+        whole[got.column("feature").to_numpy()] = value.reshape(-1, shape.n_classes)
+    return whole
+
+
+def _observed(shape: Shape):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape.n_features * shape.n_classes)
+        for batch in batches:
+            for cells in batch.column("cells").to_pylist():
+                keys, counts = _unpacked(cells)
+                on = shape.features(keys // shape.n_classes)
+                for j in range(on.shape[1]):
+                    total += np.bincount(on[:, j] * shape.n_classes + keys % shape.n_classes,
+                                         counts, len(total))
+        yield _by_feature(total.astype(np.float32).reshape(shape.n_features, shape.n_classes))
+    return run
+
+
+def _expected(shape: Shape, weights: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros_like(weights)
+        for batch in batches:
+            for cells in batch.column("cells").to_pylist():
+                keys, counts = _unpacked(cells)
+                first = np.flatnonzero(np.diff(keys // shape.n_classes, prepend=-1))
+                contexts = keys[first] // shape.n_classes
+                tokens = np.add.reduceat(counts, first).astype(np.float32)
+                for part in shape.slices(len(contexts)):
+                    on = shape.features(contexts[part])
+                    guess = np.exp(log_softmax(weights, on)) * tokens[part, None]
+                    for j in range(on.shape[1]):
+                        order = np.argsort(on[:, j], kind="stable")
+                        rows = on[order, j]
+                        starts = np.flatnonzero(np.diff(rows, prepend=-1))
+                        total[rows[starts]] += np.add.reduceat(guess[order], starts, axis=0)
+        yield _by_feature(total)
+    return run
 
 
 def train(statistics: DataFrame, shape: Shape, steps: int = STEPS) -> np.ndarray:
     """Weights by distributed gradient steps: tasks give gradients of their contexts, which are
     summed by feature; each weight moves by its gradient over its expected count plus a prior.
     """
-    rows = (statistics.groupBy("context")
-            .agg(F.array_agg(F.struct(F.col("class").alias("c"), "n")).alias("cells")))
-    rows = stage_table(rows.repartition(8, "context"), "statistics")
-    seen = {r["class"]: r.n for r in statistics.groupBy("class").agg(F.sum("n").alias("n"))
-            .collect()}
-    base = np.array([seen.get(c, 0) for c in range(shape.n_classes)], np.float64)
-    weights = np.zeros((shape.n_features, shape.n_classes), np.float32)
-    weights[0] = np.log((base + 0.1) / (base + 0.1).sum())
-    wide = "feature bigint, observed array<float>, expected array<float>"
-
-    def gradient(current: np.ndarray):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            observed = np.zeros_like(current)
-            expected = np.zeros_like(current)
-            for batch in batches:
-                for row in batch.to_pylist():
-                    counts = np.zeros(shape.n_classes)
-                    for cell in row["cells"]:
-                        counts[cell["c"]] = cell["n"]
-                    on = shape.features(np.array([row["context"]], np.int64))
-                    guess = counts.sum() * np.exp(log_softmax(current, on)[0])
-                    observed[on[0]] += counts
-                    expected[on[0]] += guess
-            at = np.flatnonzero(expected.any(axis=1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at), *(pa.array(list(x[at]), pa.list_(pa.float32()))
-                                 for x in (observed, expected))],
-                names=["feature", "observed", "expected"])
-        return run
-
+    rows = stage_table(statistics, "statistics")
+    observed = _summed(rows.mapInArrow(_observed(shape), _ROWS), shape)
+    weights = np.zeros_like(observed)
+    base = observed[0].astype(np.float64) + 0.1  # the bias is on in all contexts
+    weights[0] = np.log(base / base.sum())
     for _ in range(steps):
-        got = rows.mapInArrow(gradient(weights), wide).toArrow()
-        feature = got.column("feature").to_numpy()
-        observed, expected = np.zeros_like(weights), np.zeros_like(weights)
-        for name, into in (("observed", observed), ("expected", expected)):
-            cells = got.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            np.add.at(into, feature, cells.reshape(len(feature), shape.n_classes))
-        move = (observed - expected) / (np.maximum(observed, expected) + PRIOR)
-        weights += RATE * move
+        expected = _summed(rows.mapInArrow(_expected(shape, weights), _ROWS), shape)
+        weights += RATE * (observed - expected) / (np.maximum(observed, expected) + PRIOR)
     return weights
 
 
@@ -241,15 +362,16 @@ def score_corpus(docs: DataFrame, folds: int = 10, steps: int = STEPS) -> DataFr
     total, distinct, once = counts.agg(F.sum("c"), F.count("*"),
                                        F.count(F.when(F.col("c") == 1, 1))).first()
     total = total or 0
+    sizes = Sizes.of_tokens(total)
     frequent = [r.word for r in counts.orderBy(F.desc("c"), "word")
-                .limit(OWN_CLASSES + 1).collect()]
-    shape = Shape(frequent)
+                .limit(sizes.own_classes + 1).collect()]
+    shape = Shape(frequent, sizes)
     weights = train(_statistics(chunks, shape), shape, steps) if total else None
-    hashed = (F.pmod(F.xxhash64("word"), F.lit(HASHED_CLASSES)))
+    hashed = (F.pmod(F.xxhash64("word"), F.lit(sizes.hashed_classes)))
     own = F.col("word").isin(list(shape.classes))
     mass = {r.h: r.m for r in counts.where(~own).groupBy(hashed.alias("h"))
             .agg(F.sum(F.col("c") + 0.1).alias("m")).collect()}
-    masses = np.array([mass.get(h, 0.0) for h in range(HASHED_CLASSES)])
+    masses = np.array([mass.get(h, 0.0) for h in range(sizes.hashed_classes)])
     known = (uses.select("chunk", "at", "word").join(counts, "word")
              .groupBy("chunk").agg(F.array_agg(F.struct("at", "c")).alias("known")))
     model = {"total": total, "distinct": distinct, "once": once, "weights": weights,
@@ -262,18 +384,28 @@ def score_corpus(docs: DataFrame, folds: int = 10, steps: int = STEPS) -> DataFr
 
 def _scorer(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape, weights, logs = model["shape"], model["weights"], None
-        if weights is not None:  # of all contexts, once a task
-            every = shape.features(np.arange(shape.n_values ** 2))
-            logs = np.concatenate([log_softmax(weights, part) for part in
-                                   np.array_split(every, 16)]) / np.float32(np.log(10))
         for batch in batches:
             for i in range(batch.num_rows):
-                yield _scored(batch.slice(i, 1), model, logs)
+                yield _scored(batch.slice(i, 1), model)
     return run
 
 
-def _scored(row: pa.RecordBatch, model: dict, logs: np.ndarray | None) -> pa.RecordBatch:
+def _class_logs(shape: Shape, weights: np.ndarray, classes: np.ndarray,
+                contexts: np.ndarray) -> np.ndarray:
+    """log10 probability of every token's class in its context, each context worked out once."""
+    here = np.zeros(shape.n_values ** 2, bool)
+    here[contexts] = True
+    distinct = np.flatnonzero(here)
+    rank = (np.cumsum(here, dtype=np.int32) - 1)[contexts]
+    out = np.empty(len(contexts), np.float32)
+    for part in shape.slices(len(distinct)):
+        logs = log_softmax(weights, shape.features(distinct[part]))
+        at = np.flatnonzero((rank >= part.start) & (rank < part.stop))
+        out[at] = logs[rank[at] - part.start, classes[at]]
+    return out / np.float32(np.log(10))
+
+
+def _scored(row: pa.RecordBatch, model: dict) -> pa.RecordBatch:
     known = row.column("known")[0].values
     fields = row.drop_columns(["known"]).to_pylist()[0]
     chunk, shape, total = _Chunk(fields), model["shape"], model["total"]
@@ -281,7 +413,7 @@ def _scored(row: pa.RecordBatch, model: dict, logs: np.ndarray | None) -> pa.Rec
     if known is not None:
         c[known.field("at").to_numpy()] = known.field("c").to_numpy()
     base = np.log10((c + 0.1) / (total + 0.1 * (model["distinct"] + 1)))[chunk.tokens]
-    if logs is None:
+    if model["weights"] is None:
         score = base
     else:
         new = min(0.5, max(model["once"], 0.1) / (total + 0.1))
@@ -293,7 +425,8 @@ def _scored(row: pa.RecordBatch, model: dict, logs: np.ndarray | None) -> pa.Rec
         share = np.log10(np.where(known_words & (inside >= 0), (c + 0.1) / np.maximum(mass, 0.1),
                                   1.0))
         seen = known_words[chunk.tokens]
-        score = np.where(seen, logs[contexts, classes] + share[chunk.tokens] + np.log10(1 - new),
+        logs = _class_logs(shape, model["weights"], classes, contexts)
+        score = np.where(seen, logs + share[chunk.tokens] + np.log10(1 - new),
                          np.log10(new))
     per = [np.add.reduceat(x, chunk.starts) for x in
            (base, score, (c > 0)[chunk.tokens].astype(np.int64))]
