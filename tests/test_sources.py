@@ -122,6 +122,50 @@ def test_manifest_variants_in_one_table(spark, tmp_path):
     assert {r["created"] for r in back.collect()} == {"2024-05-06T07:08:09"}
 
 
+def test_a_retried_append_adds_nothing(spark, tmp_path):
+    path = str(tmp_path / "m")
+    rows = spark.createDataFrame([("a", "base", "2024-01-01"), ("b", None, "2024-01-02")],
+                                 "adapter_path string, base_model string, created string")
+    later = rows.withColumn("created", F.lit("2024-01-03")).where("base_model = 'base'")
+    for df in (rows, rows, later):
+        M.append_run_manifest(df, path, once=True)
+    back = M.read_run_manifests(spark, path, multi_line=False)
+    assert sorted((r.adapter_path, r.created) for r in back.collect()) == [
+        ("a", "2024-01-01"), ("a", "2024-01-03"), ("b", "2024-01-02")]
+    last = M.latest_manifests(back).collect()
+    assert sorted((r.adapter_path, r.created) for r in last) == [
+        ("a", "2024-01-03"), ("b", "2024-01-02")]
+
+
+def test_a_written_set_opens_at_any_batch(spark, tmp_path):
+    path = str(tmp_path / "b")
+    rows = spark.range(400).selectExpr("id DIV 4 AS batch_id", "id % 4 AS pos_in_batch", "id AS record_id")
+    W.write_batches(rows.repartition(7), path, per_file=10)
+    for start, stop in ((0, None), (37, None), (37, 52), (99, 200), (100, None)):
+        got = W.read_batches(spark, path, start, stop)
+        assert sorted(r.record_id for r in got.collect()) == list(
+            range(4 * start, 4 * min(stop or 100, 100)))
+    files = {f for f in W.read_batches(spark, path, 37, 52).inputFiles() if "first_batch" in f}
+    opened = W.read_batches(spark, path, 37, 52).select(F.col("record_id"), F.input_file_name().alias("f"))
+    assert len(files) == 10 and {r.f.split("first_batch=")[1].split("/")[0] for r in opened.collect()} \
+        == {"30", "40", "50"}
+    one = spark.read.parquet(path + "/first_batch=30/next_batch=40").collect()
+    assert [r.record_id for r in one] == list(range(120, 160))  # in order within the file
+
+
+def test_batches_are_placed_without_sampling(spark, tmp_path):
+    runs = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        runs.add(1)
+        yield from batches
+
+    rows = spark.range(0, 40, 1, 1).selectExpr("id AS batch_id", "0L AS pos_in_batch").mapInArrow(
+        count, "batch_id bigint, pos_in_batch bigint")
+    W.write_batches(rows, str(tmp_path / "b"), per_file=8)
+    assert runs.value == 1
+
+
 def test_prepare_and_write_batches(spark, tmp_path):
     rows = [(i, i, "pair", "w " * (i % 9), "a b c d", None) for i in range(40)]
     records = spark.createDataFrame(rows, "record_id bigint, seq bigint, kind string, "

@@ -315,6 +315,16 @@ def batch_files(spark, sf):
     return spark.read.parquet(path).select("batch_order", *_padded_columns())
 
 
+@query
+def batches_from(spark, sf):
+    """A written set opened at its middle batch, as a job that resumes does."""
+    path = stage_path(spark, "batches")
+    batches = batching.bucket_batches(_tokens(spark, sf), BATCH, shuffle=True, seed=5)
+    writers.write_batches(batches, path, WORDS.pad_id, per_file=16)
+    middle = spark.read.parquet(path).agg(F.max("batch_order")).first()[0] // 2
+    return writers.read_batches(spark, path, middle).select("batch_order", *_padded_columns())
+
+
 @query
 def pad_left_batches(spark, sf):
     prompts = inputs.sft_pairs(spark, sf).select(
@@ -648,7 +658,9 @@ def run_manifests(spark, sf):
         F.lit("4bit").alias("quant"), F.lit("single").alias("strategy"),
         F.lit("checkpoint").alias("format"), created)
     path = stage_path(spark, "manifests")
-    manifests.append_run_manifest(manifests.union_manifests(adapters, full), path)
+    both = manifests.union_manifests(adapters, full)
+    for _ in range(2):  # a retried append adds nothing
+        manifests.append_run_manifest(both, path, once=True)
     found = manifests.read_run_manifests(spark, path, multi_line=False, name="*.json")
     joined = manifests.manifests_for(
         size.select(name.alias("model")),

@@ -416,6 +416,8 @@ _ORACLES["pad_batches"] = _with(FILTERED, _batched("kept", "seq")) + f"""
 SELECT {_PADDED_COLUMNS} FROM batched"""
 _ORACLES["batch_files"] = _with(FILTERED, _batched("kept", "length, seq"), BATCH_ORDER) + f"""
 SELECT batch_order, {_PADDED_COLUMNS} FROM batched JOIN ordered USING (batch_id)"""
+_ORACLES["batches_from"] = _ORACLES["batch_files"] + """
+WHERE batch_order >= (SELECT max(batch_order) // 2 FROM ordered)"""
 
 _ORACLES["pad_left_batches"] = _with(PAIRS, f"""
 lens AS (SELECT record_id, record_id AS seq, least({_words('q')}, 128) AS length FROM pairs)""",

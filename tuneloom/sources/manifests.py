@@ -17,13 +17,32 @@ def union_manifests(*variants: DataFrame) -> DataFrame:
     return whole
 
 
-def append_run_manifest(df: DataFrame, path: str, created: str = "created") -> None:
-    """Append manifest rows as JSON lines; a timestamp is written as ISO text."""
+def append_run_manifest(df: DataFrame, path: str, created: str = "created",
+                        once: bool = False) -> None:
+    """Append manifest rows as JSON lines; a timestamp is written as ISO text.
+
+    With ``once`` a manifest that lies there with the same content is not written again, so
+    that an append can be retried; one writer at a time.
+    """
     if dict(df.dtypes).get(created, "string").startswith("timestamp"):
         df = df.withColumn(created, iso_seconds(created))
+    content = F.to_json(F.struct(*sorted(c for c in df.columns if c != "manifest_key")))
+    df = df.withColumn("manifest_key", F.sha2(content, 256))
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if once and folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        there = spark.read.schema("manifest_key string").json(path)
+        df = df.join(there, "manifest_key", "left_anti")
     df.write.mode("append").json(path)
 
 
+def latest_manifests(manifests: DataFrame, by: str = "adapter_path") -> DataFrame:
+    """The manifest of each ``by`` that was created last; ties go to the greater content."""
+    content = F.to_json(F.struct(*manifests.columns))
+    best = F.max_by(F.struct(*manifests.columns), F.struct("created", content))
+    return manifests.groupBy(F.col(by).alias("_by")).agg(best.alias("_m")).select("_m.*")
+
+
 def read_run_manifests(spark: SparkSession, root: str, multi_line: bool = True,
                        name: str = "*.json") -> DataFrame:
     """All manifests below ``root``: one document per file, or JSON lines.

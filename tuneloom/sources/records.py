@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from tuneloom.operators.normalize import drop_unusable, normalize_records
 from tuneloom.operators.ranks import dense_seq, is_dense, running_offsets
-from tuneloom.operators.scoring import require_rows
 from tuneloom.operators.splits import head_cap
 from tuneloom.schemas import EVAL_ROW, SFT_RAW
 from tuneloom.session import stage_table
@@ -75,12 +74,23 @@ def read_sft_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_eval_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """``{prompt, gold}`` lines with ``seq``; an empty file is an error."""
-    rows = spark.read.schema(EVAL_ROW).option("mode", "FAILFAST").json(path)
-    blank = spark.read.text(path).where(F.trim("value") == "")
-    if not blank.isEmpty():
+    """``{prompt, gold}`` lines with ``seq``; a blank or bad line or an empty file is an error.
+
+    Blank lines are counted on the pass that parses and stages the rows.
+    """
+    seen = Observation()
+    blank = F.col("value").rlike(r"^\s*$")
+    lines = spark.read.text(path).observe(seen, F.count("*").alias("lines"),
+                                          F.count_if(blank).alias("blank"))
+    row = F.from_json("value", EVAL_ROW, {"mode": "FAILFAST"})
+    numbered = with_file_seq(lines.where(~blank).withColumn("_row", row)
+                             .select("_row.*", "_metadata"))
+    counts = seen.get
+    if counts["lines"] == 0:
+        raise ValueError(f"{path} is empty")
+    if counts["blank"]:
         raise ValueError(f"{path} has blank lines")
-    return with_file_seq(require_rows(rows, path))
+    return numbered.drop("_metadata")
 
 
 def load_records(spark: SparkSession, source: str, split: str = "train",

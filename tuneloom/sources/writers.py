@@ -1,13 +1,17 @@
-"""Sinks: task splits, evaluation reports, batches."""
+"""Sinks: task splits, evaluation reports, batches that can be opened at any step."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuneloom.operators.batching import pad_right
 
 
+#: Batches in one file of a written set.
+FILE_BATCHES = 4096
+
+
 def write_split_jsonl(task_rows: DataFrame, out: str, task: str) -> dict[str, str]:
     """``<task>_train`` with prompt/completion and ``<task>_test`` with prompt/gold."""
     paths = {}
@@ -27,16 +31,39 @@ def write_eval_report(summary: DataFrame, preds: DataFrame, path: str) -> None:
     preds.write.mode("overwrite").partitionBy("run_id").parquet(f"{path}/predictions")
 
 
-def write_batches(df: DataFrame, path: str, pad_id: int | None = None) -> None:
-    """Batches in batch order, members in place; one file holds a range of batches.
+def write_batches(df: DataFrame, path: str, pad_id: int | None = None,
+                  per_file: int = FILE_BATCHES) -> None:
+    """Batches in batch order, members in place; a file holds ``per_file`` batches.
 
-    With ``pad_id`` the rows are padded to the width of their batch where they are written,
-    after they have been moved.
+    The batch number is dense, so it tells the file without sampling the rows for ranges: each
+    range is a folder that names its first batch and the one after its last. With ``pad_id``
+    the rows are padded to the width of their batch where they are written, after they have
+    been moved. Set ``per_file`` so that a file is some hundred MB.
     """
-    order = "batch_order" if "batch_order" in df.columns else "batch_id"
-    placed = df.repartitionByRange(F.col(order)).sortWithinPartitions(order, "pos_in_batch")
+    order = _order(df)
+    first = F.floor(F.col(order) / per_file) * per_file
+    placed = (df.withColumn("first_batch", first).withColumn("next_batch", first + per_file)
+              .repartition("first_batch")
+              .sortWithinPartitions("first_batch", "next_batch", order, "pos_in_batch"))
     if pad_id is not None:
         placed = pad_right(placed, pad_id)
-    placed.write.mode("overwrite").parquet(path)
+    placed.write.mode("overwrite").partitionBy("first_batch", "next_batch").parquet(path)
+
+
+def read_batches(spark: SparkSession, path: str, start: int = 0,
+                 stop: int | None = None) -> DataFrame:
+    """Batches ``start`` to ``stop`` (not itself) of a written set; other files stay closed.
+
+    Row order within a file is that of the batches; sort by batch and ``pos_in_batch`` where
+    it matters across files.
+    """
+    rows = spark.read.parquet(path)
+    order = _order(rows)
+    rows = rows.where((F.col("next_batch") > start) & (F.col(order) >= start))
+    if stop is not None:
+        rows = rows.where((F.col("first_batch") < stop) & (F.col(order) < stop))
+    return rows.drop("first_batch", "next_batch")
 
 
+def _order(df: DataFrame) -> str:
+    return "batch_order" if "batch_order" in df.columns else "batch_id"
