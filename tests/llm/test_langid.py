@@ -57,6 +57,11 @@ def test_nothing(spark):
     assert [r.lang_pred for r in langid.identify(no_lang).collect()] == ["und"]
 
 
+def test_without_a_taught_language_nothing_is_told_apart(spark):
+    df = make(spark, [(1, EN, None), (2, "?? 11", None), (3, None, None), (4, "ß", None), (5, "", None)])
+    assert sorted(r.doc_id for r in langid.keep_identified(df).collect()) == [1, 4]
+
+
 def test_kept_documents(spark):
     df = make(spark, corpus() + [(200, "?? 11", "en"), (201, None, "en")])
     kept = langid.keep_identified(df)

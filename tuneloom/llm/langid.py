@@ -219,7 +219,8 @@ def keep_identified(docs: DataFrame, folds: int = 5, margin: float | None = None
     """The documents that are not rejected, with all their columns; rows stay where they lie.
 
     Without a ``margin`` the one learnt from the training fold holds; then texts whose two
-    smallest outputs tie are rejected too.
+    smallest outputs tie are rejected too. If no row teaches a language, nothing can be told
+    apart and only null texts and texts without a letter go.
     """
     model = learn_model(docs.select("doc_id", "text", "lang"), ~held_out(F.col("doc_id"), folds))
     least = max(model.margin, 1e-9) if margin is None else margin
@@ -231,4 +232,6 @@ def keep_identified(docs: DataFrame, folds: int = 5, margin: float | None = None
             yield batch.filter(pa.array(
                 [coders.predict(t, least)[0] != UNKNOWN for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema) if model.dictionaries else docs.limit(0)
+    if not model.dictionaries:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return docs.mapInArrow(run, docs.schema)
