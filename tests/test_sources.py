@@ -137,6 +137,22 @@ def test_a_retried_append_adds_nothing(spark, tmp_path):
         ("a", "2024-01-03"), ("b", "2024-01-02")]
 
 
+def test_nested_reports(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "CHUNK_ROWS", 3)
+    preds = spark.createDataFrame(
+        [("a", i, f"g{i}", None if i % 2 else "p", f"r{i}") for i in range(10)] + [("b", 7, "g", "p", None)],
+        "run_id string, seq bigint, gold string, pred string, raw string").repartition(5)
+    summary = spark.createDataFrame([("a", 10), ("b", 1), ("c", 0)], "run_id string, n bigint")
+    got = {r.run_id: r for r in W.nested_reports(summary, preds).collect()}
+    assert [tuple(p) for p in got["a"].predictions] == [
+        (f"g{i}", None if i % 2 else "p", f"r{i}") for i in range(10)]
+    assert [tuple(p) for p in got["b"].predictions] == [("g", "p", None)] and got["c"].predictions == []
+    with pytest.raises(ValueError, match="run a has 10"):
+        W.nested_reports(summary, preds, most=9)
+    W.write_eval_report(summary, preds, str(tmp_path / "r"))
+    assert len(list((tmp_path / "r" / "predictions" / "run_id=a").glob("*.parquet"))) == 1
+
+
 def test_a_written_set_opens_at_any_batch(spark, tmp_path):
     path = str(tmp_path / "b")
     rows = spark.range(400).selectExpr("id DIV 4 AS batch_id", "id % 4 AS pos_in_batch", "id AS record_id")

@@ -537,6 +537,20 @@ def eval_report(spark, sf):
         F.sum(F.length("raw")).cast("bigint").alias("raw_chars")), "run_id")
 
 
+@query
+def nested_report(spark, sf):
+    """One JSON document a run with its predictions in order, written and read back."""
+    path = stage_path(spark, "documents")
+    scored = _scored(spark, sf)
+    documents = writers.nested_reports(scoring.evaluate(scored), scoring.predictions(scored))
+    documents.write.option("ignoreNullFields", "false").json(path)
+    back = spark.read.schema("run_id string, n bigint, predictions array<struct<gold:string, "
+                             "pred:string, raw:string>>").json(path)
+    lines = F.transform("predictions", lambda p: F.concat_ws(
+        "|", p["gold"], F.coalesce(p["pred"], F.lit("-")), p["raw"]))
+    return back.select("run_id", "n", F.md5(F.array_join(lines, ";").cast("binary")).alias("digest"))
+
+
 @query
 def prediction_distribution(spark, sf):
     return scoring.prediction_distribution(_scored(spark, sf))

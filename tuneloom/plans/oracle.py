@@ -536,6 +536,11 @@ SELECT run_id, count(*) FILTER (WHERE ok) AS correct, count(*) AS n,
   sum(length(substr(raw, 1, 80)))::BIGINT AS raw_chars
 FROM scored GROUP BY run_id"""
 
+_ORACLES["nested_report"] = _with(ANSWERS) + """
+SELECT run_id, count(*) AS n, md5(string_agg(
+  gold || '|' || COALESCE(pred, '-') || '|' || substr(raw, 1, 80), ';' ORDER BY seq)) AS digest
+FROM scored GROUP BY run_id"""
+
 _ORACLES["prediction_distribution"] = _with(ANSWERS) + """
 SELECT run_id, pred, count(*) AS n FROM scored GROUP BY run_id, pred"""
 

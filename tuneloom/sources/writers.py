@@ -10,6 +10,8 @@ from tuneloom.operators.batching import pad_right
 
 #: Batches in one file of a written set.
 FILE_BATCHES = 4096
+#: Predictions in one file of a report, and in a chunk of a nested one.
+REPORT_ROWS, CHUNK_ROWS = 1_000_000, 10_000
 
 
 def write_split_jsonl(task_rows: DataFrame, out: str, task: str) -> dict[str, str]:
@@ -25,10 +27,38 @@ def write_split_jsonl(task_rows: DataFrame, out: str, task: str) -> dict[str, st
 def write_eval_report(summary: DataFrame, preds: DataFrame, path: str) -> None:
     """The report rows as JSON documents and the predictions as a table beside them.
 
-    Predictions grow with the test set, so they are not folded into one document.
+    Predictions grow with the test set, so they are not folded into one document; a file holds
+    ``REPORT_ROWS`` rows of a run at most, however many tasks made them.
     """
     summary.write.mode("overwrite").json(f"{path}/summary")
-    preds.write.mode("overwrite").partitionBy("run_id").parquet(f"{path}/predictions")
+    (preds.repartition("run_id", F.floor(F.col("seq") / REPORT_ROWS))
+     .write.mode("overwrite").partitionBy("run_id").option("maxRecordsPerFile", REPORT_ROWS)
+     .parquet(f"{path}/predictions"))
+
+
+def nested_reports(summary: DataFrame, preds: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """One document a run: its report and, in ``predictions``, all of them by ``seq``.
+
+    A document is one row, so a run of more than ``most`` predictions is an error; keep those
+    as a table (``write_eval_report``). Chunks are put together first, then the runs. Write with
+    ``ignoreNullFields`` off to keep the keys of missing predictions.
+    """
+    large = preds.groupBy("run_id").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    found = large.orderBy("run_id").first()
+    if found:
+        raise ValueError(f"run {found.run_id} has {found.n} predictions, over {most}")
+    row = F.struct("seq", "gold", "pred", "raw")
+    chunks = (preds.groupBy("run_id", F.floor(F.col("seq") / CHUNK_ROWS).alias("chunk"))
+              .agg(F.array_sort(F.collect_list(row)).alias("rows")))
+    whole = chunks.groupBy("run_id").agg(
+        F.array_sort(F.collect_list(F.struct("chunk", "rows"))).alias("chunks"))
+    listed = F.transform(F.flatten("chunks.rows"),
+                         lambda r: F.struct(r["gold"].alias("gold"), r["pred"].alias("pred"),
+                                            r["raw"].alias("raw")))
+    none = F.array().cast("array<struct<gold:string,pred:string,raw:string>>")
+    return (summary.join(whole.select("run_id", listed.alias("predictions")), "run_id",
+                         "left")
+            .withColumn("predictions", F.coalesce("predictions", none)))
 
 
 def write_batches(df: DataFrame, path: str, pad_id: int | None = None,
