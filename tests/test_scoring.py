@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tuneloom.constants import TASKS, Task
@@ -11,9 +13,13 @@ def vocabulary(spark, labels):
 
 def matched(spark, answers, labels):
     df = spark.createDataFrame(list(enumerate(answers)), "seq bigint, raw string")
-    got = S.match_labels(df, vocabulary(spark, labels)).collect()
-    assert len(got) == len(answers)
-    return [p for _, p in sorted((r["seq"], r["pred"]) for r in got)]
+    both = []
+    for most in (S.AUTOMATON_LABELS, -1):  # in one pass over the answers, and by a join
+        got = S.match_labels(df, vocabulary(spark, labels), automaton_labels=most).collect()
+        assert len(got) == len(answers)
+        both.append([p for _, p in sorted((r["seq"], r["pred"]) for r in got)])
+    assert both[0] == both[1]
+    return both[0]
 
 
 NESTED = ["card not working", "virtual card not working", "top", "joy"]
@@ -56,6 +62,34 @@ def test_a_large_vocabulary(spark):
         "intent 3", "intent 14", "intent 141", "intent 1411", "intent 1499", None, "intent 150"]
 
 
+def brute_label(answer, labels):
+    norms = {}
+    for label in labels:
+        norms.setdefault(label.lower().strip(), []).append(label)
+    held = [n for n in norms if n in answer.lower().strip()]
+    top = [norms[n][0] for n in held if len(norms[n]) == 1
+           and not any(n != m and n in m for m in held)]
+    return top[0] if len(top) == 1 else None
+
+
+def test_random_labels_against_every_label(spark):
+    rng = random.Random(5)
+
+    def word(most):
+        return "".join(rng.choice("abCé") for _ in range(rng.randint(1, most)))
+
+    labels = list({word(5) for _ in range(40)})
+    answers = [word(9) for _ in range(150)] + ["ab" * 5000]
+    assert matched(spark, answers, labels) == [brute_label(a, labels) for a in answers]
+
+
+def test_the_automaton_moves_no_row(spark):
+    df = spark.createDataFrame([(1, "joy", 5)], "seq bigint, raw string, label int")
+    got = S.match_labels(df, vocabulary(spark, ["joy", None]))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.columns == ["seq", "raw", "label", "pred"] and got.first()["pred"] == "joy"
+
+
 def test_ambiguous_labels(spark):
     assert [r["norm"] for r in S.ambiguous_labels(vocabulary(
         spark, ["a_b", "a-b", "top", "_"])).collect()] == ["a b"]

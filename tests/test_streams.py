@@ -1,5 +1,7 @@
 import json
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tuneloom.functions.tokens import WordTokenizer
@@ -9,6 +11,7 @@ from tuneloom.streaming import metrics as S
 from tuneloom.streaming import prepare as P
 from tuneloom.streaming import requests as Q
 from tuneloom.streaming import versions as V
+from tuneloom.streaming import sinks
 from tuneloom.streaming.sinks import ProgressLog
 
 COLUMNS = ("run_id bigint, epoch bigint, iter bigint, kind string, loss double, tokens bigint, "
@@ -212,3 +215,32 @@ def test_broken_lines_go_beside_the_stream(spark, tmp_path):
     rejects = spark.read.parquet(bad).orderBy("file", "line").collect()
     assert [(r.file.rsplit("/", 1)[1], r.line, r.value) for r in rejects] == [
         ("a.json", 3, '{"text": '), ("a.json", 5, "[1]"), ("b.json", 1, "no json")]
+
+
+def test_measures_of_each_batch_and_of_a_retried_one(spark, tmp_path, monkeypatch):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for run in range(3):
+        land(spark, folder, rows(run, *[0.5] * (run + 1), 2.0, None))
+    measures = [F.count("*").alias("n"), F.count_if(F.col("loss") > 1).alias("high")]
+    torn = []
+    real = sinks.batch_folder
+
+    def fails_once(path, batch_id):
+        if path.endswith("counts") and batch_id == 1 and not torn:
+            torn.append(batch_id)
+            raise OSError("lost")
+        return real(path, batch_id)
+
+    monkeypatch.setattr(sinks, "batch_folder", fails_once)
+
+    def run():
+        sinks.write_observed(source(spark, folder), out, out + "-counts", out + "-checkpoint",
+                             measures, lambda df: df.where("loss < 1")).awaitTermination()
+
+    with pytest.raises(StreamingQueryException):
+        run()
+    run()
+    assert torn == [1] and spark.read.parquet(out).count() == 6
+    seen = spark.read.parquet(out + "-counts").orderBy("batch").collect()
+    assert sorted(r["n"] for r in seen) == [3, 4, 5] and [r["high"] for r in seen] == [1, 1, 1]
+    assert [r["batch"] for r in seen] == [0, 1, 2]

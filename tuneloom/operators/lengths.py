@@ -56,7 +56,8 @@ def kept(df: DataFrame) -> DataFrame:
     return df.where(F.col("drop_reason").isNull())
 
 
-def _filter_counts():
+def filter_counts() -> list[Column]:
+    """What ``filter_stats`` reports, for aggregates and observations."""
     reason = F.col("drop_reason")
     return [
         F.count_if(reason.isNull()).alias("kept"),
@@ -69,13 +70,13 @@ def _filter_counts():
 
 
 def filter_stats(df: DataFrame) -> DataFrame:
-    return df.agg(*_filter_counts())
+    return df.agg(*filter_counts())
 
 
 def observe_filter(df: DataFrame, name: str = "filter") -> tuple[DataFrame, Observation]:
     """The same counts, collected while ``df`` is written instead of in a pass of their own."""
     observation = Observation(name)
-    return df.observe(observation, *_filter_counts()), observation
+    return df.observe(observation, *filter_counts()), observation
 
 
 def count_tokens(df: DataFrame, tok) -> DataFrame:

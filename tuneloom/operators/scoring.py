@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import ahocorasick
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tuneloom.functions.text import norm_label, preview
 from tuneloom.operators.ranks import SHARD_ROWS, prefix_aggregates
+from tuneloom.session import stage_table
 
+#: A vocabulary of at most so many labels, and characters of them, is shipped to every task.
+AUTOMATON_LABELS = 1 << 16
+AUTOMATON_CHARS = 1 << 21
 # Characters of the pieces that answers and labels are joined on.
 _GRAM = 3
 
@@ -29,22 +37,51 @@ def _rarest_pieces(names: DataFrame) -> DataFrame:
     every = names.withColumn("piece", F.explode(F.array_distinct(F.when(
         whole, F.array("norm")).otherwise(_pieces(F.col("norm"), _GRAM)))))
     common = every.groupBy("piece").agg(F.count("*").alias("_uses"))
-    return (every.join(common, "piece").groupBy("norm", "label", "_same")
+    return (every.join(common, "piece").groupBy("norm", "label", "same")
             .agg(F.min(F.struct("_uses", "piece"))["piece"].alias("piece")))
 
 
-def match_labels(outputs: DataFrame, labels: DataFrame, text: str = "raw", key: str = "seq",
-                 out: str = "pred") -> DataFrame:
-    """Add the single label that ``text`` names, or null.
+class _Automaton:
+    """Finds all labels that a text holds in one pass over it."""
 
-    A label is named when the answer holds its normal form and no other label that holds it in
-    turn; labels that share a normal form cancel each other, and still cover what they contain.
-    Every label is looked up by its rarest piece of three characters, so an answer meets few
-    labels it does not hold, however many there are, and gives about as many pieces as it has
-    characters. ``key`` identifies a row of ``outputs``; ``labels`` has distinct ``label``.
-    """
-    names = (_vocabulary(labels.where(F.col("label").isNotNull())).groupBy("norm")
-             .agg(F.min("label").alias("label"), F.count("*").alias("_same")))
+    def __init__(self, names: list[Row]):
+        self.labels = {r.norm: r.label if r.same == 1 else None for r in names}
+        self.trie = ahocorasick.Automaton()
+        for norm in filter(None, self.labels):
+            self.trie.add_word(norm, norm)
+        self.trie.make_automaton()
+        self.inside: dict[str, set[str]] = {}
+
+    def held(self, text: str) -> set[str]:
+        found = {norm for _, norm in self.trie.iter(text)} if len(self.trie) else set()
+        return found | {""} if "" in self.labels else found
+
+    def covered(self, norm: str) -> set[str]:
+        """The other labels that a label holds."""
+        if norm not in self.inside:
+            self.inside[norm] = self.held(norm) - {norm}
+        return self.inside[norm]
+
+    def named(self, text: str | None) -> str | None:
+        if text is None:
+            return None
+        hits = self.held(text)
+        top = [self.labels[norm] for norm in hits.difference(*map(self.covered, hits))]
+        single = [label for label in top if label is not None]
+        return single[0] if len(single) == 1 else None
+
+
+def _by_automaton(names: list[Row]) -> Callable[[Column], Column]:
+    @F.pandas_udf("string")
+    def named(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = _Automaton(names)
+        for texts in batches:
+            yield pd.Series([automaton.named(t) for t in texts], dtype=object)
+    return named
+
+
+def _by_pieces(outputs: DataFrame, names: DataFrame, text: str, key: str, out: str) -> DataFrame:
+    """Labels looked up by their rarest pieces, for vocabularies of any size."""
     # the generator keeps the normal form from being pushed into its uses and made again
     answers = outputs.select(key, F.explode(F.array(norm_label(text))).alias("_norm")).where(
         F.col("_norm").isNotNull())
@@ -53,14 +90,36 @@ def match_labels(outputs: DataFrame, labels: DataFrame, text: str = "raw", key:
     met = (answers.select(key, F.explode(pieces).alias("piece"))
            .join(_rarest_pieces(names), "piece").drop("piece"))
     held = met.join(answers, key).where(F.contains("_norm", "norm"))
-    hits = held.groupBy(key).agg(F.collect_list(F.struct("label", "norm", "_same")).alias("_hits"))
-    top = F.filter(F.col("_hits"), lambda a: (a["_same"] == 1) & ~F.exists(
+    hits = held.groupBy(key).agg(F.collect_list(F.struct("label", "norm", "same")).alias("_hits"))
+    top = F.filter(F.col("_hits"), lambda a: (a["same"] == 1) & ~F.exists(
         F.col("_hits"), lambda b: (a["norm"] != b["norm"]) & F.contains(b["norm"], a["norm"])))
     found = (hits.withColumn("_top", F.explode(F.array(top)))
              .where(F.size("_top") == 1).select(key, F.get("_top", F.lit(0))["label"].alias(out)))
     return outputs.join(found, key, "left")
 
 
+def match_labels(outputs: DataFrame, labels: DataFrame, text: str = "raw", key: str = "seq",
+                 out: str = "pred", automaton_labels: int = AUTOMATON_LABELS) -> DataFrame:
+    """Add the single label that ``text`` names, or null.
+
+    A label is named when the answer holds its normal form and no other label that holds it in
+    turn; labels that share a normal form cancel each other, and still cover what they contain.
+    The vocabulary is counted first. Up to ``automaton_labels`` labels of AUTOMATON_CHARS
+    characters in all become an automaton that every task builds once: an answer is read in one
+    pass and no row moves. Above that every label is looked up by its rarest piece of three
+    characters, so that an answer meets few labels it does not hold, however many there are.
+    ``key`` identifies a row of ``outputs``; ``labels`` has distinct ``label``, null ones name
+    nothing. Null answers have no label.
+    """
+    names = stage_table(_vocabulary(labels.where(F.col("label").isNotNull())).groupBy("norm")
+                        .agg(F.min("label").alias("label"), F.count("*").alias("same")), "names")
+    chars = F.coalesce(F.sum(F.length("norm") + F.length("label")), F.lit(0))
+    size = names.agg(F.count("*").alias("n"), chars.alias("chars")).first()
+    if size.n <= automaton_labels and size.chars <= AUTOMATON_CHARS:
+        return outputs.withColumn(out, _by_automaton(names.collect())(norm_label(text)))
+    return _by_pieces(outputs, names, text, key, out)
+
+
 def ambiguous_labels(labels: DataFrame) -> DataFrame:
     """Normal forms shared by several labels; answers naming them can never be scored."""
     return (_vocabulary(labels).groupBy("norm")

@@ -21,6 +21,7 @@ from tuneloom.session import stage_path, stage_table
 from tuneloom.sources import manifests, records, writers
 from tuneloom.streaming import metrics as live
 from tuneloom.streaming import prepare as live_prepare
+from tuneloom.streaming import sinks
 
 WORDS = WordTokenizer()
 MAX_LEN = 512
@@ -501,7 +502,7 @@ def match_labels_large_vocabulary(spark, sf):
     more = inputs.table(spark, sf, "part").select(F.concat(F.lit("part "), "p_name", F.lit(" #"),
                                                            "p_partkey").alias("label"))
     labels = evalset.label_vocabulary(answers).unionByName(more.distinct())
-    return scoring.match_labels(answers, labels, key="row_id").select(
+    return scoring.match_labels(answers, labels, key="row_id", automaton_labels=256).select(
         "run_id", "seq", "gold", "pred")
 
 
@@ -840,3 +841,19 @@ def stream_prepare_rejects(spark, sf):
     rows = spark.read.parquet(_prepared_lines(spark, sf)[1])
     return rows.select(F.regexp_extract("value", '"record_id":([0-9]+)', 1).cast("bigint")
                        .alias("record_id"), (F.col("line") > 0).alias("has_line"))
+
+
+@query
+def stream_observed_filter(spark, sf):
+    """The filter's counts, observed batch by batch while the kept records are written."""
+    landing, out = stage_path(spark, "records"), stage_path(spark, "kept")
+    records = inputs.training_records(spark, sf)
+    records.repartition(6).write.parquet(landing)
+    stream = (spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 2)
+              .parquet(landing))
+    counts = lengths.filter_counts()
+    _finish(sinks.write_observed(
+        lengths.filter_for_training(stream, WORDS, MAX_LEN), out, f"{out}-counts",
+        f"{out}-checkpoint", counts, lengths.kept))
+    seen = spark.read.parquet(f"{out}-counts")
+    return seen.agg(*[F.sum(c).alias(c) for c in seen.columns if c != "batch"])

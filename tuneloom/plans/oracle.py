@@ -741,7 +741,7 @@ SELECT p_partkey, CASE WHEN p_partkey % 10 < 3
   ELSE p_brand || '-' || p_size || CASE WHEN p_partkey % 2 = 0 THEN 'B' ELSE 'k' END END AS tail
 FROM part"""
 
-_ORACLES["observed_filter"] = _ORACLES["filter_stats"]
+_ORACLES["observed_filter"] = _ORACLES["stream_observed_filter"] = _ORACLES["filter_stats"]
 _ORACLES["cut_completion"] = f"""
 SELECT doc_id, least({_words('text')}, greatest(doc_id % 40 - 1, 0))::BIGINT AS n_tokens
 FROM documents"""

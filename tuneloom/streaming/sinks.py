@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -31,6 +31,32 @@ def write_per_batch(stream: DataFrame, out: str, checkpoint: str, mode: str = "a
     return writer.start()
 
 
+def write_observed(stream: DataFrame, out: str, metrics: str, checkpoint: str,
+                   measures: list[Column], keep: Callable[[DataFrame], DataFrame] | None = None,
+                   available_now: bool = True) -> StreamingQuery:
+    """Write each micro-batch, and one row of ``measures`` over it, taken on the same pass.
+
+    ``keep`` is applied after the measures are taken. A retried batch overwrites its rows and
+    its measures, so sums over ``metrics`` count every row once.
+    """
+    schema = stream.sparkSession.createDataFrame([], stream.schema).agg(*measures).schema
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        observation = Observation(f"batch-{batch_id}")
+        seen = rows.observe(observation, *measures)
+        done = keep(seen) if keep else seen
+        done.write.mode("overwrite").parquet(batch_folder(out, batch_id))
+        found = observation.get
+        row = tuple(found[name] for name in schema.names)
+        (rows.sparkSession.createDataFrame([row], schema).coalesce(1)
+         .write.mode("overwrite").parquet(batch_folder(metrics, batch_id)))
+
+    writer = (stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write))
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
 def read_batches(spark: SparkSession, out: str, schema: StructType) -> DataFrame:
     """All micro-batches of a sink, with their number in ``batch``."""
     numbered = StructType([*schema.fields, StructField("batch", LongType())])
