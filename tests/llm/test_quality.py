@@ -30,6 +30,55 @@ def test_features_are_finite(text):
     assert len(found) == quality.FEATURES and np.isfinite(found).all()
 
 
+def test_byte_pairs_against_a_count():
+    text = "Straße # a|b " * 7
+    raw, counts = text.encode(), [0] * quality.GRAMS
+    for a, b in zip(raw, raw[1:]):
+        counts[(a * 256 + b) * 2654435761 % 2 ** 32 >> 26] += 1
+    assert quality.features(text)[-quality.GRAMS:] == pytest.approx(
+        [(c / (len(raw) - 1)) ** 0.5 for c in counts])
+
+
+def test_weights_are_the_best_of_the_pair_loss(monkeypatch):
+    """Against the loss of all drawn pairs, one by one; in one chunk or many."""
+    rng = np.random.default_rng(2)
+    rows = rng.normal(size=(40, 3))
+    labels = (rows[:, 0] + rng.normal(size=40) > 0).astype(int)
+    model = quality.fit(rows, labels)
+    monkeypatch.setattr(quality, "_CHUNK", 7)
+    assert quality.fit(rows, labels)["weights"] == pytest.approx(model["weights"])
+    units = np.clip((rows - model["mean"]) / model["scale"], -8, 8)
+    draw = np.random.default_rng(11)
+    liked = draw.choice(np.flatnonzero(labels == 1), 800)
+    other = draw.choice(np.flatnonzero(labels == 0), 800)
+
+    def loss(w):
+        return sum(np.log1p(np.exp(-(units[a] - units[b]) @ w)) for a, b in zip(liked, other)) / 800 \
+            + quality._RIDGE / 2 * (w @ w)
+
+    best = loss(model["weights"])
+    for step in np.vstack([np.eye(3), -np.eye(3)]) * 0.02:
+        assert loss(model["weights"] + step) > best
+
+
+def test_scores_against_plain_strengths(spark):
+    """Every row's score and prediction worked out again from the learnt weights."""
+    from pyspark.sql import functions as F
+
+    docs, labels, rows = tables(spark)
+    model = quality.learn(docs, labels, ~quality.held_out(F.col("_id"), 5))
+    for r in quality.score_quality(docs, labels).join(
+            docs.selectExpr("doc_id", "text").distinct(), "doc_id").collect():
+        if r.doc_id == 3:
+            continue  # two texts under one id
+        units = [max(-8.0, min(8.0, (x - m) / s)) for x, m, s in zip(
+            quality.features(r.text), model["mean"], model["scale"])]
+        strength = sum(u * w for u, w in zip(units, model["weights"]))
+        far = model["slope"] * (strength - model["cut"]) + np.log(0.3 / 0.7)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-max(-60, min(60, far)))), abs=1e-9)
+        assert r.predicted == int(r.score >= 0.3)
+
+
 def tables(spark):
     rows, labels = [], []
     for i in range(200):

@@ -21,10 +21,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuneloom.llm.common import held_out
+from tuneloom.session import stage_table
 
 UNKNOWN = "und"
 #: The dictionaries hold at most so many bytes, from so many labelled texts a language (the
-#: first ones in hash order), each with its first characters: the bounded sample that is fitted.
+#: first ones in hash order), each with so many characters from a place that its id's hash names:
+#: the bounded sample that is fitted.
 DICTIONARY_BYTES = 1 << 16
 SAMPLE_TEXTS = 500
 SAMPLE_CHARS = 4000
@@ -42,45 +44,69 @@ SEARCH = {"strategy": zstandard.STRATEGY_GREEDY, "window_log": 18, "hash_log": 1
 TEMPERATURE = 4.0
 
 
-def _sample(docs: DataFrame, learn: Column) -> dict[str, list[str]]:
-    """Text starts by language, the one with most rows first, from the rows ``learn`` marks.
+def _taught(docs: DataFrame, learn: Column) -> tuple[DataFrame, list[str]]:
+    """What each language teaches, and the languages, the one with most rows first.
 
-    The sample is drawn by a hash threshold from counted rows, then cut in hash order, so
-    that no language gathers more than SAMPLE_TEXTS text starts. Texts without a word teach nothing.
+    From the rows ``learn`` marks. The sample is drawn by a hash threshold from counted rows, then
+    cut in hash order, so that no language gathers more than SAMPLE_TEXTS pieces of whole texts.
+    Texts without a word teach nothing. A language's pieces meet in one task, which leaves its
+    dictionary, that of every second piece, and some of the pieces.
     """
+    length = F.length("text")
+    place = F.pmod(F.xxhash64("doc_id"), F.greatest(length - SAMPLE_CHARS, F.lit(0)) + 1) + 1
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\S")).select(
-        F.col("lang").alias("language"), F.substring("text", 1, SAMPLE_CHARS).alias("start"),
+        F.col("lang").alias("language"),
+        F.substr("text", place.cast("int"), F.lit(SAMPLE_CHARS)).alias("piece"),
         F.abs(F.xxhash64("doc_id") % F.lit(1 << 30)).alias("draw"))
     counts = {r.language: r.n for r in rows.groupBy("language").agg(F.count("*").alias("n"))
               .collect()}
-    if not counts:
-        return {}
     share = F.create_map(*[x for k, n in counts.items()
-                           for x in (F.lit(k), F.lit(min(1.0, 2 * SAMPLE_TEXTS / n)))])
+                           for x in (F.lit(k), F.lit(min(1.0, 2 * SAMPLE_TEXTS / n)))]
+                         or [F.lit(""), F.lit(0.0)])
     drawn = rows.where(F.col("draw") < share[F.col("language")] * (1 << 30))
-    order = Window.partitionBy("language").orderBy("draw", "start")
-    sample = (drawn.select("language", "draw", "start").distinct()
-              .withColumn("rank", F.row_number().over(order))
-              .where(F.col("rank") <= SAMPLE_TEXTS).orderBy("language", "rank").collect())
-    starts: dict[str, list[str]] = {}
-    for r in sample:
-        if r.start.strip():
-            starts.setdefault(r.language, []).append(r.start)
-    return {k: starts[k] for k in sorted(starts, key=lambda k: (-counts[k], k))}
-
-
-def _dictionaries(starts: dict[str, list[str]]) -> dict[str, bytes]:
-    """The distinct words of each sample, the most frequent ones last, where they are cheapest
-    to refer to: as much of them as a dictionary holds, whatever the others have."""
-    out = {}
-    for language, texts in starts.items():
-        words = Counter(w for t in texts for w in t.lower().split())
-        joined = " ".join(sorted(words, key=lambda w: (words[w], w))).encode("utf-8", "replace")
-        out[language] = joined[-DICTIONARY_BYTES:]
-    return out
-
-
-def _baselines(dictionaries: dict[str, bytes], starts: dict[str, list[str]]) -> dict[str, float]:
+    order = Window.partitionBy("language").orderBy("draw", "piece")
+    sample = (drawn.select("language", "draw", "piece").distinct()
+              .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_TEXTS))
+    tested = _tested(len(counts))
+
+    def learn_one(group: pa.Table) -> pa.Table:
+        pieces = [p for p in group.sort_by("rank").column("piece").to_pylist() if p.strip()]
+        return pa.Table.from_pylist([{
+            "language": group.column("language")[0].as_py(), "dictionary": _dictionary(pieces),
+            "pieces": pieces[:BASE_TEXTS], "half": _dictionary(pieces[::2]),
+            "half_pieces": pieces[::2][:BASE_TEXTS], "tested": pieces[1::2][:tested]}], _TAUGHT)
+
+    taught = sample.groupBy("language").applyInArrow(
+        learn_one, "language string, dictionary binary, pieces array<string>, half binary, "
+        "half_pieces array<string>, tested array<string>")
+    return stage_table(taught, "languages"), sorted(counts, key=lambda k: (-counts[k], k))
+
+
+_TAUGHT = pa.schema([("language", pa.string()), ("dictionary", pa.binary()),
+                     ("pieces", pa.list_(pa.string())), ("half", pa.binary()),
+                     ("half_pieces", pa.list_(pa.string())), ("tested", pa.list_(pa.string()))])
+
+
+def _tested(languages: int) -> int:
+    """Texts of a language that the margin is learnt from; 1,000 of all, but one each."""
+    return max(1, min(MARGIN_TEXTS, 1000 // max(1, languages)))
+
+
+def _dictionary(pieces: list[str]) -> bytes:
+    """The distinct words of a sample, the most frequent ones last, where they are cheapest to
+    refer to: as much of them as a dictionary holds, whatever other languages have."""
+    words = Counter(w for t in pieces for w in t.lower().split())
+    joined = " ".join(sorted(words, key=lambda w: (words[w], w))).encode("utf-8", "replace")
+    return joined[-DICTIONARY_BYTES:]
+
+
+def _column(taught: DataFrame, languages: list[str], name: str) -> dict:
+    """One column of what is taught, by language; empty dictionaries stay out."""
+    found = {r.language: r[name] for r in taught.select("language", name).collect() if r[name]}
+    return {k: found[k] for k in languages if k in found}
+
+
+def _baselines(taught: DataFrame, name: str, dictionaries: dict[str, bytes]) -> dict[str, float]:
     """What dictionaries of each one's size leave of other languages' texts; 1 for the largest.
 
     Measured with the dictionaries of BASE_LANGUAGES languages cut to powers of two, and
@@ -92,7 +118,8 @@ def _baselines(dictionaries: dict[str, bytes], starts: dict[str, list[str]]) ->
         return dict.fromkeys(sizes, 1.0)
     levels = [1 << i for i in range(4, 17, 2) if 1 << i < largest] + [largest]
     by_size = sorted(sizes, key=lambda k: -sizes[k])[:BASE_LANGUAGES]
-    texts = [(k, t) for k in by_size for t in starts[k][:BASE_TEXTS]]
+    pieces = _column(taught.where(F.col("language").isin(by_size)), by_size, name)
+    texts = [(k, t) for k in by_size for t in pieces.get(k, [])]
     left = []
     for level in levels:
         coders = Coders({k: dictionaries[k][-level:] for k in by_size if sizes[k] >= level})
@@ -104,7 +131,7 @@ def _baselines(dictionaries: dict[str, bytes], starts: dict[str, list[str]]) ->
     return dict(zip(sizes, share.tolist(), strict=True))
 
 
-def _margin(starts: dict[str, list[str]]) -> float:
+def _margin(taught: DataFrame, languages: list[str]) -> float:
     """The margin under which a text is taken for one of an untaught language.
 
     One half of the sample is compared with dictionaries of the other. Without the dictionary of
@@ -112,13 +139,11 @@ def _margin(starts: dict[str, list[str]]) -> float:
     but under all save CLEAN of the right answers that do not tie. Two languages leave no such
     comparison, so half of what the right answers allow is taken.
     """
-    taught = {k: t[::2] for k, t in starts.items()}
-    dictionaries = _dictionaries(taught)
-    coders = Coders(dictionaries, _baselines(dictionaries, taught))
-    each = max(1, min(MARGIN_TEXTS, 1000 // max(1, len(starts))))
+    dictionaries = _column(taught, languages, "half")
+    coders = Coders(dictionaries, _baselines(taught, "half_pieces", dictionaries))
     right, untaught = [], []
-    for language, texts in starts.items():
-        for text in texts[1::2][:each]:
+    for language, texts in _column(taught, languages, "tested").items():
+        for text in texts:
             if not any(c.isalpha() for c in text):
                 continue
             ranked = coders.ranked(text)
@@ -141,11 +166,16 @@ class Model(NamedTuple):
     margin: float
 
 
-def learn_model(docs: DataFrame, learn: Column) -> Model:
-    """Raw dictionaries by language, the one with most rows first, their baselines, a margin."""
-    starts = _sample(docs, learn)
-    dictionaries = _dictionaries(starts)
-    return Model(dictionaries, _baselines(dictionaries, starts), _margin(starts))
+def learn_model(docs: DataFrame, learn: Column, margin: float | None = 0.0) -> Model:
+    """Raw dictionaries by language, the one with most rows first, their baselines, a margin.
+
+    Without a ``margin`` it is learnt. The driver holds a dictionary a language, the pieces of
+    BASE_LANGUAGES of them and, to learn a margin, some 1,000 pieces.
+    """
+    taught, languages = _taught(docs, learn)
+    dictionaries = _column(taught, languages, "dictionary")
+    return Model(dictionaries, _baselines(taught, "pieces", dictionaries),
+                 _margin(taught, languages) if margin is None else margin)
 
 
 class Coders:
@@ -222,7 +252,8 @@ def keep_identified(docs: DataFrame, folds: int = 5, margin: float | None = None
     smallest outputs tie are rejected too. If no row teaches a language, nothing can be told
     apart and only null texts and texts without a letter go.
     """
-    model = learn_model(docs.select("doc_id", "text", "lang"), ~held_out(F.col("doc_id"), folds))
+    model = learn_model(docs.select("doc_id", "text", "lang"), ~held_out(F.col("doc_id"), folds),
+                        margin)
     least = max(model.margin, 1e-9) if margin is None else margin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

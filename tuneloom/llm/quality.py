@@ -1,6 +1,7 @@
 """Quality scores by Bradley-Terry pairwise ranking.
 
-A document's strength is linear in features of its whole text. It is learned from preference
+A document's strength is linear in features of its whole text: rates of words, signs, repeats
+and lines, and hashed shares of its byte pairs. It is learned from preference
 pairs, a document of label 1 over one of label 0, by logistic loss on the difference of their
 features. A threshold on the strengths, the quantile that the share of label 0 names, becomes
 the score 0.3; scores are logistic around it.
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from tuneloom.llm.common import held_out
 
-#: Labelled rows that are fitted at most (about; drawn by a hash threshold on counted rows).
+#: Labelled rows that are fitted at most (about; drawn by a hash threshold on counted rows), and
+#: the preference pairs among them.
 SAMPLE = 20_000
 PAIRS = 200_000
 THRESHOLD = 0.3
@@ -29,7 +31,17 @@ _MARKS = np.zeros(256, np.int8)
 _MARKS[[ord(c) for c in "#$%&*|<>{}[]@~^=+\\/_"]] = 1
 _ENDS = np.zeros(256, np.int8)
 _ENDS[[ord(c) for c in "!?.,;:"]] = 1
-FEATURES = 22
+#: Pairs of neighbouring bytes are hashed into so many shares, whose weights are learnt.
+GRAMS = 64
+FEATURES = 21 + GRAMS
+#: Preference pairs whose feature differences are held at once while fitting.
+_CHUNK = 20_000
+
+
+def _grams(chars: np.ndarray) -> np.ndarray:
+    pairs = chars[:-1].astype(np.uint32) * np.uint32(256) + chars[1:]
+    places = pairs * np.uint32(2654435761) >> np.uint32(32 - (GRAMS - 1).bit_length())
+    return np.sqrt(np.bincount(places, minlength=GRAMS) / max(1, len(places)))
 
 
 def features(text: str | None) -> list[float]:
@@ -58,7 +70,7 @@ def features(text: str | None) -> list[float]:
         sum(c for _, c in often) / n, float(lengths.mean()), float(lengths.std()),
         1 - len(set(lines)) / max(1, len(lines)), len(lines) / n,
         int((hist[128:]).sum()) / size, float((lengths == 1).mean()),
-        float(int(hist[124] > 0) + int(hist[35] > 0))]
+        *_grams(chars).tolist()]
 
 
 def fit(rows: np.ndarray, labels: np.ndarray, seed: int = 11) -> dict:
@@ -71,12 +83,16 @@ def fit(rows: np.ndarray, labels: np.ndarray, seed: int = 11) -> dict:
     if len(good) and len(bad):
         rng = np.random.default_rng(seed)
         count = min(PAIRS, 20 * len(rows))
-        diff = units[rng.choice(good, count)] - units[rng.choice(bad, count)]
+        liked, other = rng.choice(good, count), rng.choice(bad, count)
         for _ in range(_STEPS):
-            p = 1 / (1 + np.exp(-np.clip(diff @ weights, -30, 30)))
-            grad = diff.T @ (1 - p) / count - _RIDGE * weights
-            hess = (diff * (p * (1 - p))[:, None]).T @ diff / count
-            step = np.linalg.solve(hess + _RIDGE * np.eye(len(weights)), grad)
+            grad = -_RIDGE * weights
+            hess = _RIDGE * np.eye(len(weights))
+            for at in range(0, count, _CHUNK):
+                diff = units[liked[at:at + _CHUNK]] - units[other[at:at + _CHUNK]]
+                p = 1 / (1 + np.exp(-np.clip(diff @ weights, -30, 30)))
+                grad += diff.T @ (1 - p) / count
+                hess += (diff * (p * (1 - p))[:, None]).T @ diff / count
+            step = np.linalg.solve(hess, grad)
             weights += step
             if np.abs(step).max() < 1e-6:
                 break
