@@ -1,7 +1,10 @@
 """Leaks of benchmark items: exact, re-parameterised, and what only looks like one."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tuneloom.llm import decontam
@@ -133,3 +136,21 @@ def test_canonical_form(text, template):
     signs = [found.words.cores[i] if k == decontam._PLAIN else decontam._SIGNS[k]
              for i, k in zip(found.ids, found.kinds)]
     assert " ".join(signs) == template
+
+
+def test_a_task_holds_a_part_of_a_batch_of_long_texts():
+    """Whole texts, some at a time: memory follows the longest text, not all of a batch."""
+    texts = ["so many words stand here " * 20_000 + ITEM] * 16 + [None, "", ITEM]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(texts))), pa.array(map(str, range(len(texts)))), pa.array(texts)],
+        names=["doc_id", "key", "text"])
+    bits = np.zeros(1 << (decontam._BITS - 3), np.uint8)
+    at, hashes = decontam.Templates([ITEM], decontam.Words()).windows()
+    for bit in decontam._bit(hashes).tolist():
+        bits[bit >> 3] |= 1 << (bit & 7)
+    tracemalloc.start()
+    found = [d for b in decontam._hits(bits, [0])(iter([batch])) for d in b.column(0).to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [found.count(d) for d in range(len(texts))] == [len(at)] * 16 + [0, 0, len(at)]
+    assert peak < 64 << 20

@@ -19,10 +19,12 @@ that many document windows hold are joined in parts.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +42,9 @@ LEAST_WHOLE = 4
 #: A template is joined in parts of so many hits, or of this share of all hits if that is more.
 _PART, _PARTS = 1 << 16, 1 << 12
 _BITS = 24
-_CACHE = 1 << 20
+#: Words that a task keeps, and texts and their bytes that it takes at a time (one text at least).
+_CACHE = 1 << 17
+_STEP, _STEP_BYTES = 256, 1 << 20
 _NUMBER, _NAME, _UNIT, _QUANTITY, _PLAIN, _NOTHING = range(6)
 _SIGNS = ("<NUM>", "<NAME>", "<UNIT>", "<QTY>")
 #: Words that are units after a number.
@@ -63,9 +67,9 @@ class Words:
     def __init__(self):
         self.known: dict[str, int] = {}
         self.cores: list[str] = []
-        self.kinds: list[int] = []
-        self.ends: list[bool] = []
-        self.hashes: list[int] = []
+        self.kinds = bytearray()
+        self.ends = bytearray()
+        self.hashes = array("Q")
 
     def number(self, word: str) -> int:
         at = self.known.get(word)
@@ -111,11 +115,11 @@ class Templates:
                     ids += map(words.number, found)
             of.append(len(ids))
         ids = np.array(ids, np.int64)
-        kinds = np.array(words.kinds, np.int8)[ids] if len(ids) else np.empty(0, np.int8)
+        kinds = np.frombuffer(words.kinds, np.int8)[ids] if len(ids) else np.empty(0, np.int8)
         first = np.zeros(len(ids), bool)
         first[np.array(starts, np.int64)] = True
         if len(ids):
-            first[1:] |= np.array(words.ends, bool)[ids[:-1]]
+            first[1:] |= np.frombuffer(words.ends, bool)[ids[:-1]]
         text_of = np.searchsorted(np.array(of), np.arange(len(ids)), side="right")
         kept = kinds != _NOTHING
         self.ids, kinds, first, self.text_of = ids[kept], kinds[kept], first[kept], text_of[kept]
@@ -134,7 +138,7 @@ class Templates:
         if n <= 0:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
         plain = self.kinds == _PLAIN
-        token = np.where(plain, np.array(self.words.hashes, np.uint64)[self.ids],
+        token = np.where(plain, np.frombuffer(self.words.hashes, np.uint64)[self.ids],
                          _SIGN_HASH[np.minimum(self.kinds, _QUANTITY)])
         hashes, count = np.zeros(n, np.uint64), np.zeros(n, np.int64)
         for i, power in enumerate(_POWERS):
@@ -148,7 +152,7 @@ class Templates:
         n = len(self.ids) - width + 1
         if n <= 0:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
-        token = np.array(self.words.hashes, np.uint64)[self.ids]
+        token = np.frombuffer(self.words.hashes, np.uint64)[self.ids]
         hashes = np.full(n, width, np.uint64)
         for i, power in enumerate(_POWERS[:width]):
             hashes += token[i:i + n] * power
@@ -191,19 +195,29 @@ def _batch(found: Templates, batch: pa.RecordBatch, keys: list[str], at: np.ndar
         names=[*keys, "width", "place", "bit", "template", "slots"])
 
 
-def _parsed(batches: Iterator[pa.RecordBatch], step: int):
+def _steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of bounded size, each text whole."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+    ends, start = np.cumsum(sizes, dtype=np.int64), 0
+    while start < batch.num_rows:
+        most = _STEP_BYTES + (ends[start - 1] if start else 0)
+        stop = min(start + _STEP, max(start + 1, int(np.searchsorted(ends, most, side="right"))))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]):
     words = Words()
     for whole in batches:
-        for start in range(0, whole.num_rows, step):
+        for batch in _steps(whole):
             if len(words.cores) > _CACHE:
                 words = Words()
-            batch = whole.slice(start, step)
             yield batch, Templates(batch.column("text").to_pylist(), words)
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The telling windows of items; pieces that cover all of the items that have none."""
-    for batch, found in _parsed(batches, 256):
+    for batch, found in _parsed(batches):
         at, hashes = found.windows()
         yield _batch(found, batch, ["item"], at, _bit(hashes), 0)
         sizes = np.bincount(found.text_of, minlength=batch.num_rows)
@@ -217,7 +231,7 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _hits(bits: np.ndarray, widths: list[int]):
     """The document windows and pieces whose bit is set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in _parsed(batches, 256):
+        for batch, found in _parsed(batches):
             for width in widths:
                 at, hashes = found.pieces(width) if width else found.windows()
                 bit = _bit(hashes)

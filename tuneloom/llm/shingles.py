@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _BITS = 26
-_CACHE = 1 << 20
+_CACHE = 1 << 17
 
 
 class Shingles:
