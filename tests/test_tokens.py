@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -135,3 +136,16 @@ def test_other_text(spark):
     assert one(spark, X.last_segment("t"), t="hub/x-7b") == "x-7b"
     assert one(spark, X.iso_seconds(F.expr("timestamp'2024-01-02 03:04:05.9'"))) == \
         "2024-01-02T03:04:05"
+
+
+def test_word_count_is_what_python_splits(spark):
+    """Texts of every kind of space beside letters that share its bytes, cut into parts or not."""
+    rng = random.Random(5)
+    signs = [chr(c) for c in range(0x3100) if chr(c).isspace()] + list("ab¡ąᚁ​‰、日\U0001f642")
+    texts = ["".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(400)]
+    texts += [None, "", "　", "w" * (1 << 20), " b " * 300_000, None, "end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(2)
+    got = df.select("i", X.word_count("t").alias("n"))
+    assert {r.i: r.n for r in got.collect()} == {
+        i: None if t is None else len(t.split()) for i, t in enumerate(texts)}
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()

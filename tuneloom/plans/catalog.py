@@ -199,7 +199,7 @@ def count_bytes(spark, sf):
 @query
 def word_counts(spark, sf):
     return inputs.table(spark, sf, "documents").select(
-        "doc_id", word_count(F.regexp_replace("text", "e", "\u00a0")).cast("bigint")
+        "doc_id", word_count(F.replace("text", F.lit("e"), F.lit("\u00a0"))).cast("bigint")
         .alias("n_words"))
 
 
