@@ -2,6 +2,8 @@
 
 import os
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +57,36 @@ def test_token_across_the_border_is_masked_by_where_it_lies(spark):
     assert by_span == [-100, -100, 13] and by_count == [-100, -100, -100]
 
 
+def test_masks_of_long_conversations_are_linear(spark):
+    """Against a plain count; at 60,000 words and 4,000 answers any product of the two is too much."""
+    rng = random.Random(6)
+    rows = [(0, None, None), (1, "", []), (2, "a b", None), (3, None, [(0, 1)]),
+            (4, "aa bb cc dd", [(9, 11), (0, 1), (3, 3), (4, 2), (0, 2), (1, 7)])]
+    for i in range(5, 40):
+        text = "".join(rng.choices("ab é🙂 \n", k=rng.randrange(60)))
+        rows.append((i, text, [(a, a + rng.randrange(9)) for a in rng.choices(range(60), k=rng.randrange(5))]))
+    rows.append((40, "wörd " * 60_000, [(75 * i, 75 * i + 25) for i in range(4_000)]))
+    df = spark.createDataFrame(
+        rows, "i int, t string, loss array<struct<start:int,end:int>>").repartition(2)
+    words = F.transform(F.split(F.trim(F.regexp_replace("t", r"\s+", " ")), " "), F.length)
+    ids = F.when(F.col("t") == "", F.array().cast("array<int>")).otherwise(
+        F.filter(words, lambda n: n > 0))
+    began = time.monotonic()
+    got = {r.i: r.labels for r in df.select(
+        "i", mask_outside(ids, word_spans(F.col("t")), F.col("loss")).alias("labels")).collect()}
+    assert time.monotonic() - began < 25
+    for i, text, loss in rows:
+        if text is None:
+            assert got[i] is None
+            continue
+        found = list(re.finditer(r"\S+", text))
+        if i == 40:
+            assert got[i] == [4 if m.start() % 75 < 25 else -100 for m in found]
+        else:
+            assert got[i] == [len(m[0]) if any(a <= m.start() < b for a, b in loss or []) else -100
+                              for m in found]
+
+
 def test_answer_spans(spark):
     rows = [([("user", "hi"), ("assistant", "yes you"), (None, "x"), ("user", None),
               ("assistant", ""), ("assistant", "ok")],), ([],)]

@@ -11,15 +11,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tuneloom.constants import IGNORE_LABEL
-from tuneloom.functions.text import words
+from tuneloom.functions.text import text_parts, word_begins, words
 
-_LAST_WORD = r"[^\x20\x09-\x0D]+$"
-_SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
+_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
 
 class _Tokenizer:
@@ -174,25 +175,77 @@ def cut_completion(ids: Column, max_tokens: Column) -> Column:
     return F.slice(ids, F.lit(1), F.greatest(max_tokens, F.lit(0)))
 
 
+def _lists(sizes: np.ndarray, values: pa.Array, missing: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array(missing))
+
+
+def _is_null(column: pa.Array) -> np.ndarray:
+    return column.is_null().to_numpy(zero_copy_only=False)
+
+
+def _spans(texts: pa.Array) -> pa.Array:
+    sizes, starts, ends = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+    for data, edges in text_parts(texts):
+        space = (data == 32) | ((data >= 9) & (data <= 13))
+        begins = word_begins(space, edges)
+        lasts = word_begins(space[::-1], len(data) - edges[::-1])[::-1]  # a word's last byte
+        first, last = np.flatnonzero(begins), np.flatnonzero(lasts)
+        chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # characters before a byte
+        text = np.searchsorted(edges, first, side="right") - 1
+        base = chars[edges[text]]
+        sizes.append(np.bincount(text, minlength=len(edges) - 1))
+        starts.append((chars[first] - base).astype(np.int32))
+        ends.append((chars[last + 1] - base).astype(np.int32))
+    found = pa.StructArray.from_arrays([np.concatenate(starts), np.concatenate(ends)],
+                                       fields=list(_SPAN))
+    return _lists(np.concatenate(sizes), found, _is_null(texts))
+
+
 def word_spans(text: Column) -> Column:
     """Where each white-space word of a text lies: ``array<struct<start, end>>``, end exclusive."""
-    parts = F.regexp_extract_all(text, F.lit(_SPACED_WORD), F.lit(0))
-    size = F.transform(parts, lambda p: F.struct(
-        F.char_length(p).alias("all"), F.char_length(F.regexp_extract(p, _LAST_WORD, 0)).alias("word")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    return F.aggregate(size, empty, lambda done, s: F.struct(
-        (done["at"] + s["all"]).alias("at"),
-        F.array_append(done["spans"], F.struct(
-            (done["at"] + s["all"] - s["word"]).alias("start"),
-            (done["at"] + s["all"]).alias("end"))).alias("spans")), lambda done: done["spans"])
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def spans(texts: pa.Array) -> pa.Array:
+        return _spans(texts)
+
+    return spans(text)
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    """The row of each element of a list column, as ``flatten`` gives them."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), sizes)
+
+
+def _places(column: pa.Array, field: str) -> np.ndarray:
+    """Rows and places in one number; a row's places lie apart from those of any other."""
+    at = column.flatten().field(field).to_numpy(zero_copy_only=False)
+    return (_rows(column) << 32) + at
+
+
+def _masked(ids: pa.Array, spans: pa.Array, loss: pa.Array) -> pa.Array:
+    missing = _is_null(ids) | _is_null(spans)
+    start, opened, closed = _places(spans, "start"), _places(loss, "start"), _places(loss, "end")
+    real = opened < closed
+    inside = (np.searchsorted(np.sort(opened[real]), start, side="right")
+              > np.searchsorted(np.sort(closed[real]), start, side="right"))
+    tokens = ids.flatten().to_numpy(zero_copy_only=False)
+    both = ~missing[_rows(ids)], ~missing[_rows(spans)]
+    row = _rows(ids)[both[0]]
+    if not np.array_equal(row, _rows(spans)[both[1]]):
+        raise ValueError("every token must have one span")
+    labels = np.where(inside[both[1]], tokens[both[0]], IGNORE_LABEL).astype(np.int32)
+    return _lists(np.bincount(row, minlength=len(ids)), pa.array(labels, pa.int32()), missing)
 
 
 def mask_outside(ids: Column, spans: Column, loss: Column) -> Column:
     """Labels: a token predicts itself if it begins inside one of the ``loss`` spans.
 
     So a token across a prompt's end belongs to the prompt, wherever a count of the prompt's own
-    tokens would have put the border.
+    tokens would have put the border. Each token has one span; loss spans may lie in any order.
     """
-    return F.zip_with(ids, spans, lambda token, at: F.when(
-        F.exists(loss, lambda part: (at["start"] >= part["start"]) & (at["start"] < part["end"])),
-        token).otherwise(F.lit(IGNORE_LABEL)))
+    @F.arrow_udf("array<int>")
+    def labels(ids: pa.Array, spans: pa.Array, loss: pa.Array) -> pa.Array:
+        return _masked(ids, spans, loss)
+
+    return labels(ids, spans, loss)

@@ -265,8 +265,9 @@ def mask_by_offsets(spark, sf):
     ids, spans = WORDS.ids(F.col("rendered")), word_spans(F.col("rendered"))
     labels = mask_outside(ids, spans, chat.answer_spans(F.col("messages")))
     return rendered.select(
-        "record_id", F.size(ids).cast("bigint").alias("n_tokens"),
-        (F.size(ids) - _count_of(labels, IGNORE_LABEL)).cast("bigint").alias("n_loss"))
+        "record_id", labels.alias("labels")).select(
+        "record_id", F.size("labels").cast("bigint").alias("n_tokens"),
+        (F.size("labels") - _count_of("labels", IGNORE_LABEL)).cast("bigint").alias("n_loss"))
 
 
 @query
