@@ -1,4 +1,6 @@
+import glob
 import json
+import os
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from tuneloom.functions.tokens import WordTokenizer
 from engines import EchoEngine
 from tuneloom.operators.runs import new_best_flag
+from tuneloom.plans import catalog
 from tuneloom.streaming import metrics as S
 from tuneloom.streaming import prepare as P
 from tuneloom.streaming import requests as Q
@@ -244,3 +247,22 @@ def test_measures_of_each_batch_and_of_a_retried_one(spark, tmp_path, monkeypatc
     seen = spark.read.parquet(out + "-counts").orderBy("batch").collect()
     assert sorted(r["n"] for r in seen) == [3, 4, 5] and [r["high"] for r in seen] == [1, 1, 1]
     assert [r["batch"] for r in seen] == [0, 1, 2]
+
+
+def test_landed_files_grow_with_the_input(spark, tmp_path, monkeypatch):
+    """As many files land as the input has parts, and a micro-batch takes a bounded number."""
+    source, root = "/root/testdata/sf0.001", str(tmp_path / "shared")
+    spark.read.parquet(f"{source}/documents.parquet").repartition(20).write.parquet(
+        str(tmp_path / "documents.parquet"))
+    os.symlink(f"{source}/conversations.parquet", tmp_path / "conversations.parquet")
+    monkeypatch.setattr(catalog, "MAX_FILES", 5, raising=False)
+    monkeypatch.setattr(catalog, "stage_path", lambda spark, name: f"{root}/{name}")
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = catalog.stream_observed_filter(spark, str(tmp_path)).first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    assert got == catalog.filter_stats(spark, source).first()
+    assert len(glob.glob(f"{root}/records/*.parquet")) >= 20
+    assert len(glob.glob(f"{root}/kept-counts/batch=*")) >= 4

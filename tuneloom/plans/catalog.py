@@ -28,6 +28,8 @@ MAX_LEN = 512
 BATCH = 4
 CREATED = 1_700_000_000
 MODEL = "demo"
+#: Files of a micro-batch; their number grows with the input, their size does not.
+MAX_FILES = 64
 #: A vocabulary file; any of its format will do.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -762,6 +764,12 @@ def _landed_by_iter(spark, df: DataFrame, name: str, files_per_trigger: int = 2)
             .parquet(path))
 
 
+def _files_per_trigger(spark, landing: str) -> int:
+    """A third of the files that have landed, MAX_FILES at most."""
+    files = len(spark.read.format("binaryFile").load(landing).inputFiles())
+    return max(1, min(MAX_FILES, -(-files // 3)))
+
+
 def _finish(stream_query) -> None:
     stream_query.awaitTermination()
 
@@ -823,9 +831,9 @@ def _prepared_lines(spark, sf) -> tuple[str, str]:
     line = F.to_json(F.struct(*raw.columns))
     cut = F.when(F.col("record_id") % 7 == 3, F.expr("left(line, length(line) - 1)")).otherwise(
         F.col("line"))
-    raw.select("record_id", line.alias("line")).select(cut.alias("value")).repartition(6).write.text(landing)
+    raw.select("record_id", line.alias("line")).select(cut.alias("value")).write.text(landing)
     _finish(live_prepare.stream_prepare_lines(
-        live_prepare.read_landing_lines(spark, landing, 2), WORDS, MAX_LEN, out, f"{out}-rejects",
+        live_prepare.read_landing_lines(spark, landing, _files_per_trigger(spark, landing)), WORDS, MAX_LEN, out, f"{out}-rejects",
         f"{out}-ledger", f"{out}-checkpoint"))
     return out, f"{out}-rejects"
 
@@ -849,9 +857,9 @@ def stream_observed_filter(spark, sf):
     """The filter's counts, observed batch by batch while the kept records are written."""
     landing, out = stage_path(spark, "records"), stage_path(spark, "kept")
     records = inputs.training_records(spark, sf)
-    records.repartition(6).write.parquet(landing)
-    stream = (spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 2)
-              .parquet(landing))
+    records.write.parquet(landing)
+    stream = (spark.readStream.schema(records.schema)
+              .option("maxFilesPerTrigger", _files_per_trigger(spark, landing)).parquet(landing))
     counts = lengths.filter_counts()
     _finish(sinks.write_observed(
         lengths.filter_for_training(stream, WORDS, MAX_LEN), out, f"{out}-counts",
