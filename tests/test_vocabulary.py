@@ -33,6 +33,27 @@ def test_pieces_give_what_whole_texts_give(spark):
     assert vocabulary.count_by_pieces(df.limit(0), known, "doc_id").count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(RANKS), reason="no vocabulary files")
+def test_pieces_of_a_text_are_counted_where_it_lies(spark, monkeypatch):
+    """What is written before the join took no shuffle, and holds a piece of a text once."""
+    plans, write = {}, vocabulary.stage_table
+
+    def stage(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        written = write(df, name)
+        plans[name, "rows"] = sorted(map(tuple, written.collect())) if name == "held-pieces" else None
+        return written
+
+    monkeypatch.setattr(vocabulary, "stage_table", stage)
+    df = spark.createDataFrame([(5, "a b a b a"), (None, "b"), (6, None), (7, "")],
+                               "key long, body string").coalesce(1)
+    known = vocabulary.RankVocabulary(RANKS)
+    got = vocabulary.count_by_pieces(df.where("key IS NOT NULL"), known, "key", "body").collect()
+    assert sorted(map(tuple, got)) == [(5, 5), (6, 0), (7, 0)]
+    assert plans["held-pieces", "rows"] == [(5, " a", 2), (5, " b", 2), (5, "a", 1)]
+    assert "Exchange" not in plans["held-pieces"]
+
+
 def test_word_spans(spark):
     texts = ["", "  a  bc\n\td ", "word", None, "ü 🙂 z"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")

@@ -2,8 +2,8 @@
 
 A byte-pair vocabulary first cuts a text into pieces by a pattern and merges bytes inside each
 piece only. So a piece is encoded once, whatever the number of its occurrences: the distinct
-pieces are written, encoded in Arrow batches, and joined back. Cutting, counting and joining stay
-on the JVM. A piece that very many texts hold is one row of the joined table, so Spark can split
+pieces are written, encoded in Arrow batches, and joined back. Cutting and joining stay on the
+JVM; the equal pieces of a text are counted where the text lies. A piece that very many texts hold is one row of the joined table, so Spark can split
 its side of the join.
 """
 
@@ -12,9 +12,11 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tuneloom.constants import PIECE_PATTERN
 from tuneloom.session import stage_table
@@ -53,12 +55,33 @@ def piece_ids(pieces: DataFrame, vocabulary: RankVocabulary) -> DataFrame:
     return stage_table(distinct.mapInArrow(run, "piece string, ids array<int>"), "piece-ids")
 
 
+_TEXTS = 256
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Key, piece and how often, for each distinct piece of every row."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, _TEXTS):
+            batch = whole.slice(start, _TEXTS)
+            held = batch.column("pieces")
+            sizes = held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(held), dtype=np.int64), sizes)
+            known = held.flatten().dictionary_encode()
+            most = max(1, len(known.dictionary))
+            found, times = np.unique(row * most + known.indices.to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(found // most)),
+                 known.dictionary.take(pa.array(found % most)), pa.array(times, pa.int64())],
+                names=[batch.schema.names[0], "piece", "times"])
+
+
 def count_by_pieces(df: DataFrame, vocabulary: RankVocabulary, key: str,
                     text: str = "text") -> DataFrame:
     """``key, n_tokens`` of every row; null texts have none. ``key`` is unique."""
-    held = (df.select(key, F.explode(_pieces(text, vocabulary)).alias("piece"))
-            .groupBy(key, "piece").agg(F.count("*").alias("times")))
-    held = stage_table(held, "held-pieces")
+    pieces = df.select(key, _pieces(text, vocabulary).alias("pieces"))
+    shape = StructType([pieces.schema[key], StructField("piece", StringType()),
+                        StructField("times", LongType())])
+    held = stage_table(pieces.mapInArrow(_counted, shape), "held-pieces")
     counts = piece_ids(held, vocabulary).select("piece", F.size("ids").alias("n"))
     found = (held.join(counts, "piece").groupBy(key)
              .agg(F.sum(F.col("n") * F.col("times")).alias("n_tokens")))
