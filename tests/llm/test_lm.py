@@ -2,10 +2,12 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tuneloom.llm import lm
@@ -65,6 +67,46 @@ def test_chunks_do_not_change_scores(spark, monkeypatch):
     assert one == pytest.approx(many, rel=1e-4)
 
 
+def test_parts_do_not_change_scores(spark, monkeypatch):
+    """Words, counts and tokens taken a few at a time; documents that span several parts."""
+    rows = [*corpus(40), (1000, None), (1001, "new " * 30), (1002, "cold ice " * 100)]
+    df = make(spark, rows)
+    one = {r.doc_id: r for r in lm.score_corpus(df).collect()}
+    for name, size in (("_TEXTS", 3), ("_TEXT_BYTES", 500), ("_WORDS", 3), ("_TOKENS", 7),
+                       ("_KNOWN", 2), ("_GATHER", 5), ("CHUNK_BYTES", 900)):
+        monkeypatch.setattr(lm, name, size)
+    got = lm.score_corpus(df).collect()
+    check_base(rows, got)
+    assert {r.doc_id: r.score for r in got} == pytest.approx(
+        {k: r.score for k, r in one.items()}, rel=1e-4)
+
+
+def test_chunking_takes_bounded_memory():
+    """A chunk's texts, words and tokens never stand beside those of the whole batch."""
+    rng = np.random.default_rng(7)
+    n = 10_000
+    words = np.char.mod("%x", (rng.pareto(0.6, (n, 250)) * 9).astype(np.int64) % (1 << 24))
+    batch = pa.RecordBatch.from_pydict({
+        "number": [*range(n)], "doc_id": [*range(n)], "held": [i % 10 == 0 for i in range(n)],
+        "text": [" ".join(w) * 2 for w in words]})
+    tracemalloc.start()
+    try:
+        for chunk in lm._chunks(iter([batch])):
+            assert chunk.nbytes < 8 << 20
+        assert tracemalloc.get_traced_memory()[1] < 80 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_scoring_tasks_grow_with_the_chunks(spark, monkeypatch):
+    """No array of all words or counts of a chunk in Spark's rows, and few chunks in a task."""
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 300)
+    got = lm.score_corpus(make(spark, corpus(60)).repartition(1), steps=1)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "array<" not in lm._CHUNK
+    assert got.rdd.getNumPartitions() > 10
+
+
 def test_probabilities_sum_to_one():
     shape = lm.Shape([lm.END, "a", "b", "c"], lm.Sizes.of_tokens(100))
     rng = np.random.default_rng(3)

@@ -8,16 +8,19 @@ are, and how many rows the trigrams hash to, grows with the fifth root of the tr
 (``Sizes``), so what is gathered from a corpus grows with it. Unknown words are one type, with
 the probability that Good and Turing give to unseen words.
 
-One pass over the texts makes chunks of a bounded number of tokens: a chunk holds its distinct
-words and its tokens as numbers into them. Everything after works on chunks:
+One pass over the texts makes chunks of a bounded number of bytes: a chunk holds its distinct
+words and its tokens as numbers into them, all as packed bytes, so that a chunk is a short row
+for Spark and only the Python task that works on it holds it at length. Everything after works
+on chunks:
 
 * word counts: the distinct words of all chunks, summed by word (and joined back, so that no
-  task ever holds the vocabulary);
+  task ever holds the vocabulary; counts go to a chunk in packed pieces);
 * the statistics of the model, class counts by context, over all training tokens: sparse cells
   in blocks of contexts, on which gradient steps run; each task gives the gradient of its
   blocks, and gradients are summed by feature before the driver gets them;
-* scoring: the softmax of the contexts that a chunk holds, a bounded number at a time, and
-  gathers on whole chunks of numbers.
+* scoring: a task gets a few chunks, each after the counts of its words, and takes the softmax
+  of the contexts that the chunk holds, a bounded number at a time, and a bounded number of
+  tokens at a time for the sums by document.
 """
 
 from __future__ import annotations
@@ -29,37 +32,63 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuneloom.llm.common import held_out
+from tuneloom.llm.common import blocks_for, held_out
 from tuneloom.session import stage_table
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 STEPS, RATE, PRIOR = 12, 0.5, 20.0
 #: Cells of a softmax that are worked on at once, and of a block of statistics.
 _SLICE, _BLOCK = 1 << 20, 1 << 20
 #: Distinct cells of statistics that a task gathers before it gives them away.
-_GATHER = 1 << 22
+_GATHER = 1 << 20
+#: Texts and bytes taken from a batch at a time (one text at least), words given away at a time,
+#: tokens whose scores are summed at a time, counts that a task gathers before it packs them.
+_TEXTS, _TEXT_BYTES, _WORDS, _TOKENS, _KNOWN = 256, 1 << 20, 1 << 15, 1 << 18, 1 << 19
+#: Chunks that a scoring task gets on average, up to a number of tasks.
+_PER_TASK, _TASKS = 2, 1 << 15
 #: Stands for the end of a text among the words; no word holds a blank.
 END = " "
+#: ``words`` are the UTF-8 bytes of all distinct words, most frequent first; ``counts`` their
+#: lengths and their counts in training texts.
 _CHUNK = ("chunk bigint, doc_ids binary, held binary, lengths binary, tokens binary, "
-          "words array<string>, counts array<bigint>")
+          "words binary, counts binary")
+_BINARY = ("doc_ids", "held", "lengths", "tokens", "codes")
 
 
 def _tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "replace").lower().split(), END.encode()]
 
 
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers by byte planes, which compress better."""
+    planes = np.ascontiguousarray(numbers.astype("<i4").reshape(-1).view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def _numbers(squeezed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(squeezed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4")[:, 0]
+
+
+def _steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of bounded size, each text whole."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+    ends, start = np.cumsum(sizes, dtype=np.int64), 0
+    while start < batch.num_rows:
+        most = _TEXT_BYTES + (ends[start - 1] if start else 0)
+        stop = min(start + _TEXTS, max(start + 1, int(np.searchsorted(ends, most, side="right"))))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pack documents; a chunk ends after the document that fills it."""
-    pack = zstandard.ZstdCompressor(level=1)
-    fields = [("chunk", pa.int64()), ("doc_ids", pa.binary()), ("held", pa.binary()),
-              ("lengths", pa.binary()), ("tokens", pa.binary()),
-              ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]
-
     def start():
         return defaultdict(count().__next__), [], [], [], 0
 
@@ -67,34 +96,75 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.array(held, bool)
         lengths = np.array([len(t) for t in tokens], np.int64)
         every = np.concatenate(tokens)
-        learnt = np.bincount(every[np.repeat(~flags, lengths)], minlength=len(vocabulary))
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip([
-            first, pa.array(ids, pa.int64()).fill_null(0).to_numpy().tobytes()
-            + np.array([i is None for i in ids], bool).tobytes(), flags.tobytes(),
-            lengths.tobytes(), pack.compress(every.tobytes()),
-            [w.decode() for w in vocabulary], learnt.tolist()], fields, strict=True)],
-            schema=pa.schema(fields))
+        order = np.argsort(-np.bincount(every, minlength=len(vocabulary)), kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        every = rank[every]
+        learnt = np.bincount(every[np.repeat(~flags, lengths)], minlength=len(order))
+        words = [*vocabulary]
+        words = [words[i] for i in order.tolist()]
+        values = [pa.array(ids, pa.int64()).fill_null(0).to_numpy().tobytes()
+                  + np.array([i is None for i in ids], bool).tobytes(), flags.tobytes(),
+                  lengths.tobytes(), _squeezed(every),
+                  zstandard.ZstdCompressor(level=3).compress(b"".join(words)),
+                  _squeezed(np.stack([[len(w) for w in words], learnt]))]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([first], pa.int64()), *(pa.array([v], pa.binary()) for v in values)],
+            names=["chunk", "doc_ids", "held", "lengths", "tokens", "words", "counts"])
 
     vocabulary, ids, held, tokens, size = start()
     first = None
-    for batch in batches:
-        for number, doc, out, text in zip(*(batch.column(c).to_pylist()
-                                            for c in ("number", "doc_id", "held", "text")),
-                                          strict=True):
-            first = number if first is None else first
-            words = _tokens(text)
-            tokens.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
-            ids.append(doc)
-            held.append(out)
-            size += len(text or "") + 1
-            if size >= CHUNK_BYTES:
-                yield close()
-                vocabulary, ids, held, tokens, size = start()
-                first = None
+    for whole in batches:
+        for batch in _steps(whole):
+            for number, doc, out, text in zip(*(batch.column(c).to_pylist()
+                                                for c in ("number", "doc_id", "held", "text")),
+                                              strict=True):
+                first = number if first is None else first
+                words = _tokens(text)
+                tokens.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32,
+                                          len(words)))
+                ids.append(doc)
+                held.append(out)
+                size += len(text or "") + 1
+                if size >= CHUNK_BYTES:
+                    yield close()
+                    vocabulary, ids, held, tokens, size = start()
+                    first = None
     if ids:
         yield close()
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one at a time: those of a batch are never all Python's at once."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _words(row: dict) -> tuple[pa.StringArray, np.ndarray]:
+    """The distinct words of a chunk and their counts in training texts."""
+    lengths, counts = _numbers(row["counts"]).reshape(2, -1)
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(ends),
+                                       pa.py_buffer(zstandard.decompress(row["words"]))), counts
+
+
+def _uses(chunks: DataFrame) -> DataFrame:
+    """``chunk, at, word, n``: a row for every distinct word of a chunk."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            words, counts = _words(row)
+            for start in range(0, len(words), _WORDS):
+                part = words.slice(start, _WORDS)
+                at = np.arange(start, start + len(part), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(part), row["chunk"], np.int64)), pa.array(at), part,
+                     pa.array(counts[at].astype(np.int64))], names=["chunk", "at", "word", "n"])
+
+    return chunks.select("chunk", "words", "counts").mapInArrow(
+        run, "chunk bigint, at int, word string, n bigint")
+
+
 class _Chunk:
     def __init__(self, row: dict):
         self.lengths = np.frombuffer(row["lengths"], np.int64)
@@ -102,8 +172,7 @@ class _Chunk:
         self.ids = np.frombuffer(row["doc_ids"], np.int64, n)
         self.no_id = np.frombuffer(row["doc_ids"], bool, n, 8 * n)
         self.held = np.frombuffer(row["held"], bool)
-        self.tokens = np.frombuffer(zstandard.decompress(row["tokens"]), np.int32)
-        self.words = row["words"]
+        self.tokens = _numbers(row["tokens"])
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
 
 
@@ -146,9 +215,9 @@ class Shape:
                   for w, h in zip(words, mixed, strict=True)]
         return np.array(classes, np.int32), np.array(values, np.int32)
 
-    def of_chunk(self, chunk: _Chunk) -> tuple[np.ndarray, np.ndarray]:
-        """Class and context of every token."""
-        classes, values = self.of_words(chunk.words)
+    def of_chunk(self, chunk: _Chunk, classes: np.ndarray,
+                 values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class and context of every token, from those of the chunk's words."""
         value = values[chunk.tokens]
         begin = np.array([self.begin], np.int32)
         one = np.concatenate([begin, value[:-1]])
@@ -231,15 +300,14 @@ def _statistics(chunks: DataFrame, shape: Shape) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
-        for batch in batches:
-            for i in range(batch.num_rows):
-                chunk = _Chunk(batch.slice(i, 1).to_pylist()[0])
-                classes, contexts = shape.of_chunk(chunk)
-                learnt = np.repeat(~chunk.held, chunk.lengths)
-                keys = contexts[learnt].astype(np.int64) * shape.n_classes + classes[learnt]
-                parts = [_merge([*parts, np.unique(keys, return_counts=True)])]
-                if len(parts[0][0]) > _GATHER:
-                    yield from give(*parts.pop())
+        for row in _rows(batches):
+            chunk = _Chunk(row)
+            classes, contexts = shape.of_chunk(chunk, *shape.of_words(_words(row)[0].to_pylist()))
+            learnt = np.repeat(~chunk.held, chunk.lengths)
+            keys = contexts[learnt].astype(np.int64) * shape.n_classes + classes[learnt]
+            parts = [_merge([*parts, np.unique(keys, return_counts=True)])]
+            if len(parts[0][0]) > _GATHER:
+                yield from give(*parts.pop())
         if parts:
             yield from give(*parts[0])
 
@@ -255,8 +323,7 @@ def _statistics(chunks: DataFrame, shape: Shape) -> DataFrame:
         if parts:
             yield _cells([at], [_packed(*parts[0])])
 
-    return (chunks.select("lengths", "doc_ids", "held", "tokens", "words")
-            .mapInArrow(gather, _CELLS).repartition(blocks, "block")
+    return (chunks.drop("chunk").mapInArrow(gather, _CELLS).repartition(blocks, "block")
             .sortWithinPartitions("block").mapInArrow(add, _CELLS))
 
 
@@ -355,9 +422,7 @@ def score_corpus(docs: DataFrame, folds: int = 10, steps: int = STEPS) -> DataFr
     chunks = stage_table(
         docs.select(F.monotonically_increasing_id().alias("number"), "doc_id",
                     out.alias("held"), "text").mapInArrow(_chunks, _CHUNK), "chunks")
-    uses = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")
-                         ).select("chunk", "at", F.col("w.words").alias("word"),
-                                  F.col("w.counts").alias("n"))
+    uses = _uses(chunks)
     counts = stage_table(uses.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counts")
     total, distinct, once = counts.agg(F.sum("c"), F.count("*"),
                                        F.count(F.when(F.col("c") == 1, 1))).first()
@@ -372,21 +437,72 @@ def score_corpus(docs: DataFrame, folds: int = 10, steps: int = STEPS) -> DataFr
     mass = {r.h: r.m for r in counts.where(~own).groupBy(hashed.alias("h"))
             .agg(F.sum(F.col("c") + 0.1).alias("m")).collect()}
     masses = np.array([mass.get(h, 0.0) for h in range(sizes.hashed_classes)])
-    known = (uses.select("chunk", "at", "word").join(counts, "word")
-             .groupBy("chunk").agg(F.array_agg(F.struct("at", "c")).alias("known")))
+    known = uses.select("chunk", "at", "word").join(counts, "word").select("chunk", "at", "c")
     model = {"total": total, "distinct": distinct, "once": once, "weights": weights,
              "shape": shape, "masses": masses}
-    return (chunks.drop("counts").join(known.withColumnRenamed("chunk", "_chunk"),
-                                       F.col("chunk") == F.col("_chunk"), "left").drop("_chunk")
+    tasks = min(blocks_for(chunks.count(), _PER_TASK), _TASKS)
+    return (known.mapInArrow(_pieces, _PIECE)
+            .unionByName(chunks.mapInArrow(_coded(shape), _PIECE)).repartition(tasks, "chunk")
+            .sortWithinPartitions("chunk", "whole")
             .mapInArrow(_scorer(model), "doc_id bigint, held_out boolean, n_tokens bigint, "
                         "n_known bigint, train_tokens bigint, base_score double, score double"))
 
 
+#: Pieces of a chunk: the counts of some of its words (in ``codes``), or the chunk itself with
+#: the classes and context values of its words, which sorts last.
+_PIECE = "chunk bigint, whole boolean, " + ", ".join(f"{c} binary" for c in _BINARY)
+_COUNT = np.dtype([("at", "<i4"), ("c", "<i8")])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The training counts of words, brought together by chunk."""
+    def give(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        chunks, at, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((at, chunks))
+        chunks, cells = chunks[order], np.empty(len(order), _COUNT)
+        cells["at"], cells["c"] = at[order], c[order]
+        first = np.flatnonzero(np.concatenate([[True], chunks[1:] != chunks[:-1]]))
+        ends = (np.append(first, len(chunks)) * _COUNT.itemsize).astype(np.int32)
+        n = len(first)
+        codes = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends),
+                                                       pa.py_buffer(cells)])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(chunks[first]), pa.array(np.zeros(n, bool)),
+             *[pa.nulls(n, pa.binary())] * (len(_BINARY) - 1), codes],
+            names=["chunk", "whole", *_BINARY])
+
+    parts, size = [], 0
+    for batch in batches:
+        parts.append(tuple(batch.column(x).to_numpy() for x in ("chunk", "at", "c")))
+        size += batch.num_rows
+        if size >= _KNOWN:
+            yield give(parts)
+            parts, size = [], 0
+    if size:
+        yield give(parts)
+
+
+def _coded(shape: Shape):
+    """Chunks with the classes and context values of their words in place of the words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            row["codes"] = _squeezed(np.stack(shape.of_words(_words(row)[0].to_pylist())))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row["chunk"]], pa.int64()), pa.array([True]),
+                 *(pa.array([row[c]], pa.binary()) for c in _BINARY)],
+                names=["chunk", "whole", *_BINARY])
+    return run
+
+
 def _scorer(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield _scored(batch.slice(i, 1), model)
+        known = []
+        for row in _rows(batches):
+            if row["whole"]:
+                yield _scored(row, known, model)
+                known = []
+            else:
+                known.append(np.frombuffer(row["codes"], _COUNT))
     return run
 
 
@@ -405,34 +521,38 @@ def _class_logs(shape: Shape, weights: np.ndarray, classes: np.ndarray,
     return out / np.float32(np.log(10))
 
 
-def _scored(row: pa.RecordBatch, model: dict) -> pa.RecordBatch:
-    known = row.column("known")[0].values
-    fields = row.drop_columns(["known"]).to_pylist()[0]
-    chunk, shape, total = _Chunk(fields), model["shape"], model["total"]
-    c = np.zeros(len(chunk.words))
-    if known is not None:
-        c[known.field("at").to_numpy()] = known.field("c").to_numpy()
-    base = np.log10((c + 0.1) / (total + 0.1 * (model["distinct"] + 1)))[chunk.tokens]
-    if model["weights"] is None:
-        score = base
-    else:
+def _scored(row: dict, known: list[np.ndarray], model: dict) -> pa.RecordBatch:
+    chunk, shape, total = _Chunk(row), model["shape"], model["total"]
+    classes, values = _numbers(row["codes"]).reshape(2, -1)
+    c = np.zeros(len(classes))
+    for counts in known:
+        c[counts["at"]] = counts["c"]
+    seen = c > 0
+    base = np.log10((c + 0.1) / (total + 0.1 * (model["distinct"] + 1)))
+    logs = None
+    if model["weights"] is not None:
         new = min(0.5, max(model["once"], 0.1) / (total + 0.1))
-        classes, contexts = shape.of_chunk(chunk)
-        which = shape.of_words(chunk.words)[0]
-        inside = which - shape.hashed
-        known_words = c > 0
+        inside = classes - shape.hashed
         mass = model["masses"][np.maximum(inside, 0)]
-        share = np.log10(np.where(known_words & (inside >= 0), (c + 0.1) / np.maximum(mass, 0.1),
-                                  1.0))
-        seen = known_words[chunk.tokens]
-        logs = _class_logs(shape, model["weights"], classes, contexts)
-        score = np.where(seen, logs + share[chunk.tokens] + np.log10(1 - new),
-                         np.log10(new))
-    per = [np.add.reduceat(x, chunk.starts) for x in
-           (base, score, (c > 0)[chunk.tokens].astype(np.int64))]
+        share = np.log10(np.where(seen & (inside >= 0), (c + 0.1) / np.maximum(mass, 0.1), 1.0))
+        share = np.where(seen, share + np.log10(1 - new), np.log10(new))
+        logs = _class_logs(shape, model["weights"], *shape.of_chunk(chunk, classes, values))
+    n_known = np.zeros(len(chunk.ids), np.int64)
+    bases, scores = np.zeros(len(chunk.ids)), np.zeros(len(chunk.ids))
+    for start in range(0, len(chunk.tokens), _TOKENS):
+        part = chunk.tokens[start:start + _TOKENS]
+        docs = slice(np.searchsorted(chunk.starts, start, side="right") - 1,
+                     np.searchsorted(chunk.starts, start + len(part)))
+        cuts = np.maximum(chunk.starts[docs] - start, 0)
+        here = seen[part]
+        n_known[docs] += np.add.reduceat(here, cuts, dtype=np.int64)
+        bases[docs] += np.add.reduceat(base[part], cuts)
+        if logs is not None:
+            scores[docs] += np.add.reduceat(
+                share[part] + np.where(here, logs[start:start + len(part)], 0), cuts)
     return pa.RecordBatch.from_arrays(
         [pa.array(chunk.ids, mask=chunk.no_id), pa.array(chunk.held), pa.array(chunk.lengths),
-         pa.array(per[2]), pa.array(np.full(len(chunk.ids), total, np.int64)),
-         pa.array(per[0]), pa.array(per[1])],
+         pa.array(n_known), pa.array(np.full(len(chunk.ids), total, np.int64)),
+         pa.array(bases), pa.array(bases if logs is None else scores)],
         names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score",
                "score"])
