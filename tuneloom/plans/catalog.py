@@ -13,14 +13,15 @@ from tuneloom.functions.text import last_segment, word_count
 from tuneloom.functions.tokens import ByteTokenizer, PluginTokenizer, WordTokenizer
 from tuneloom.functions.tokens import cut_completion as cut_tokens
 from tuneloom.functions.tokens import mask_outside, word_spans
-from tuneloom.operators import (batching, chat, evalset, lengths, models, normalize, packing,
-                                runs, scoring, splits, vocabulary)
+from tuneloom.operators import (batching, chat, evalset, generate, lengths, models, normalize,
+                                packing, runs, scoring, splits, vocabulary)
 from tuneloom.operators import requests as req
 from tuneloom.plans import inputs, jobs
 from tuneloom.session import stage_path, stage_table
 from tuneloom.sources import manifests, records, writers
 from tuneloom.streaming import metrics as live
 from tuneloom.streaming import prepare as live_prepare
+from tuneloom.streaming import requests as live_requests
 from tuneloom.streaming import sinks
 
 WORDS = WordTokenizer()
@@ -736,12 +737,11 @@ def _envelope_fields(answers):
 
 @query
 def response_envelope(spark, sf):
-    """Documents around the last message of the conversation that a request came from."""
-    asked = req.accepted(req.parse_requests(inputs.requests(spark, sf)))
-    last = inputs.chat_records(spark, sf).select(
-        F.concat(F.lit("r"), F.col("record_id").cast("string")).alias("request_id"),
-        F.element_at("messages", -1)["content"].alias("text"))
-    return _envelope_fields(req.response_envelope(asked.join(last, "request_id"), MODEL, CREATED))
+    """Requests to documents: parsed, answered by the words that mostly follow in all
+    conversations, each as long as it asked for."""
+    model = generate.learn_successors(inputs.table(spark, sf, "conversations"))
+    return _envelope_fields(live_requests.answer_requests(
+        inputs.requests(spark, sf), model, MODEL, created=CREATED))
 
 
 # --- streams -------------------------------------------------------------------

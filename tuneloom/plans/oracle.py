@@ -144,6 +144,31 @@ parsed AS (
   FROM asked),
 accepted AS (SELECT * FROM parsed WHERE route <> '/v1/embeddings' AND NOT bad)"""
 
+ANSWERED = """
+word_lists AS (SELECT regexp_extract_all(text, '\\S+') AS ws FROM conversations),
+steps AS (
+  SELECT unnest(ws[1:len(ws) - 1]) AS w, unnest(ws[2:]) AS nxt FROM word_lists WHERE len(ws) > 1),
+step_counts AS (SELECT w, nxt, count(*) AS n FROM steps GROUP BY w, nxt),
+succ AS (
+  SELECT w, nxt FROM (
+    SELECT w, nxt, row_number() OVER (PARTITION BY w ORDER BY n DESC, nxt) AS r FROM step_counts)
+  WHERE r = 1),
+prompt_words AS (
+  SELECT id, max_tokens, unnest(ws) AS w, unnest(range(len(ws))) AS i
+  FROM (SELECT request_id AS id, max_tokens, regexp_extract_all(prompt, '\\S+') AS ws FROM accepted)),
+starts AS (
+  SELECT id, max_tokens, arg_max(p.w, i) AS w
+  FROM prompt_words p JOIN succ USING (w) GROUP BY id, max_tokens),
+walk AS (
+  SELECT id, max_tokens, w, 0 AS k FROM starts
+  UNION ALL
+  SELECT walk.id, walk.max_tokens, succ.nxt, walk.k + 1
+  FROM walk JOIN succ ON succ.w = walk.w WHERE walk.k < walk.max_tokens),
+told AS (SELECT id, string_agg(w, ' ' ORDER BY k) AS answer FROM walk WHERE k > 0 GROUP BY id),
+answered AS (
+  SELECT a.* EXCLUDE (answer), COALESCE(t.answer, '') AS answer
+  FROM accepted a LEFT JOIN told t ON t.id = a.request_id)"""
+
 METRICS = """
 log AS (
   SELECT user_id AS run_id, iter, (iter - 1) // 5 AS epoch,
@@ -695,13 +720,13 @@ SELECT request_id, route,
   CASE WHEN route = '/v1/embeddings' THEN 'unknown route' ELSE 'bad request' END AS reason,
   CASE WHEN route = '/v1/embeddings' THEN 404 ELSE 400 END::BIGINT AS status
 FROM parsed WHERE route = '/v1/embeddings' OR bad"""
-_ORACLES["response_envelope"] = _with(REQUESTS) + f"""
+_ORACLES["response_envelope"] = _with(REQUESTS, ANSWERED) + f"""
 SELECT request_id, CASE WHEN kind = 'chat' THEN 'chatcmpl-' ELSE 'cmpl-' END
     || substr(md5(request_id), 1, 8) AS id,
   CASE WHEN kind = 'chat' THEN 'chat.completion' ELSE 'text_completion' END AS object,
   1700000000::BIGINT AS created, answer,
   CASE WHEN kind = 'chat' THEN {_words('answer')} END AS completion_tokens
-FROM accepted"""
+FROM answered"""
 
 # --- streams: the final state equals the batch result --------------------------
 

@@ -12,7 +12,7 @@ from tuneloom.operators.requests import accepted, parse_requests, rejected, resp
 from tuneloom.streaming.sinks import batch_folder, write_per_batch
 
 
-def answer_requests(requests: DataFrame, factory: Callable[[], Engine], model: str,
+def answer_requests(requests: DataFrame, factory: Callable[[], Engine] | DataFrame, model: str,
                     max_batch: int = 8, created: int | None = None,
                     chat_style: str = "instruct") -> DataFrame:
     """Requests to response documents; unknown routes are left out."""
